@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, ngram_lm, packing, quality, simhash, substring, suffixes, toxicity
+from . import bpe, language, ngram_lm, packing, quality, search, simhash, substring, suffixes, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents"))
 
