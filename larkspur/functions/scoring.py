@@ -133,7 +133,7 @@ def strike(count: Column, silence_after: Column) -> Column:
 
 
 def violation_score(count: Column, risk: Column) -> Column:
-    return F.coalesce(F.least(F.lit(0.20), count * 0.04 + risk * 0.12), F.lit(0.0))
+    return F.when(count.isNull() | risk.isNull(), 0.0).otherwise(F.least(F.lit(0.20), count * 0.04 + risk * 0.12))  # least() skips nulls
 
 
 def mode_flags(mode: Column) -> Column:
