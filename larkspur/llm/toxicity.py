@@ -1,13 +1,14 @@
 """Toxicity scoring with a factorization machine over hashed terms.
 
-Terms are the lower-cased words of a text without outer punctuation, hashed into 2**bits features and counted once a
-text.  score = sigmoid(w0 + sum_t w_t + 1/2 sum_f ((sum_t v_tf)^2 - sum_t v_tf^2)): the second part is the sum of
-<v_s, v_t> over all pairs of terms, so pairs weigh in that no additive weights see.
+Terms of a text are its distinct words in lower case without outer punctuation, and for each word beginning of 6 or 7
+bytes, that at least one, two or three distinct words of the text have it; each is hashed to 40 bits.  With x the set of
+terms, score = sigmoid(w0 + sum w_t + 1/2 sum_f ((sum v_tf)^2 - sum v_tf^2)): the second part is the sum of <v_s, v_t>
+over all pairs of terms, so pairs weigh in that no additive weights see.
 
 Fitting takes at most `sample` labelled rows, those with the smallest hash of doc_id (a documented bound; all rows
-while there are fewer), and there only terms in at least `min_docs` of these rows, which keeps rare words from standing
-for the label of the one document they were in; the others have zero weights.  Adaptive gradient steps with proximal
-L1 steps on w and v: what has no evidence is exactly 0, so length alone doesn't raise a score.
+while there are fewer), and there only terms in at least `min_docs` of these rows.  First come proximal steps on w, in which
+a term's L1 weight follows from what its gradient would be by chance: terms without evidence end at exactly 0, so length
+alone doesn't raise a score.  Then all of the machine, pairs included, is fitted for the terms that are left.
 
 Null, empty and punctuation-only texts score sigmoid(w0).  Without labelled rows, or with one class only, every text
 scores the class rate (0.0 without rows).  Repeated rows score alike; rows with a null label are not learnt from.
@@ -15,8 +16,9 @@ scores the class rate (0.0 without rows).  Repeated rows score alike; rows with
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,129 +29,176 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+BEGINNINGS, LEVELS, BITS = (6, 7), 3, 40
 
 
-def term_memo(bits: int) -> Memo:
-    mask = (1 << bits) - 1
+def hashed(term: bytes, kind: int) -> int:
+    return xxhash.xxh64_intdigest(term, kind) & ((1 << BITS) - 1)
 
-    def make(word: bytes) -> int:
-        term = word.strip(OUTER)
-        return xxhash.xxh64_intdigest(term, 7) & mask if term else -1
 
-    return Memo(make)
+def words_of(text: bytes) -> set[bytes]:
+    return {t for w in set(text.lower().split()) if (t := w.strip(OUTER))}
 
 
-def terms_of(text: bytes, memo: Memo) -> np.ndarray:
-    """Distinct features of a text, in order."""
-    found = np.array(sorted(set(map(memo.__getitem__, set(text.lower().split())))), dtype=np.int32)
-    return found[found >= 0]
+def terms_of(text: bytes) -> np.ndarray:
+    """Distinct hashed terms of a text, in order."""
+    words = words_of(text)
+    found = [hashed(w, 0) for w in words]
+    for n in BEGINNINGS:
+        for start, times in Counter(w[:n] for w in words if len(w) >= n).items():
+            found += [hashed(start, 16 * n + level) for level in range(1, min(times, LEVELS) + 1)]
+    return np.unique(np.array(found, dtype=np.int64))
 
 
 @dataclass
 class Model:
-    bits: int
     w0: float
-    w: np.ndarray
-    v: np.ndarray
+    terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # sorted
+    w: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    v: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
+
+    def places(self, found: np.ndarray) -> np.ndarray:
+        """Places of terms in this model; those it hasn't are left out."""
+        at = np.minimum(np.searchsorted(self.terms, found), max(0, len(self.terms) - 1))
+        return at[self.terms[at] == found] if len(self.terms) else np.zeros(0, np.int64)
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
-        """Scores before the sigmoid, of rows of features."""
-        lengths = np.array([len(r) for r in rows])
-        total = np.full(len(rows), self.w0)
-        if lengths.sum():
-            flat, full = np.concatenate(rows), lengths > 0
-            starts = (np.cumsum(lengths) - lengths)[full]
-            v = self.v[flat]
-            s, q = np.add.reduceat(v, starts), np.add.reduceat(v * v, starts)
-            total[full] += np.add.reduceat(self.w[flat], starts) + 0.5 * (s * s - q).sum(axis=1)
-        return total
+        """Scores before the sigmoid, of rows of terms."""
+        out = np.full(len(rows), self.w0)
+        for i, found in enumerate(rows):
+            at = self.places(found)
+            if len(at):
+                v = self.v[at]
+                s = v.sum(axis=0)
+                out[i] += self.w[at].sum() + 0.5 * float((s * s).sum() - (v * v).sum())
+        return out
+
+    def reader(self):
+        """terms_of() and places() in one, for many texts: words that lead to no term of the model are known by heart."""
+        place = dict(zip(self.terms.tolist(), range(len(self.terms)), strict=True))
+
+        def leads_to(word: bytes) -> tuple | None:
+            t = word.strip(OUTER)
+            own = place.get(hashed(t, 0)) if t else None
+            starts = [t[:n] for n in BEGINNINGS if len(t) >= n and hashed(t[:n], 16 * n + 1) in place or any(hashed(t[:n], 16 * n + k) in place for k in range(2, LEVELS + 1))] if t else []
+            return (t, own, starts) if own is not None or starts else None
+
+        memo = Memo(leads_to)
+
+        def read(text: bytes) -> np.ndarray:
+            seen, found = {}, []
+            for hit in map(memo.__getitem__, set(text.lower().split())):
+                if hit is not None:
+                    seen[hit[0]] = hit
+            starts = Counter()
+            for _, own, begins in seen.values():
+                if own is not None:
+                    found.append(own)
+                starts.update(begins)
+            for start, times in starts.items():
+                found += [p for k in range(1, min(times, LEVELS) + 1) if (p := place.get(hashed(start, 16 * len(start) + k))) is not None]
+            return np.array(sorted(set(found)), np.int64)
+
+        return read
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int, rank: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.15, l1: float = 4e-4, l1_pairs: float = 2e-4, min_docs: int = 5, seed: int = 11) -> Model:
-    n = 1 << bits
-    model = Model(bits, 0.0, np.zeros(n), np.zeros((n, rank)))
+def shrunk(x: np.ndarray, slope: np.ndarray, step: np.ndarray, l1: np.ndarray | float) -> np.ndarray:
+    moved = x - step * slope
+    return np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
+
+
+class Problem:
+    """Rows as flat (row, term) pairs, with steps of proximal AdaGrad over all of them."""
+
+    def __init__(self, owner: np.ndarray, flat: np.ndarray, y: np.ndarray, n: int, w0: float, v: np.ndarray, pairs: np.ndarray):
+        self.owner, self.flat, self.y, self.w0, self.w = owner, flat, y, w0, np.zeros(n)
+        number = np.full(n, -1, np.int64)
+        number[pairs] = np.arange(len(pairs))
+        inside = number[flat] >= 0
+        self.pair_owner, self.pair_flat, self.v = owner[inside], number[flat[inside]], v
+
+    def run(self, rounds: int, rate: float, l1: np.ndarray | float, l1_pairs: np.ndarray | float, ridge: float) -> None:
+        by_row = lambda of, values: np.bincount(of, values, len(self.y))
+        g0, gw, gv = 1e-8, np.full(len(self.w), 1e-8), np.full(self.v.shape, 1e-8)
+        for _ in range(rounds):
+            raw, sums = self.w0 + by_row(self.owner, self.w[self.flat]), []
+            for f in range(self.v.shape[1]):
+                x = self.v[self.pair_flat, f]
+                s = by_row(self.pair_owner, x)
+                sums.append(s)
+                raw = raw + 0.5 * (s * s - by_row(self.pair_owner, x * x))
+            error = (sigmoid(raw) - self.y) / len(self.y)
+            g = error.sum()
+            g0 += g * g
+            self.w0 -= rate * g / np.sqrt(g0)
+            dw = np.bincount(self.flat, error[self.owner], len(self.w)) + ridge * self.w
+            gw += dw * dw
+            self.w = shrunk(self.w, dw, rate / np.sqrt(gw), l1)
+            weight = np.bincount(self.pair_flat, error[self.pair_owner], len(self.v))
+            for f in range(self.v.shape[1]):
+                dv = np.bincount(self.pair_flat, (error * sums[f])[self.pair_owner], len(self.v)) + self.v[:, f] * (ridge - weight)
+                gv[:, f] += dv * dv
+                self.v[:, f] = shrunk(self.v[:, f], dv, 0.3 * rate / np.sqrt(gv[:, f]), l1_pairs)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.3, sure: float = 4.0, min_docs: int = 5, ridge: float = 1e-4, seed: int = 11) -> Model:
     if not len(rows) or y.min() == y.max():
         p = float(y.mean()) if len(rows) else 0.0
-        model.w0 = float(np.log(max(p, 1e-15) / max(1 - p, 1e-15)))
-        return model
-    random = np.random.default_rng(seed)
-    seen = np.bincount(np.concatenate(rows), minlength=n) if sum(map(len, rows)) else np.zeros(n, int)
+        return Model(float(np.log(max(p, 1e-15) / max(1 - p, 1e-15))))
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    terms, flat, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+
+    def kept(which: np.ndarray, owner: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number = np.full(int(flat.max(initial=0)) + 1, -1, np.int64)
+        number[which] = np.arange(len(which))
+        inside = number[flat] >= 0
+        return owner[inside], number[flat[inside]]
+
     used = np.flatnonzero(seen >= min_docs)
-    place = np.full(n, -1, np.int64)
-    place[used] = np.arange(len(used))
-    rows = [place[r][place[r] >= 0] for r in rows]
-    w0, g0 = float(np.log(y.mean() / (1 - y.mean()))), 1e-8
-    w, v = np.zeros(len(used)), random.normal(0, 0.01, (len(used), rank))
-    gw, gv = np.full(len(used), 1e-8), np.full((len(used), rank), 1e-8)
-    for _ in range(epochs):
-        order = random.permutation(len(rows))
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            lengths = np.array([len(rows[i]) for i in pick])
-            flat = np.concatenate([rows[i] for i in pick])
-            owner = np.repeat(np.arange(len(pick)), lengths)
-            vf = v[flat]
-            s = np.zeros((len(pick), rank))
-            np.add.at(s, owner, vf)
-            raw = w0 + np.bincount(owner, w[flat], len(pick)) + 0.5 * ((s * s).sum(1) - np.bincount(owner, (vf * vf).sum(1), len(pick)))
-            error = (sigmoid(raw) - y[pick]) / len(pick)
-            g = error.sum()
-            g0 += g * g
-            w0 -= rate * g / np.sqrt(g0)
-            touched, inverse = np.unique(flat, return_inverse=True)
-            e = error[owner]
-            dw = np.bincount(inverse, e, len(touched))
-            gw[touched] += dw * dw
-            step = rate / np.sqrt(gw[touched])
-            moved = w[touched] - step * dw
-            w[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
-            dv = np.zeros((len(touched), rank))
-            np.add.at(dv, inverse, e[:, None] * (s[owner] - vf))
-            gv[touched] += dv * dv
-            step = 0.3 * rate / np.sqrt(gv[touched])
-            moved = v[touched] - step * dv
-            v[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1_pairs, 0)
-    model.w0 = w0
-    model.w[used], model.v[used] = w, v
-    return model
-
-
-def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, bits: int = 18, sample: int = 20_000, **how) -> Model:
+    owner, flat = kept(used, owner, flat)
+    share, p = seen[used] / len(rows), float(y.mean())
+    l1 = sure * np.sqrt(p * (1 - p) * share / len(rows))
+    first = Problem(owner, flat, y, len(used), float(np.log(p / (1 - p))), np.zeros((0, rank)), np.zeros(0, np.int64))
+    first.run(rounds if sure else 0, rate, l1, 0.0, 0.0)
+    live = np.flatnonzero(first.w) if sure else np.arange(len(used))
+    start = np.random.default_rng(seed).normal(0, 0.01, (len(live), rank))
+    owner, flat = kept(live, owner, flat)
+    last = Problem(owner, flat, y, len(live), first.w0, start, np.arange(len(live)))
+    last.w = first.w[live]
+    last.run(2 * rounds, rate, 0.0, 0.0, ridge)
+    return Model(last.w0, terms[used[live]], last.w, last.v)
+
+
+def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = 8000, **how) -> Model:
     """The model of labelled rows of docs(doc_id, text) with labels(doc_id, toxic), without the held-out fold."""
     rows = labels.where("toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    rows = rows.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = term_memo(bits)
         for b in batches:
-            found = [terms_of(x, memo).tobytes() for x in b.column("raw").to_pylist()]
+            found = [terms_of(x).tobytes() for x in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
     picked = texts.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "raw")
     got = picked.mapInArrow(run, "doc_id long, toxic int, terms binary").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.frombuffer(t, np.int32) for t in got["terms"]], (got["toxic"].to_numpy() > 0).astype(float), bits, **how)
+    return fit([np.frombuffer(t, np.int64) for t in got["terms"]], (got["toxic"].to_numpy() > 0).astype(float), **how)
 
 
 def scored(docs: DataFrame, model: Model, fold: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text)."""
-    used = np.flatnonzero((model.w != 0) | (model.v != 0).any(axis=1)).astype(np.int32)  # at most 2**bits: a fixed bound
-    bits, w0, w, v = model.bits, model.w0, model.w[used], model.v[used]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = Model(bits, w0, np.zeros(1 << bits), np.zeros((1 << bits, v.shape[1])))
-        full.w[used], full.v[used] = w, v
-        live = np.zeros((1 << bits) + 1, bool)
-        live[used] = True
-        memo = term_memo(bits)
+        read = model.reader()
         for b in batches:
-            rows = [terms_of(x, memo) for x in b.column("raw").to_pylist()]
-            score = sigmoid(full.raw([r[live[r]] for r in rows])) if rows else np.zeros(0)
+            rows = [model.terms[read(x)] for x in b.column("raw").to_pylist()]
+            score = sigmoid(model.raw(rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
