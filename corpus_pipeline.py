@@ -2,6 +2,9 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
+
+Documents whose doc_id is null are never dropped for what another document holds; rows with one doc_id share decisions.
+Null and empty texts fail the base rules of quality.  Empty tables stay empty.  Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates, on shingles of five words."""
     found = simhash.near_duplicates(docs, width=5)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
