@@ -8,7 +8,8 @@ second.  Each fingerprint goes to every anchor within 4 of each of its blocks (a
 one anchor are compared with each other.  Of an anchor's linked sets only a spanning star is kept, not all pairs.
 
 An anchor with more than `chunk` fingerprints is split into chunks and compared by pairs of chunks, so no task takes
-more than 2 * chunk of an anchor.  Rows without words have fingerprint 0, which links like any other.
+more than 2 * chunk of an anchor.  Rows without words have fingerprint 0, which links like any other.  Rows without a
+doc_id link to nothing; they get the component of their own fingerprint, null if no row with an id has it.
 """
 
 from __future__ import annotations
@@ -182,7 +183,7 @@ def links(reps: DataFrame, distance: int, chunk: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, chunk: int = 8192) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs(doc_id, text); component_id is the smallest doc_id reachable."""
     own = stored(fingerprints(docs, width), "fingerprints")
-    reps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
+    reps = stored(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
     parts = components(links(reps, distance, chunk))
     reps = reps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(reps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return own.join(reps, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
