@@ -37,4 +37,4 @@ def none(odd):
 
 @pytest.fixture(scope="session")
 def labels(spark):
-    return spark.createDataFrame([(1, 1, 0), (3, 1, 0), (4, 0, 1), (8, None, 1), (9, 1, None), (None, 1, 1), (10, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 1, 0), (4, 0, 1), (8, None, 0), (9, 1, None), (None, 1, 1), (10, 1, 0), (11, 1, 0), (12, 1, 0), (13, 1, 0), (14, 1, 0), (15, 1, 0), (16, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
