@@ -14,7 +14,8 @@ stretch of bytes.
 1. Anchors are counted over the corpus, and so are stretches.  Windows of an anchor that occurs once are unique;
    windows of a stretch that occurs twice are repeats.
 2. What is left are stretches at the ends of repeated passages, whose anchor also occurs in other stretches.  These
-   distinct stretches go to their anchor's bucket, which sorts their suffixes and takes the array `repeats`.
+   distinct stretches go to their anchor's bucket, which orders their suffixes and takes the array, cut off at `least`;
+   suffixes are ordered by the name of their first `least` bytes there, which puts equal ones together all the same.
 An anchor with more than `hot` different stretches doesn't meet in one bucket: its suffixes are dealt by a hash of their
 first `least` bytes instead, once per group of documents, which needs no more than a count.
 
@@ -87,20 +88,24 @@ def lpf(text: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def repeats(text: np.ndarray, least: int, starts: np.ndarray) -> np.ndarray:
-    """Per start, whether the `least` values there start at another of the starts too.
+def neighbours(names: np.ndarray) -> np.ndarray:
+    """Per suffix, given by the name of its first `least` values, whether its previous or next smaller place shares them.
 
-    Suffixes that share `least` values are neighbours in suffix order, and among them places grow; so the previous
-    smaller place of one is its left neighbour, and the previous larger place its right one.
+    Sorted by name, suffixes that share `least` values stand together, as in suffix order, and among them places grow; so
+    the previous smaller place of one is its left neighbour, and (for later matches) the next larger one its right.
     """
-    rank = suffix_order(text, least)[1][starts]
-    order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
-    out = np.zeros(len(starts), bool)
-    out[order] = np.r_[False, same] | np.r_[same, False]
+    order = np.argsort(names, kind="stable")
+    same = names[order][1:] == names[order][:-1]
+    out = np.zeros(len(names), bool)
+    out[order] = np.r_[False, same] | np.r_[same, False] if len(names) else same
     return out
 
 
+def repeats(text: np.ndarray, least: int, starts: np.ndarray) -> np.ndarray:
+    """Per start, whether the `least` values there start at another of the starts too: lpf() cut off at `least`, both ways."""
+    return neighbours(suffix_order(text, least)[1][starts])
+
+
 def packed_bytes(data: np.ndarray, step: int) -> np.ndarray:
     """Each place's 8 bytes as one number, in the order of the bytes."""
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -110,6 +115,20 @@ def packed_bytes(data: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
+def window_names(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """Names of the strings of each of these lengths (rising, at least 8) at each place, made by doubling; equal strings have equal names."""
+    name, n, out = mixed(packed_bytes(data, 8)), 8, []
+    for to in lengths:
+        while n < to:
+            step = min(n, to - n)
+            other = shifted(name, step)
+            name = name * A + (other ^ (other >> np.uint64(29))) * B
+            name ^= name >> np.uint64(32)
+            n += step
+        out.append(mixed(name))
+    return out
+
+
 class Anchors:
     """Anchors of one group's texts: where they are, their windows' range, and hashes of anchor and stretch."""
 
@@ -143,16 +162,7 @@ class Anchors:
         least = self.least
         data = np.frombuffer(b"".join(self.raws[at:to]), np.uint8)
         room = np.repeat(self.offsets[at:to] + self.sizes[at:to], self.sizes[at:to]) - self.offsets[at] - np.arange(len(data))
-        name, n = mixed(packed_bytes(data, 8)), 8
-        names = {}
-        while n < least:
-            if n == gram:
-                names[gram] = name
-            to_n = min(2 * n, gram) if n < gram else min(2 * n, least)
-            name, n = name * A + (shifted(name, to_n - n) ^ (shifted(name, to_n - n) >> np.uint64(29))) * B, to_n
-            name ^= name >> np.uint64(32)
-        whole = mixed(name)  # of `least` bytes
-        value = mixed(names[gram])
+        value, whole = window_names(data, (gram, least))
         low = (value >> np.uint64(32)).astype(np.uint32)
         # the first smallest of `span` values from each place on, by doubling
         span, n = least - gram + 1, 1
@@ -289,12 +299,11 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
                     total += int(sizes[order[to]])
                     to += 1
                 part = order[at:to].tolist()
-                # eight zero values between texts: a suffix of `least` bytes never runs over them
-                codes = np.concatenate([np.r_[np.frombuffer(texts[example[k]], np.uint8).astype(np.int64) + 1, 0] for k in part])
-                begin = np.cumsum(sizes[part] + 1) - (sizes[part] + 1)
+                codes = np.frombuffer(b"".join(texts[example[k]] for k in part), np.uint8)
+                begin = np.cumsum(sizes[part]) - sizes[part]
                 counts = sizes[part] - least + 1
                 starts = np.concatenate([b + np.arange(c) for b, c in zip(begin.tolist(), counts.tolist(), strict=True)])
-                hits = repeats(codes, least, starts)
+                hits = neighbours(window_names(codes, (least,))[0][starts])
                 for k, f in zip(part, np.split(hits, np.cumsum(counts)[:-1]), strict=True):
                     flags[k] = f
                 at = to
