@@ -54,7 +54,8 @@ class Words:
         while n < self.half:
             to = min(2 * n, self.half)
             name, n = mixed(name * A + shifted(name, to - n) * B), to
-        self.half_names = name
+        # asked for under another hash: those that stand for windows have small names, which would share a few buckets
+        self.half_names = mixed(name ^ A)
         self.names = mixed(name * A + shifted(name, window - n) * B)
         #: places where a window starts, and the half-window that stands for each
         self.starts = np.flatnonzero(room >= window)
