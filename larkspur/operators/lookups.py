@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.scoring import violation_score
 
 #: What a group has until it is set up.
@@ -40,12 +41,15 @@ def with_host_rules(messages: DataFrame, rules: DataFrame, key: str = "message_i
     return messages.join(hit, key, "left")
 
 
-def in_scope(examples: DataFrame, groups: DataFrame) -> DataFrame:
+def in_scope(examples: DataFrame, groups: DataFrame, most: int = fixed.EXAMPLES_SEEN) -> DataFrame:
     """(scope_group, example columns): examples of a group itself, and global ones for groups that take part.
 
-    Two equi-joins in place of one OR; an example that is both is in its group's scope once.
+    Two branches in place of one OR.  As only the `most` newest of a scope and label are looked at, global examples are cut
+    to that many a label before groups get them; an example that is both is in its group's scope once.
     """
     own = examples.where("group_id is not null").withColumn("scope_group", F.col("group_id"))
-    takers = groups.where("global_enabled").select(F.col("group_id").alias("scope_group"))
-    shared = examples.where("global_allowed").withColumn("one", F.lit(1)).join(takers.withColumn("one", F.lit(1)), "one").drop("one")
+    order = Window.partitionBy("label").orderBy(F.desc("created_at"), F.desc("example_id"))
+    shared = examples.where("global_allowed").withColumn("age_", F.row_number().over(order)).where(F.col("age_") <= most).drop("age_")
+    takers = groups.where("global_enabled").agg(F.collect_list("group_id").alias("takers"))
+    shared = shared.join(takers).withColumn("scope_group", F.explode("takers")).drop("takers")
     return own.unionByName(shared.where("group_id is null or group_id <> scope_group").select(own.columns))
