@@ -30,15 +30,25 @@ def with_violations(messages: DataFrame, violations: DataFrame) -> DataFrame:
     return messages.join(score, ["group_id", "user_id"], "left").withColumn("violation_score", F.coalesce("violation_score", F.lit(0.0)))
 
 
-def with_host_rules(messages: DataFrame, rules: DataFrame, key: str = "message_id") -> DataFrame:
+def with_host_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """blocked_hosts and allowed_hosts of each message, from rules(group_id, domain, status) of its group.
 
-    Only messages with hosts are exploded; hosts of one message meet again in an aggregate by its key.
+    A group's rules are one row, so messages take one join by group and stay where they are.
     """
+    of = lambda status: F.collect_set(F.when(F.col("status") == status, F.lower("domain"))).alias(f"{status}_")
+    joined = messages.join(rules.groupBy("group_id").agg(of("blocked"), of("allowed")), "group_id", "left")
+    none = F.array().cast("array<string>")
+    hit = lambda c: F.array_intersect("hosts", F.coalesce(F.col(c), none))
+    return joined.withColumns({"blocked_hosts": hit("blocked_"), "allowed_hosts": hit("allowed_")}).drop("blocked_", "allowed_")
+
+
+def with_many_host_rules(messages: DataFrame, rules: DataFrame, key: str = "message_id") -> DataFrame:
+    """The same for groups with more rules than a row should hold: hosts of messages are exploded and meet rules one by one."""
     hosts = messages.where(F.size("hosts") > 0).select(key, "group_id", F.explode("hosts").alias("host"))
     rules = rules.select("group_id", F.lower("domain").alias("host"), "status").distinct()
     hit = hosts.join(rules, ["group_id", "host"]).groupBy(key).agg(*(F.collect_set(F.when(F.col("status") == s, F.col("host"))).alias(f"{s}_hosts") for s in ("blocked", "allowed")))
-    return messages.join(hit, key, "left")
+    none = F.array().cast("array<string>")
+    return messages.join(hit, key, "left").withColumns({c: F.coalesce(F.col(c), none) for c in ("blocked_hosts", "allowed_hosts")})
 
 
 def in_scope(examples: DataFrame, groups: DataFrame, most: int = fixed.EXAMPLES_SEEN) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import features, fixed, parsing, scoring, text, titles
-from larkspur.operators import merging
+from larkspur.operators import lookups, merging
 from larkspur.plans import fixtures, moderation, support
 from larkspur.plans.queries import QUERIES
 from larkspur.sources import tables
@@ -184,6 +184,12 @@ def test_host_rules(spark, sf):
     assert {tuple(r["blocked_hosts"]) for r in df.select("blocked_hosts").distinct().collect()} == {("bad.example",)}
 
 
+def test_host_rules_both_ways(spark, sf):
+    df = features.with_text(fixtures.messages(spark, sf)).select("message_id", "group_id", "hosts")
+    tell = lambda f: sorted((r["message_id"], sorted(r["blocked_hosts"]), sorted(r["allowed_hosts"])) for r in f(df, fixtures.rules(spark)).collect())
+    assert tell(lookups.with_host_rules) == tell(lookups.with_many_host_rules)
+
+
 def test_no_python_in_the_flagship(spark, sf):
     plan = QUERIES["moderation_decisions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
