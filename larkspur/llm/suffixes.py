@@ -183,7 +183,8 @@ class Anchors:
         shape = ((place - first) << 16 | (last - first)).astype(np.uint64)
         stretch = mixed(mixed(whole[first] + shape * A) + whole[last] * B)
         base = self.offsets[at]
-        return place + base, first + base, last + base, value[place], stretch
+        # dealt by another hash: anchors have small ones, which would share a few buckets
+        return place + base, first + base, last + base, mixed(value[place] ^ A), stretch
 
     def stretch_bytes(self, k: int) -> bytes:
         """Bytes of the stretch of occurrence k."""
