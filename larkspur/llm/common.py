@@ -56,8 +56,8 @@ def in_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def groups_for(df: DataFrame) -> int:
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-in_bytes(df) // GROUP_BYTES))
+def groups_for(df: DataFrame, size: int = GROUP_BYTES) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-in_bytes(df) // size))
 
 
 def grouped(docs: DataFrame, n_groups: int, *extra) -> DataFrame:

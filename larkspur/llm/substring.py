@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, word_memo
+from .common import BUCKET_BYTES, GROUP_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, word_memo
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = np.iinfo(np.int64).max
@@ -116,7 +116,7 @@ def by_level(answers: pa.Table | None) -> dict:
 
 def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]) of docs(doc_id, text): kept words joined by one space."""
-    n_groups, n_buckets = groups_for(docs), max(16, -(-in_bytes(docs) // BUCKET_BYTES))
+    n_groups, n_buckets = groups_for(docs, GROUP_BYTES // 2), max(16, -(-in_bytes(docs) // BUCKET_BYTES))
     base = grouped(docs, n_groups)
 
     def asking(level: int):
