@@ -35,8 +35,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates, on shingles of five words."""
-    found = simhash.near_duplicates(docs, width=5)
+    """The document with the smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more, on shingles of five words."""
+    found = simhash.similar_documents(docs)
     return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
 
 

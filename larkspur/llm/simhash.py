@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import mixed, stored
 from .components import components
 
 BLOCKS = ((0, 23), (23, 23), (46, 18))
@@ -32,19 +32,22 @@ BLOCKS = ((0, 23), (23, 23), (46, 18))
 GOLAY = 0b101011100011
 
 
-def fingerprint(text: bytes, width: int) -> int:
+def hashes(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the shingles of a text; of all its words together where they are fewer than width."""
     words = text.lower().split()
-    if not words:
-        return 0
+    digest = xxhash.xxh64_intdigest
     if len(words) < width:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = [0, *ends[:-width].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+        return np.array([digest(b" ".join(words), 42)] if words else [], dtype="<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *ends[:-width].tolist()]
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    h = hashes(text, width)
+    if not len(h):
+        return 0
     count = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         count += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -112,6 +115,12 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each of a and each of b; a fingerprint is a number or a row of numbers."""
+    bits = np.bitwise_count(a[:, None] ^ b[None, :])
+    return bits if bits.ndim == 2 else bits.sum(axis=2, dtype=np.int16)
+
+
 def stars(fp: np.ndarray, distance: int) -> np.ndarray:
     """For each fingerprint the first of its linked set (transitively, among these)."""
     n = len(fp)
@@ -123,7 +132,7 @@ def stars(fp: np.ndarray, distance: int) -> np.ndarray:
         while len(edge) and len(rest):
             near = np.zeros(len(rest), bool)
             for at in range(0, len(edge), 64):
-                near |= (np.bitwise_count(fp[edge[at : at + 64], None] ^ fp[None, rest]) <= distance).any(axis=0)
+                near |= (apart(fp[edge[at : at + 64]], fp[rest]) <= distance).any(axis=0)
             edge, rest = rest[near], rest[~near]
             found.append(edge)
         all_ = np.concatenate(found)
@@ -139,7 +148,7 @@ def linked(fp: np.ndarray, distance: int) -> np.ndarray:
         return np.stack([np.flatnonzero(root != np.arange(len(fp))), root[root != np.arange(len(fp))]], axis=1)
     near = np.zeros(len(fp), bool)
     for at in range(0, len(fp), 256):
-        close = np.bitwise_count(fp[at : at + 256, None] ^ fp[None, :]) <= distance
+        close = apart(fp[at : at + 256], fp) <= distance
         near[at : at + 256] = close.sum(axis=1) > 1
     few = np.flatnonzero(near)
     root = few[stars(fp[few], distance)] if len(few) else few
@@ -151,17 +160,26 @@ def links(reps: DataFrame, distance: int, chunk: int) -> DataFrame:
     if distance > 4:
         raise ValueError("anchors cover distances up to 4")
 
+    def dealt(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        return *anchors(b.column("fp").to_numpy().view(np.uint64)), b.column("fp")
+
+    return compared(reps, dealt, "long", distance, chunk)
+
+
+def compared(reps: DataFrame, keys_of, kind: str, distance: int, chunk: int) -> DataFrame:
+    """links() under keys_of(batch): (row, anchor) and the fingerprints to compare, longs or strings of 64-bit numbers."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
-                fp, rep = part.column("fp").to_numpy(), part.column("rep").to_numpy()
-                row, key = anchors(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(rep[row])], ["key", "fp", "rep"])
+                row, key, fp = keys_of(part)
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp.take(pa.array(row)), part.column("rep").take(pa.array(row))], ["key", "fp", "rep"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "a", "b", "rep"], ignore_index=True)
-        fp, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
+        fp, rep = pdf["fp"].to_numpy(), pdf["rep"].to_numpy()
+        fp = fp.view(np.uint64) if kind == "long" else np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
         cell = pdf[["key", "a", "b"]].to_numpy()
         edges = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1), True])
         out = [np.zeros((0, 2), np.int64)]
@@ -170,7 +188,7 @@ def links(reps: DataFrame, distance: int, chunk: int) -> DataFrame:
                 out.append(rep[start + linked(fp[start:stop], distance)])
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["u", "v"])
 
-    dealt = reps.mapInArrow(deal, "key long, fp long, rep long")
+    dealt = reps.mapInArrow(deal, f"key long, fp {kind}, rep long")
     sizes = dealt.groupBy("key").count().where(F.col("count") > chunk).select(F.col("key").alias("hot"), F.ceil(F.col("count") / chunk).cast("int").alias("m"))
     cells = dealt.join(sizes, F.col("key") == F.col("hot"), "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
@@ -187,3 +205,119 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, chunk: i
     parts = components(links(reps, distance, chunk))
     reps = reps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reps, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Longs of a wide fingerprint, those of them that are compared, and how often its bits are dealt into blocks.
+WIDE, SEEN, ORDERS = 12, 2, 2
+#: Bits of SEEN apart up to which texts are candidates: four standard deviations more than texts of Jaccard 0.8 are on average.
+NEAR = 36
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """64 * WIDE bits of SimHash over distinct shingle hashes."""
+    one = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    count = np.zeros(64 * WIDE, np.int64)
+    for at in range(0, len(h), 255):
+        bits = np.unpackbits(mixed(h[at : at + 255, None] ^ one).view(np.uint8), axis=1, bitorder="little")
+        count += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * count > len(h), bitorder="little").tobytes()
+
+
+@cache
+def orders() -> np.ndarray:
+    """Which bits are in each block of 23."""
+    rng = np.random.default_rng(23)
+    n = 64 * WIDE // 23
+    return np.concatenate([rng.permutation(64 * WIDE)[: n * 23].reshape(n, 23) for _ in range(ORDERS)])
+
+
+def wide_anchors(fps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor): of each block the one codeword within 3 of it."""
+    bits = np.unpackbits(np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    start, _, patterns = golay_errors(3)
+    keys = []
+    for k, block in enumerate(orders()):
+        x = bits[:, block].astype(np.int64) @ (1 << np.arange(23))
+        keys.append(k << 23 | x ^ patterns[start[syndrome(x)]])
+    return np.tile(np.arange(len(fps)), len(keys)), np.concatenate(keys)
+
+
+def jaccard_roots(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
+    """For each set the first of those it is linked with, transitively, by a Jaccard similarity of at least least[0] / least[1]."""
+    size = np.array([len(s) for s in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, token = np.unique(flat, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holders, ends = owner[order], np.cumsum(np.bincount(token))
+    at = np.cumsum(size) - size
+
+    def similar(i: int) -> np.ndarray:
+        own = token[at[i] : at[i] + size[i]]
+        stop = ends[own]
+        n = stop - np.where(own > 0, ends[own - 1], 0)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(stop - n, n)
+        both = np.bincount(holders[place], minlength=len(sets))
+        return least[1] * both >= least[0] * (size + size[i] - both)
+
+    root = np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if root[first] >= 0:
+            continue
+        root[first], edge = first, np.array([first])
+        rest = np.flatnonzero(root < 0)
+        while len(edge) and len(rest):
+            inside = np.zeros(len(sets), bool)
+            if len(edge) <= len(rest):
+                for i in edge.tolist():
+                    inside |= similar(i)
+                new = rest[inside[rest]]
+            else:
+                new = np.array([i for i in rest.tolist() if similar(i)[edge].any()], np.int64)
+            root[new] = first
+            edge, rest = new, np.flatnonzero(root < 0)
+    return root
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), chunk: int = 8192) -> DataFrame:
+    """(doc_id, component_id) of every row of docs(doc_id, text) by exact Jaccard similarity of sets of shingles.
+
+    Texts are linked, transitively, if the similarity of their sets is at least least[0] / least[1]; equal sets are one.
+    Candidates come from anchors: SimHash here has 768 bits, dealt into 66 blocks of 23, each of which goes to the one
+    codeword within 3 of it.  Two texts of similarity 0.8 share the anchor of a block with probability 0.12, so they
+    miss each other in all blocks about once in 5,000 times.  What may be linked by candidates is then compared exactly,
+    set by set.  Rows without a doc_id link to nothing; they get the component of their own set, or null.
+    """
+
+    def named(raw: bytes) -> tuple[int, np.ndarray]:
+        found = np.unique(hashes(raw, width))
+        return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)), found
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(name, wide_fingerprint(found)) for name, found in map(named, b.column("raw").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "rep", "fp"])
+
+    def keys_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        fps = b.column("fp").to_pylist()
+        return *wide_anchors(fps), pa.array([f[: 8 * SEEN] for f in fps], pa.binary())
+
+    def confirm(texts: pa.Table) -> pa.Table:
+        sets: dict[int, np.ndarray] = {}
+        for name, raw in zip(texts.column("rep").to_pylist(), texts.column("raw").to_pylist(), strict=True):
+            if name not in sets and (x := named(raw))[0] == name:  # a row with the same doc_id may have another text
+                sets[name] = x[1]
+        names = sorted(sets)
+        root = jaccard_roots([sets[n] for n in names], least) if names else []
+        return pa.table({"rep": pa.array(names, pa.int64()), "root": pa.array([names[r] for r in root], pa.int64())})
+
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    own = stored(raw.mapInArrow(read, "doc_id long, rep long, fp binary"), "wide-fingerprints")
+    reps = stored(own.where("doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "wide-reps")
+    parts = components(compared(reps.select("rep", "fp"), keys_of, "binary", NEAR, chunk))
+    members = stored(reps.join(parts, F.col("rep") == F.col("node")).select("rep", "component", "id"), "candidates")
+    texts = members.join(raw, F.col("id") == F.col("doc_id")).select("rep", "component", "raw")
+    roots = stored(texts.groupBy("component").applyInArrow(confirm, "rep long, root long"), "confirmed")
+    least_id = roots.join(reps.select("rep", "id"), "rep").groupBy("root").agg(F.min("id").alias("component_id"))
+    confirmed = roots.join(least_id, "root").select("rep", "component_id")
+    found = reps.select("rep", "id").join(confirmed, "rep", "left").select("rep", F.coalesce("component_id", "id").alias("component_id"))
+    return own.join(found, "rep", "left").select("doc_id", "component_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -445,3 +446,59 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(31)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def brute_similar(texts_, width=5):
+    """The smallest id reachable by exact Jaccard similarities of 0.8 or more, and the pairs under 1."""
+    sets = {}
+    for d, t in texts_:
+        w = t.encode().lower().split()
+        sets[d] = frozenset(b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1)) if w)
+    first = {}
+    for d in sorted(sets):
+        first.setdefault(sets[d], d)
+    holders = collections.defaultdict(list)
+    for s, d in first.items():
+        for x in s:
+            holders[x].append(d)
+    both = collections.Counter(p for h in holders.values() for p in itertools.combinations(sorted(h), 2))
+    parent = {d: d for d in first.values()}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(a, b) for (a, b), n in both.items() if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        parent[y] = x
+    return {d: top(first[s]) for d, s in sets.items()}, pairs
+
+
+@pytest.mark.parametrize("chunk", [8192, 8])
+def test_similar_documents(spark, odd, none, chunk):
+    """Pairs around 0.8 that are many bits apart, a chain, and odd rows."""
+    random.seed(5)
+    rows_, n = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()], 100
+    for changed in [0, 1, 2, 3, 4, 5, 6, 7, 8] * 4:  # of 300 words: similarities of 1 to about 0.75
+        w = [f"w{random.randrange(10**6)}" for _ in range(300)]
+        for step in range(3):
+            rows_.append((n, " ".join(w)))
+            n += 1
+            for k in range(changed):
+                w[20 + 35 * k + step] = f"v{random.randrange(10**6)}"
+    expected, pairs = brute_similar([(d, t or "") for d, t in rows_])
+    bits = [bin(brute_fingerprint(dict(rows_)[a] or "", 5) ^ brute_fingerprint(dict(rows_)[b] or "", 5)).count("1") for a, b in pairs]
+    assert sum(b > 4 for b in bits) > 20
+    df = spark.createDataFrame([*rows_, (None, rows_[-1][1])], "doc_id long, text string")
+    got = simhash.similar_documents(df, chunk=chunk).collect()
+    assert len(got) == len(rows_) + 1
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == expected
+    assert simhash.similar_documents(none).count() == 0
+
+
+def test_similar_documents_of_corpus(spark, sf):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    expected, _ = brute_similar([(r["doc_id"], r["text"] or "") for r in docs.collect()])
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
