@@ -42,11 +42,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without words of passages that an earlier document has; texts that lose some are their kept words, joined by one space."""
-    kept = substring.deduplicated(docs.select("doc_id", "text"), with_text=True)
-    kept = kept.where("n_removed > 0").select(F.col("doc_id").alias("id"), "kept")
-    text = F.when(F.col("id").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    out = docs.join(kept, F.col("doc_id") == F.col("id"), "left").withColumn("text", text)
-    return out.withColumn("n_chars", F.when(F.col("id").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
+    carry = ("lang", "source", "n_chars", F.col("text").isNull().alias("no_text"))
+    out = substring.deduplicated(docs, with_text=True, carry=carry).withColumn("text", F.when(~F.col("no_text"), F.col("kept")))
+    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -114,8 +114,11 @@ def by_level(answers: pa.Table | None) -> dict:
     return out
 
 
-def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) of docs(doc_id, text): kept words joined by one space."""
+def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False, carry: tuple = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, kept], *carry) of docs(doc_id, text): kept words joined by one space.
+
+    carry: columns that each row of docs takes along.
+    """
     n_groups, n_buckets = groups_for(docs, GROUP_BYTES // 2), max(16, -(-in_bytes(docs) // BUCKET_BYTES))
     base = grouped(docs, n_groups)
 
@@ -169,7 +172,9 @@ def deduplicated(docs: DataFrame, window: int = 13, with_text: bool = False) ->
             kept = b" ".join(tokens)
             text = [(kept if n_gone else raw).decode("utf-8", "replace")] * with_text
             rows.append((doc, n, n_gone, hashlib.sha256(kept).hexdigest(), *text))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+        found = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)]
+        return pa.Table.from_arrays(found + [texts.column(c) for c in carried.names], names + carried.names)
 
-    out = ddl(pa.schema(list(zip(names, kinds, strict=True))))
-    return base.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, out)
+    carried = docs.select(*carry).schema
+    out = ", ".join([ddl(pa.schema(list(zip(names, kinds, strict=True)))), *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
+    return grouped(docs, n_groups, *carry).groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, out)

@@ -73,3 +73,12 @@ def test_rejected_documents_go(spark, folder, monkeypatch):
     monkeypatch.setattr(corpus_pipeline.toxicity, "learnt", lambda d, lab: None)
     left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
     assert left == {r["doc_id"] for r in docs.collect()} - {3, 9}
+
+
+def test_repeated_passages_by_row(spark, folder):
+    """Rows with one doc_id keep their own texts, whether one of them or both lose words."""
+    a, b, own = (" ".join(f"{x}{i}" for i in range(20)) for x in "abo")
+    rows = [(1, a, "en", "x", 1), (2, a + " y", "en", "x", 2), (2, a + " z", "de", "y", 3), (3, a + " q", "en", "x", 4), (3, own, "fr", "z", 5), (4, None, None, "x", None), (None, b, "en", None, 6), (None, b, "en", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((tuple(r) for r in corpus_pipeline.drop_repeated_passages(spark, docs, folder).collect()), key=repr)
+    assert got == sorted([(1, a, "en", "x", 1), (2, "y", "en", "x", 1), (2, "z", "de", "y", 1), (3, "q", "en", "x", 1), (3, own, "fr", "z", 5), (4, None, None, "x", None), (None, b, "en", None, 6), (None, b, "en", None, 7)], key=repr)
