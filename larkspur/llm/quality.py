@@ -8,7 +8,8 @@ under the last estimate passes the chi-square value of `level`.
 
 Estimates are taken over distinct vectors, so that a document copied many times counts once; on each variance stands
 a floor (`FLOORS`, squared), as most documents have no symbols or repeated lines at all.  Groups of fewer than `min_rows`
-distinct vectors are judged by the estimate over all of them together.  A null language or source is a group value of
+distinct vectors are judged by the estimate of their language over all sources, and if that has fewer too, by the one
+over all of them together.  Every row is judged by itself, rows that share a doc_id or have none as well.  A null language or source is a group value of
 its own; a null or empty text has no words and fails the base rules.  Ties of distance are on the same side.  An empty
 table gives no rows.
 """
@@ -54,18 +55,18 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, 0).otherwise(let(let(words, windows), count))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+def statistics(docs: DataFrame, *carry: str) -> DataFrame:
+    """(doc_id, lang, source, *carry, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     trimmed = F.trim(text, F.lit(" \t\n\x0b\f\r"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("t"), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+")).alias("w"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), *carry, text.alias("t"), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+")).alias("w"))
 
     def dup_lines(lines: Column) -> Column:
         return F.size(lines) - F.size(F.array_distinct(lines))
 
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
     rows = rows.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *carry,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -135,21 +136,26 @@ def estimates(vectors: DataFrame, core: float, steps: int) -> DataFrame:
     return now
 
 
-def judged(docs: DataFrame, core: float = 0.75, steps: int = 4, level: float = 1 - 1e-9, min_rows: int = 40) -> DataFrame:
+def judged(docs: DataFrame, *carry: str, core: float = 0.75, steps: int = 4, level: float = 1 - 1e-9, min_rows: int = 40) -> DataFrame:
     """statistics() of docs(doc_id, text, lang, source) with `distance` (null where base rules decide) and `kept`."""
-    rows = stored(statistics(docs), "quality-rows")
+    rows = stored(statistics(docs, *carry), "quality-rows")
     rate = lambda c: F.log1p(100.0 * F.col(c) / F.col("n_words"))
     values = [F.log(F.col("word_chars") / F.col("n_words")), rate("n_symbols"), rate("n_dup_lines"), rate("n_repeat_words")]
-    # lengths and letters apart, so that no two pairs of values share a name
+    # lengths and letters apart, so that no two pairs of values share a name; that of a language ends in no source
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    name = F.concat(F.length(part("lang")).cast("string"), part("lang"), part("source"))
-    fit = rows.where(~F.col("base_failed")).select("doc_id", name.alias("own"), *(v.alias(x) for v, x in zip(values, X, strict=True)))
-    distinct = fit.select("own", *X).distinct()
-    big = distinct.groupBy("own").count().where(F.col("count") >= min_rows).select("own", F.col("own").alias("k"))
-    vectors = stored(distinct.join(big, "own").select("k", *X).unionByName(distinct.select(F.lit("").alias("k"), *X)), "quality-vectors")
-    found = estimates(vectors, core, steps)
-    fit = fit.join(big, "own", "left").withColumn("k", F.coalesce("k", F.lit("")))
-    distances = fit.join(found, "k").select("doc_id", distance().alias("distance"))
-    distances = distances.groupBy("doc_id").agg(F.max("distance").alias("distance"))
-    out = rows.join(distances, "doc_id", "left")
+    tongue = F.concat(F.length(part("lang")).cast("string"), part("lang"))
+    with_x = rows.withColumns({"own": F.concat(tongue, part("source")), "tongue": tongue} | {x: F.when(~F.col("base_failed"), v) for v, x in zip(values, X, strict=True)})
+    distinct = with_x.where(~F.col("base_failed")).select("own", "tongue", *X).distinct()
+    sizes = distinct.groupBy("own", "tongue").count()
+    of_tongue = distinct.select("tongue", *X).distinct()
+    wanting = sizes.where(F.col("count") < min_rows).select("tongue").distinct()
+    big_tongues = of_tongue.join(wanting, "tongue", "left_semi").groupBy("tongue").count().where(F.col("count") >= min_rows).select("tongue")
+    big_tongues = stored(big_tongues, "quality-languages")
+    wider = sizes.where(F.col("count") < min_rows).join(big_tongues.select("tongue", F.col("tongue").alias("wide")), "tongue", "left")
+    judge = sizes.where(F.col("count") >= min_rows).select("own", F.col("own").alias("k")).unionByName(wider.select("own", F.coalesce("wide", F.lit("")).alias("k")))
+    judge = stored(judge, "quality-groups")
+    vectors = distinct.join(judge.where("k = own"), "own", "left_semi").select(F.col("own").alias("k"), *X)
+    vectors = vectors.unionByName(of_tongue.join(big_tongues, "tongue", "left_semi").select(F.col("tongue").alias("k"), *X)).unionByName(distinct.select(F.lit("").alias("k"), *X))
+    found = estimates(stored(vectors, "quality-vectors"), core, steps)
+    out = with_x.join(judge, "own", "left").join(found, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), distance())).select(*rows.columns, "distance")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_value(level, P), F.lit(True)))

@@ -502,3 +502,13 @@ def test_similar_documents_of_corpus(spark, sf):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     expected, _ = brute_similar([(r["doc_id"], r["text"] or "") for r in docs.collect()])
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == expected
+
+
+def test_quality_of_small_groups(spark):
+    """A small group is held against its language before the whole table."""
+    random.seed(6)
+    prose = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randint(n, n + 4))) for _ in range(random.randint(80, 160)))
+    data = [(i, prose(3), "en", "s") for i in range(500)] + [(1000 + i, prose(14), "de", "s") for i in range(60)]
+    data += [(2000 + i, prose(14), "de", "t") for i in range(10)] + [(3000, prose(3), "de", "t"), (4000, prose(14), "fr", "s")]
+    out = quality.judged(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
+    assert {r["doc_id"] for r in out.where("not kept").collect()} == {3000, 4000}
