@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import corpus_pipeline
 import pytest
@@ -82,3 +83,19 @@ def test_repeated_passages_by_row(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((tuple(r) for r in corpus_pipeline.drop_repeated_passages(spark, docs, folder).collect()), key=repr)
     assert got == sorted([(1, a, "en", "x", 1), (2, "y", "en", "x", 1), (2, "z", "de", "y", 1), (3, "q", "en", "x", 1), (3, own, "fr", "z", 5), (4, None, None, "x", None), (None, b, "en", None, 6), (None, b, "en", None, 7)], key=repr)
+
+
+def test_rows_without_id_are_judged(spark, folder, monkeypatch):
+    """A row without a doc_id goes for its own verdict, and only for that."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    random.seed(8)
+    words = lambda n: " ".join("".join(random.choice("abcdefghij") for _ in range(random.randint(n, n + 4))) for _ in range(random.randint(80, 160)))
+    good = [(i, words(3), "en", "s", 1) for i in range(60)]
+    alone = [(None, words(3), "en", "s", 1), (None, words(60), "en", "s", 2), (None, "too short", "en", "s", 3), (None, None, "en", "s", 4)]
+    docs = spark.createDataFrame(good + alone, schema)
+    left = corpus_pipeline.drop_low_quality(spark, docs, folder).where("doc_id is null").collect()
+    assert [r["n_chars"] for r in left] == [1]
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda d, m: d.select("doc_id", F.coalesce(F.col("text").contains("short"), F.lit(False)).cast("int").alias("predicted")))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "learnt", lambda d, lab: None)
+    out = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert sorted(r["n_chars"] for r in out.where("doc_id is null").collect()) == [1, 2, 4] and out.count() == 63
