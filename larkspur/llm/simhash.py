@@ -313,7 +313,9 @@ def similar_documents(docs: DataFrame, width: int = 5, least: tuple[int, int] =
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     own = stored(raw.mapInArrow(read, "doc_id long, rep long, fp binary"), "wide-fingerprints")
     reps = stored(own.where("doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "wide-reps")
-    parts = components(compared(reps.select("rep", "fp"), keys_of, "binary", NEAR, chunk))
+    # a text has up to one root an anchor: all but the smallest are linked with that instead, so a large group is about one edge a text
+    stars_ = compared(reps.select("rep", "fp"), keys_of, "binary", NEAR, chunk).groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("m", F.array_min("vs"))
+    parts = components(stored(stars_, "stars").select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), F.col("m").alias("v")))
     members = stored(reps.join(parts, F.col("rep") == F.col("node")).select("rep", "component", "id"), "candidates")
     texts = members.join(raw, F.col("id") == F.col("doc_id")).select("rep", "component", "raw")
     roots = stored(texts.groupBy("component").applyInArrow(confirm, "rep long, root long"), "confirmed")
