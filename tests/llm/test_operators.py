@@ -512,3 +512,12 @@ def test_quality_of_small_groups(spark):
     data += [(2000 + i, prose(14), "de", "t") for i in range(10)] + [(3000, prose(3), "de", "t"), (4000, prose(14), "fr", "s")]
     out = quality.judged(spark.createDataFrame(data, "doc_id long, text string, lang string, source string"))
     assert {r["doc_id"] for r in out.where("not kept").collect()} == {3000, 4000}
+
+
+def test_search_of_repeated_rows(spark):
+    """A query row that is there twice has two whole rankings."""
+    data = [(16, "a b c d"), (16, "a b c d")] + [(i, " ".join("abcd"[: 1 + i % 4]) + f" x{i}") for i in range(17, 27)]
+    got = search.top_k(spark.createDataFrame(data, "doc_id long, text string"), every=16, k=5).collect()
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert sorted((r["rank"], r["doc_id"]) for r in got)[:4] == [(1, 16), (1, 16), (2, 16), (2, 16)]
+    assert len({r["doc_id"] for r in got}) == 4
