@@ -17,11 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of input files that make one group of documents, and of keys that make one bucket.
-GROUP_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+#: Bytes of text that make one group of documents, and for which there is one bucket of keys.
+GROUP_BYTES = 12 << 20
+BUCKET_BYTES = 12 << 20
+#: Rows up to which a table of short rows (a key and some numbers) is broadcast.
+SMALL_ROWS = 200_000
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (local runs and tests)."""
+    """The folder in spark.checkpoint.dir.  Where that is unset: a temporary folder for a local master, else an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="larkspur-")
@@ -44,26 +50,51 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Removes what stored() wrote for this application; DataFrames that read it can't be used any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        there = hadoop(path)
+        there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+    return len(paths)
+
+
 def in_bytes(df: DataFrame) -> int:
-    """About how many bytes of files df reads; texts are counted where the plan doesn't know."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < 1 << 50:
-        return known
+    """Bytes of all texts of df, which sizes of groups follow, however well files are compressed."""
     return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def groups_for(df: DataFrame, size: int = GROUP_BYTES) -> int:
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-in_bytes(df) // size))
+def groups_for(df: DataFrame, n_bytes: int, size: int = GROUP_BYTES) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // size))
+
+
+def looked_up(rows: DataFrame, few: DataFrame, key: str | list[str], n_few: int | None = None, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows joined with few by key, n_few rows (counted if not given): by broadcast if these are few, else salted, so that a key of most rows is dealt."""
+    if (few.count() if n_few is None else n_few) <= SMALL_ROWS:
+        return rows.join(F.broadcast(few), key, how)
+    spread = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    keys = [key] if isinstance(key, str) else key
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(salts)).cast("int")
+    return rows.withColumn("salt_", salt).join(spread, [*keys, "salt_"], how).drop("salt_")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows whose key isn't in ids(key): by broadcast if ids are counted as few, else by a shuffle."""
+    few = ids.count() <= 5 * SMALL_ROWS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_anti")
 
 
 def grouped(docs: DataFrame, n_groups: int, *extra) -> DataFrame:
     """(g, doc_id, raw, ...): whole texts as UTF-8 bytes (null: empty), dealt into n_groups by a hash of doc_id.
 
-    doc_id is taken to be unique; two rows with one id land in one group and are treated as two documents.
+    doc_id is taken to be unique; two rows with one id land in one group and are treated as two documents.  A text isn't
+    split: a group holds at least its longest text whole, and the task that reads it about fifteen times its bytes.
     """
     return docs.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int").alias("g"),
@@ -84,15 +115,17 @@ def spans_of(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 class Memo(dict):
-    """Results by key, emptied when it holds `most`; make(key) fills a gap."""
+    """Results by key (a string), emptied when it holds `most` keys or `most_bytes` of them; make(key) fills a gap."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 400_000, most_bytes: int = 16 << 20):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.most_bytes, self.held = make, most, most_bytes, 0
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        self.held += len(key)
+        if len(self) >= self.most or self.held > self.most_bytes:
             self.clear()
+            self.held = len(key)
         value = self[key] = self.make(key)
         return value
 

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(u, v): component is the smallest node reachable.
 
-    A hub is one row in the aggregate of each task and is split by adaptive skew joins, so it never meets in one place.
+    Rounds go on until one changes nothing, about the logarithm of the longest path.  A hub is one row in the aggregate
+    of each task; its edges meet its minimum in joins that adaptive execution broadcasts or splits.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    before, after = None, mark(now)
+    while after[0] and after != before:
+        before = after
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -27,7 +27,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = stored(small, "edges")
         after = mark(now)
-        if after == before:
-            break
-        before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
