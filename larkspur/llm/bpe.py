@@ -74,15 +74,15 @@ class BpeCodec:
         if n == 1:
             return array("I", symbol).tobytes()
         rank_of, merges_to, push, pop = self.rank.get, self.merges_to, heapq.heappush, heapq.heappop
-        heap = []  # rank << 24 | place
+        heap = []  # rank << 40 | place: a text has fewer than 2**31 bytes
         for i in range(n - 1):
             if (rank := rank_of(symbol[i] << 20 | symbol[i + 1])) is not None:
-                heap.append(rank << 24 | i)
+                heap.append(rank << 40 | i)
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             entry = pop(heap)
-            i, rank = entry & 0xFFFFFF, entry >> 24
+            i, rank = entry & 0xFFFFFFFFFF, entry >> 40
             if (left := symbol[i]) < 0 or (j := after[i]) == n or rank_of(left << 20 | symbol[j]) != rank:
                 continue  # stale: one of the two has merged with another
             symbol[i] = new = merges_to[rank]
@@ -91,9 +91,9 @@ class BpeCodec:
             if k < n:
                 before[k] = i
                 if (rank := rank_of(new << 20 | symbol[k])) is not None:
-                    push(heap, rank << 24 | i)
+                    push(heap, rank << 40 | i)
             if (h := before[i]) >= 0 and (rank := rank_of(symbol[h] << 20 | new)) is not None:
-                push(heap, rank << 24 | h)
+                push(heap, rank << 40 | h)
         return array("I", [s for s in symbol if s >= 0]).tobytes()
 
     def piece(self, piece: str) -> bytes:
@@ -116,11 +116,11 @@ class BpeCodec:
         if self.spaced:
             return self.piece(text)
         first, *rest = text.split(" ")
-        try:
-            return b"".join([self.of_first[first], *map(self.of_inner.__getitem__, rest)])
-        except TypeError:  # runs of white space
+        ids = [self.of_first[first], *map(self.of_inner.__getitem__, rest)]
+        if None in ids:  # runs of white space
             first, *rest = CUT.split(text)
             return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
+        return b"".join(ids)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
