@@ -2,13 +2,17 @@
 
 1. Documents become ids plus an end id; only those longer than a sequence are cut, the first piece taking the rest.
 2. Pieces are dealt by a hash into parts of bounded size and packed best-fit-decreasing in each part.
-3. Rounds: every `fan` parts merge.  Of its bins a part passes on, as items, the one that may be at most half full (two
-   such bins would have been one) and the `carry` bins with most room; all others are finished.  The merged part packs
-   these items best-fit again.  Bins more than half full can only take bins at most half full, of which a merged part
-   has at most `fan`, so a bin that isn't passed on could hardly have gained.  No piece is ever dropped.
+3. Rounds: every `fan` parts merge.  In each round a part passes on, as items, the `carry` + 1 of its bins with most
+   room; all others, full and nearly full ones first of all, are finished.  The merged part packs these items best-fit
+   again.  No piece is ever dropped.
 
-Null and empty texts are one piece of one end id; equal lengths are taken in the order of doc_id and piece; repeated
-rows are packed each; an empty table gives no rows.
+The bound `carry` loses no merge.  Two bins at most half full would have been one, so a part has at most one of them.
+A bin that joins another is one of the two at most half full, so a merged part has at most `fan` bins that can join
+others, and they can use at most `fan` others.  If bins can be found for them at all, they can be found among the `fan`
+with most room, and each part passes on at least that many.
+
+Null and empty texts are one piece of one end id; equal lengths are taken in the order of doc_id and piece, rows without
+doc_id last; repeated rows are packed each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 from .bpe import PATTERN, BpeCodec
 from .common import in_bytes, stored
 
-#: Bytes of input files whose pieces one task packs.
-PART_BYTES = 32 << 20
+#: Bytes of text whose pieces one task packs.
+PART_BYTES = 48 << 20
 #: Characters that every version of Unicode classes alike; other texts go to the tokenizers library itself.
 PLAIN = regex.compile(r"[\n\r\t -~À-ɏ]*")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -104,39 +107,53 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, li
 
 def packed(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, fan: int = 8, carry: int = 64, with_ids: bool = False) -> DataFrame:
     """Pieces of docs with the sequence each is in (`sequence_id`, any numbers) and its place there (`offset`)."""
+    if carry < fan:
+        raise ValueError("carry must be at least fan")
     n_parts = max(1, -(-in_bytes(docs) // PART_BYTES))
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        bins, pdf["offset"], held = best_fit(pdf["length"].to_numpy(), size)
-        pdf["bin"] = (np.int64(pdf["part"].iloc[0]) << 32) + bins
-        pdf["held"] = np.array(held, np.int64)[bins]
-        return pdf.drop(columns="part")
-
-    schema = PIECES + (", ids binary" if with_ids else "") + ", offset long, bin long, held long"
+    def going(held: np.ndarray) -> np.ndarray:
+        """Which bins of a part are passed on: of those with room, the carry + 1 with most."""
+        out = np.zeros(len(held), bool)
+        out[np.argsort(held, kind="stable")[: carry + 1]] = True
+        return out & (held < size)
+
+    def local(pieces_: pa.Table) -> pa.Table:
+        part, doc = pieces_.column("part")[0].as_py(), pieces_.column("doc_id").combine_chunks()
+        length = pieces_.column("length").to_numpy()
+        order = np.lexsort((pieces_.column("piece").to_numpy(), doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), -length))
+        bins, offsets, held = best_fit(length[order], size)
+        held = np.array(held, np.int64)
+        out = pieces_.drop_columns("part").take(pa.array(order))
+        for name, values in (("offset", offsets), ("bin", (part << 32) + bins), ("held", held[bins]), ("goes", going(held)[bins])):
+            out = out.append_column(name, pa.array(values))
+        return out
+
+    def merge(items: pa.Table) -> pa.Table:
+        child, held = items.column("bin").to_numpy(), items.column("held").to_numpy()
+        order = np.lexsort((child, -held))
+        child, held = child[order], held[order]
+        bins, shift, now = best_fit(held, size)
+        now = np.array(now, np.int64)
+        first = child[np.unique(bins, return_index=True)[1]]  # a bin is named after its first item
+        return pa.table({"child": child, "bin": first[bins], "shift": shift, "held": now[bins], "goes": going(now)[bins]})
+
+    schema = PIECES + (", ids binary" if with_ids else "") + ", offset long, bin long, held long, goes boolean"
     dealt = pieces(docs, path, size, end_id, with_ids).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
-    placed = stored(dealt.groupBy("part").applyInPandas(local, schema), "packing")
-
-    def passed_on(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("bin").sort_values(["held", "bin"], ignore_index=True)
-        return pdf[(pdf["held"] < size)].head(carry + 1)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["held", "bin"], ascending=[False, True], ignore_index=True)
-        bins, pdf["shift"], held = best_fit(pdf["held"].to_numpy(), size)
-        first = pdf.groupby(bins)["bin"].first().to_numpy()
-        pdf["child"], pdf["bin"], pdf["held"] = pdf["bin"], first[bins], np.array(held, np.int64)[bins]
-        return pdf[["part", "child", "bin", "shift", "held"]]
-
-    part = F.shiftright("bin", 32)
-    items = placed.select("bin", "held").distinct().select(part.alias("part"), "bin", "held")
-    moved = items.groupBy("part").applyInPandas(passed_on, "part long, bin long, held long").select("part", F.col("bin").alias("child"), "bin", F.lit(0).cast("long").alias("shift"), "held")
-    while n_parts > 1:
-        n_parts = -(-n_parts // fan)
-        now = moved.select((F.floor(F.col("part") / fan)).cast("long").alias("part"), "bin", "held").distinct()
-        step = now.groupBy("part").applyInPandas(merge, "part long, child long, bin long, shift long, held long")
-        step = step.select(F.col("part").alias("to_part"), F.col("child").alias("at"), F.col("bin").alias("to_bin"), F.col("shift").alias("by"), F.col("held").alias("to_held"))
-        moved = stored(moved.join(step, F.col("bin") == F.col("at")).select(F.col("to_part").alias("part"), "child", F.col("to_bin").alias("bin"), (F.col("shift") + F.col("by")).alias("shift"), F.col("to_held").alias("held")), "packing-round")
-    moves = moved.where("child <> bin or shift <> 0").select(F.col("child").alias("at"), F.col("bin").alias("to_bin"), "shift")
+    placed = stored(dealt.groupBy("part").applyInArrow(local, schema), "packing")
+    now, together, moves = placed.where("offset = 0 and goes").select("bin", "held"), 1, None
+    while together < n_parts:
+        together *= fan
+        part = F.floor(F.shiftright("bin", 32) / together).cast("long")
+        step = stored(now.groupBy(part.alias("part")).applyInArrow(merge, "child long, bin long, shift long, held long, goes boolean"), "packing-round")
+        now = step.where("child = bin and goes").select("bin", "held")
+        new = step.where("child <> bin").select("child", "bin", "shift")
+        if moves is not None:  # bins that moved before move on with the bin they are in
+            on = new.select(F.col("child").alias("at"), F.col("bin").alias("to_bin"), F.col("shift").alias("by"))
+            new = moves.join(on, F.col("bin") == F.col("at"), "left").select("child", F.coalesce("to_bin", "bin").alias("bin"), (F.col("shift") + F.coalesce("by", F.lit(0))).alias("shift")).unionByName(new)
+        moves = stored(new, "packing-moves")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    if moves is None:
+        return placed.select(*columns, F.col("bin").alias("sequence_id"), "offset")
+    moves = moves.select(F.col("child").alias("at"), F.col("bin").alias("to_bin"), "shift")
     out = placed.join(moves, F.col("bin") == F.col("at"), "left")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else []), F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return out.select(*columns, F.coalesce("to_bin", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
