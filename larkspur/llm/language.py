@@ -5,9 +5,10 @@ affixes), and the word itself as a lexicon entry, hashed into 2**bits weights a
 the languages of neighbouring words are learnt too.  Forward-backward gives each word the probability of each language;
 a text's language is the one with the largest sum over its words with letters, its score the mean probability there.
 
-Fitting takes, of each language, at most `sample` rows of at most `longest` bytes, those with the smallest hash of
-doc_id (documented bounds).  As whole texts are labelled, not words, training sequences are cut from texts of several
-languages at random places, so that transitions see switches; the switch rate is a parameter of that cutting.
+Fitting takes, of each language, at most `sample` rows, those with the smallest hash of doc_id; of texts over `longest`
+bytes, 16 runs of words from places that follow from that hash, together about that long (documented bounds).  As whole
+texts are labelled, not words, training sequences are cut from texts of several languages at random places, so that
+transitions see switches; the switch rate is a parameter of that cutting.
 
 Sequences are computed in chunks: products of transfer matrices of all chunks at once, then along the chunks of each
 text, then inside all chunks; the result is that of the plain recursion, for whole texts of any length.
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import looked_up, mixed
 from .toxicity import OUTER
 
 GRAMS = 4
@@ -206,14 +207,40 @@ def pair_marginals(e: np.ndarray, a: np.ndarray) -> np.ndarray:
     return total
 
 
+def runs(raw: bytes, longest: int, seed: int, parts: int = 16) -> list[bytes]:
+    """A text whole, or, over `longest` bytes, runs of its words from `parts` places."""
+    if len(raw) <= longest:
+        return [raw]
+    size, span = longest // parts, len(raw) // parts
+    out = []
+    for i in range(parts):
+        at = i * span + xxhash.xxh64_intdigest(b"%d" % i, seed & (1 << 64) - 1) % (span - size + 1)
+        words = raw[at : at + size].split()
+        out.append(b" ".join(words[1:-1] or words))  # words at its ends may be cut
+    return out
+
+
 def learnt(docs: DataFrame, fold: int = 3, held: int = 1, sample: int = 400, longest: int = 16_384, **how) -> Field:
-    """A field from docs(doc_id, text, lang), without the held-out fold."""
+    """A field from docs(doc_id, text, lang), without the held-out fold.
+
+    Rows to learn from are first thinned to about twice `sample` a language, by a limit on the hash that follows from
+    counts, so that the ranking takes few rows of any language.
+    """
     rows = docs.where("lang is not null and text is not null").where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
-    rows = rows.where(F.octet_length("text") <= longest)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample).select(F.col("doc_id").alias("id"), F.col("lang").alias("of"))
-    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("of"))).select("doc_id", F.col("text").cast("binary").alias("raw"), "lang").toPandas()
-    got = got.sort_values(["doc_id", "lang"], kind="stable")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("raw"), F.col("lang").cast("string").alias("lang"))
+    share = (F.lit(2.0 * sample + 200) / F.count("*")).alias("share")
+    few = rows.groupBy("lang").agg(share)
+    near = looked_up(rows, few, "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share")).select("doc_id", "h", "raw", "lang")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [runs(raw, longest, h) for raw, h in zip(b.column("raw").to_pylist(), b.column("h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(found, pa.list_(pa.binary())), b.column("lang")], ["doc_id", "h", "raws", "lang"])
+
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("raws")))
+    chosen = near.mapInArrow(cut, "doc_id long, h long, raws array<binary>, lang string").withColumn("rank", rank).where(F.col("rank") <= sample)
+    got = chosen.select("doc_id", "lang", F.explode("raws").alias("raw")).toPandas()
+    got = got.sort_values(["doc_id", "lang", "raw"], kind="stable")
     return fit(list(map(bytes, got["raw"])), got["lang"].tolist(), **how)
 
 
