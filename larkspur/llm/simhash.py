@@ -7,8 +7,9 @@ covering radius 3 of one, so if two values are 1 bit apart, an anchor within 3 o
 second.  Each fingerprint goes to every anchor within 4 of each of its blocks (about 16 in all), and fingerprints of
 one anchor are compared with each other.  Of an anchor's linked sets only a spanning star is kept, not all pairs.
 
-An anchor with more than `chunk` fingerprints is split into chunks and compared by pairs of chunks, so no task takes
-more than 2 * chunk of an anchor.  Rows without words have fingerprint 0, which links like any other.  Rows without a
+From `PAIRED` distinct fingerprints on, pairs of codewords of two blocks are anchors (`paired_anchors`), as with 3 * 4096
+anchors work would grow with the square.  An anchor with more than `chunk` fingerprints is split into chunks and compared
+by pairs of chunks, so no task takes more than 2 * chunk of an anchor.  Rows without words have fingerprint 0, which links like any other.  Rows without a
 doc_id link to nothing; they get the component of their own fingerprint, null if no row with an id has it.
 """
 
@@ -30,6 +31,8 @@ from .components import components
 BLOCKS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code.
 GOLAY = 0b101011100011
+#: Distinct fingerprints from which anchors are pairs of codewords.
+PAIRED = 1 << 22
 
 
 def hashes(text: bytes, width: int) -> np.ndarray:
@@ -115,6 +118,37 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def paired_anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, anchor) in the product of the codes of two blocks, for each pair of blocks; an anchor is pair << 46 | codeword << 23 | codeword.
+
+    Of two fingerprints at most 4 bits apart some pair of blocks differs in at most 2 bits (the three pairs have each bit
+    twice, 8 together).  With a and b bits in its blocks, the nearest codewords of the one fingerprint, both within 3, are
+    within 3 + a and 3 + b of the other; so it goes to all pairs of codewords with max(0, r - 3) + max(0, s - 3) <= 2.
+    """
+    start, count, patterns = golay_errors(5)
+    blocks = []
+    for at, width in BLOCKS:
+        x = (fp >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
+        s = syndrome(x)
+        n = count[s]
+        row = np.repeat(np.arange(len(fp)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[s], n)
+        more = np.maximum(np.bitwise_count(patterns[place]).astype(np.int64) - 3, 0)
+        blocks.append((n, np.cumsum(n) - n, x[row] ^ patterns[place], more))
+    rows, keys = [], []
+    for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+        (n_i, _, words_i, more_i), (n_j, first_j, words_j, more_j) = blocks[i], blocks[j]
+        row = np.repeat(np.arange(len(fp)), n_i)
+        n = n_j[row]
+        left = np.repeat(np.arange(len(row)), n)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first_j[row], n)
+        near = more_i[left] + more_j[right] <= 2
+        left, right = left[near], right[near]
+        rows.append(row[left])
+        keys.append(k << 46 | words_i[left] << 23 | words_j[right])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Differing bits of each of a and each of b; a fingerprint is a number or a row of numbers."""
     bits = np.bitwise_count(a[:, None] ^ b[None, :])
@@ -155,13 +189,18 @@ def linked(fp: np.ndarray, distance: int) -> np.ndarray:
     return np.stack([few[root != few], root[root != few]], axis=1)
 
 
-def links(reps: DataFrame, distance: int, chunk: int) -> DataFrame:
-    """(u, v): a spanning star of each anchor's linked sets of reps(fp, rep); u and v are values of rep."""
+def links(reps: DataFrame, distance: int, chunk: int, paired: int = PAIRED) -> DataFrame:
+    """(u, v): a spanning star of each anchor's linked sets of reps(fp, rep); u and v are values of rep.
+
+    From `paired` fingerprints on, anchors are pairs of codewords: about 200 a fingerprint in place of 16, but 4096 times
+    as many in all, so fewer meet.  Links are the same either way.
+    """
     if distance > 4:
         raise ValueError("anchors cover distances up to 4")
+    deal = paired_anchors if reps.count() >= paired else anchors
 
     def dealt(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        return *anchors(b.column("fp").to_numpy().view(np.uint64)), b.column("fp")
+        return *deal(b.column("fp").to_numpy().view(np.uint64)), b.column("fp")
 
     return compared(reps, dealt, "long", distance, chunk)
 
@@ -171,8 +210,8 @@ def compared(reps: DataFrame, keys_of, kind: str, distance: int, chunk: int) ->
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                part = b.slice(at, 20_000)
+            for at in range(0, b.num_rows, 4_000):
+                part = b.slice(at, 4_000)
                 row, key, fp = keys_of(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), fp.take(pa.array(row)), part.column("rep").take(pa.array(row))], ["key", "fp", "rep"])
 
@@ -198,11 +237,11 @@ def compared(reps: DataFrame, keys_of, kind: str, distance: int, chunk: int) ->
     return cells.groupBy("part").applyInPandas(compare, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, chunk: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4, chunk: int = 8192, paired: int = PAIRED) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs(doc_id, text); component_id is the smallest doc_id reachable."""
     own = stored(fingerprints(docs, width), "fingerprints")
     reps = stored(own.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-reps")
-    parts = components(links(reps, distance, chunk))
+    parts = components(links(reps, distance, chunk, paired))
     reps = reps.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(reps, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -278,14 +317,16 @@ def jaccard_roots(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
     return root
 
 
-def similar_documents(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), chunk: int = 8192) -> DataFrame:
+def similar_documents(docs: DataFrame, width: int = 5, least: tuple[int, int] = (4, 5), chunk: int = 8192, cell: int = 1 << 20) -> DataFrame:
     """(doc_id, component_id) of every row of docs(doc_id, text) by exact Jaccard similarity of sets of shingles.
 
     Texts are linked, transitively, if the similarity of their sets is at least least[0] / least[1]; equal sets are one.
     Candidates come from anchors: SimHash here has 768 bits, dealt into 66 blocks of 23, each of which goes to the one
     codeword within 3 of it.  Two texts of similarity 0.8 share the anchor of a block with probability 0.12, so they
     miss each other in all blocks about once in 5,000 times.  What may be linked by candidates is then compared exactly,
-    set by set.  Rows without a doc_id link to nothing; they get the component of their own set, or null.
+    set by set; candidates with more than `cell` shingles together are dealt into chunks and compared by pairs of chunks,
+    so no task takes more than two chunks of them.  Rows without a doc_id link to nothing; they get the component of
+    their own set, or null.
     """
 
     def named(raw: bytes) -> tuple[int, np.ndarray]:
@@ -294,32 +335,45 @@ def similar_documents(docs: DataFrame, width: int = 5, least: tuple[int, int] =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(name, wide_fingerprint(found)) for name, found in map(named, b.column("raw").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "rep", "fp"])
+            rows = [(name, wide_fingerprint(found), len(found)) for name, found in map(named, b.column("raw").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64())))], ["doc_id", "rep", "fp", "n"])
 
     def keys_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         fps = b.column("fp").to_pylist()
         return *wide_anchors(fps), pa.array([f[: 8 * SEEN] for f in fps], pa.binary())
 
     def confirm(texts: pa.Table) -> pa.Table:
-        sets: dict[int, np.ndarray] = {}
-        for name, raw in zip(texts.column("rep").to_pylist(), texts.column("raw").to_pylist(), strict=True):
-            if name not in sets and (x := named(raw))[0] == name:  # a row with the same doc_id may have another text
-                sets[name] = x[1]
-        names = sorted(sets)
-        root = jaccard_roots([sets[n] for n in names], least) if names else []
-        return pa.table({"rep": pa.array(names, pa.int64()), "root": pa.array([names[r] for r in root], pa.int64())})
+        cells: dict[tuple, list[int]] = {}
+        for i, of in enumerate(zip(*(texts.column(c).to_pylist() for c in ("component", "a", "b")), strict=True)):
+            cells.setdefault(of, []).append(i)
+        found = []
+        for rows in cells.values():
+            sets: dict[int, np.ndarray] = {}
+            for i in rows:
+                name = texts.column("rep")[i].as_py()
+                if name not in sets and (x := named(texts.column("raw")[i].as_py()))[0] == name:  # a row with the same doc_id may have another text
+                    sets[name] = x[1]
+            names = sorted(sets)
+            root = jaccard_roots([sets[n] for n in names], least) if len(names) > 1 else []
+            found += [(n, names[r]) for n, r in zip(names, root) if n != names[r]]
+        return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    own = stored(raw.mapInArrow(read, "doc_id long, rep long, fp binary"), "wide-fingerprints")
-    reps = stored(own.where("doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "wide-reps")
+    own = stored(raw.mapInArrow(read, "doc_id long, rep long, fp binary, n long"), "wide-fingerprints")
+    reps = stored(own.where("doc_id is not null").groupBy("rep").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp"), F.min("n").alias("n")), "wide-reps")
     # a text has up to one root an anchor: all but the smallest are linked with that instead, so a large group is about one edge a text
     stars_ = compared(reps.select("rep", "fp"), keys_of, "binary", NEAR, chunk).groupBy("u").agg(F.collect_set("v").alias("vs")).withColumn("m", F.array_min("vs"))
     parts = components(stored(stars_, "stars").select(F.explode(F.array_append("vs", F.col("u"))).alias("u"), F.col("m").alias("v")))
-    members = stored(reps.join(parts, F.col("rep") == F.col("node")).select("rep", "component", "id"), "candidates")
-    texts = members.join(raw, F.col("id") == F.col("doc_id")).select("rep", "component", "raw")
-    roots = stored(texts.groupBy("component").applyInArrow(confirm, "rep long, root long"), "confirmed")
-    least_id = roots.join(reps.select("rep", "id"), "rep").groupBy("root").agg(F.min("id").alias("component_id"))
-    confirmed = roots.join(least_id, "root").select("rep", "component_id")
+    members = stored(reps.join(parts, F.col("rep") == F.col("node")).select("rep", "component", "id", "n"), "candidates")
+    large = members.groupBy("component").agg(F.ceil(F.sum("n") / cell).cast("int").alias("m")).where("m > 1").select(F.col("component").alias("of"), "m")
+    dealt = members.join(large, F.col("component") == F.col("of"), "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("rep"), F.col("m")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select("rep", "id", "component", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))
+    total = int(members.agg(F.sum("n")).first()[0] or 0)
+    n_parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-total // (2 * cell)))
+    cells = dealt.withColumn("part", F.pmod(F.xxhash64("component", "a", "b"), F.lit(n_parts)).cast("int"))
+    texts = cells.join(raw, F.col("id") == F.col("doc_id")).select("part", "rep", "component", "a", "b", "raw")
+    confirmed = components(texts.groupBy("part").applyInArrow(confirm, "u long, v long"))
+    least_id = confirmed.join(reps.select(F.col("rep").alias("node"), "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
+    confirmed = confirmed.join(least_id, "component").select(F.col("node").alias("rep"), "component_id")
     found = reps.select("rep", "id").join(confirmed, "rep", "left").select("rep", F.coalesce("component_id", "id").alias("component_id"))
     return own.join(found, "rep", "left").select("doc_id", "component_id")
