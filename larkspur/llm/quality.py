@@ -1,16 +1,20 @@
 """Quality rules: base rules, then robust multivariate outliers, in DataFrame functions only.
 
 Each document gets four statistics of its words (`statistics`).  Those that pass the base rules are held, as a vector of
-transformed statistics, against the minimum-covariance-determinant estimate of their language and source: from
-coordinatewise medians and median absolute deviations, concentration steps keep the share `core` of vectors that are
-closest in Mahalanobis distance and take their mean and covariance.  A document is rejected when its squared distance
-under the last estimate passes the chi-square value of `level`.
+transformed statistics, against the minimum-covariance-determinant estimate of their language and source.  From each of
+three starts (coordinatewise medians with median absolute deviations, with the covariance of spatial signs, and with that
+of hyperbolic tangents) two concentration steps keep the share `core` of vectors that are closest in Mahalanobis distance
+and take their mean and covariance; the start whose covariance has the smallest determinant goes on with `steps` more.  A
+document is rejected when its squared distance under the last estimate passes the chi-square value of `level`.
 
 Estimates are taken over distinct vectors, so that a document copied many times counts once; on each variance stands
-a floor (`FLOORS`, squared), as most documents have no symbols or repeated lines at all.  Groups of fewer than `min_rows`
-distinct vectors are judged by the estimate of their language over all sources, and if that has fewer too, by the one
-over all of them together.  Every row is judged by itself, rows that share a doc_id or have none as well.  A null language or source is a group value of
-its own; a null or empty text has no words and fails the base rules.  Ties of distance are on the same side.  An empty
+a floor (`FLOORS`, squared), as most documents have no symbols or repeated lines at all.  The estimate of a language and
+source with n distinct vectors is shrunk towards that of its language as if that were `prior` vectors more, with weights
+n / (n + prior) and prior / (n + prior) for mean and covariance, and that of a language likewise towards that of the
+whole table; so a group of few vectors is held mostly against its language, at no particular size.
+
+Every row is judged by itself, rows that share a doc_id or have none as well.  A null language or source is a group value
+of its own; a null or empty text has no words and fails the base rules.  Ties of distance are on the same side.  An empty
 table gives no rows.
 """
 
@@ -21,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import looked_up, stored
 
 #: Least standard deviations: log mean word length, log1p of symbols, of repeated lines, of repeated words a hundred words.
 FLOORS = (0.06, 0.40, 0.40, 0.60)
@@ -93,20 +97,22 @@ def chi_square_value(p: float, k: int) -> float:
     return low
 
 
-def inverse_root(cov: dict[tuple[int, int], Column]) -> tuple[list[Column], list[str]]:
-    """Columns of the Cholesky factor L of a covariance (lower triangle), one level at a time is not needed for P = 4."""
-    low: dict[tuple[int, int], Column] = {}
-    for i in range(P):
-        for j in range(i + 1):
-            rest = cov[i, j]
-            for k in range(j):
-                rest = rest - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / low[j, j]
-    return [low[i, j].alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)], [f"l{i}{j}" for i in range(P) for j in range(i + 1)]
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MEAN, COV = [f"m{i}" for i in range(P)], [f"c{i}{j}" for i, j in PAIRS]
+
+
+def with_root(estimate: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor l of the covariance c (lower triangle), a column after the other."""
+    for i, j in PAIRS:
+        rest = F.col(f"c{i}{j}")
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        estimate = estimate.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    return estimate
 
 
 def distance() -> Column:
-    """Squared Mahalanobis distance of x to m under L, by forward substitution."""
+    """Squared Mahalanobis distance of x to m under l, by forward substitution."""
     solved: list[Column] = []
     for i in range(P):
         rest = F.col(f"x{i}") - F.col(f"m{i}")
@@ -116,27 +122,57 @@ def distance() -> Column:
     return sum((s * s for s in solved[1:]), solved[0] * solved[0])
 
 
-def estimates(vectors: DataFrame, core: float, steps: int) -> DataFrame:
-    """(k, m0.., l00..) of each group k of distinct vectors (k, x0..)."""
-    median = vectors.groupBy("k").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(X)))
-    off = vectors.join(median, "k").groupBy("k", *(f"m{i}" for i in range(P))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 2000).alias(f"d{i}") for i, x in enumerate(X)))
-    start = {(i, j): (F.pow(F.col(f"d{i}") * 1.4826, 2) + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)}
-    root, names = inverse_root(start)
-    now = stored(off.select("k", *(f"m{i}" for i in range(P)), *root), "quality")
+def floored(cov: dict[tuple[int, int], Column]) -> list[Column]:
+    return [(cov[i, j] + FLOORS[i] ** 2 if i == j else cov[i, j]).alias(f"c{i}{j}") for i, j in PAIRS]
+
+
+def starts(vectors: DataFrame, n_groups: int) -> DataFrame:
+    """(k, n, start, m0.., c00..): first estimates of each group k of vectors (k, x0..), three a group."""
+    median = vectors.groupBy("k").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(m) for x, m in zip(X, MEAN, strict=True)))
+    median = stored(median, "quality")
+    near = looked_up(vectors, median, "k", n_groups)
+    spread = near.groupBy("k", "n", *MEAN).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 2000).alias(f"d{i}") for i, (x, m) in enumerate(zip(X, MEAN, strict=True))))
+    spread = spread.select("k", "n", *MEAN, *(F.sqrt(F.pow(F.col(f"d{i}") * 1.4826, 2) + FLOORS[i] ** 2).alias(f"d{i}") for i in range(P)))
+    spread = stored(spread, "quality")
+    scaled = looked_up(vectors, spread, "k", n_groups).select("k", *(((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)))
+    size = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0"))
+    sign = lambda i, j: F.avg(F.when(F.col("r") > 0, P * F.col(f"z{i}") * F.col(f"z{j}") / F.col("r")).otherwise(0.0))
+    flat = lambda i, j: F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}"))
+    shapes = scaled.withColumn("r", size).groupBy("k").agg(*(f(i, j).alias(f"{name}{i}{j}") for name, f in (("s", sign), ("t", flat)) for i, j in PAIRS))
+    both = spread.join(shapes, "k")
+    d = lambda i, j: F.col(f"d{i}") * F.col(f"d{j}")
+    kinds = [
+        {(i, j): d(i, i) if i == j else F.lit(0.0) for i, j in PAIRS},
+        {(i, j): d(i, j) * F.col(f"s{i}{j}") for i, j in PAIRS},
+        {(i, j): d(i, j) * F.col(f"t{i}{j}") for i, j in PAIRS},
+    ]
+    kinds = F.array(*(F.struct(F.lit(k).alias("start"), *floored(c)) for k, c in enumerate(kinds)))
+    return both.select("k", "n", *MEAN, F.explode(kinds).alias("of")).select("k", "n", "of.start", *MEAN, *(f"of.{c}" for c in COV))
+
+
+def concentrated(vectors: DataFrame, now: DataFrame, n_groups: int, core: float, steps: int) -> DataFrame:
+    """now after concentration steps."""
     # what a normal sample loses in variance when only its core is kept
     factor = core / chi_square_cdf(chi_square_value(core, P), P + 2)
+    by = ["k", "n", "start"]
     for _ in range(steps):
-        at = vectors.join(now, "k").select("k", *X, distance().alias("d"))
-        edge = at.groupBy("k").agg(F.percentile_approx("d", core, 2000).alias("edge"))
-        inside = at.join(edge, "k").where("d <= edge")
-        pairs = [(i, j) for i in range(P) for j in range(i + 1)]
-        sums = inside.groupBy("k").agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(X)), *(F.covar_pop(X[i], X[j]).alias(f"c{i}{j}") for i, j in pairs))
-        root, names = inverse_root({(i, j): F.col(f"c{i}{j}") * factor + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs})
-        now = stored(sums.select("k", *(f"m{i}" for i in range(P)), *root), "quality")
+        at = looked_up(vectors, with_root(now), "k", 3 * n_groups).select(*by, *X, distance().alias("d"))
+        edge = at.groupBy(by).agg(F.percentile_approx("d", core, 2000).alias("edge"))
+        inside = looked_up(at, edge, by, 3 * n_groups).where("d <= edge")
+        sums = inside.groupBy(by).agg(*(F.avg(x).alias(m) for x, m in zip(X, MEAN, strict=True)), *(F.covar_pop(X[i], X[j]).alias(f"v{i}{j}") for i, j in PAIRS))
+        now = stored(sums.select(*by, *MEAN, *floored({(i, j): F.col(f"v{i}{j}") * factor for i, j in PAIRS})), "quality")
     return now
 
 
-def judged(docs: DataFrame, *carry: str, core: float = 0.75, steps: int = 4, level: float = 1 - 1e-9, min_rows: int = 40) -> DataFrame:
+def estimates(vectors: DataFrame, n_groups: int, core: float, steps: int) -> DataFrame:
+    """(k, n, m0.., c00..) of each of n_groups groups k of distinct vectors (k, x0..): of three starts that with the smallest determinant."""
+    now = concentrated(vectors, stored(starts(vectors, n_groups), "quality"), n_groups, core, 2)
+    log_det = sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))
+    best = with_root(now).groupBy("k").agg(F.min_by(F.struct("n", "start", *MEAN, *COV), F.struct(F.round(log_det, 9).alias("det"), "start")).alias("best")).select("k", "best.*")
+    return concentrated(vectors, stored(best, "quality"), n_groups, core, steps)
+
+
+def judged(docs: DataFrame, *carry: str, core: float = 0.75, steps: int = 3, level: float = 1 - 1e-9, prior: float = 20.0) -> DataFrame:
     """statistics() of docs(doc_id, text, lang, source) with `distance` (null where base rules decide) and `kept`."""
     rows = stored(statistics(docs, *carry), "quality-rows")
     rate = lambda c: F.log1p(100.0 * F.col(c) / F.col("n_words"))
@@ -144,18 +180,17 @@ def judged(docs: DataFrame, *carry: str, core: float = 0.75, steps: int = 4, lev
     # lengths and letters apart, so that no two pairs of values share a name; that of a language ends in no source
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     tongue = F.concat(F.length(part("lang")).cast("string"), part("lang"))
-    with_x = rows.withColumns({"own": F.concat(tongue, part("source")), "tongue": tongue} | {x: F.when(~F.col("base_failed"), v) for v, x in zip(values, X, strict=True)})
-    distinct = with_x.where(~F.col("base_failed")).select("own", "tongue", *X).distinct()
-    sizes = distinct.groupBy("own", "tongue").count()
-    of_tongue = distinct.select("tongue", *X).distinct()
-    wanting = sizes.where(F.col("count") < min_rows).select("tongue").distinct()
-    big_tongues = of_tongue.join(wanting, "tongue", "left_semi").groupBy("tongue").count().where(F.col("count") >= min_rows).select("tongue")
-    big_tongues = stored(big_tongues, "quality-languages")
-    wider = sizes.where(F.col("count") < min_rows).join(big_tongues.select("tongue", F.col("tongue").alias("wide")), "tongue", "left")
-    judge = sizes.where(F.col("count") >= min_rows).select("own", F.col("own").alias("k")).unionByName(wider.select("own", F.coalesce("wide", F.lit("")).alias("k")))
-    judge = stored(judge, "quality-groups")
-    vectors = distinct.join(judge.where("k = own"), "own", "left_semi").select(F.col("own").alias("k"), *X)
-    vectors = vectors.unionByName(of_tongue.join(big_tongues, "tongue", "left_semi").select(F.col("tongue").alias("k"), *X)).unionByName(distinct.select(F.lit("").alias("k"), *X))
-    found = estimates(stored(vectors, "quality-vectors"), core, steps)
-    out = with_x.join(judge, "own", "left").join(found, "k", "left").withColumn("distance", F.when(~F.col("base_failed"), distance())).select(*rows.columns, "distance")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_value(level, P), F.lit(True)))
+    with_x = rows.withColumns({"own_": F.concat(tongue, part("source")), "tongue_": tongue} | {x: F.when(~F.col("base_failed"), v) for v, x in zip(values, X, strict=True)})
+    distinct = stored(with_x.where(~F.col("base_failed")).select("own_", "tongue_", *X).distinct(), "quality-vectors")
+    keyed = lambda k: distinct.select(F.col(k).alias("k"), *X)
+    vectors = keyed("own_").unionByName(keyed("tongue_").distinct()).unionByName(distinct.select(F.lit("").alias("k"), *X).distinct())
+    vectors = stored(vectors, "quality-vectors")
+    groups = stored(distinct.select("own_", "tongue_").distinct(), "quality-groups")
+    n_groups = 2 * groups.count() + 1
+    found = stored(estimates(vectors, n_groups, core, steps), "quality")
+    named = lambda p, key: found.select(F.col("k").alias(key), F.col("n").alias(f"{p}n"), *(F.col(c).alias(p + c) for c in (*MEAN, *COV)))
+    judge = groups.withColumn("whole_", F.lit("")).join(named("o", "own_"), "own_").join(named("t", "tongue_"), "tongue_").join(named("w", "whole_"), "whole_")
+    mix = lambda n, own, other: (F.col(n) * own + prior * other) / (F.col(n) + prior)
+    judge = judge.select("own_", *(mix("on", F.col(f"o{c}"), mix("tn", F.col(f"t{c}"), F.col(f"w{c}"))).alias(c) for c in (*MEAN, *COV)))
+    out = looked_up(with_x, with_root(judge), "own_", n_groups, "left").withColumn("distance", F.when(~F.col("base_failed"), distance())).select(*rows.columns, "distance")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_value(level, P), F.lit(False)))
