@@ -1,14 +1,18 @@
 """Toxicity scoring with a factorization machine over hashed terms.
 
-Terms of a text are its distinct words in lower case without outer punctuation, and for each word beginning of 6 or 7
-bytes, that at least one, two or three distinct words of the text have it; each is hashed to 40 bits.  With x the set of
-terms, score = sigmoid(w0 + sum w_t + 1/2 sum_f ((sum v_tf)^2 - sum v_tf^2)): the second part is the sum of <v_s, v_t>
-over all pairs of terms, so pairs weigh in that no additive weights see.
+Terms of a text are its distinct words in lower case without outer punctuation, and for each word beginning of some
+lengths in bytes (`BEGINNINGS`), that at least one, two or three distinct words of the text have it; each is hashed to 40
+bits.  With x the set of terms, score = sigmoid(w0 + sum w_t + 1/2 sum_f ((sum v_tf)^2 - sum v_tf^2)): the second part is
+the sum of <v_s, v_t> over all pairs of terms, so pairs weigh in that no additive weights see.
 
 Fitting takes at most `sample` labelled rows, those with the smallest hash of doc_id (a documented bound; all rows
-while there are fewer), and there only terms in at least `min_docs` of these rows.  First come proximal steps on w, in which
-a term's L1 weight follows from what its gradient would be by chance: terms without evidence end at exactly 0, so length
-alone doesn't raise a score.  Then all of the machine, pairs included, is fitted for the terms that are left.
+while there are fewer), and there only terms in at least `min_docs` of these rows.  Terms are chosen by two kinds of
+evidence: for weights of their own, by proximal steps on w alone, in which a term's L1 weight follows from what its
+gradient would be by chance (`sure` standard deviations); and for pairs, whatever their own weights, by the score test of
+each pair of terms that are in at least `pair_docs` rows each: what its product would add to the additive fit, in
+standard deviations, against what the largest of as many chance values would be.  Then all of the machine is fitted
+together for the terms chosen either way, weights and pairs; terms without evidence stay out, so length alone doesn't
+raise a score.
 
 Null, empty and punctuation-only texts score sigmoid(w0).  Without labelled rows, or with one class only, every text
 scores the class rate (0.0 without rows).  Repeated rows score alike; rows with a null label are not learnt from.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 OUTER = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-BEGINNINGS, LEVELS, BITS = (6, 7), 3, 40
+BEGINNINGS, LEVELS, BITS = (5, 6, 7, 8), 3, 40
 
 
 def hashed(term: bytes, kind: int) -> int:
@@ -80,7 +84,7 @@ class Model:
         def leads_to(word: bytes) -> tuple | None:
             t = word.strip(OUTER)
             own = place.get(hashed(t, 0)) if t else None
-            starts = [t[:n] for n in BEGINNINGS if len(t) >= n and hashed(t[:n], 16 * n + 1) in place or any(hashed(t[:n], 16 * n + k) in place for k in range(2, LEVELS + 1))] if t else []
+            starts = [t[:n] for n in BEGINNINGS if len(t) >= n and any(hashed(t[:n], 16 * n + k) in place for k in range(1, LEVELS + 1))]
             return (t, own, starts) if own is not None or starts else None
 
         memo = Memo(leads_to)
@@ -145,7 +149,45 @@ class Problem:
                 self.v[:, f] = shrunk(self.v[:, f], dv, 0.3 * rate / np.sqrt(gv[:, f]), l1_pairs)
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.3, sure: float = 4.0, min_docs: int = 5, ridge: float = 1e-4, seed: int = 11) -> Model:
+def telling_pairs(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, p: np.ndarray, n: int, pair_docs: int, tile: int = 1024) -> np.ndarray:
+    """Terms of pairs whose product the fit with errors (p - y) lacks: |sum of error| over its standard deviation, tile by tile of all pairs."""
+    seen = np.bincount(flat, minlength=n)
+    often = np.flatnonzero(seen >= pair_docs)
+    number = np.full(n, -1, np.int64)
+    number[often] = np.arange(len(often))
+    inside = number[flat] >= 0
+    row, term = owner[inside], number[flat[inside]]
+    order = np.argsort(term, kind="stable")
+    row, ends = row[order], np.searchsorted(term[order], np.arange(0, len(often) + tile, tile))
+
+    def dense(k: int) -> np.ndarray:
+        out = np.zeros((len(p), min(tile, len(often) - k * tile)), np.float32)
+        part = slice(ends[k], ends[k + 1])
+        out[row[part], term[order][part] - k * tile] = 1
+        return out
+
+    n_tiles = -(-len(often) // tile)
+    limit = np.sqrt(2 * np.log(max(2, len(often) * (len(often) - 1) // 2))) + 1
+    weight = (p * (1 - p)).astype(np.float32)[:, None]
+    found = np.zeros(len(often), bool)
+    for i in range(n_tiles):
+        a = dense(i)
+        by_error, by_weight = a * error.astype(np.float32)[:, None], a * weight
+        for j in range(i, n_tiles):
+            b = a if i == j else dense(j)
+            together = a.T @ b
+            z = np.abs(by_error.T @ b) / np.sqrt(np.maximum(by_weight.T @ b, 1e-3))
+            # a pair of terms that are in the same rows is one term twice: the test of pairs has nothing to add
+            alone = (a.sum(axis=0)[:, None] > together + 0.5) & (b.sum(axis=0)[None, :] > together + 0.5)
+            s, t = np.nonzero((z >= limit) & (together >= 5) & alone)
+            if i == j:
+                s, t = s[s != t], t[s != t]
+            found[i * tile + s] = True
+            found[j * tile + t] = True
+    return often[found]
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.3, sure: float = 4.0, min_docs: int = 5, pair_docs: int = 25, ridge: float = 1e-4, seed: int = 11) -> Model:
     if not len(rows) or y.min() == y.max():
         p = float(y.mean()) if len(rows) else 0.0
         return Model(float(np.log(max(p, 1e-15) / max(1 - p, 1e-15))))
@@ -163,8 +205,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, rounds: int = 150,
     share, p = seen[used] / len(rows), float(y.mean())
     l1 = sure * np.sqrt(p * (1 - p) * share / len(rows))
     first = Problem(owner, flat, y, len(used), float(np.log(p / (1 - p))), np.zeros((0, rank)), np.zeros(0, np.int64))
-    first.run(rounds if sure else 0, rate, l1, 0.0, 0.0)
-    live = np.flatnonzero(first.w) if sure else np.arange(len(used))
+    first.run(rounds, rate, l1, 0.0, 0.0)
+    fitted = sigmoid(first.w0 + np.bincount(owner, first.w[flat], len(rows)))
+    live = np.union1d(np.flatnonzero(first.w), telling_pairs(owner, flat, fitted - y, fitted, len(used), pair_docs))
     start = np.random.default_rng(seed).normal(0, 0.01, (len(live), rank))
     owner, flat = kept(live, owner, flat)
     last = Problem(owner, flat, y, len(live), first.w0, start, np.arange(len(live)))
@@ -191,16 +234,20 @@ def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sam
     return fit([np.frombuffer(t, np.int64) for t in got["terms"]], (got["toxic"].to_numpy() > 0).astype(float), **how)
 
 
-def scored(docs: DataFrame, model: Model, fold: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs(doc_id, text)."""
+def scored(docs: DataFrame, model: Model, fold: int = 4, held: int = 2, threshold: float = 0.3, carry: tuple = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, *carry) of every row of docs(doc_id, text); carry: columns that each row takes along."""
+    names = ["doc_id", "held_out", "score", "predicted"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = model.reader()
         for b in batches:
-            rows = [model.terms[read(x)] for x in b.column("raw").to_pylist()]
+            rows = [model.terms[read(x)] for x in b.column("raw_").to_pylist()]
             score = sigmoid(model.raw(rows))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            found = [b.column("id_"), b.column("held_"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(found + [b.column(c) for c in carried.names], names + carried.names)
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    carried = docs.select(*carry).schema
+    rows = docs.select(F.col("doc_id").cast("long").alias("id_"), held_out.alias("held_"), F.coalesce("text", F.lit("")).cast("binary").alias("raw_"), *carry)
+    extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + extra)
