@@ -4,17 +4,22 @@ Smoothing is that of a hierarchical Dirichlet prior (MacKay and Peto): with k th
 without its first token,
     P(w | h) = (c(h w) + k P(w | h')) / (c(h) + k),    P(w) = (c(w) + 1) / (N + V + 1).
 As an automaton: a state for each history that occurs in training; from a state an arc for each n-gram seen there, with
-the smoothed probability as weight; and a failure arc to the state of the shorter history, with weight k / (c(h) + k).
-A text is read once from left to right from the state of an end token.  The state is carried from token to token: at a
-token without an arc the failure arcs are followed, their weights added, until there is one; the root has one for every
-token.  Counts of histories are counts of shorter n-grams, so n-gram counts are all that is gathered.
+the logarithm of the smoothed probability as weight, to the state of the longest history that goes on from it; and a
+failure arc to the state of the shorter history, with weight log(k / (c(h) + k)).  A text is read once from left to right
+from the state of an end token.  The state is carried from token to token: at a token without an arc the failure arcs are
+followed, their weights added, until there is one; the root has one for every token.
 
 The counts of all n-grams of the training texts grow with the input and are never in one place.  Documents are dealt
 into groups; a group sends each n-gram of its texts once, with its own training count, to a bucket by hash; buckets add
-up and answer with global counts, aligned to what was asked; so each group has just the part of the automaton that its
-texts can reach.  N-grams are told apart by 64-bit hashes.
+up and answer with global counts, aligned to what was asked; so each group builds just the part of the automaton that its
+texts can reach.  N-grams are told apart by 64-bit hashes; at 10^13 of them some millions would share counts.
 
-Null and empty texts are one end token.  doc_id null counts as training text.  Repeated rows score alike.
+Texts of a group are read side by side.  A long one is cut into lanes for that: a lane starts at the root some tokens
+before its own (order - 1), after which it is in the state that the whole text would be in, as a state is the longest
+history of at most that many tokens.
+
+Null and empty texts are one end token.  doc_id null counts as training text.  Repeated rows score alike.  A text isn't
+split between groups: the task that reads a very long one needs about 30 times its bytes.
 """
 
 from __future__ import annotations
@@ -24,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, word_memo
+from .common import BUCKET_BYTES, GROUP_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, word_memo
+from .substring import ddl
 
 END = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD1B54A32D192ED03)
-ASKED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("counts", pa.binary()), ("keys", pa.binary())])
-ANSWERED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("totals", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
+#: Tokens that a lane reads.
+LANE = 512
+ASKED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("n", pa.int32()), ("size", pa.int64()), ("totals", pa.binary()), ("tokens", pa.int64()), ("words", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
@@ -37,8 +45,8 @@ class Grams:
     """The n-grams, n up to order, that end at each token of the texts of one group.  The lowest two bits of a key are n - 1."""
 
     def __init__(self, raws: list[bytes], order: int):
-        if order > 4:
-            raise ValueError("keys hold orders up to 4")
+        if not 1 <= order <= 4:
+            raise ValueError("keys hold orders from 1 to 4")
         memo = word_memo()
         tokens = []
         for raw in raws:
@@ -52,103 +60,173 @@ class Grams:
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         #: place of a token in its text; n-grams may start at place -1, an end token before the text
         self.place = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        keys = []
+        self.keys: list[np.ndarray] = []  # of each order: sorted distinct keys
+        self.at: list[np.ndarray] = []  # and which of them ends at each token
         gram = mixed(flat)
         for n in range(1, order + 1):
             if n > 1:
                 gram = mixed(gram * STEP + np.where(self.place >= n - 1, np.roll(flat, n - 1), END))
-            keys.append(gram & ~np.uint64(3) | np.uint64(n - 1))
-        self.valid = [self.place >= n - 2 for n in range(1, order + 1)]
-        self.keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        self.at = np.split(inverse, order)  # of each order: which key ends at each token
+            keys, inverse = np.unique(gram & ~np.uint64(3) | np.uint64(n - 1), return_inverse=True)
+            self.keys.append(keys)
+            self.at.append(inverse.astype(np.int32))
 
-    def training_counts(self, training: np.ndarray) -> np.ndarray:
+    def training_counts(self, training: np.ndarray) -> list[np.ndarray]:
         use = np.repeat(training, self.lengths)
-        total = np.zeros(len(self.keys))
-        for at, valid in zip(self.at, self.valid, strict=True):
-            total += np.bincount(at, use & valid, len(self.keys))
-        return total.astype(np.uint32)
-
-    def log_probabilities(self, counts: np.ndarray, n_tokens: int, n_words: int, n_texts: int, weight: float) -> tuple[np.ndarray, np.ndarray]:
-        """ln P of each token under the automaton, and under unigrams alone."""
-        own = [counts[at].astype(float) for at in self.at]
-        root = np.log((own[0] + 1) / (n_tokens + n_words + 1))
-        # history[m]: how often the m tokens before this one occur in training (0: they aren't a state)
-        history: list[np.ndarray] = [np.zeros(0)]
-        for m in range(1, self.order):
-            before = np.roll(own[m - 1], 1) if len(own[m - 1]) else own[m - 1]
-            start = float(n_texts) if m == 1 else 0.0
-            history.append(np.where(self.place == 0, start, np.where(self.place >= m - 1, before, 0.0)))
-        arcs, smoothed = [root], np.exp(root)
-        for m in range(1, self.order):
-            smoothed = np.where(history[m] > 0, (np.where(self.valid[m], own[m], 0.0) + weight * smoothed) / (history[m] + weight), smoothed)
-            arcs.append(np.log(smoothed))
-        # The state before a token is the longest history there that is a state, a function of the tokens just before;
-        # so the traversal takes all tokens at once, one level of failure arcs after the other.
-        out, open_ = np.zeros(len(root)), np.ones(len(root), bool)
-        for m in range(self.order - 1, 0, -1):
-            in_state = open_ & (history[m] > 0)
-            arc = in_state & self.valid[m] & (own[m] > 0)
-            out[arc] += arcs[m][arc]
-            open_ &= ~arc
-            fails = in_state & ~arc
-            out[fails] += np.log(weight / (history[m][fails] + weight))
-        out[open_] += root[open_]
-        return out, root
+        return [np.bincount(at, use & (self.place >= n - 1), len(keys)).astype(np.uint64) for n, (at, keys) in enumerate(zip(self.at, self.keys, strict=True))]
+
+
+class Automaton:
+    """States, arcs and failure arcs that the texts of a group can reach.
+
+    An n-gram is an arc if it occurs in training; one of fewer than `order` tokens that does is also a state, with the
+    same number; the last number is the root.  All words are arcs of the root, seen or not.
+    """
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], n_tokens: int, n_words: int, weight: float):
+        self.grams, order = grams, grams.order
+        first = np.cumsum([0, *map(len, grams.keys)])
+        self.root = int(first[-1])
+        size, here = self.root + 1, np.arange(len(grams.place))
+        total = np.zeros(size)
+        total[:-1] = np.concatenate(counts) if counts else 0
+        ends = [at.astype(np.int64) + first[n] for n, at in enumerate(grams.at)]
+        self.ends = np.stack(ends) if len(here) else np.zeros((order, 0), np.int64)
+        self.depth, self.fail, self.target = np.zeros(size, np.int8), np.full(size, self.root), np.full(size, self.root)
+        probability, self.fail_weight = np.zeros(size), np.zeros(size)
+        end = int(ends[0][int(grams.lengths[0]) - 1]) if len(here) else self.root
+        self.start = end if total[end] > 0 else self.root
+        for n in range(order):
+            own = np.arange(first[n], first[n + 1])
+            example = np.empty(len(own), np.int64)  # a token where the n-gram ends
+            valid = here[grams.place >= n - 1] if n else here
+            example[:] = -1
+            example[ends[n][valid] - first[n]] = valid
+            own, example = own[example >= 0], example[example >= 0]
+            if n == 0:
+                probability[own] = (total[own] + 1) / (n_tokens + n_words + 1)
+                suffix = np.full(len(own), self.root)
+            else:
+                suffix = ends[n - 1][example]
+                history = np.where(grams.place[example] > 0, ends[n - 1][example - 1], end)
+                probability[own] = (total[own] + weight * probability[suffix]) / (total[history] + weight)
+            seen = total[own] > 0
+            if n < order - 1:
+                states = own[seen]
+                self.depth[states], self.fail[states], self.target[states] = n + 1, suffix[seen], states
+                self.fail_weight[states] = np.log(weight / (total[states] + weight))
+            else:
+                self.target[own[seen]] = suffix[seen]
+        self.is_arc = total > 0
+        self.is_arc[first[0] : first[1]] = True
+        with np.errstate(divide="ignore"):
+            self.arc_weight = np.log(probability)
+        self.known = total[ends[0]] > 0 if len(here) else np.zeros(0, bool)
+
+    def read(self) -> np.ndarray:
+        """ln P of each token: one traversal from left to right, the state carried from token to token."""
+        grams, warm = self.grams, self.grams.order - 1
+        n_lanes = -(-grams.lengths // LANE)
+        text = np.repeat(np.arange(len(grams.lengths)), n_lanes)
+        part = np.arange(len(text)) - np.repeat(np.cumsum(n_lanes) - n_lanes, n_lanes)
+        begins = (np.cumsum(grams.lengths) - grams.lengths)[text]
+        own = begins + part * LANE
+        stop = np.minimum(own + LANE, begins + grams.lengths[text])
+        at = np.maximum(own - warm, begins)
+        state = np.where(at == begins, self.start, self.root)
+        out = np.zeros(len(grams.place))
+        while len(at):
+            depth = self.depth[state]
+            gram = self.ends[depth, at]
+            passed = np.zeros(len(at))
+            stuck = np.flatnonzero(~self.is_arc[gram])
+            while len(stuck):  # failure arcs
+                passed[stuck] += self.fail_weight[state[stuck]]
+                state[stuck] = self.fail[state[stuck]]
+                gram[stuck] = self.ends[self.depth[state[stuck]], at[stuck]]
+                stuck = stuck[~self.is_arc[gram[stuck]]]
+            mine = at >= own
+            out[at[mine]] = (passed + self.arc_weight[gram])[mine]
+            state = self.target[gram]
+            at = at + 1
+            if (at == stop).any():
+                go = at < stop
+                at, own, stop, state = at[go], own[go], stop[go], state[go]
+        return out
+
+    def unigrams(self) -> np.ndarray:
+        """ln P of each token under the root alone."""
+        return self.arc_weight[self.ends[0]] if self.ends.size else np.zeros(0)
 
 
 def squeezed(counts: np.ndarray) -> bytes:
-    """Counts in a byte each, those from 255 on in eight more at the end."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    """Counts in a byte each, those from 255 on in eight more at the end; compressed."""
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    data = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
     counts = np.frombuffer(data, np.uint8, n).astype(np.uint64)
     counts[counts == 255] = np.frombuffer(data, "<u8", offset=n)
     return counts
 
 
-def scores(docs: DataFrame, order: int = 2, weight: float = 8.0, fold: int = 7, held: int = 2) -> DataFrame:
+def key_bytes(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, all lowest bytes first, compressed."""
+    planes = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def keys_of(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def scores(docs: DataFrame, order: int = 3, weight: float = 8.0, fold: int = 7, held: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text)."""
-    n_groups = groups_for(docs)
-    n_buckets = max(16, -(-in_bytes(docs) * order // BUCKET_BYTES))
+    n_bytes = in_bytes(docs)
+    n_groups = groups_for(docs, n_bytes, GROUP_BYTES // 2)
+    n_buckets = max(16, -(-n_bytes * order // BUCKET_BYTES))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % fold == held, F.lit(False))
     base = grouped(docs, n_groups, held_out.alias("held_out"))
-    trained = lambda t: ~t.column("held_out").to_numpy(zero_copy_only=False)
+    trained = lambda t: ~t.column("held_out").to_numpy()
 
     def send(texts: pa.Table) -> pa.Table:
-        grams = Grams(texts.column("raw").to_pylist(), order)
-        counts, g = grams.training_counts(trained(texts)), texts.column("g")[0].as_py()
-        at = spans_of(ask(grams.keys, n_buckets), n_buckets).tolist()
-        rows = [(b, g, counts[i:j].tobytes(), grams.keys[i:j].tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        grams, rows = Grams(texts.column("raw").to_pylist(), order), []
+        g = texts.column("g")[0].as_py()
+        for n, (keys, counts) in enumerate(zip(grams.keys, grams.training_counts(trained(texts)), strict=True)):
+            at = spans_of(ask(keys, n_buckets), n_buckets).tolist()
+            rows += [(b, g, n, j - i, key_bytes(keys[i:j]), squeezed(counts[i:j])) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASKED, strict=True)], schema=ASKED)
 
     def answer(sent: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in sent.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in sent.column("counts").to_pylist()])
-        found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(found), np.uint64)
-        np.add.at(total, inverse, counts.astype(np.uint64))
-        back = np.split(total[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        words = total[(found & np.uint64(3)) == 0]
-        once = lambda n: pa.array([int(n)] + [0] * (len(keys) - 1), pa.int64())
-        return pa.Table.from_arrays([sent.column("bucket"), sent.column("g"), pa.array([squeezed(b) for b in back], pa.binary()), once(words.sum()), once((words > 0).sum())], schema=ANSWERED)
-
-    sent = base.groupBy("g").applyInArrow(send, "bucket int, g int, counts binary, keys binary")
-    answers = stored(sent.groupBy("bucket").applyInArrow(answer, "bucket int, g int, totals binary, tokens long, words long"), "ngram-counts")
+        sizes = sent.column("size").to_pylist()
+        keys = np.concatenate([keys_of(k, n) for k, n in zip(sent.column("keys").to_pylist(), sizes, strict=True)])
+        counts = np.concatenate([unsqueezed(c, n) for c, n in zip(sent.column("counts").to_pylist(), sizes, strict=True)])
+        order_ = np.argsort(keys, kind="stable")
+        new = np.flatnonzero(np.r_[True, keys[order_][1:] != keys[order_][:-1]])
+        total = np.add.reduceat(counts[order_], new)
+        words = total[(keys[order_[new]] & np.uint64(3)) == 0]
+        back = np.empty(len(keys), np.uint64)
+        back[order_] = np.repeat(total, np.diff(np.r_[new, len(keys)]))
+        once = lambda n: pa.array([int(n)] + [0] * (len(sizes) - 1), pa.int64())
+        totals = pa.array([squeezed(b) for b in np.split(back, np.cumsum(sizes)[:-1])], pa.binary())
+        return pa.Table.from_arrays([*(sent.column(c) for c in ("bucket", "g", "n", "size")), totals, once(words.sum()), once((words > 0).sum())], schema=ANSWERED)
+
+    sent = base.groupBy("g").applyInArrow(send, ddl(ASKED))
+    answers = stored(sent.groupBy("bucket").applyInArrow(answer, ddl(ANSWERED)), "ngram-counts")
     n_tokens, n_words = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("words")).first())
-    n_texts = base.where("not held_out").count()
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         grams = Grams(texts.column("raw").to_pylist(), order)
-        counts = np.zeros(len(grams.keys), np.uint64)
-        at = spans_of(ask(grams.keys, n_buckets), n_buckets).tolist()
-        for b, totals in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-            counts[at[b] : at[b + 1]] = unsqueezed(totals, at[b + 1] - at[b])
-        log_p, base_p = grams.log_probabilities(counts, n_tokens, n_words, n_texts, weight)
+        counts = [np.zeros(len(keys), np.uint64) for keys in grams.keys]
+        at = [spans_of(ask(keys, n_buckets), n_buckets).tolist() for keys in grams.keys]
+        for b, n, totals in zip(*(answers.column(c).to_pylist() for c in ("bucket", "n", "totals")), strict=True):
+            counts[n][at[n][b] : at[n][b + 1]] = unsqueezed(totals, at[n][b + 1] - at[n][b])
+        automaton = Automaton(grams, counts, n_tokens, n_words, weight)
         starts = np.cumsum(grams.lengths) - grams.lengths
-        known = np.add.reduceat((counts[grams.at[0]] > 0).astype(np.int64), starts)
+        known = np.add.reduceat(automaton.known.astype(np.int64), starts)
         of_text = lambda x: pa.array(np.add.reduceat(x, starts) / np.log(10))
-        return pa.Table.from_arrays([texts.column("doc_id").cast(pa.int64()), texts.column("held_out"), pa.array(grams.lengths), pa.array(known), pa.array(np.full(len(known), n_tokens)), of_text(base_p), of_text(log_p)], schema=SCORED)
+        return pa.Table.from_arrays([texts.column("doc_id").cast(pa.int64()), texts.column("held_out"), pa.array(grams.lengths), pa.array(known), pa.array(np.full(len(known), n_tokens)), of_text(automaton.unigrams()), of_text(automaton.read())], schema=SCORED)
 
-    return base.groupBy("g").cogroup(answers.select("bucket", "g", "totals").groupBy("g")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return base.groupBy("g").cogroup(answers.select("bucket", "g", "n", "totals").groupBy("g")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
