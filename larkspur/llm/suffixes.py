@@ -2,10 +2,10 @@
 
 A byte goes if a string of `least` bytes over it also starts at another place, in the same document or another.
 
-`lpf` is the array of one sequence: its suffixes in order, the common prefixes of neighbours, and for each place the
-previous and the next place in suffix order that are smaller; the longer of the two common prefixes is the longest
-earlier match.  `repeats` is that array cut off at `least`, both for earlier and (with the order of places turned round)
-for later matches.
+The array: with suffixes in order and the common prefixes of neighbours, the longest match of a place at a smaller one is
+that with the previous or the next place in suffix order that is smaller (`previous_factors`).  `lpf` takes it for one
+sequence; `repeated` for windows of `least` bytes, whose order and common prefixes are cut off there, both for earlier
+matches and (with the order of places turned round) for later ones.
 
 For a corpus, suffixes are first brought together that can match at all.  Of the `gram`-byte strings in a window of
 `least` bytes, that with the smallest hash (the first of equals) is the window's anchor; equal windows have equal
@@ -14,12 +14,14 @@ stretch of bytes.
 1. Anchors are counted over the corpus, and so are stretches.  Windows of an anchor that occurs once are unique;
    windows of a stretch that occurs twice are repeats.
 2. What is left are stretches at the ends of repeated passages, whose anchor also occurs in other stretches.  These
-   distinct stretches go to their anchor's bucket, which orders their suffixes and takes the array, cut off at `least`;
-   suffixes are ordered by the name of their first `least` bytes there, which puts equal ones together all the same.
-An anchor with more than `hot` different stretches doesn't meet in one bucket: its suffixes are dealt by a hash of their
-first `least` bytes instead, once per group of documents, which needs no more than a count.
-
-Null and empty texts have no bytes.  Texts shorter than `least` lose nothing.  Repeated rows are different documents.
+   distinct stretches go to their anchor's bucket, which puts their windows in order by their bytes and takes the array;
+   a window is removed if its longest earlier or later match reaches `least`.
+An anchor with more than `hot` different stretches, or more than `crowd` in one group of documents, doesn't meet in one
+bucket: its windows are dealt by a 128-bit name of their bytes instead, once per group of documents, which needs no more
+than a count.  A group counts an anchor with more than `crowd` stretches as one entry.
+
+Null and empty texts have no bytes.  Texts shorter than `least` lose nothing.  Repeated rows are different documents.  A
+text isn't split between groups: the task that reads a very long one needs about 25 times its bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text that are hashed at once.
 SLICE = 2 << 20
 ONCE, REPEATED, MIXED, MIXED_REPEATED, HOT, HOT_REPEATED = range(6)
-ASKED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary())])
+ASKED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("crowded", pa.binary())])
 ANSWERED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("told", pa.binary())])
 
 
@@ -57,53 +59,109 @@ def suffix_order(text: np.ndarray, least: int | None = None) -> tuple[np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
+def previous_factors(place: np.ndarray, common: np.ndarray, floor: int = 0) -> np.ndarray:
+    """Per rank in suffix order, its longest common prefix with a suffix at a smaller place; below `floor` any smaller number.
+
+    place: where the suffix of each rank starts; common: its common prefix with the one of the rank before.  For each rank
+    the previous and the next rank with a smaller place are found by following those of the ranks passed, all at once.
+    """
+    n = len(place)
+    out = np.zeros(n, np.int64)
+    for back in (False, True):
+        p = place[::-1] if back else place
+        least = np.r_[0, common[1:][::-1]] if back else common.copy()
+        if n:
+            least[0] = 0
+        to = np.arange(n) - 1
+        open_ = np.flatnonzero(least >= max(1, floor))
+        open_ = open_[p[to[open_]] > p[open_]]
+        while len(open_):
+            over = to[open_]
+            least_now, to_now = np.minimum(least[open_], least[over]), to[over]
+            least[open_], to[open_] = least_now, to_now
+            open_ = open_[(least_now >= max(1, floor)) & (to_now >= 0)]
+            open_ = open_[p[to[open_]] > p[open_]]
+        least[to < 0] = 0
+        ended = np.where(p[np.maximum(to, 0)] < p, least, 0) if n else least
+        out = np.maximum(out, ended[::-1] if back else ended)
+    return out
+
+
 def lpf(text: np.ndarray) -> np.ndarray:
     """For each place the length of the longest string there that also starts earlier."""
     n = len(text)
-    order, _ = suffix_order(text)
-    values, order = text.tolist(), order.tolist()
-    place = [0] * n
-    for r, p in enumerate(order):
-        place[p] = r
-    common, h = [0] * (n + 1), 0  # of the suffixes at r - 1 and r (Kasai)
+    order, rank = suffix_order(text)
+    common, h = np.zeros(n, np.int64), 0  # of the suffixes at ranks r - 1 and r (Kasai)
+    values, rank = text.tolist(), rank - 1
     for p in range(n):
-        if place[p]:
-            q = order[place[p] - 1]
+        if rank[p]:
+            q = int(order[rank[p] - 1])
             while max(p, q) + h < n and values[p + h] == values[q + h]:
                 h += 1
-            common[place[p]] = h
+            common[rank[p]] = h
             h = max(0, h - 1)
         else:
             h = 0
-    out = [0] * n
-    open_: list[tuple[int, int]] = []  # (place, common prefix with the one below): places grow
-    for r in range(n + 1):
-        p, c = (order[r], common[r]) if r < n else (-1, 0)
-        while open_ and open_[-1][0] > p:
-            q, below = open_.pop()
-            out[q] = max(below, c)  # previous and next smaller place
-            c = min(below, c)
-        if r < n:
-            open_.append((p, c))
-    return np.array(out, np.int64)
-
-
-def neighbours(names: np.ndarray) -> np.ndarray:
-    """Per suffix, given by the name of its first `least` values, whether its previous or next smaller place shares them.
-
-    Sorted by name, suffixes that share `least` values stand together, as in suffix order, and among them places grow; so
-    the previous smaller place of one is its left neighbour, and (for later matches) the next larger one its right.
+    out = np.zeros(n, np.int64)
+    out[order] = previous_factors(order, common)
+    return out
+
+
+def window_order(data: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of `least` bytes (by which of starts), in order of their bytes, equal ones by place; and the common prefix of each with the one before.
+
+    Refined from the left: windows that share a prefix are sorted by their next 8 bytes.  Bytes that all of them share
+    besides are skipped by names of 16, 32, 64 or 128 bytes at once.  A window that shares its prefix with no other is done.
     """
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    out = np.zeros(len(names), bool)
-    out[order] = np.r_[False, same] | np.r_[same, False] if len(names) else same
+    eight, steps = packed_bytes(data, 8), [k for k in (16, 32, 64, 128) if k <= least]
+    names = dict(zip(steps, window_names(data, tuple(steps)), strict=True))
+    order, common = np.arange(len(starts)), np.full(len(starts), least, np.int64)
+    if len(starts):
+        common[0] = 0
+    # open groups: ranks that share a prefix of `deep` bytes, next to each other
+    rank, edge = np.arange(len(starts)), np.zeros(min(1, len(starts)), np.int64)
+    deep = np.zeros(len(edge), np.int64)
+    while len(rank):
+        sizes = np.diff(np.r_[edge, len(rank)])
+        for step in steps[::-1]:
+            can = deep + step <= least
+            at = starts[order[rank]] + np.repeat(np.where(can, deep, 0), sizes)
+            name = names[step][at]
+            deep += step * (can & np.logical_and.reduceat(name == np.repeat(name[edge], sizes), edge))
+        key = eight[np.minimum(starts[order[rank]] + np.repeat(deep, sizes), len(data) - 1)]
+        left = np.repeat(np.minimum(least - deep, 8), sizes)
+        key = np.where(left > 0, key >> (np.uint64(8) * (8 - np.maximum(left, 1)).astype(np.uint64)), np.uint64(0))
+        group = np.repeat(np.arange(len(edge)), sizes)
+        by = np.lexsort((key, group))
+        order[rank], key = order[rank][by], key[by]
+        split = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+        inside = np.flatnonzero(split & np.r_[False, group[1:] == group[:-1]])  # a boundary between two of one group
+        apart = (key[inside] ^ key[inside - 1]).astype(np.uint64)
+        high = np.frexp(apart.astype(np.float64))[1]  # bits up to the first that differs; rounding up a power is put right below
+        high = np.where(np.left_shift(np.uint64(1), (high - 1).astype(np.uint64)) > apart, high - 1, high)
+        common[rank[inside]] = deep[group[inside]] + left[inside] - -(-high // 8)
+        edge = np.flatnonzero(split)
+        deep = np.minimum(deep[group[edge]] + 8, least)
+        sizes = np.diff(np.r_[edge, len(rank)])
+        go = np.repeat((sizes > 1) & (deep < least), sizes)
+        kept = (sizes > 1) & (deep < least)
+        rank, sizes, deep = rank[go], sizes[kept], deep[kept]
+        edge = np.cumsum(sizes) - sizes
+    return order, common
+
+
+def repeated(data: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Per start (rising), whether its longest earlier or later match among the starts has `least` bytes."""
+    order, common = window_order(data, starts, least)
+    place = starts[order]
+    out = np.zeros(len(starts), bool)
+    out[order] = (previous_factors(place, common, least) >= least) | (previous_factors(-place, common, least) >= least)
     return out
 
 
 def repeats(text: np.ndarray, least: int, starts: np.ndarray) -> np.ndarray:
-    """Per start, whether the `least` values there start at another of the starts too: lpf() cut off at `least`, both ways."""
-    return neighbours(suffix_order(text, least)[1][starts])
+    """repeated() of a sequence of small numbers."""
+    return repeated(text.astype(np.uint8), starts, least)
 
 
 def packed_bytes(data: np.ndarray, step: int) -> np.ndarray:
@@ -115,9 +173,9 @@ def packed_bytes(data: np.ndarray, step: int) -> np.ndarray:
     return out
 
 
-def window_names(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+def window_names(data: np.ndarray, lengths: tuple[int, ...], seed: int = 0) -> list[np.ndarray]:
     """Names of the strings of each of these lengths (rising, at least 8) at each place, made by doubling; equal strings have equal names."""
-    name, n, out = mixed(packed_bytes(data, 8)), 8, []
+    name, n, out = mixed(packed_bytes(data, 8) ^ np.uint64(seed)), 8, []
     for to in lengths:
         while n < to:
             step = min(n, to - n)
@@ -132,7 +190,7 @@ def window_names(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]
 class Anchors:
     """Anchors of one group's texts: where they are, their windows' range, and hashes of anchor and stretch."""
 
-    def __init__(self, raws: list[bytes], least: int, gram: int):
+    def __init__(self, raws: list[bytes], least: int, gram: int, crowd: int = 256):
         self.raws, self.least = raws, least
         self.sizes = np.array([len(r) for r in raws], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
@@ -157,6 +215,15 @@ class Anchors:
         self.example = order[new]  # an occurrence of each distinct (anchor, stretch), sorted
         self.keys, self.stretches = self.anchor[self.example], self.stretch[self.example]
         self.twice = np.bincount(self.which, minlength=len(self.keys)) > 1
+        # what is asked for: each (anchor, stretch), but an anchor with more than `crowd` stretches here as one entry
+        new_key = np.r_[True, self.keys[1:] != self.keys[:-1]] if len(self.keys) else np.zeros(0, bool)
+        of_key = np.cumsum(new_key) - 1
+        crowded = np.bincount(of_key, minlength=1)[of_key] > crowd
+        entry = new_key | ~crowded
+        self.entry_of = np.cumsum(entry) - 1
+        self.crowded_pair = crowded
+        self.entry_keys, self.entry_stretches = self.keys[entry], np.where(crowded, 0, self.stretches)[entry].astype(np.uint64)
+        self.entry_twice, self.entry_crowded = (self.twice & ~crowded)[entry], crowded[entry]
 
     def of_slice(self, at: int, to: int, gram: int) -> tuple[np.ndarray, ...]:
         least = self.least
@@ -195,57 +262,71 @@ class Anchors:
         start = first - int(self.offsets[doc])
         return self.raws[doc][start : start + last - first + self.least]
 
-    def window_keys(self, k: int) -> np.ndarray:
-        """Hashes of the windows of occurrence k."""
-        text = self.stretch_bytes(k)
-        digest = [hashlib.blake2b(text[i : i + self.least], digest_size=8).digest() for i in range(len(text) - self.least + 1)]
-        return np.frombuffer(b"".join(digest), "<u8")
-
     def codes(self, answers: list[dict], n_buckets: int) -> np.ndarray:
-        code = np.zeros(len(self.keys), np.uint8)
-        at = spans_of(ask(self.keys, n_buckets), n_buckets)
+        code = np.zeros(len(self.entry_keys), np.uint8)
+        at = spans_of(ask(self.entry_keys, n_buckets), n_buckets)
         for row in answers:
             if row["kind"] == 0:
                 code[at[row["bucket"]] : at[row["bucket"] + 1]] = np.frombuffer(row["told"], np.uint8)
-        return code
+        code = code[self.entry_of]
+        return np.where(self.crowded_pair, np.where(self.twice, HOT_REPEATED, HOT), code)
 
-    def windows(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct window hashes of hot stretches, whether this group has them twice, and which each window is (in order)."""
+    def windows(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct 128-bit names (two numbers) of windows of hot stretches, whether this group has them twice, and which each window is (in order)."""
         hot = np.flatnonzero(code >= HOT)
-        found = [self.window_keys(self.example[k]) for k in hot.tolist()]
-        keys, inverse = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_inverse=True)
-        weight = np.repeat(np.where(code[hot] == HOT_REPEATED, 2, 1), [len(f) for f in found]) if found else np.zeros(0)
-        return keys, np.bincount(inverse, weight, len(keys)) > 1, inverse
-
+        found = [self.stretch_bytes(k) for k in self.example[hot].tolist()]
+        counts = np.array([len(f) - self.least + 1 for f in found], np.int64)
+        first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        at = 0
+        while at < len(found):  # some MB at a time
+            to, n = at, 0
+            while to < len(found) and (to == at or n < SLICE):
+                n += len(found[to])
+                to += 1
+            data = np.frombuffer(b"".join(found[at:to]), np.uint8)
+            begins = np.cumsum([0, *map(len, found[at : to - 1])])
+            starts = np.repeat(begins - (np.cumsum(counts[at:to]) - counts[at:to]), counts[at:to]) + np.arange(int(counts[at:to].sum()))
+            first.append(window_names(data, (self.least,))[0][starts])
+            second.append(window_names(data, (self.least,), 0x5851F42D4C957F2D)[0][starts])
+            at = to
+        name, check = np.concatenate(first), np.concatenate(second)
+        order = np.lexsort((check, name))
+        new = np.r_[True, (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])] if len(order) else np.zeros(0, bool)
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        weight = np.repeat(np.where(code[hot] == HOT_REPEATED, 2, 1), counts)
+        return np.stack([name[order][new], check[order][new]]), np.bincount(inverse, weight, int(new.sum())) > 1, inverse
 
 def rows_of(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(ASKED), ASKED, strict=True)], schema=ASKED)
 
 
-def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000, with_text: bool = False) -> DataFrame:
+def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000, crowd: int = 256, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of docs(doc_id, text)."""
     if not 8 <= gram < least or least - gram > 255 or least > 2 * gram + 255:
         raise ValueError("gram must be from 8 to below least, and at most 255 less")
-    n_groups, n_buckets = groups_for(docs), max(16, -(-in_bytes(docs) // BUCKET_BYTES))
+    n_bytes = in_bytes(docs)
+    n_groups, n_buckets = groups_for(docs, n_bytes), max(16, -(-n_bytes // BUCKET_BYTES))
     base = grouped(docs, n_groups)
 
     def count(texts: pa.Table) -> pa.Table:
-        found, g = Anchors(texts.column("raw").to_pylist(), least, gram), texts.column("g")[0].as_py()
-        at = spans_of(ask(found.keys, n_buckets), n_buckets).tolist()
-        return rows_of([(b, g, 0, found.keys[i:j].tobytes() + found.stretches[i:j].tobytes(), np.packbits(found.twice[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+        found, g = Anchors(texts.column("raw").to_pylist(), least, gram, crowd), texts.column("g")[0].as_py()
+        at = spans_of(ask(found.entry_keys, n_buckets), n_buckets).tolist()
+        return rows_of([(b, g, 0, found.entry_keys[i:j].tobytes() + found.entry_stretches[i:j].tobytes(), np.packbits(found.entry_twice[i:j]).tobytes(), np.packbits(found.entry_crowded[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
     def counted(sent: pa.Table) -> pa.Table:
         data = sent.column("keys").to_pylist()
         sizes = [len(d) // 16 for d in data]
         key = np.concatenate([np.frombuffer(d, np.uint64, n) for d, n in zip(data, sizes, strict=True)])
         stretch = np.concatenate([np.frombuffer(d, np.uint64, n, 8 * n) for d, n in zip(data, sizes, strict=True)])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(sent.column("more").to_pylist(), sizes, strict=True)]).astype(bool)
+        bits = lambda c: np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(sent.column(c).to_pylist(), sizes, strict=True)]).astype(bool)
+        twice, crowded = bits("more"), bits("crowded")
         order = np.lexsort((stretch, key))
         k, s = key[order], stretch[order]
         new_key = np.r_[True, k[1:] != k[:-1]]
         new_pair = new_key | np.r_[True, s[1:] != s[:-1]]
         of_key, of_pair = np.cumsum(new_key) - 1, np.cumsum(new_pair) - 1
-        shapes = np.bincount(of_key, new_pair)[of_key]  # different stretches of the anchor
+        shapes = (np.bincount(of_key, new_pair) + (hot + 1) * np.bincount(of_key, crowded[order]))[of_key]  # different stretches of the anchor
         again = (np.bincount(of_pair) > 1) | (np.bincount(of_pair, twice[order]) > 0)
         code = np.where(shapes > 1, np.where(shapes > hot, HOT, MIXED), ONCE) + again[of_pair]
         out = np.empty(len(code), np.uint8)
@@ -253,7 +334,7 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
         return pa.Table.from_arrays([sent.column("bucket"), sent.column("g"), sent.column("kind"), pa.array([p.tobytes() for p in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())], schema=ANSWERED)
 
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found, g = Anchors(texts.column("raw").to_pylist(), least, gram), texts.column("g")[0].as_py()
+        found, g = Anchors(texts.column("raw").to_pylist(), least, gram, crowd), texts.column("g")[0].as_py()
         code = found.codes(answers.to_pylist(), n_buckets)
         rows = []
         at = spans_of(ask(found.keys, n_buckets), n_buckets).tolist()
@@ -262,20 +343,24 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
             if len(mixed_ones):
                 texts_ = [found.stretch_bytes(k) for k in found.example[mixed_ones].tolist()]
                 lengths = np.array([len(t) for t in texts_], "<u4")
-                rows.append((b, g, 1, lengths.tobytes() + b"".join(texts_), found.keys[mixed_ones].tobytes() + found.stretches[mixed_ones].tobytes()))
+                rows.append((b, g, 1, lengths.tobytes() + b"".join(texts_), found.keys[mixed_ones].tobytes() + found.stretches[mixed_ones].tobytes(), b""))
         keys, twice, _ = found.windows(code)
-        at = spans_of(ask(keys, n_buckets), n_buckets).tolist()
-        rows += [(b, g, 2, keys[i:j].tobytes(), np.packbits(twice[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        at = spans_of(ask(keys[0], n_buckets), n_buckets).tolist()
+        rows += [(b, g, 2, keys[:, i:j].tobytes(), np.packbits(twice[i:j]).tobytes(), b"") for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
         return rows_of(rows)
 
     def matched(sent: pa.Table) -> pa.Table:
         kind = sent.column("kind")[0].as_py()
         if kind == 2:
-            keys = [np.frombuffer(k, np.uint64) for k in sent.column("keys").to_pylist()]
-            twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)) for m, k in zip(sent.column("more").to_pylist(), keys, strict=True)])
-            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            keys = [np.frombuffer(k, np.uint64).reshape(2, -1) for k in sent.column("keys").to_pylist()]
+            sizes = [k.shape[1] for k in keys]
+            twice = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(sent.column("more").to_pylist(), sizes, strict=True)])
+            name, check = np.concatenate(keys, axis=1)
+            order = np.lexsort((check, name))
+            inverse = np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(np.r_[True, (name[order][1:] != name[order][:-1]) | (check[order][1:] != check[order][:-1])]) - 1
             bits = ((np.bincount(inverse) > 1) | (np.bincount(inverse, twice) > 0))[inverse]
-            told = np.split(bits, np.cumsum([len(k) for k in keys])[:-1])
+            told = np.split(bits, np.cumsum(sizes)[:-1])
         else:
             pairs, texts, owners = [], [], []
             for row, (data, more) in enumerate(zip(sent.column("keys").to_pylist(), sent.column("more").to_pylist(), strict=True)):
@@ -304,7 +389,7 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
                 begin = np.cumsum(sizes[part]) - sizes[part]
                 counts = sizes[part] - least + 1
                 starts = np.concatenate([b + np.arange(c) for b, c in zip(begin.tolist(), counts.tolist(), strict=True)])
-                hits = neighbours(window_names(codes, (least,))[0][starts])
+                hits = repeated(codes, starts, least)
                 for k, f in zip(part, np.split(hits, np.cumsum(counts)[:-1]), strict=True):
                     flags[k] = f
                 at = to
@@ -319,7 +404,7 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
         raws = texts.column("raw").to_pylist()
-        found, told = Anchors(raws, least, gram), answers.to_pylist()
+        found, told = Anchors(raws, least, gram, crowd), answers.to_pylist()
         code = found.codes(told, n_buckets)
         of = code[found.which]
         edge = np.zeros(int(found.sizes.sum()) + 1, np.int64)
@@ -337,8 +422,8 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
                 bits = np.unpackbits(np.frombuffer(row["told"], np.uint8), count=int(n.sum())).astype(bool)
                 flags |= dict(zip(ones.tolist(), np.split(bits, np.cumsum(n)[:-1]), strict=True))
         keys, _, inverse = found.windows(code)
-        if len(keys):
-            hit, at = np.zeros(len(keys), bool), spans_of(ask(keys, n_buckets), n_buckets)
+        if keys.shape[1]:
+            hit, at = np.zeros(keys.shape[1], bool), spans_of(ask(keys[0], n_buckets), n_buckets)
             for row in told:
                 if row["kind"] == 2:
                     i, j = at[row["bucket"]], at[row["bucket"] + 1]
