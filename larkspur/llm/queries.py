@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, ngram_lm, packing, quality, search, simhash, substring, suffixes, toxicity
+from . import bpe, language, ngram_lm, packing, quality, search, simhash, sql, substring, suffixes, toxicity
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -17,7 +17,8 @@ def vocabulary() -> str:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.scores(table(spark, sf_dir, "documents"))
+    out = ngram_lm.scores(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lm_scoring": sql.OP1, "op3_suffix_array_dedup": sql.OP3, "op7_top_k_search": sql.OP7, "op8_substring_dedup": sql.OP8}

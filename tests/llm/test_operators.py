@@ -6,6 +6,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import zlib
 
@@ -14,7 +15,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from larkspur.llm import bpe, components, language, ngram_lm, packing, quality, search, simhash, substring, suffixes, toxicity
+from larkspur.llm import bpe, common, components, language, ngram_lm, packing, quality, search, simhash, substring, suffixes, toxicity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -66,20 +67,44 @@ def test_lm_scores(odd, none):
     assert ngram_lm.scores(none).count() == 0
 
 
+def test_lm_lanes(monkeypatch):
+    """Lanes end in the states that whole texts are in."""
+    random.seed(9)
+    raws = [" ".join(random.choice("abcd") for _ in range(n)).encode() for n in (0, 1, 2, 40, 41, 42, 200)]
+    for order in (1, 2, 3, 4):
+        grams = ngram_lm.Grams(raws, order)
+        counts = grams.training_counts(np.arange(len(raws)) % 3 > 0)
+        automaton = ngram_lm.Automaton(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 2.0)
+        whole = automaton.read()
+        for lane in (4, 7, 41):
+            monkeypatch.setattr(ngram_lm, "LANE", lane)
+            assert np.array_equal(automaton.read(), whole)
+
+
 def test_automaton_sums_to_one():
     """From any state the arcs of all words, and what an unseen word gets, sum to 1."""
-    grams = ngram_lm.Grams([b"a b a c", b"a b b"], 2)
-    counts = grams.training_counts(np.array([True, True])).astype(np.uint64)
-    vocabulary = [b"a", b"b", b"c"]
-    total = 0.0
-    for w in [*vocabulary, b"unseen"]:
-        probe = ngram_lm.Grams([b"a " + w], 2)
-        table = dict(zip(grams.keys.tolist(), counts.tolist(), strict=True))
-        own = np.array([table.get(k, 0) for k in probe.keys.tolist()], np.uint64)
-        total += math.exp(probe.log_probabilities(own, 9, 4, 2, 3.0)[0][1])
-    probe = ngram_lm.Grams([b"a"], 2)
-    own = np.array([table.get(k, 0) for k in probe.keys.tolist()], np.uint64)
-    assert total + math.exp(probe.log_probabilities(own, 9, 4, 2, 3.0)[0][1]) == pytest.approx(1.0)
+    for order in (1, 2, 3):
+        grams = ngram_lm.Grams([b"a b a c", b"a b b"], order)
+        table = {k: c for keys, counts in zip(grams.keys, grams.training_counts(np.array([True, True])), strict=True) for k, c in zip(keys.tolist(), counts.tolist(), strict=True)}
+
+        def last(text):
+            probe = ngram_lm.Grams([text], order)
+            counts = [np.array([table.get(k, 0) for k in keys.tolist()], np.uint64) for keys in probe.keys]
+            return ngram_lm.Automaton(probe, counts, 9, 4, 3.0).read()
+
+        for context in (b"", b"a", b"a b", b"b b", b"c c", b"x", b"a x", b"b a"):
+            n = len(context.split())
+            words = [math.exp(last(context + b" " + w)[n]) for w in (b"a", b"b", b"c", b"unseen")]
+            assert sum(words) + math.exp(last(context)[n]) == pytest.approx(1.0)
+
+
+def test_lm_keys():
+    random.seed(3)
+    for n in (0, 1, 5, 1000):
+        keys = np.unique(np.array([random.getrandbits(64) for _ in range(n)], np.uint64))
+        assert np.array_equal(ngram_lm.keys_of(ngram_lm.key_bytes(keys), len(keys)), keys)
+        counts = np.array([random.choice([0, 1, 2, 254, 255, 256, 10**12]) for _ in range(n)], np.uint64)
+        assert np.array_equal(ngram_lm.unsqueezed(ngram_lm.squeezed(counts), n), counts)
 
 
 def test_toxicity_learns_pairs():
@@ -93,11 +118,39 @@ def test_toxicity_learns_pairs():
         data.append((" ".join(words), float(a and b or not a and not b)))
     x = [toxicity.terms_of(t.encode()) for t, _ in data]
     y = np.array([v for _, v in data])
-    model = toxicity.fit(x[:2000], y[:2000], sure=0.0, rounds=150)
+    model = toxicity.fit(x[:2000], y[:2000])
     right = (model.raw(x[2000:]) > 0) == (y[2000:] > 0.5)
     assert right.mean() > 0.9
 
 
+def test_toxicity_pair_sum():
+    """Scores are those of an explicit sum over pairs."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(0.3, np.arange(0, 40, 2), rng.normal(size=20), rng.normal(size=(20, 4)))
+    rows = [np.sort(rng.choice(50, size=n, replace=False)) for n in (0, 1, 2, 7, 30)]
+    for row, raw in zip(rows, model.raw(rows), strict=True):
+        at = [t // 2 for t in row.tolist() if t % 2 == 0 and t < 40]
+        pairs = sum(float(model.v[s] @ model.v[t]) for s, t in itertools.combinations(at, 2))
+        assert raw == pytest.approx(0.3 + sum(model.w[s] for s in at) + pairs)
+
+
+def test_telling_pairs():
+    """The score test of all pairs, over several tiles, against a loop."""
+    rng = np.random.default_rng(4)
+    x = rng.random((600, 30)) < 0.2
+    y = (rng.random(600) < np.where(x[:, 3] & x[:, 17], 0.9, 0.2)).astype(float)
+    p = np.full(600, y.mean())
+    owner, flat = np.nonzero(x)
+    limit, expected = np.sqrt(2 * np.log(30 * 29 / 2)) + 1, set()
+    for s, t in itertools.combinations(range(30), 2):
+        both = x[:, s] & x[:, t]
+        if both.sum() >= 5 and abs((p - y)[both].sum()) >= limit * np.sqrt((p * (1 - p))[both].sum()):
+            expected |= {s, t}
+    assert {3, 17} <= expected
+    for tile in (7, 1024):
+        assert set(toxicity.telling_pairs(owner, flat, p - y, p, 30, 5, tile).tolist()) == expected
+
+
 def test_toxicity_table(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/../sf0.01/{n}.parquet") for n in ("documents", "labels"))
     out = toxicity.scored(docs, toxicity.learnt(docs, labels))
@@ -144,11 +197,25 @@ def brute_repeats(all_texts, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("least", "gram", "hot"), [(200, 32, 20_000), (200, 32, 1), (40, 8, 20_000), (40, 16, 1)])
-def test_suffix_dedup(odd, none, least, gram, hot):
+@pytest.mark.parametrize(("least", "gram", "hot", "crowd"), [(200, 32, 20_000, 256), (200, 32, 1, 256), (40, 8, 20_000, 256), (40, 16, 1, 1), (40, 16, 20_000, 1)])
+def test_suffix_dedup(odd, none, least, gram, hot, crowd):
     expected = brute_repeats([(d, t.encode()) for d, t in texts(odd)], least)
-    assert rows(suffixes.cleaned(odd, least, gram, hot)) == expected
-    assert suffixes.cleaned(none, least, gram, hot).count() == 0
+    assert rows(suffixes.cleaned(odd, least, gram, hot, crowd)) == expected
+    assert suffixes.cleaned(none, least, gram, hot, crowd).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [256, 3])
+def test_suffix_dedup_of_crowds(spark, crowd):
+    """A passage in many different surroundings, cut at its ends by some bytes, and copies of it."""
+    random.seed(8)
+    letters = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = letters(300)
+    data = [(i, letters(random.randint(0, 120)) + passage[random.randint(0, 60) : 300 - random.randint(0, 60)] + letters(random.randint(0, 120))) for i in range(60)]
+    data += [(100 + i, data[i][1]) for i in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    expected = brute_repeats([(d, t.encode()) for d, t in data], 200)
+    assert sum(r[2] for r in expected) > 3000
+    assert rows(suffixes.cleaned(df, crowd=crowd)) == expected
 
 
 def test_lpf():
@@ -166,6 +233,22 @@ def test_lpf():
         assert suffixes.repeats(t, least, starts).tolist() == [words[tuple(t[i : i + least])] > 1 for i in starts]
 
 
+def test_window_order():
+    """Windows in order of their bytes, ties by place, and their common prefixes."""
+    random.seed(3)
+    for _ in range(80):
+        n, least = random.randint(0, 400), random.choice([1, 3, 8, 9, 17, 40, 140, 200])
+        unit = [random.randint(0, 255) for _ in range(random.choice([1, 2, 7, 150]))]
+        data = np.array([unit[i % len(unit)] if random.random() < 0.99 else random.randint(0, 255) for i in range(n)], np.uint8)
+        starts = np.array([i for i in range(max(0, n - least + 1)) if random.random() < 0.8], np.int64)
+        windows = [data[i : i + least].tobytes() for i in starts]
+        order, common = suffixes.window_order(data, starts, least)
+        assert order.tolist() == sorted(range(len(windows)), key=lambda i: (windows[i], i))
+        for r in range(1, len(order)):
+            a, b = windows[order[r - 1]], windows[order[r]]
+            assert common[r] == next((k for k in range(least) if a[k] != b[k]), least)
+
+
 def brute_quality(text):
     import re
 
@@ -188,6 +271,78 @@ def test_quality(spark, sf, odd, none):
     assert quality.judged(none).count() == 0
 
 
+def brute_distances(groups, core=0.75, steps=3, prior=20.0):
+    """{vector: squared distance} of each group {(lang, source): vectors}, step by step in numpy."""
+    floors = np.diag(np.square(quality.FLOORS))
+    factor = core / quality.chi_square_cdf(quality.chi_square_value(core, 4), 6)
+    quantile = lambda v, q: np.sort(v)[max(0, math.ceil(q * len(v)) - 1)]
+
+    def far(x, m, c):
+        return np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)
+
+    def step(x, m, c):
+        d = far(x, m, c)
+        inside = x[d <= quantile(d, core) * (1 + 1e-12)]
+        return inside.mean(axis=0), np.cov(inside.T, bias=True) * factor + floors
+
+    def estimate(x):
+        m = np.array([quantile(v, 0.5) for v in x.T])
+        d = np.sqrt((1.4826 * np.array([quantile(np.abs(v - a), 0.5) for v, a in zip(x.T, m, strict=True)])) ** 2 + np.square(quality.FLOORS))
+        z = (x - m) / d
+        r = (z * z).sum(axis=1)
+        sign = np.where(r > 0, 1 / np.where(r > 0, r, 1), 0)[:, None] * z
+        found = []
+        for shape in (np.eye(4), 4 * sign.T @ z / len(x), np.tanh(z).T @ np.tanh(z) / len(x)):
+            now = (m, shape * np.outer(d, d) + floors)
+            now = step(x, *step(x, *now))
+            found.append((round(0.5 * np.linalg.slogdet(now[1])[1], 9), len(found), now))
+        now = min(found, key=lambda f: f[:2])[2]
+        for _ in range(steps):
+            now = step(x, *now)
+        return now
+
+    distinct = lambda rows_: np.array(sorted(set(rows_)))
+    mix = lambda n, own, other: tuple((n * a + prior * b) / (n + prior) for a, b in zip(own, other, strict=True))
+    whole = estimate(distinct(v for vs in groups.values() for v in vs))
+    out = {}
+    for (lang, source), vs in groups.items():
+        of_lang = distinct(v for (g, _), more in groups.items() for v in more if g == lang)
+        own = distinct(vs)
+        now = mix(len(own), estimate(own), mix(len(of_lang), estimate(of_lang), whole))
+        out[lang, source] = dict(zip(map(tuple, own.tolist()), far(own, *now), strict=True))
+    return out
+
+
+def test_quality_distances(spark, sf):
+    """Distances and verdicts against the same estimate in numpy; groups of 1 to some hundred vectors."""
+    random.seed(12)
+    word = lambda n: "".join(random.choice("abcdefghij") for _ in range(random.randint(n, n + 4)))
+    data = []
+    for lang, source, many, n in (("en", "a", 90, 3), ("en", "b", 12, 3), ("en", "c", 1, 3), ("de", "a", 40, 6), ("de", "b", 5, 6), (None, "a", 3, 4), ("fr", None, 2, 5)):
+        for _ in range(many):
+            text = " ".join(word(n) + random.choice(["", "", "", "", "$", "#*"]) for _ in range(random.randint(60, 140)))
+            line = word(n) + " " + word(n) + " " + word(n) + " " + word(n)
+            data.append((len(data), text + f"\n{line}" * random.choice([0, 0, 0, 2, 3]), lang, source))
+    data += [(len(data) + i, "***".join(word(3) + " " for _ in range(90)), "en", "a") for i in range(4)] + data[:6]
+    schema = "doc_id long, text string, lang string, source string"
+    for df in (spark.createDataFrame(data, schema), spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")):
+        got = quality.judged(df).collect()
+        rate = lambda r, c: math.log1p(100.0 * r[c] / r["n_words"])
+        vector = lambda r: (math.log(r["word_chars"] / r["n_words"]), rate(r, "n_symbols"), rate(r, "n_dup_lines"), rate(r, "n_repeat_words"))
+        groups = collections.defaultdict(list)
+        for r in got:
+            if not r["base_failed"]:
+                groups[r["lang"], r["source"]].append(vector(r))
+        expected = brute_distances(groups)
+        for r in got:
+            if r["base_failed"]:
+                assert r["distance"] is None and not r["kept"]
+            else:
+                d = expected[r["lang"], r["source"]][vector(r)]
+                assert r["distance"] == pytest.approx(d, rel=1e-6, abs=1e-9)
+                assert r["kept"] == (d <= quality.chi_square_value(1 - 1e-9, 4))
+
+
 def test_quality_outliers(spark):
     """Vectors of one kind and a few far off, with copies; the outliers go, in their group only."""
     random.seed(5)
@@ -251,6 +406,31 @@ def test_packing_tree(odd, monkeypatch):
     assert used <= -(-total // 512) + 2
 
 
+def test_packing_keeps_ids(spark):
+    """Ids over 2**53 beside rows without one."""
+    data = [((1 << 60) + 1, "a b c"), (None, "d e"), ((1 << 60) + 3, "f"), (None, None), (-(1 << 60) - 1, "g")]
+    out = packing.packed(spark.createDataFrame(data, "doc_id long, text string"), PATH, 16).collect()
+    assert sorted((r["doc_id"] for r in out), key=repr) == sorted((d for d, _ in data), key=repr)
+
+
+def test_packing_rounds(spark, monkeypatch):
+    """One bin at most half full in each of many parts: all that can join do, over four rounds, and full bins stay where they are."""
+    monkeypatch.setattr(packing, "PART_BYTES", 1)
+    monkeypatch.setattr(packing, "in_bytes", lambda df: 40)
+    random.seed(5)
+    data = [(i, " ".join(random.choice(["the", "of", "and"]) for _ in range(random.choice([5, 9, 14, 30])))) for i in range(200)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for carry in (3, 1000):  # no two sequences that are left would fit into one
+        out = packing.packed(df, PATH, 64, fan=3, carry=carry).collect()
+        check_packing(out, data, 64)
+        held = collections.Counter()
+        for r in out:
+            held[r["sequence_id"]] += r["length"]
+        assert sum(sorted(held.values())[:2]) > 64
+    with pytest.raises(ValueError):
+        packing.packed(df, PATH, 64, fan=8, carry=7)
+
+
 def test_best_fit_order():
     bins, offsets, held = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8] and held == [10, 10]
@@ -278,27 +458,27 @@ def test_bpe_random():
         assert codec.decode(codec.encode(text)) == t.decode(ids, skip_special_tokens=False)
 
 
-@pytest.mark.parametrize("dense", [32, 1_000_000, 2])
-def test_search(odd, none, dense):
-    docs = odd.where("doc_id is not null")
-    words = [(d, t.encode().lower().split()) for d, t in texts(docs)]
-    counts = [(d, collections.Counter(w), len(w)) for d, w in words]
+@pytest.mark.parametrize(("dense_bytes", "segment_bytes"), [(48 << 20, 10 << 20), (0, 10 << 20), (700, 5000)])
+def test_search(spark, odd, none, monkeypatch, dense_bytes, segment_bytes):
+    monkeypatch.setattr(search, "SEGMENT_BYTES", segment_bytes)
+    monkeypatch.setattr(search, "QUERY_BYTES", segment_bytes)
+    random.seed(6)
+    more = [(100 + i, " ".join(random.choice("abcdefghijkl") + random.choice(["", "1", "2"]) for _ in range(random.randint(1, 60)))) for i in range(120)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    counts = [(d, collections.Counter(w), len(w)) for d, w in ((d, t.encode().lower().split()) for d, t in texts(docs)) if d is not None]
     df = collections.Counter(x for _, c, _ in counts for x in c)
     n, mean = len(counts), sum(x for _, _, x in counts) / len(counts)
-    expected = collections.defaultdict(list)
+    expected = collections.Counter()
     for q, qc, _ in counts:
         if q % 4 == 0:
-            scored = sorted((-sum(k * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * x / mean)) for w, k in qc.items() if w in c), d) for d, c, x in counts)
-            expected[q] += [(round(-s, 6), d) for s, d in scored if s < 0][:3]
-    got = collections.defaultdict(list)
-    for r in search.top_k(odd, every=4, k=3, dense=dense).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((round(r["score"], 6), r["doc_id"]))
-    assert {q: v for q, v in got.items() if q != 16} == {q: v for q, v in expected.items() if v and q != 16}
+            scored = [(-round(sum(k * math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * x / mean)) for w, k in qc.items() if w in c), 6), d) for d, c, x in counts]
+            expected.update((q, rank + 1, d, -s) for rank, (s, d) in enumerate(sorted(x for x in scored if x[0] < 0)[:3]))
+    assert collections.Counter(map(tuple, search.top_k(docs, every=4, k=3, dense_bytes=dense_bytes).collect())) == expected
     assert search.top_k(none).count() == 0
 
 
 def test_substring(odd, none, spark, sf):
-    for df, window in ((odd, 13), (odd, 3), (odd, 4), (spark.read.parquet(f"{sf}/documents.parquet"), 13)):
+    for df, window, first in ((odd, 13, 7), (odd, 13, 2), (odd, 13, 13), (odd, 50, 7), (odd, 3, 2), (odd, 4, 1), (odd, 200, 4), (spark.read.parquet(f"{sf}/documents.parquet"), 13, 7)):
         words = [(d, t.encode().split()) for d, t in texts(df)]
         least = {}
         order = lambda d: math.inf if d is None else d
@@ -313,10 +493,17 @@ def test_substring(odd, none, spark, sf):
                 if least[tuple(w[i : i + window])] < order(d):
                     gone[i : i + window] = [True] * window
             expected.append((d, len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
-        assert rows(substring.deduplicated(df, window)) == sorted(expected, key=repr)
+        assert rows(substring.deduplicated(df, window, first)) == sorted(expected, key=repr)
     assert substring.deduplicated(none).count() == 0
 
 
+def test_ladder(spark):
+    assert substring.ladder(13, 7) == [7, 13] and substring.ladder(13, 2) == [2, 4, 7, 13] and substring.ladder(5, 9) == [5] and substring.ladder(1, 0) == [1]
+    different = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(6)], "doc_id long, text string")
+    out = substring.deduplicated(different, 13, 2).collect()  # no candidates survive the first level
+    assert len(out) == 6 and {r["n_removed"] for r in out} == {0}
+
+
 def brute_fingerprint(text, width):
     import xxhash
 
@@ -345,19 +532,19 @@ def brute_components(fp):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("chunk", [8192, 2])
-def test_simhash(odd, none, chunk):
+@pytest.mark.parametrize(("chunk", "paired"), [(8192, simhash.PAIRED), (2, simhash.PAIRED), (8192, 1), (2, 1)])
+def test_simhash(odd, none, chunk, paired):
     docs = odd.where("doc_id is not null")
     fp = {d: brute_fingerprint(t, 4) for d, t in texts(docs)}
     top = brute_components(fp)
-    out = simhash.near_duplicates(odd, chunk=chunk)
+    out = simhash.near_duplicates(odd, chunk=chunk, paired=paired)
     assert out.count() == odd.count()
     assert {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in out.where("doc_id is not null").collect()} == {(d, f"{fp[d]:016x}", top[d]) for d in fp}
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [8192, 8])
-def test_simhash_links(spark, chunk):
+@pytest.mark.parametrize(("chunk", "paired"), [(8192, simhash.PAIRED), (8, simhash.PAIRED), (8192, 1), (8, 1)])
+def test_simhash_links(spark, chunk, paired):
     """Chains and clusters of fingerprints at distances around the threshold."""
     random.seed(7)
     fp, n = {}, 0
@@ -372,7 +559,7 @@ def test_simhash_links(spark, chunk):
     for i, f in fp.items():
         reps.setdefault(f, i)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)), i) for f, i in reps.items()], "fp long, rep long")
-    found = {r["node"]: r["component"] for r in components.components(simhash.links(df, 4, chunk)).collect()}
+    found = {r["node"]: r["component"] for r in components.components(simhash.links(df, 4, chunk, paired)).collect()}
     expected = brute_components({i: f for f, i in reps.items()})
     assert {i: found.get(i, i) for i in expected} == expected
 
@@ -394,6 +581,21 @@ def test_golay_covers():
     assert count.tolist() == [1] * 2048 and len(start) == 2048
 
 
+def test_paired_anchors():
+    """Fingerprints up to 4 bits apart share an anchor of two blocks, wherever the bits are."""
+    random.seed(4)
+    x = np.array([random.getrandbits(64) for _ in range(400)], np.uint64)
+    y = x.copy()
+    for i in range(400):
+        at = random.choice([0, 23, 46])  # half of them with all bits in one block
+        y[i] ^= np.uint64(sum(1 << b for b in (random.sample(range(64), 4) if i % 2 else random.sample(range(at, min(at + 23, 64)), 4))))
+    keys = [collections.defaultdict(set), collections.defaultdict(set)]
+    for got, v in zip(keys, (x, y), strict=True):
+        for r, k in zip(*(a.tolist() for a in simhash.paired_anchors(v)), strict=True):
+            got[r].add(k)
+    assert all(keys[0][i] & keys[1][i] for i in range(400))
+
+
 def test_language(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
     field = language.learnt(docs, sample=60, n=1500)
@@ -432,6 +634,85 @@ def test_language_marginals():
         at += n
 
 
+def test_language_marginals_by_enumeration():
+    """Marginals of places and of transitions against sums over all label sequences."""
+    rng = np.random.default_rng(5)
+    k, n = 3, 6
+    e, trans = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+    single, pair, z = np.zeros((n, k)), np.zeros((k, k)), 0.0
+    for labels in itertools.product(range(k), repeat=n):
+        weight = math.exp(sum(e[i, a] for i, a in enumerate(labels)) + sum(trans[a, b] for a, b in itertools.pairwise(labels))) * np.exp(trans)[:, labels[0]].sum()
+        z += weight
+        for i, a in enumerate(labels):
+            single[i, a] += weight
+        for a, b in itertools.pairwise(labels):
+            pair[a, b] += weight
+    assert np.allclose(language.marginals(e, np.exp(trans), np.array([n])), single / z)
+    assert np.allclose(language.pair_marginals(e[None], np.exp(trans)), pair / z)
+
+
+def test_language_gradient():
+    """Expected less observed features are the slope of the negative log-likelihood."""
+    rng = np.random.default_rng(6)
+    k, n = 3, 5
+    e, trans, gold = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.integers(0, k, n)
+
+    def loss(e, trans):
+        v = np.exp(e[0]) * np.exp(trans).sum(axis=0)  # every label stands before the first alike
+        for i in range(1, n):
+            v = (v @ np.exp(trans)) * np.exp(e[i])
+        own = sum(e[i, gold[i]] for i in range(n)) + sum(trans[gold[i], gold[i + 1]] for i in range(n - 1))
+        return math.log(v.sum()) - own
+
+    slope = language.marginals(e, np.exp(trans), np.array([n]))
+    slope[np.arange(n), gold] -= 1
+    for i, a in ((0, 1), (2, 0), (4, 2)):
+        up, down = e.copy(), e.copy()
+        up[i, a] += 1e-5
+        down[i, a] -= 1e-5
+        assert (loss(up, trans) - loss(down, trans)) / 2e-5 == pytest.approx(slope[i, a], abs=1e-6)
+
+
+def test_language_predictions(spark, sf):
+    """Labels and scores of texts against the plain recursion, word by word."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    field = language.learnt(docs, sample=40, n=600)
+    got = {r["doc_id"]: r for r in language.predicted(docs, field).collect()}
+    a = np.exp(field.trans)
+    for d, t in texts(docs)[:60]:
+        cores = [language.core(w) for w in t.encode().split()]
+        if not any(cores):
+            assert (got[d]["lang_pred"], got[d]["score"]) == ("und", 0.0)
+            continue
+        x = np.exp(field.emissions(cores))
+        forward, v = [], np.full(len(field.languages), 1.0)
+        for row in x:
+            v = (v @ a) * row
+            v = v / v.sum()
+            forward.append(v)
+        v, sums = np.ones(len(field.languages)), np.zeros(len(field.languages))
+        for i in range(len(x) - 1, -1, -1):
+            p = forward[i] * v
+            sums += p / p.sum() * bool(cores[i])
+            v = a @ (x[i] * v)
+            v = v / v.sum()
+        assert got[d]["lang_pred"] == field.languages[int(sums.argmax())]
+        assert got[d]["score"] == pytest.approx(sums.max() / sum(map(bool, cores)))
+
+
+def test_language_of_long_texts(spark):
+    """A language that only has texts over `longest` bytes is learnt, with spaces or without."""
+    random.seed(2)
+    word = lambda letters: "".join(random.choice(letters) for _ in range(random.randint(2, 8)))
+    data = [(i, " ".join(word("abcdefg") for _ in range(50)), "xx") for i in range(40)] + [(100 + i, " ".join(word("rstuvwx") for _ in range(4000)), "yy") for i in range(40)]
+    data += [(200 + i, "".join(word("\u3042\u3044\u3046") for _ in range(900)), "zz") for i in range(40)]
+    field = language.learnt(spark.createDataFrame(data, "doc_id long, text string, lang string"), sample=20, longest=2000, n=400)
+    assert field.languages == ["xx", "yy", "zz"]
+    probe = spark.createDataFrame([(1, "gfe abc dab", "xx"), (2, "xwv tuv rst", "yy"), (3, "\u3042\u3044\u3046\u3042", "zz")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.predicted(probe, field).collect()} == {1: "xx", 2: "yy", 3: "zz"}
+    assert language.runs(b"a b c", 10, 1) == [b"a b c"] and sum(map(len, language.runs(b"ab " * 9000, 1600, 7))) <= 1600
+
+
 def test_language_switches():
     """Words of two languages in one text are told apart."""
     en, de = [f"the{i}ing {i}tion" for i in range(40)], [f"die{i}ung {i}keit" for i in range(40)]
@@ -442,9 +723,9 @@ def test_language_switches():
 
 
 def test_components(spark):
-    edges = [(i + 1, i) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
+    edges = [(i + 1, i) for i in range(300)] + [(1000, k) for k in range(1001, 1040)] + [(7, 7), (2000, 2001), (2001, 2000)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
-    assert got == {i: 0 for i in range(31)} | {k: 100 for k in range(100, 140)} | {200: 200, 201: 200}
+    assert got == {i: 0 for i in range(301)} | {k: 1000 for k in range(1000, 1040)} | {2000: 2000, 2001: 2000}
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -476,8 +757,8 @@ def brute_similar(texts_, width=5):
     return {d: top(first[s]) for d, s in sets.items()}, pairs
 
 
-@pytest.mark.parametrize("chunk", [8192, 8])
-def test_similar_documents(spark, odd, none, chunk):
+@pytest.mark.parametrize(("chunk", "cell"), [(8192, 1 << 20), (8, 300)])
+def test_similar_documents(spark, odd, none, chunk, cell):
     """Pairs around 0.8 that are many bits apart, a chain, and odd rows."""
     random.seed(5)
     rows_, n = [(r["doc_id"], r["text"]) for r in odd.where("doc_id is not null").collect()], 100
@@ -492,7 +773,7 @@ def test_similar_documents(spark, odd, none, chunk):
     bits = [bin(brute_fingerprint(dict(rows_)[a] or "", 5) ^ brute_fingerprint(dict(rows_)[b] or "", 5)).count("1") for a, b in pairs]
     assert sum(b > 4 for b in bits) > 20
     df = spark.createDataFrame([*rows_, (None, rows_[-1][1])], "doc_id long, text string")
-    got = simhash.similar_documents(df, chunk=chunk).collect()
+    got = simhash.similar_documents(df, chunk=chunk, cell=cell).collect()
     assert len(got) == len(rows_) + 1
     assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == expected
     assert simhash.similar_documents(none).count() == 0
@@ -521,3 +802,38 @@ def test_search_of_repeated_rows(spark):
     assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert sorted((r["rank"], r["doc_id"]) for r in got)[:4] == [(1, 16), (1, 16), (2, 16), (2, 16)]
     assert len({r["doc_id"] for r in got}) == 4
+
+
+def test_shared_folder(spark, monkeypatch):
+    """A machine-local folder is for a local master only; what was stored can be removed."""
+    df = common.stored(spark.range(3), "probe")
+    path = df.inputFiles()[0]
+    assert df.count() == 3 and os.path.exists(path.removeprefix("file:").replace("///", "/"))
+
+    class Elsewhere:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = {}, Elsewhere  # noqa: RUF012
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
+def test_looked_up(spark, monkeypatch):
+    """The salted join gives what the broadcast gives."""
+    rows_ = spark.createDataFrame([(i % 3, i) for i in range(50)] + [(9, 99)], "k long, x long")
+    few = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k long, y string")
+    for how in ("inner", "left"):
+        small = rows(common.looked_up(rows_, few, "k", how=how))
+        monkeypatch.setattr(common, "SMALL_ROWS", 0)
+        assert rows(common.looked_up(rows_, few, "k", how=how)) == small and len(small) == 50 + (how == "left")
+        assert rows(common.without(rows_, few.select("k"), "k")) == [(9, 99)]
+        monkeypatch.undo()
+
+
+def test_memo_bytes():
+    made = []
+    memo = common.Memo(lambda k: made.append(k) or len(k), most=3, most_bytes=10)
+    assert [memo[k] for k in ("a", "b", "a", "c", "d", "a", "x" * 9, "yy")] == [1, 1, 1, 1, 1, 1, 9, 2]
+    assert len(memo) <= 3 and made == ["a", "b", "c", "d", "a", "x" * 9, "yy"]

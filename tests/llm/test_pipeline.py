@@ -69,8 +69,8 @@ def test_empty(spark, folder, tmp_path):
 def test_rejected_documents_go(spark, folder, monkeypatch):
     """What toxicity predicts takes effect."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    marked = docs.select("doc_id", F.when(F.col("doc_id").isin(3, 9), 1).otherwise(0).alias("predicted"))
-    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda d, m: marked)
+    marked = F.when(F.col("doc_id").isin(3, 9), 1).otherwise(0).alias("predicted")
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda d, m, carry=(): d.select("doc_id", marked, *carry))
     monkeypatch.setattr(corpus_pipeline.toxicity, "learnt", lambda d, lab: None)
     left = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()}
     assert left == {r["doc_id"] for r in docs.collect()} - {3, 9}
@@ -95,7 +95,7 @@ def test_rows_without_id_are_judged(spark, folder, monkeypatch):
     docs = spark.createDataFrame(good + alone, schema)
     left = corpus_pipeline.drop_low_quality(spark, docs, folder).where("doc_id is null").collect()
     assert [r["n_chars"] for r in left] == [1]
-    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda d, m: d.select("doc_id", F.coalesce(F.col("text").contains("short"), F.lit(False)).cast("int").alias("predicted")))
+    monkeypatch.setattr(corpus_pipeline.toxicity, "scored", lambda d, m, carry=(): d.select("doc_id", *carry, F.coalesce(F.col("text").contains("short"), F.lit(False)).cast("int").alias("predicted")))
     monkeypatch.setattr(corpus_pipeline.toxicity, "learnt", lambda d, lab: None)
     out = corpus_pipeline.drop_toxic(spark, docs, folder)
     assert sorted(r["n_chars"] for r in out.where("doc_id is null").collect()) == [1, 2, 4] and out.count() == 63
