@@ -3,8 +3,8 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs.  All but the last return the columns of documents.
 
-Documents whose doc_id is null are never dropped for what another document holds, and each is judged by itself; rows with
-one doc_id share decisions.
+Toxicity and quality judge each row by itself.  Documents whose doc_id is null are never dropped for what another document
+holds; rows with one doc_id are dropped together as near-duplicates.
 Null and empty texts fail the base rules of quality.  Empty tables stay empty.  Other columns are dropped.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import packing, quality, simhash, substring, toxicity
-from larkspur.llm.common import stored, table
+from larkspur.llm.common import stored, table, without
 from larkspur.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,33 +22,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that have a doc_id; those that have none, each with a number `row`."""
-    alone = stored(docs.where("doc_id is null").select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows-without-id")
-    return docs.where("doc_id is not null").select(COLUMNS), alone
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that are predicted to be toxic; learns from the labels of the documents it gets."""
+    """Without documents that are predicted to be toxic, row by row; learns from the labels of the documents it gets."""
     model = toxicity.learnt(docs, table(spark, sf_dir, "labels"))
-    bad = lambda d: toxicity.scored(d, model).where("predicted = 1").select("doc_id").distinct()
-    named, alone = numbered(docs)
-    own = bad(alone.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
-    return named.join(bad(named), "doc_id", "left_anti").select(COLUMNS).unionByName(alone.join(own, "row", "left_anti").select(COLUMNS))
+    return toxicity.scored(docs.select(COLUMNS), model, carry=tuple(COLUMNS[1:])).where("predicted = 0").select(COLUMNS)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that fail the base rules or lie outside their language and source."""
-    named, alone = numbered(docs)
-    bad = quality.judged(named.withColumn("row", F.lit(None).cast("long")).unionByName(alone), "row").where(~F.col("kept"))
-    named = named.join(bad.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
-    return named.unionByName(alone.join(bad.where("doc_id is null").select("row"), "row", "left_anti").select(COLUMNS))
+    """Without documents that fail the base rules or lie outside their language and source, row by row."""
+    return quality.judged(docs.select(COLUMNS), "text", "n_chars").where("kept").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more, on shingles of five words."""
     found = simhash.similar_documents(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return without(docs.select(COLUMNS), stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies"), "doc_id").select(COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
