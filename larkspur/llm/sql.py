@@ -9,18 +9,17 @@ LOW_WORDS = WORDS.format(LOWER.format("coalesce(text, '')"))
 CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t"
 CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c // 256)))"
 
-#: Interpolated trigrams, by the recursion that the automaton's arcs and failure arcs amount to.
+#: Interpolated bigrams, by the recursion that the automaton's arcs and failure arcs amount to.
 OP1 = f"""WITH crc AS ({CRC_TABLE}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({CRC} % 7 = 2, false) AS held_out, list_append(list_transform({LOW_WORDS}, lambda w: 'w' || w), 'END') AS words FROM documents, crc),
 u AS (SELECT rid, held_out, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
-k AS (SELECT *, lag(w, 1, 'END') OVER l AS p, CASE WHEN i > 1 THEN lag(w, 2, 'END') OVER l END AS pp FROM u WINDOW l AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT *, lag(w, 1, 'END') OVER (PARTITION BY rid ORDER BY i) AS p FROM u),
 c1 AS (SELECT w, count(*) AS n FROM k WHERE NOT held_out GROUP BY ALL), c2 AS (SELECT p, w, count(*) AS n FROM k WHERE NOT held_out GROUP BY ALL),
-c3 AS (SELECT pp, p, w, count(*) AS n FROM k WHERE NOT held_out AND i > 1 GROUP BY ALL), s AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, count(*) AS v FROM c1),
-j AS (SELECT k.rid, c1.n IS NOT NULL AS known, (coalesce(c1.n, 0) + 1)::DOUBLE / (s.n + s.v + 1) AS p1, h1.n AS h1, c2.n AS n2, h2.n AS h2, c3.n AS n3 FROM k CROSS JOIN s
-  LEFT JOIN c1 ON c1.w = k.w LEFT JOIN c1 h1 ON h1.w = k.p LEFT JOIN c2 ON c2.p = k.p AND c2.w = k.w LEFT JOIN c2 h2 ON h2.p = k.pp AND h2.w = k.p LEFT JOIN c3 ON c3.pp = k.pp AND c3.p = k.p AND c3.w = k.w),
+s AS (SELECT coalesce(sum(n), 0)::BIGINT AS n, count(*) AS v FROM c1),
+j AS (SELECT k.rid, c1.n IS NOT NULL AS known, (coalesce(c1.n, 0) + 1)::DOUBLE / (s.n + s.v + 1) AS p1, h1.n AS h1, c2.n AS n2 FROM k CROSS JOIN s
+  LEFT JOIN c1 ON c1.w = k.w LEFT JOIN c1 h1 ON h1.w = k.p LEFT JOIN c2 ON c2.p = k.p AND c2.w = k.w),
 p2 AS (SELECT *, CASE WHEN h1 IS NULL THEN p1 ELSE (coalesce(n2, 0) + 8 * p1) / (h1 + 8) END AS p2 FROM j),
-p3 AS (SELECT *, CASE WHEN h2 IS NULL THEN p2 ELSE (coalesce(n3, 0) + 8 * p2) / (h2 + 8) END AS p3 FROM p2),
-g AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, round(sum(log10(p1)), 6) AS base_score, round(sum(log10(p3)), 6) AS score FROM p3 GROUP BY rid)
+g AS (SELECT rid, count(*) AS n_tokens, count(*) FILTER (known) AS n_known, round(sum(log10(p1)), 6) AS base_score, round(sum(log10(p2)), 6) AS score FROM p2 GROUP BY rid)
 SELECT doc_id, held_out, n_tokens, n_known, s.n AS train_tokens, base_score, score FROM d JOIN g USING (rid) CROSS JOIN s"""
 
 #: Windows of 200 bytes as hexadecimal digits.
