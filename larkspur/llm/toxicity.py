@@ -9,8 +9,9 @@ Fitting takes at most `sample` labelled rows, those with the smallest hash of do
 while there are fewer), and there only terms in at least `min_docs` of these rows.  Terms are chosen by two kinds of
 evidence: for weights of their own, by proximal steps on w alone, in which a term's L1 weight follows from what its
 gradient would be by chance (`sure` standard deviations); and for pairs, whatever their own weights, by the score test of
-each pair of terms that are in at least `pair_docs` rows each: what its product would add to the additive fit, in
-standard deviations, against what the largest of as many chance values would be.  Then all of the machine is fitted
+each pair of terms: what its product would add to the additive fit, in standard deviations, against what the largest of
+as many chance values would be.  That test takes at most `pair_rows` of the rows, evenly of both classes, and terms in at
+least `pair_docs` and a hundredth of them (documented bounds).  Then all of the machine is fitted
 together for the terms chosen either way, weights and pairs; terms without evidence stay out, so length alone doesn't
 raise a score.
 
@@ -54,6 +55,21 @@ def terms_of(text: bytes) -> np.ndarray:
     return np.unique(np.array(found, dtype=np.int64))
 
 
+def places_of(terms: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Places of found among sorted terms; those that aren't there are left out."""
+    at = np.minimum(np.searchsorted(terms, found), max(0, len(terms) - 1))
+    return at[terms[at] == found] if len(terms) else np.zeros(0, np.int64)
+
+
+def frequent(rows: list[np.ndarray], least: int, parts: int = 16) -> np.ndarray:
+    """Terms in at least that many rows, in order; a part of all terms at a time, so that most are never held together."""
+    out = []
+    for p in range(parts):
+        terms, seen = np.unique(np.concatenate([r[r % parts == p] for r in rows]), return_counts=True)
+        out.append(terms[seen >= least])
+    return np.sort(np.concatenate(out))
+
+
 @dataclass
 class Model:
     w0: float
@@ -62,9 +78,7 @@ class Model:
     v: np.ndarray = field(default_factory=lambda: np.zeros((0, 1)))
 
     def places(self, found: np.ndarray) -> np.ndarray:
-        """Places of terms in this model; those it hasn't are left out."""
-        at = np.minimum(np.searchsorted(self.terms, found), max(0, len(self.terms) - 1))
-        return at[self.terms[at] == found] if len(self.terms) else np.zeros(0, np.int64)
+        return places_of(self.terms, found)
 
     def raw(self, rows: list[np.ndarray]) -> np.ndarray:
         """Scores before the sigmoid, of rows of terms."""
@@ -149,7 +163,7 @@ class Problem:
                 self.v[:, f] = shrunk(self.v[:, f], dv, 0.3 * rate / np.sqrt(gv[:, f]), l1_pairs)
 
 
-def telling_pairs(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, p: np.ndarray, n: int, pair_docs: int, tile: int = 1024) -> np.ndarray:
+def telling_pairs(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, p: np.ndarray, n: int, pair_docs: int, tile: int = 512) -> np.ndarray:
     """Terms of pairs whose product the fit with errors (p - y) lacks: |sum of error| over its standard deviation, tile by tile of all pairs."""
     seen = np.bincount(flat, minlength=n)
     often = np.flatnonzero(seen >= pair_docs)
@@ -158,12 +172,13 @@ def telling_pairs(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, p: np.
     inside = number[flat] >= 0
     row, term = owner[inside], number[flat[inside]]
     order = np.argsort(term, kind="stable")
-    row, ends = row[order], np.searchsorted(term[order], np.arange(0, len(often) + tile, tile))
+    row, term = row[order], term[order]
+    ends = np.searchsorted(term, np.arange(0, len(often) + tile, tile))
 
     def dense(k: int) -> np.ndarray:
         out = np.zeros((len(p), min(tile, len(often) - k * tile)), np.float32)
         part = slice(ends[k], ends[k + 1])
-        out[row[part], term[order][part] - k * tile] = 1
+        out[row[part], term[part] - k * tile] = 1
         return out
 
     n_tiles = -(-len(often) // tile)
@@ -172,51 +187,75 @@ def telling_pairs(owner: np.ndarray, flat: np.ndarray, error: np.ndarray, p: np.
     found = np.zeros(len(often), bool)
     for i in range(n_tiles):
         a = dense(i)
-        by_error, by_weight = a * error.astype(np.float32)[:, None], a * weight
+        by_error, by_weight = (a * error.astype(np.float32)[:, None]).T.copy(), (a * weight).T.copy()
         for j in range(i, n_tiles):
             b = a if i == j else dense(j)
-            together = a.T @ b
-            z = np.abs(by_error.T @ b) / np.sqrt(np.maximum(by_weight.T @ b, 1e-3))
-            # a pair of terms that are in the same rows is one term twice: the test of pairs has nothing to add
-            alone = (a.sum(axis=0)[:, None] > together + 0.5) & (b.sum(axis=0)[None, :] > together + 0.5)
-            s, t = np.nonzero((z >= limit) & (together >= 5) & alone)
+            s, t = np.nonzero(np.abs(by_error @ b) >= limit * np.sqrt(np.maximum(by_weight @ b, 1e-3)))
             if i == j:
                 s, t = s[s != t], t[s != t]
-            found[i * tile + s] = True
-            found[j * tile + t] = True
+            for at in range(0, len(s), 4096):  # together often enough, and not one term twice
+                x, y = s[at : at + 4096], t[at : at + 4096]
+                both = np.einsum("rk,rk->k", a[:, x], b[:, y])
+                good = (both >= 5) & (both < seen[often[i * tile + x]]) & (both < seen[often[j * tile + y]])
+                found[i * tile + x[good]] = True
+                found[j * tile + y[good]] = True
     return often[found]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.3, sure: float = 4.0, min_docs: int = 5, pair_docs: int = 25, ridge: float = 1e-4, seed: int = 11) -> Model:
-    if not len(rows) or y.min() == y.max():
-        p = float(y.mean()) if len(rows) else 0.0
+def pair_sample(y: np.ndarray, raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows for the test of pairs, those of the rarer class first, and probabilities among them of a fit with scores raw."""
+    one, other = (np.flatnonzero(y > 0), np.flatnonzero(y <= 0)) if y.mean() <= 0.5 else (np.flatnonzero(y <= 0), np.flatnonzero(y > 0))
+    take = [one[: max(size // 2, size - len(other))], other[: max(size // 2, size - len(one))]]
+    chosen = np.sort(np.concatenate(take))
+    share = [len(t) / max(1, len(of)) for t, of in zip(take, (one, other), strict=True)]
+    odds = share[0] / share[1] if y.mean() <= 0.5 else share[1] / share[0]
+    return chosen, sigmoid(raw[chosen] + np.log(odds))
+
+
+def as_terms(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms in at least that many rows, and the rows as flat pairs of (row, term)."""
+    terms = frequent(rows, least) if rows else np.zeros(0, np.int64)
+    found = [places_of(terms, r) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in found])
+    return terms, owner, np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, min_docs: int = 5, **how) -> Model:
+    return fitted_to(*as_terms(rows, min_docs), y, **how)
+
+
+def fitted_to(terms: np.ndarray, owner: np.ndarray, flat: np.ndarray, y: np.ndarray, rank: int = 4, rounds: int = 150, rate: float = 0.3, sure: float = 4.0, pair_docs: int = 25, pair_rows: int = 3000, ridge: float = 1e-4, seed: int = 11) -> Model:
+    """The machine for the labels y of rows given as flat pairs of (row, term)."""
+    if not len(y) or y.min() == y.max():
+        p = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log(max(p, 1e-15) / max(1 - p, 1e-15))))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, flat, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    seen = np.bincount(flat, minlength=len(terms))
 
     def kept(which: np.ndarray, owner: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        number = np.full(int(flat.max(initial=0)) + 1, -1, np.int64)
+        number = np.full(len(terms), -1, np.int64)
         number[which] = np.arange(len(which))
         inside = number[flat] >= 0
         return owner[inside], number[flat[inside]]
 
-    used = np.flatnonzero(seen >= min_docs)
-    owner, flat = kept(used, owner, flat)
-    share, p = seen[used] / len(rows), float(y.mean())
-    l1 = sure * np.sqrt(p * (1 - p) * share / len(rows))
-    first = Problem(owner, flat, y, len(used), float(np.log(p / (1 - p))), np.zeros((0, rank)), np.zeros(0, np.int64))
+    share, p = seen / len(y), float(y.mean())
+    l1 = sure * np.sqrt(p * (1 - p) * share / len(y))
+    first = Problem(owner, flat, y, len(terms), float(np.log(p / (1 - p))), np.zeros((0, rank)), np.zeros(0, np.int64))
     first.run(rounds, rate, l1, 0.0, 0.0)
-    fitted = sigmoid(first.w0 + np.bincount(owner, first.w[flat], len(rows)))
-    live = np.union1d(np.flatnonzero(first.w), telling_pairs(owner, flat, fitted - y, fitted, len(used), pair_docs))
+    chosen, fitted = pair_sample(y, first.w0 + np.bincount(owner, first.w[flat], len(y)), pair_rows)
+    row = np.full(len(y), -1)
+    row[chosen] = np.arange(len(chosen))
+    inside = row[owner] >= 0
+    pairs = telling_pairs(row[owner[inside]], flat[inside], fitted - y[chosen], fitted, len(terms), max(pair_docs, len(chosen) // 100))
+    live = np.union1d(np.flatnonzero(first.w), pairs)
     start = np.random.default_rng(seed).normal(0, 0.01, (len(live), rank))
     owner, flat = kept(live, owner, flat)
     last = Problem(owner, flat, y, len(live), first.w0, start, np.arange(len(live)))
     last.w = first.w[live]
     last.run(2 * rounds, rate, 0.0, 0.0, ridge)
-    return Model(last.w0, terms[used[live]], last.w, last.v)
+    return Model(last.w0, terms[live], last.w, last.v)
 
 
-def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = 8000, **how) -> Model:
+def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = 8000, min_docs: int = 5, **how) -> Model:
     """The model of labelled rows of docs(doc_id, text) with labels(doc_id, toxic), without the held-out fold."""
     rows = labels.where("toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % fold != held)
     rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -230,8 +269,12 @@ def learnt(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sam
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "terms"])
 
     picked = texts.join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "raw")
-    got = picked.mapInArrow(run, "doc_id long, toxic int, terms binary").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.frombuffer(t, np.int64) for t in got["terms"]], (got["toxic"].to_numpy() > 0).astype(float), **how)
+    got = picked.mapInArrow(run, "doc_id long, toxic int, terms binary").toArrow()
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable").tolist()
+    y = (got.column("toxic").to_numpy() > 0).astype(float)[order]
+    known = as_terms([np.frombuffer(got.column("terms")[i].as_buffer(), np.int64) for i in order], min_docs)
+    del got  # most terms are in few rows
+    return fitted_to(*known, y, **how)
 
 
 def scored(docs: DataFrame, model: Model, fold: int = 4, held: int = 2, threshold: float = 0.3, carry: tuple = ()) -> DataFrame:
