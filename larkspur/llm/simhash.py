@@ -232,7 +232,7 @@ def compared(reps: DataFrame, keys_of, kind: str, distance: int, chunk: int) ->
     cells = dealt.join(sizes, F.col("key") == F.col("hot"), "left").withColumn("m", F.coalesce("m", F.lit(1))).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
     cells = cells.withColumn("o", other).select("key", "fp", "rep", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))
-    n_parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-reps.count() // 12_000))
+    n_parts = max(cells.sparkSession.sparkContext.defaultParallelism, -(-reps.count() // 6_000))
     cells = cells.withColumn("part", F.pmod(F.xxhash64("key", "a", "b"), F.lit(n_parts)))
     return cells.groupBy("part").applyInPandas(compare, "u long, v long").distinct()
 
