@@ -104,11 +104,57 @@ def availability_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", "state", titles.blocks_logging(F.lit("request"), F.lit(None).cast("string"), F.col("state")).alias("request_waits"))
 
 
-@query()
+#: Messages about a part of the table: its name for {t}, a season for {s}, an episode for {e}.
+ASKS = [
+    "requesting {t}", "{t} link expired", "please add {t} season {s} thanks", "{t} episode {e} not available", "when will {t} season {s} be released", "how do i watch {t}?", "S{s} E{e}", "{t}", "can i get the movie {t} please",
+    "{t} s0{s}e0{e} missing", "where is {t} 2019", "subtitles are off in {t} - thanks, please", "looking for {t}, anime", "https://a.example/{e} {t}", "please pls send {t} thank you", "{t} season {s}", "is {t} out, new season {s}", "hi", "@bot {t}", "no episode {e} of {t} series {s}",
+]
+
+
+def rewritten_sql(value: str, rules: list[tuple[str, str]], flags: str = "(?i)") -> str:
+    for pattern, to in rules:
+        value = f"regexp_replace({value}, {s(flags + pattern)}, {s(to)}, 'g')"
+    return value
+
+
+CLEANED = lambda v: f"substr(trim({rewritten_sql(v, titles.CLEAN, '')}, ' .-'), 1, 120)"
+TIDIED = lambda v: f"trim({rewritten_sql(CLEANED(v), titles.POLITE)}, ' .:-')"
+NOT_A_TITLE = ", ".join(map(s, fixed.NOT_TITLES))
+A_TITLE = lambda v: f"CASE WHEN length({v}) >= 2 AND lower({v}) NOT IN ({NOT_A_TITLE}) THEN {v} END"
+SAYS = lambda phrases: f"regexp_matches(lower(text), {s('(^|[^0-9a-z_])(?:' + '|'.join(p.replace(' ', chr(92) + 's+') for p in phrases) + ')($|[^0-9a-z_])')})"
+HINT = lambda v: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower({v}), {s('|'.join(w))}) THEN {s(k)} END" for k, w in fixed.CATEGORY_WORDS.items()) + ")"
+INT = lambda p, g=1: f"TRY_CAST(nullif(regexp_extract(text, {s('(?i)' + p)}, {g}), '') AS INT)"
+PLAUSIBLE = lambda v, n: f"(length({v}) BETWEEN {n} AND 80 AND len(regexp_split_to_array({v}, '\\s+')) <= 6 AND lower({v}) NOT IN ({', '.join(map(s, fixed.NOT_BARE_TITLES + fixed.NOT_TITLES))}) AND regexp_matches({v}, '[0-9A-Za-z]'))"
+STEPS = [("n1", "text", titles.CUTS), ("n2", "n1", titles.OPENINGS), ("n3", "n2", titles.KINDS)]
+NAMED = lambda v: f"(SELECT {A_TITLE('x')} FROM (SELECT {CLEANED(rewritten_sql('y', titles.ARTICLE))} AS x FROM (SELECT {TIDIED(rewritten_sql('z', titles.KINDS))} AS y FROM (SELECT {TIDIED(rewritten_sql('w', titles.OPENINGS))} AS z FROM (SELECT {TIDIED(rewritten_sql(v, titles.CUTS))} AS w)))))"
+SHELL = s(titles.SHELL)
+PART = lambda v: f"CASE WHEN regexp_matches({v}, {s('(?i)' + titles.ONLY_PART)}) THEN {v} END"
+INTENT_RULES = [
+    ("part IS NOT NULL", "clarify", "part", "'tv'", None), (f"named IS NOT NULL AND {SAYS(fixed.RELEASE_PHRASES)}", "release", "named", "coalesce(hint, 'tv')", None), (SAYS(fixed.HOWTO_PHRASES), "howto", "named", "hint", None),
+    (f"regexp_matches(lower(text), {s(fixed.MISSING_EPISODE)})", "issue", "named", "coalesce(hint, 'tv')", "missing_episode"), *((SAYS(p), "issue", "named", "hint", k) for k, p in fixed.ISSUE_PHRASES.items()),
+    (f"named IS NOT NULL AND {SAYS(fixed.REQUEST_PHRASES)}", "request", "named", "hint", None),
+    (f"bare IS NOT NULL AND (of_part OR bare_category IS NOT NULL OR regexp_matches(bare, {s(titles.YEAR)}) OR regexp_matches(text, {s('(?i)' + titles.ASKS)}))", "request", "bare", "bare_category", None), ("bare IS NOT NULL", "bare_title", "bare", "bare_category", None),
+]
+
+
+@query(f"""WITH m AS (SELECT * FROM {values_sql(list(enumerate(SPOKEN)))} v(id, text) UNION ALL SELECT 1000 + p_partkey, replace(replace(replace(t, '{{t}}', p_name), '{{s}}', (p_size % 9 + 1)::VARCHAR), '{{e}}', (p_partkey % 12 + 1)::VARCHAR)
+  FROM part JOIN {values_sql(list(enumerate(ASKS)))} a(i, t) ON p_partkey % {len(ASKS)} = i),
+a AS (SELECT id, text, coalesce({INT(fixed.SEASON_EPISODE)}, {INT(fixed.SEASON)}) AS season, coalesce({INT(fixed.SEASON_EPISODE, 2)}, {INT(fixed.EPISODE)}, {INT(fixed.SHORT_EPISODE)}) AS episode, {HINT('text')} AS hint, {CLEANED(f'trim(text, {SHELL})')} AS shelled, {NAMED('text')} AS named, {TIDIED(f'trim(text, {SHELL})')} AS alone FROM m),
+b AS (SELECT *, {PART('shelled')} AS part, CASE WHEN {HINT('alone')} IS NOT NULL THEN {NAMED('alone')} END AS inside, season IS NOT NULL OR episode IS NOT NULL AS of_part,
+  NOT regexp_matches(text, {s('(?i)' + titles.NO_BARE_TITLE)}) AND lower(alone) NOT IN ({', '.join(map(s, fixed.NOT_BARE_TITLES))}) AND {PART(CLEANED(f'trim(alone, {SHELL})'))} IS NULL AS may FROM a),
+c AS (SELECT *, CASE WHEN may THEN coalesce(CASE WHEN {PLAUSIBLE('inside', 2)} THEN inside END, CASE WHEN {PLAUSIBLE('alone', 3)} THEN alone END) END AS own, coalesce(hint, CASE WHEN season > 0 THEN 'tv' END) AS bare_category FROM b),
+d AS (SELECT *, CASE WHEN own IS NOT NULL THEN coalesce(CASE WHEN of_part THEN named END, own) END AS bare FROM c),
+r AS (SELECT *, CASE {' '.join(f'WHEN {when} THEN {i}' for i, (when, *_) in enumerate(INTENT_RULES))} END AS rule FROM d)
+SELECT id, CASE rule {' '.join(f'WHEN {i} THEN {s(k)}' for i, (_, k, *_) in enumerate(INTENT_RULES))} END AS kind, CASE rule {' '.join(f'WHEN {i} THEN {t}' for i, (_, _, t, _, _) in enumerate(INTENT_RULES))} END AS title, CASE rule {' '.join(f'WHEN {i} THEN {c}' for i, (_, _, _, c, _) in enumerate(INTENT_RULES))} END AS category,
+  CASE rule {' '.join(f'WHEN {i} THEN {s(x)}' for i, (*_, x) in enumerate(INTENT_RULES))} END AS issue_type, CASE WHEN rule IS NOT NULL THEN season END AS season, CASE WHEN rule IS NOT NULL THEN episode END AS episode FROM r""")
 def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind, title and part of support messages; stripping until nothing changes has no SQL form, tested by table."""
-    df = spark.createDataFrame(list(enumerate(SPOKEN)), "id long, text string")
-    return df.select("id", titles.detected("text").alias("i")).select("id", "i.*")
+    """Kind, title and part of support messages: spoken ones, and one about each part of the table."""
+    part = read(spark, sf_dir, "part")
+    ask = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("p_partkey") % len(ASKS)).cast("int") + 1)
+    for mark, value in (("{t}", F.col("p_name")), ("{s}", (F.col("p_size") % 9 + 1).cast("string")), ("{e}", (F.col("p_partkey") % 12 + 1).cast("string"))):
+        ask = F.replace(ask, F.lit(mark), value)
+    said = spark.createDataFrame(list(enumerate(SPOKEN)), "id long, text string").unionByName(part.select((F.col("p_partkey") + 1000).alias("id"), ask.alias("text")))
+    return titles.with_intent(said).drop("text")
 
 
 KEY_SQL = "substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\\b(?:season|series|s)\\s*([0-9]+)\\b', ' season \\1 ', 'g'), '\\b(?:episode|ep|e)\\s*([0-9]+)(?:\\s*(?:-|–)\\s*[0-9]+)?\\b', ' episode \\1 ', 'g'), " + s(fixed.KEY_FILLERS) + ", ' ', 'g'), '[^a-z0-9_\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), 1, 255)"
@@ -203,9 +249,9 @@ def provider_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", (scoring.mock_label(t)["label"] == "spam").alias("mock_spam"), first.alias("f")).select("event_id", "mock_spam", "f.label", "f.error")
 
 
-@query("""SELECT event_id, 'event_type=' || event_type AS fields, CASE WHEN length(props) <= 18 THEN '***configured***' ELSE substr(props, 1, 10) || '...' || right(props, 6) END AS masked FROM events WHERE event_id % 10 = 0""")
+@query("""SELECT event_id, 'event_type=' || event_type AS fields, CASE WHEN length(props) <= 18 THEN '***configured***' ELSE substr(props, 1, 10) || '...' || right(props, 6) END AS masked FROM events""")
 def audit_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit fields without keys that name a token; masked values."""
     fields = text.without_secrets(F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("Api_Token"), F.lit("x")))
     show = F.array_join(F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    return read(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", show.alias("fields"), text.masked(F.col("props")).alias("masked"))
+    return read(spark, sf_dir, "events").select("event_id", show.alias("fields"), text.masked(F.col("props")).alias("masked"))

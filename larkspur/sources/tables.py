@@ -1,4 +1,4 @@
-"""Readers of the input tables, and the writers that stand for the reference's stores."""
+"""Readers of the input tables, and the writers for stores."""
 
 from __future__ import annotations
 
@@ -36,7 +36,8 @@ def jdbc_snapshot(spark: SparkSession, url: str, table: str, n: int, **options)
 
 
 def contains_search(catalog: DataFrame, column: str, phrase: str, **filters) -> DataFrame:
-    return optional(catalog.where(F.col(column).ilike(f"%{phrase}%")), **filters)
+    """Rows whose column has the phrase, in any case; the phrase is taken literally."""
+    return optional(catalog.where(F.contains(F.lower(F.col(column)), F.lower(F.lit(phrase)))), **filters)
 
 
 def append(df: DataFrame, path: str) -> None:

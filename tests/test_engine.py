@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import features, fixed, parsing, scoring, text, titles
-from larkspur.operators import lookups, merging
+from larkspur.operators import lookups, merging, retrieval
 from larkspur.plans import fixtures, moderation, support
 from larkspur.plans.queries import QUERIES
 from larkspur.sources import tables
@@ -95,24 +95,42 @@ def test_private_safety(spark, message, expected):
         ("Breaking Tide", ("bare_title", "Breaking Tide", None, None, None, None)), ("hello", None), ("https://example.org", None), ("next episode of Lioness", ("release", "next of Lioness", "tv", None, None, None)),
     ],
 )
-def test_intents(message, expected):
-    assert titles.intent(message) == expected
+def test_intents(spark, message, expected):
+    r = titles.with_intent(spark.createDataFrame([(1, message)], "id long, text string")).drop("id", "text").first()
+    assert tuple(r) == (expected or (None,) * 6)
 
 
-def test_context_title():
-    assert titles.context_title("Lioness Season 2 Episode 4 download https://x.example") == "Lioness"
-    assert titles.context_title("link") is None
+def test_intents_without_bare_titles(spark):
+    df = spark.createDataFrame([("Breaking Tide",), ("requesting Avatar",), (None,)], "text string")
+    assert [r["kind"] for r in titles.with_intent(df, bare=False).collect()] == [None, "request", None]
 
 
-def test_columns_agree_with_functions(spark):
-    """Season and episode numbers have a Column form and a plain one."""
-    for message in [*support.SPOKEN, *support.TITLES, "s03 e04", "Ep. 5", "series 2", "S1E2-4"]:
-        r = spark.createDataFrame([(message,)], "x string").select(titles.season(F.col("x")).alias("s"), titles.episode(F.col("x")).alias("e"), titles.title_query(F.col("x")).alias("q")).first()
-        assert (r["s"], r["e"]) == titles.numbers(message) and r["q"] == titles.clean_query(message), message
+def test_context_title(spark):
+    df = spark.createDataFrame([("Lioness Season 2 Episode 4 download https://x.example",), ("link",), ("Silo thanks please",)], "x string")
+    assert [r[0] for r in df.select(titles.replied_title(F.col("x"))).collect()] == ["Lioness", None, "Silo"]
+
+
+def test_stripping_until_nothing_changes(spark):
+    """Openings and polite words in any number and order."""
+    cases = [("please pls send Silo - thanks, thank you please", "Silo"), ("can you upload request for Dark pls", "Dark"), ("requesting request for link Silo", "Silo"), ("the movie Dune", "Dune"), ("please", None), ("is it out", "is it")]
+    df = spark.createDataFrame([(c,) for c, _ in cases], "x string")
+    assert [r[0] for r in df.select(titles.named_title(F.col("x"))).collect()] == [e for _, e in cases]
+
+
+@pytest.mark.parametrize(
+    ("message", "season", "episode", "title"),
+    [
+        ("s03 e04", 3, 4, "s03 e04"), ("Ep. 5", None, None, "Ep. 5"), ("series 2", 2, None, "series 2"), ("S1E2-4", 1, 2, "S1E2-4"), ("Lioness season 2 ep 5 please fix", 2, 5, "Lioness season 2 ep 5 please fix"), ("e 5 of s 01", 1, None, "e 5 of s 01"),
+        ("request: Silo - Season 3 Episode 1-7!", 3, 1, "request Silo - Season 3 Episode 1-7"), ("e05", None, 5, "e05"), ("https://example.org/x @you Dark", None, None, "Dark"),
+    ],
+)
+def test_parts_and_title_queries(spark, message, season, episode, title):
+    r = spark.createDataFrame([(message,)], "x string").select(titles.season(F.col("x")).alias("s"), titles.episode(F.col("x")).alias("e"), titles.title_query(F.col("x")).alias("q")).first()
+    assert (r["s"], r["e"], r["q"]) == (season, episode, title)
 
 
 def test_fuzzy_search(spark, sf):
-    shows = [(i, titles.clean_query(t).lower()) for i, t, *_ in support.SHOWS]
+    shows = [(i, t.lower().strip(".")) for i, t, *_ in support.SHOWS]
     expected = set()
     for qid, q in support.TYPED:
         if len(q) < 5:
@@ -239,3 +257,20 @@ def test_store(spark, tmp_path):
 
 def test_weights_are_complete():
     assert len(fixed.RULE_WEIGHTS) == 21 and len(fixed.SIGNALS) == 23
+
+
+def test_phrases_are_literal(spark):
+    df = spark.createDataFrame([("100% sure",), ("100 percent",), ("a_b",), ("axb",)], "t string")
+    assert [r[0] for r in tables.contains_search(df, "t", "100%").collect()] == ["100% sure"]
+    assert [r[0] for r in tables.contains_search(df, "t", "A_B").collect()] == ["a_b"]
+
+
+def test_row_similarities(spark):
+    """In a message's row the same as by joins."""
+    texts = ["claim your reward now now", "lunch at noon", "reward reward lunch", "", "zzz yyy"]
+    messages = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "message_id long, group_id long, text string")
+    rows = [(i, g, "spam" if i % 2 else "not_spam", t, i + 1) for g in (0, 1) for i, t in enumerate(["lunch is at noon", "claim a reward", "noon lunch", "reward now", "team lunch now", "connect wallet now", "other words", "claim claim now", "wallet", "big reward claim"])]
+    examples = spark.createDataFrame(rows, "example_id long, scope_group long, label string, example_text string, age int")
+    expected = {(r["message_id"], r["label"]): round(r["similarity"], 9) for r in retrieval.best_similarities(messages, examples).collect()}
+    for r in retrieval.with_similarities(messages, examples).collect():
+        assert (round(r["spam_similarity"], 9), round(r["ham_similarity"], 9)) == (expected[r["message_id"], "spam"], expected[r["message_id"], "not_spam"])
