@@ -61,6 +61,12 @@ def mock_label(norm: Column) -> Column:
     return F.struct(F.when(hit, "spam").otherwise("not_spam").alias("label"), F.when(hit, 0.93).otherwise(0.85).alias("confidence"))
 
 
+def conservative_result(label: Column, confidence: Column) -> Column:
+    """What stands for a classifier's answer where there is none: an action that follows from a label and its confidence."""
+    action = F.when((label == "spam") & (confidence >= 0.95), "delete").when(label == "not_spam", "allow").otherwise("ask_admin")
+    return F.struct(label.alias("label"), confidence.alias("confidence"), action.alias("recommended_action"), F.when(label != "not_spam", "unknown").alias("lure"), (label != "not_spam").alias("needs_review"))
+
+
 def first_result(*results: tuple[Column, Column]) -> Column:
     """(label, confidence, error) of the first classifier that gave one; errors of those before are joined."""
     labels = [r[0] for r in results]

@@ -52,6 +52,17 @@ def joined_parts(*parts: Column) -> Column:
     return F.concat_ws("\n", *(F.nullif(p, F.lit("")) for p in parts))
 
 
+def chat_label(title: Column, username: Column, full_name: Column, first_name: Column) -> Column:
+    """The first name of a chat that isn't empty."""
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in (title, username, full_name, first_name)))
+
+
+def story_line(has_story: Column, source: Column) -> Column:
+    """What stands for a forwarded story in a message's text, null without one."""
+    line = F.lit("Forwarded Telegram story")
+    return F.when(has_story, F.coalesce(F.concat(line, F.lit(" from "), F.nullif(source, F.lit(""))), line))
+
+
 def text_hash(text: Column) -> Column:
     return F.sha2(F.lower(text), 256)
 

@@ -30,6 +30,11 @@ def with_violations(messages: DataFrame, violations: DataFrame) -> DataFrame:
     return messages.join(score, ["group_id", "user_id"], "left").withColumn("violation_score", F.coalesce("violation_score", F.lit(0.0)))
 
 
+def with_availability(requests: DataFrame, availability: DataFrame, keys: list[str]) -> DataFrame:
+    """What is known of each request's title and part; `found` is false where nothing is."""
+    return requests.join(availability, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def with_host_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """blocked_hosts and allowed_hosts of each message, from rules(group_id, domain, status) of its group.
 
@@ -60,6 +65,6 @@ def in_scope(examples: DataFrame, groups: DataFrame, most: int = fixed.EXAMPLES_
     own = examples.where("group_id is not null").withColumn("scope_group", F.col("group_id"))
     order = Window.partitionBy("label").orderBy(F.desc("created_at"), F.desc("example_id"))
     shared = examples.where("global_allowed").withColumn("age_", F.row_number().over(order)).where(F.col("age_") <= most).drop("age_")
-    takers = groups.where("global_enabled").agg(F.collect_list("group_id").alias("takers"))
-    shared = shared.join(takers).withColumn("scope_group", F.explode("takers")).drop("takers")
+    takers = groups.where("global_enabled").select(F.col("group_id").alias("scope_group"), F.lit(True).alias("global_allowed"))
+    shared = shared.join(takers, "global_allowed").select("scope_group", *examples.columns)  # at most `most` a label and group
     return own.unionByName(shared.where("group_id is null or group_id <> scope_group").select(own.columns))

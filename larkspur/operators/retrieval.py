@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,36 @@ def best_similarities(messages: DataFrame, examples: DataFrame) -> DataFrame:
     return near.join(scored, ["l", "r"]).groupBy(F.col("l").alias("message_id"), "label").agg(F.max("similarity").alias("similarity"))
 
 
+def counted_words(text: Column) -> Column:
+    """[(term, n)] of words of more than two characters."""
+    long = F.filter(words(text), lambda w: F.length(w) > 2)
+    return F.transform(F.array_distinct(long), lambda t: F.struct(t.alias("t"), F.size(F.filter(long, lambda w: w == t)).cast("double").alias("n")))
+
+
+def with_similarities(messages: DataFrame, examples: DataFrame, text: str = "text", kept: int = fixed.EXAMPLES_KEPT) -> DataFrame:
+    """Adds spam_similarity and ham_similarity: the best cosine with one of the nearest examples of the message's group.
+
+    The same as best_similarities(), for short examples: those of a group, at most 100 a label, are one row, which its
+    messages meet in a join by group; all else is done in the message's row, so messages are neither exploded nor sorted.
+    """
+    length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c["n"] * c["n"]))
+    seen = examples.select("scope_group", "label", "age", F.array_distinct(words(F.col("example_text"))).alias("seen"), counted_words(F.col("example_text")).alias("terms"))
+    seen = seen.withColumn("length", length(F.col("terms"))).select("scope_group", "label", F.struct("age", "seen", "terms", "length").alias("x"))
+    of = lambda label: F.array_sort(F.collect_list(F.when(F.col("label") == label, F.col("x")))).alias(f"{label}_")
+    rows = seen.groupBy("scope_group").agg(of("spam"), of("not_spam")).withColumnRenamed("scope_group", "group_id")
+    df = messages.join(rows, "group_id", "left").withColumns({"own_": F.array_distinct(F.filter(words(F.col(text)), lambda w: F.length(w) > 3)), "terms_": counted_words(F.col(text))})
+    df = df.withColumn("length_", length(F.col("terms_")))
+
+    def best(label: str) -> Column:
+        ranked = F.array_sort(F.transform(F.coalesce(F.col(f"{label}_"), F.array()), lambda x: F.struct((-F.size(F.array_intersect("own_", x["seen"]))).alias("o"), x["age"].alias("age"), x["terms"].alias("terms"), x["length"].alias("length"))))
+        times = lambda terms, t: F.aggregate(terms, F.lit(0.0), lambda a, c: a + F.when(c["t"] == t, c["n"]).otherwise(0.0))
+        dot = lambda x: F.aggregate("terms_", F.lit(0.0), lambda a, c: a + c["n"] * times(x["terms"], c["t"]))
+        cosines = F.transform(F.slice(ranked, 1, kept), lambda x: F.when((F.col("length_") > 0) & (x["length"] > 0), dot(x) / (F.col("length_") * x["length"])).otherwise(0.0))
+        return F.coalesce(F.array_max(cosines), F.lit(0.0))
+
+    return df.withColumns({"spam_similarity": best("spam"), "ham_similarity": best("not_spam")}).drop("spam_", "not_spam_", "own_", "terms_", "length_")
+
+
 def hash_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFrame:
     """(key, place, value): words hashed to places with a sign, scaled to length 1; zero places are left out."""
     digest = F.sha2("word", 256)
@@ -68,12 +100,15 @@ def hash_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFr
     return sums.select(key, "place", (F.col("value") / norm).alias("value"))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest by cosine.  A stated set of queries is gathered into one row and met by each vector, so vectors aren't shuffled; only k per query and task are."""
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 20_000) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine of a stated set of queries.  Vectors aren't shuffled; only k per query and task are."""
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     asked = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q"))
-    rows = vectors.select(key, unit(F.col(vector)).alias("v")).withColumn("one", F.lit(1))
-    met = rows.join(asked.withColumn("one", F.lit(1)), "one").where(F.col("query_id") != F.col(key))
+    rows = vectors.select(key, unit(F.col(vector)).alias("v"))
+    # blocks of queries of bounded size: each is broadcast, so every vector is read once a block and stays where it is
+    n_blocks = -(-asked.count() // block)
+    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked for b in range(max(1, n_blocks))]
+    met = reduce(DataFrame.unionByName, (rows.join(F.broadcast(part), F.col("query_id") != F.col(key)) for part in parts))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = met.select("query_id", key, F.round(dot, 6).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..sources.tables import read
 
 #: Texts that set the features; a message is one of them with its user's id.
@@ -34,6 +35,10 @@ TEMPLATES = [
     "subscribe to the group for private tips",
     "was a good day | thanks all",
 ]
+#: Whose message is a forwarded story, has a caption, or is a picture without text: those with an id divisible by these.
+STORY, CAPTION, MEDIA = 31, 37, 41
+#: Labelled examples that all groups share: templates by their place above, the later the newer.
+SPAM_EXAMPLES, GOOD_EXAMPLES = [2, 3, 4, 5, 6, 10, 20, 21], [0, 1, 7, 8, 9, 15, 16, 23]
 GROUPS = [(0, True, True, "normal", True, False), (1, True, True, "auto_delete", False, True), (2, True, True, "silent", True, False), (3, True, True, "aggressive", False, False), (4, True, False, "monitor_only", False, False)]
 RULES = [(0, "bad.example", "blocked"), (1, "bad.example", "blocked"), (1, "example.org", "allowed"), (2, "wallet.example", "blocked"), (3, "login.example", "allowed")]
 
@@ -53,10 +58,30 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """message_id, user_id, group_id, ts, text: an event's template with the user's id."""
-    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    """message_id, user_id, group_id, ts, text, story, joined, has_media: an event's template with the user's id, its caption and story line."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    marked = lambda n: F.col("event_id") % n == 0
     pick = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("event_id") % len(TEMPLATES)).cast("int") + 1)
-    return events.select(F.col("event_id").alias("message_id"), "user_id", (F.col("user_id") % 5).alias("group_id"), "ts", F.concat(pick, F.lit(" "), F.col("user_id").cast("string")).alias("text"))
+    own = F.when(~marked(MEDIA), F.concat(pick, F.lit(" "), F.col("user_id").cast("string")))
+    source = text.chat_label(F.when(marked(2), "Night Stories"), F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    parts = text.joined_parts(own, F.when(marked(CAPTION), "more in the caption"), text.story_line(marked(STORY), source))
+    return events.select(F.col("event_id").alias("message_id"), "user_id", (F.col("user_id") % 5).alias("group_id"), "ts", parts.alias("text"), marked(STORY).alias("story"), (F.col("event_type") == "signup").alias("joined"), marked(MEDIA).alias("has_media"))
+
+
+MESSAGES_SQL = f"""SELECT e.event_id AS message_id, e.user_id, e.user_id % 5 AS group_id, e.ts, e.event_id % {STORY} = 0 AS story, e.event_type = 'signup' AS joined, e.event_id % {MEDIA} = 0 AS has_media,
+  concat_ws(chr(10), CASE WHEN e.event_id % {MEDIA} <> 0 THEN t.template || ' ' || e.user_id END, CASE WHEN e.event_id % {CAPTION} = 0 THEN 'more in the caption' END,
+    CASE WHEN e.event_id % {STORY} = 0 THEN 'Forwarded Telegram story' || CASE WHEN e.event_id % 2 = 0 THEN ' from Night Stories' ELSE '' END END) AS text"""
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of each sender so far: errors of a value of 100 or more."""
+    bad = read(spark, sf_dir, "events").where("event_type = 'error' and value >= 100").groupBy("user_id").agg(F.count("*").alias("violation_count"))
+    return bad.select((F.col("user_id") % 5).alias("group_id"), "user_id", "violation_count", F.least(F.lit(1.0), F.col("violation_count") * 0.25).alias("risk_score"))
+
+
+def examples(spark: SparkSession) -> DataFrame:
+    rows = [(i, "spam" if i in SPAM_EXAMPLES else "not_spam", TEMPLATES[i]) for i in sorted(SPAM_EXAMPLES + GOOD_EXAMPLES)]
+    return literal(spark, rows, "example_id long, label string, example_text string").withColumns({"group_id": F.lit(None).cast("long"), "global_allowed": F.lit(True), "created_at": F.col("example_id")})
 
 
 def groups(spark: SparkSession) -> DataFrame:

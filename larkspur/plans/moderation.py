@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, fixed, scoring, text
-from ..operators import lookups
+from ..operators import lookups, retrieval
 from ..sources.tables import read
+from ..streaming import stateful
 from . import fixtures
 from .fixtures import quoted, values_sql
 from .registry import query
@@ -21,15 +22,23 @@ def decided(df: DataFrame, demo: bool = False) -> DataFrame:
 
 
 def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture messages with text columns, group, sender and host rules."""
+    """Fixture messages with text columns, group, sender and host rules, and what came before: violations, rate, repeats."""
     df = features.with_text(fixtures.messages(spark, sf_dir))
     users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
     trusted = users.where(F.col("user_id") % TRUSTED == 0).crossJoin(fixtures.groups(spark).select("group_id"))
     df = lookups.with_trust(lookups.with_group(df, fixtures.groups(spark)), trusted)
-    df = df.withColumn("is_admin", F.col("user_id") % ADMIN == 0)
+    df = lookups.with_violations(df.withColumn("is_admin", F.col("user_id") % ADMIN == 0), fixtures.violations(spark, sf_dir))
+    df = stateful.sender_frequency(df, window_s=86_400)
+    df = stateful.repeats(df.withColumn("hash_", text.text_hash(F.col("norm"))), "group_id", "hash_", "message_id").drop("hash_", "frequent")
     return lookups.with_host_rules(df, fixtures.rules(spark))
 
 
+def compared(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """With similarities to the examples of each message's group."""
+    takers = fixtures.groups(spark).select("group_id", F.lit(True).alias("global_enabled"))
+    return retrieval.with_similarities(df, retrieval.newest(lookups.in_scope(fixtures.examples(spark), takers)), "norm")
+
+
 # SQL counterparts of the column chains.
 ZW = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}]"
 s = quoted
@@ -53,8 +62,7 @@ def unique(values: str) -> str:
 
 CHAT = "(contains(lower(u), 't.me/') OR contains(lower(u), 'telegram.me/'))"
 TEXT_SQL = f"""
-m AS (SELECT e.event_id AS message_id, e.user_id, e.user_id % 5 AS group_id, e.ts, t.template || ' ' || e.user_id AS text
-      FROM events e JOIN {values_sql(list(enumerate(fixtures.TEMPLATES)))} t(id, template) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id),
+m AS ({fixtures.MESSAGES_SQL} FROM events e JOIN {values_sql(list(enumerate(fixtures.TEMPLATES)))} t(id, template) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id),
 m1 AS (SELECT *, trim(regexp_replace(regexp_replace(text, '{ZW}', '', 'g'), '\\s+', ' ', 'g')) AS norm, {count('text', ZW)} AS zero_widths,
        {count('text', '[' + chr(92) + 'p{M}' + chr(92) + 'p{S}]')} - {count('text', '[$+<=>^`|~]')} + {count('text', '[' + chr(92) + 'p{Cf}' + chr(92) + 'p{Co}]')} AS odd FROM m),
 m2 AS (SELECT *, list_transform(regexp_extract_all(norm, {s('(?i)' + fixed.URL)}, 1), lambda u: regexp_replace(u, {s(fixed.AFTER_LINK)}, '')) AS urls0,
@@ -66,17 +74,19 @@ m4 AS (SELECT *, list_concat(links0, list_filter(urls, lambda u: {CHAT})) AS lin
 m5 AS (SELECT *, {unique('links1')} AS links, list_filter(hosts0, lambda h, i: h <> '' AND list_position(hosts0, h) = i) AS hosts FROM m4)"""
 
 KNOWN_SQL = f"""{TEXT_SQL},
+viol AS (SELECT user_id, least(0.20::DOUBLE, count(*) * 0.04::DOUBLE + least(1.0::DOUBLE, count(*) * 0.25::DOUBLE) * 0.12::DOUBLE) AS score FROM events WHERE event_type = 'error' AND value >= 100 GROUP BY user_id),
+past AS (SELECT message_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) >= 6 AS frequent, row_number() OVER (PARTITION BY group_id, sha256(lower(norm)) ORDER BY message_id) > 1 AS repeated FROM m5),
 groups_ AS (SELECT * FROM {values_sql(fixtures.GROUPS)} g(group_id, authorized, setup_completed, mode, ban_enabled, scan_admins)),
 rules_ AS (SELECT group_id, coalesce(list(domain) FILTER (status = 'blocked'), []) AS b, coalesce(list(domain) FILTER (status = 'allowed'), []) AS a FROM {values_sql(fixtures.RULES)} r(group_id, domain, status) GROUP BY group_id),
-m6 AS (SELECT m5.*, g.* EXCLUDE (group_id), user_id % {ADMIN} = 0 AS admin, c.c_custkey IS NOT NULL AS trusted,
+m6 AS (SELECT m5.*, past.frequent, past.repeated, coalesce(viol.score, 0.0::DOUBLE) AS violation_score, g.* EXCLUDE (group_id), user_id % {ADMIN} = 0 AS admin, c.c_custkey IS NOT NULL AS trusted,
        list_filter(hosts, lambda h: list_contains(coalesce(r.b, []), h)) AS blocked_hosts, list_filter(hosts, lambda h: list_contains(coalesce(r.a, []), h)) AS allowed_hosts
-       FROM m5 JOIN groups_ g USING (group_id) LEFT JOIN rules_ r USING (group_id)
+       FROM m5 JOIN past USING (message_id) LEFT JOIN viol USING (user_id) JOIN groups_ g USING (group_id) LEFT JOIN rules_ r USING (group_id)
        LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % {TRUSTED} = 0) c ON c.c_custkey = m5.user_id)"""
 
 FEATURES_SQL = f"""{KNOWN_SQL},
 f1 AS (SELECT *, len(urls) > 0 AS has_url, len(list_filter(links, lambda u: {CHAT})) > 0 AS chat_link,
   len(list_filter(links, lambda u: {found('u', [fixed.BOT_LINK], '(?i)')} AND {found('u', [fixed.BOT_START], '(?i)')})) > 0 AS bot_start,
-  len(list_filter(links, lambda u: {found('u', [fixed.INVITE_LINK], '(?i)')})) > 0 AS invite, false AS story,
+  len(list_filter(links, lambda u: {found('u', [fixed.INVITE_LINK], '(?i)')})) > 0 AS invite,
   len(list_filter(hosts, lambda h: h IN ({', '.join(map(s, fixed.SHORTENERS))}))) > 0 AS shortener,
   {found('deob', fixed.PORN_PATTERNS)} OR {contains('compact', fixed.PORN_TERMS)} AS porn_words,
   {found('deob', fixed.ADULT_PATTERNS)} OR {contains('compact', fixed.ADULT_TERMS)} AS adult_words,
@@ -85,7 +95,7 @@ f1 AS (SELECT *, len(urls) > 0 AS has_url, len(list_filter(links, lambda u: {CHA
   {contains('deob', fixed.CRYPTO_PHRASES)} AS crypto, {contains('deob', fixed.REWARD_PHRASES)} AS reward, {contains('deob', fixed.LOGIN_PHRASES)} AS login,
   {count('norm', fixed.EMOJI)} >= 10 AS many_emojis, odd > 0 OR {found('lower(norm)', [fixed.OBFUSCATED])} AS obfuscated, zero_widths > 0 AS zero_width,
   {count('norm', fixed.MENTION)} >= 5 AS mentions, {found('deob', [fixed.PROMOTION])} AS promotion,
-  false AS repeated, false AS joined, false AS frequent, false AS violations, len(blocked_hosts) > 0 AS domain_blocked,
+  violation_score > 0 AS violations, len(blocked_hosts) > 0 AS domain_blocked,
   len(hosts) > 0 AND len(list_filter(hosts, lambda h: NOT (h IN ({', '.join(map(s, fixed.SAFE_HOSTS))}) OR list_contains(allowed_hosts, h)))) = 0 AS domain_allowed FROM m6),
 f2 AS (SELECT *, adult_words AND (calls > 0 OR bot_start) AS adult_call FROM f1),
 f3 AS (SELECT *, adult_words AND (adult_call OR urgency OR bot_start OR porn_words OR story) AS adult_story FROM f2),
@@ -93,9 +103,21 @@ f4 AS (SELECT *, porn_words OR adult_story AS porn_bait FROM f3),
 f5 AS (SELECT *, domain_blocked OR bot_start OR invite OR (story AND adult_story) OR (len(hosts) > 0 AND (porn_bait OR adult_call OR urgency OR adult_story OR crypto OR reward OR login OR shortener)) AS high_risk,
   {' + '.join(f'{x}::INT' for x in fixed.SIGNALS)} AS signals FROM f4)"""
 
+TOLD = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
+LONG = "list_filter({0}, lambda w: length(w) > 2)"
+TIMES = "len(list_filter({0}, lambda w: w = t))"
+SIMILAR_SQL = f"""ex AS (SELECT label, {TOLD.format('t')} AS w, row_number() OVER (PARTITION BY label ORDER BY i DESC) AS age FROM {values_sql([(i, 'spam' if i in fixtures.SPAM_EXAMPLES else 'not_spam', fixtures.TEMPLATES[i]) for i in sorted(fixtures.SPAM_EXAMPLES + fixtures.GOOD_EXAMPLES)])} v(i, label, t)),
+mw AS (SELECT message_id, {TOLD.format('norm')} AS w FROM m5),
+near AS (SELECT mw.message_id, ex.label, {LONG.format('mw.w')} AS a, {LONG.format('ex.w')} AS b, row_number() OVER (PARTITION BY mw.message_id, ex.label ORDER BY len(list_intersect(list_distinct(list_filter(mw.w, lambda w: length(w) > 3)), list_distinct(ex.w))) DESC, age) AS rank FROM mw CROSS JOIN ex),
+sim AS (SELECT message_id, max(CASE WHEN label = 'spam' THEN c END) AS spam_similarity, max(CASE WHEN label = 'not_spam' THEN c END) AS ham_similarity FROM (SELECT message_id, label,
+  coalesce(list_sum(list_transform(list_distinct(a), lambda t: {TIMES.format('a')} * {TIMES.format('b')})) / nullif(sqrt(list_sum(list_transform(list_distinct(a), lambda t: {TIMES.format('a')} ** 2))) * sqrt(list_sum(list_transform(list_distinct(b), lambda t: {TIMES.format('b')} ** 2))), 0), 0.0) AS c FROM near WHERE rank <= 4) GROUP BY message_id)"""
+EXTREME = f"len(list_filter(links, lambda u: {CHAT} AND (contains(lower(u), 'start=') OR contains(lower(u), 'startapp=') OR contains(lower(u), 'joinchat/')))) > 0"
+SKIP = f"norm = '' OR (admin AND NOT scan_admins) OR (trusted AND NOT ({EXTREME}))"
+
 PAIRS = [(n, r) for n, _, r in fixed.RULE_WEIGHTS] + [("has_url AND signals = 1", "contains URL"), ("adult_story AND (bot_start OR chat_link OR has_url)", "adult clickbait with Telegram/link call-to-action"), ("adult_story AND porn_bait", "explicit adult clickbait story"), ("raised", "high-risk link pattern")]
 REASONS = lambda pairs: "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {s(r)} END" for c, r in pairs) + "], lambda x: x IS NOT NULL)"
 SCORE_SQL = f"""{FEATURES_SQL},
+{SIMILAR_SQL},
 r1 AS (SELECT *, 0.0::DOUBLE {' '.join(f'+ CASE WHEN {n} THEN {w}::DOUBLE ELSE 0.0::DOUBLE END' for n, w, _ in fixed.RULE_WEIGHTS)}
   + CASE WHEN has_url AND signals = 1 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN domain_allowed THEN 0.35::DOUBLE ELSE 0.0::DOUBLE END - CASE WHEN admin THEN 0.30::DOUBLE ELSE 0.0::DOUBLE END
   - CASE WHEN trusted AND NOT high_risk THEN 0.55::DOUBLE WHEN trusted THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END AS w0 FROM f5),
@@ -106,7 +128,8 @@ l1 AS (SELECT *, CASE WHEN domain_blocked THEN greatest(rule_score, 0.97::DOUBLE
 l2 AS (SELECT *, CASE WHEN sc >= 0.96::DOUBLE AND (high_risk OR (adult_story AND (adult_call OR porn_bait)) OR crypto OR reward OR login) THEN 'spam' WHEN sc >= 0.72::DOUBLE THEN 'suspicious' WHEN sc <= 0.20::DOUBLE THEN 'not_spam' ELSE 'suspicious' END AS label FROM l1),
 l3 AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN label = 'not_spam' THEN 1.0::DOUBLE - sc ELSE sc END)) AS confidence,
   CASE WHEN label <> 'not_spam' THEN coalesce({', '.join(f'CASE WHEN {n} THEN {s(k)} END' for n, k, _ in reversed(fixed.LURES) if k)}, 'unknown') END AS lure FROM l2),
-b1 AS (SELECT *, rule_score * 0.42::DOUBLE + (CASE label WHEN 'not_spam' THEN 1.0::DOUBLE - confidence WHEN 'suspicious' THEN confidence * 0.78::DOUBLE ELSE confidence END) * 0.40::DOUBLE AS x0 FROM l3),
+b1 AS (SELECT *, rule_score * 0.42::DOUBLE + (CASE label WHEN 'not_spam' THEN 1.0::DOUBLE - confidence WHEN 'suspicious' THEN confidence * 0.78::DOUBLE ELSE confidence END) * 0.40::DOUBLE
+  + spam_similarity * 0.12::DOUBLE + violation_score * 0.06::DOUBLE - ham_similarity * 0.22::DOUBLE AS x0 FROM l3 JOIN sim USING (message_id)),
 b2 AS (SELECT *, greatest(x0, CASE WHEN domain_blocked THEN 0.94::DOUBLE END, CASE WHEN high_risk AND label = 'spam' THEN least(1.0::DOUBLE, confidence + 0.04::DOUBLE) END,
   CASE WHEN adult_story AND adult_call AND label = 'spam' THEN 0.90::DOUBLE END, CASE WHEN adult_story AND porn_bait THEN 0.91::DOUBLE END) AS x1 FROM b1),
 b3 AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1, CASE WHEN trusted AND NOT high_risk THEN 0.42::DOUBLE END, CASE WHEN admin THEN 0.45::DOUBLE END)) AS final_score FROM b2)"""
@@ -120,13 +143,17 @@ def action_sql(mode: str = "mode", setup: str = "setup_completed", ban: str = "b
   WHEN final_score >= 0.55::DOUBLE THEN 'ask_admin' ELSE 'allow' END"""
 
 
-@query(f"""WITH {SCORE_SQL}, d AS (SELECT *, {action_sql()} AS action FROM b3)
-SELECT message_id, user_id, group_id, round(rule_score, 6) AS rule_score, label, round(confidence, 6) AS confidence, lure, round(final_score, 6) AS final_score, action,
-  mode <> 'silent' AND action <> 'allow' AND (action <> 'monitor' OR final_score >= 0.55::DOUBLE) AS notify, array_to_string(rule_reasons, '; ') AS reasons FROM d""")
+@query(f"""WITH {SCORE_SQL}, d AS (SELECT *, {action_sql()} AS action, {SKIP} AS skip FROM b3)
+SELECT message_id, user_id, group_id, CASE WHEN skip THEN 'skipped' ELSE 'scored' END AS status, CASE WHEN NOT skip THEN round(rule_score, 6) END AS rule_score, CASE WHEN NOT skip THEN label END AS label, CASE WHEN NOT skip THEN round(confidence, 6) END AS confidence, CASE WHEN NOT skip THEN lure END AS lure,
+  CASE WHEN NOT skip THEN round(spam_similarity, 6) END AS spam_similarity, CASE WHEN NOT skip THEN round(ham_similarity, 6) END AS ham_similarity, CASE WHEN NOT skip THEN round(violation_score, 6) END AS violation_score, CASE WHEN NOT skip THEN round(final_score, 6) END AS final_score, CASE WHEN NOT skip THEN action END AS action,
+  CASE WHEN NOT skip THEN mode <> 'silent' AND action <> 'allow' AND (action <> 'monitor' OR final_score >= 0.55::DOUBLE) END AS notify, CASE WHEN NOT skip THEN array_to_string(rule_reasons, '; ') END AS reasons FROM d""")
 def moderation_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: every message scored, labelled and decided under its group's settings."""
-    r = lambda c: F.round(c, 6).alias(c)
-    return decided(known(spark, sf_dir)).select("message_id", "user_id", "group_id", r("rule_score"), "label", r("confidence"), "lure", r("final_score"), "action", "notify", F.concat_ws("; ", "rule_reasons").alias("reasons"))
+    """Flagship: every message assembled, joined with what is known, skipped or scored, compared with examples, labelled and decided under its group's settings."""
+    df = features.with_features(known(spark, sf_dir)).withColumn("skip", features.skipped(F.col("scan_admins")))
+    out = scoring.with_decision(scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(compared(spark, df)))))
+    r = lambda c: F.when(~F.col("skip"), F.round(c, 6)).alias(c)
+    own = lambda c, value=None: F.when(~F.col("skip"), F.col(c) if value is None else value).alias(c)
+    return out.select("message_id", "user_id", "group_id", F.when(F.col("skip"), "skipped").otherwise("scored").alias("status"), r("rule_score"), own("label"), r("confidence"), own("lure"), r("spam_similarity"), r("ham_similarity"), r("violation_score"), r("final_score"), own("action"), own("notify"), own("reasons", F.concat_ws("; ", "rule_reasons")))
 
 
 @query(f"WITH {FEATURES_SQL} " + " UNION ALL ".join(f"SELECT {s(x)} AS feature, count(*) FILTER ({x}) AS n FROM f5" for x in fixed.SIGNALS))
@@ -146,23 +173,21 @@ def rule_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT mode_ AS mode, action, count(*) AS n FROM d GROUP BY ALL""")
 def action_mix_by_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Actions under each mode; scores are taken once and exploded by mode."""
-    df = scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(features.with_features(known(spark, sf_dir)))))
+    df = scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(compared(spark, features.with_features(known(spark, sf_dir))))))
     df = df.select("final_score", "high_risk", "label", "adult_story", "porn_bait", F.explode(F.array(*map(F.lit, fixed.MODES))).alias("mode"), F.lit(True).alias("ban_enabled"), F.lit(True).alias("setup_completed"))
     return scoring.with_decision(df).groupBy("mode", "action").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SCORE_SQL}, p AS (SELECT message_id, greatest(rule_score, CASE WHEN {found('norm', [fixed.ABUSE], '(?i)')} THEN 0.72::DOUBLE END, CASE WHEN {found('norm', [fixed.INAPPROPRIATE], '(?i)')} THEN 0.78::DOUBLE END,
-  CASE WHEN {found('norm', [fixed.MALICIOUS], '(?is)')} THEN 0.88::DOUBLE END, CASE WHEN high_risk OR adult_call OR adult_story OR crypto OR reward OR login THEN 0.92::DOUBLE END) AS x, {found('norm', [fixed.MALICIOUS], '(?is)')} AS malicious FROM b3)
-SELECT message_id, round(x, 6) AS safety_score, CASE WHEN x < 0.55::DOUBLE THEN 'allow' WHEN malicious THEN 'private_malicious_code_ignored' WHEN x >= 0.90::DOUBLE THEN 'private_spam_ignored' ELSE 'private_abuse_warned' END AS safety_action FROM p""")
+  CASE WHEN {found('norm', [fixed.MALICIOUS], '(?is)')} THEN 0.88::DOUBLE END, CASE WHEN has_media AND norm = '' THEN 0.58::DOUBLE END, CASE WHEN high_risk OR adult_call OR adult_story OR crypto OR reward OR login THEN 0.92::DOUBLE END) AS x0, {found('norm', [fixed.MALICIOUS], '(?is)')} AS malicious, has_media AND norm = '' AS media, violation_score FROM b3),
+v AS (SELECT *, CASE WHEN violation_score >= 0.12::DOUBLE AND x0 >= 0.50::DOUBLE THEN greatest(x0, 0.72::DOUBLE) ELSE x0 END AS x FROM p)
+SELECT message_id, round(x, 6) AS safety_score, CASE WHEN x < 0.55::DOUBLE THEN 'allow' WHEN media THEN 'private_media_rejected' WHEN malicious THEN 'private_malicious_code_ignored' WHEN x >= 0.90::DOUBLE THEN 'private_spam_ignored' ELSE 'private_abuse_warned' END AS safety_action FROM v""")
 def private_safety_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scoring.with_private_safety(scoring.with_rule_score(features.with_features(known(spark, sf_dir))))
     return df.select("message_id", F.round("safety_score", 6).alias("safety_score"), F.coalesce("safety_action", F.lit("allow")).alias("safety_action"))
 
 
-EXTREME = f"len(list_filter(links, lambda u: {CHAT} AND (contains(lower(u), 'start=') OR contains(lower(u), 'startapp=') OR contains(lower(u), 'joinchat/')))) > 0"
-
-
-@query(f"""WITH {FEATURES_SQL} SELECT group_id, norm = '' OR (admin AND NOT scan_admins) OR (trusted AND NOT ({EXTREME})) AS skip,
+@query(f"""WITH {FEATURES_SQL} SELECT group_id, {SKIP} AS skip,
   CASE WHEN NOT has_url THEN porn_bait OR adult_call OR adult_story OR crypto OR reward OR login ELSE signals > 0 END AS classify, count(*) AS n FROM f5 GROUP BY ALL""")
 def ai_gate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many messages of each group are skipped, and how many go to a classifier."""
