@@ -1,6 +1,6 @@
 """All registered queries of the moderation and support engine."""
 
-from . import moderation, reports, similarity, support  # noqa: F401
+from . import access, moderation, reports, similarity, support  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
