@@ -117,10 +117,13 @@ class BpeCodec:
             return self.piece(text)
         first, *rest = text.split(" ")
         ids = [self.of_first[first], *map(self.of_inner.__getitem__, rest)]
-        if None in ids:  # runs of white space
-            first, *rest = CUT.split(text)
-            return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
-        return b"".join(ids)
+        try:
+            return b"".join(ids)
+        except TypeError:
+            if None not in ids:
+                raise
+        first, *rest = CUT.split(text)  # there are runs of white space
+        return self.piece(first) + b"".join([self.piece(" " + x) for x in rest])
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
