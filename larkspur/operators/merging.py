@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,20 +62,23 @@ def merged(items: DataFrame, window: int = 50) -> DataFrame:
         hit["first_sender"] = hit["first_sender"] or row["sender_id"]
         hit["last_text"], hit["matched_id"] = row["text"], row["matched_id"] or hit["matched_id"]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, records = None, []
+        table = lambda done: pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in done], schema)
         for batch in batches:
             done: list[dict] = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            for row in batch.to_pylist():  # Arrow's integers stay integers beside nulls
                 key = tuple(row[c] for c in by)
                 if key != now:
                     done += records
                     now, records = key, []
                 take(records, row)
-            yield pd.DataFrame(done, columns=names)
-        yield pd.DataFrame(records, columns=names)
+            yield table(done)
+        yield table(records)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInPandas(fold, MERGED)
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in MERGED.split(", "))])
+    return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInArrow(fold, MERGED)
 
 
 def first_compatible(incoming: DataFrame, open_items: DataFrame) -> DataFrame:

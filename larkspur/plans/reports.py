@@ -236,8 +236,12 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"started": F.col("started").cast("timestamp_ntz"), "ended": F.col("ended").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT event_id, user_id, least(value, 100.0) / 100.0 AS base, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT event_id, user_id, k, 0.0::DOUBLE AS prior, base >= 0.88 AS hit, (base >= 0.88)::INT AS n, CASE WHEN base >= 0.88 THEN least(1.0, base) ELSE 0.0 END::DOUBLE AS risk FROM s WHERE k = 1
+  UNION ALL SELECT event_id, user_id, k, prior, score >= 0.88, n + (score >= 0.88)::INT, CASE WHEN score >= 0.88 THEN greatest(risk, score) ELSE risk END FROM (SELECT *, least(1.0, base + 0.06 * prior) AS score
+    FROM (SELECT s.event_id, s.user_id, s.k, s.base, f.n, f.risk, CASE WHEN f.n > 0 THEN least(0.20, f.n * 0.04 + f.risk * 0.12) ELSE 0.0 END::DOUBLE AS prior FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)))
+SELECT event_id, user_id, round(prior, 6) AS prior, hit FROM f""")
 def violation_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations that raise a sender's later scores, folded in order; tested against a plain loop."""
+    """Violations that raise a sender's later scores, folded in order."""
     df = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("seq"), (F.least(F.col("value"), F.lit(100.0)) / 100.0).alias("base"))
     return stateful.violations_fold(df).select("event_id", "user_id", F.round("prior", 6).alias("prior"), "hit")

@@ -274,3 +274,13 @@ def test_row_similarities(spark):
     expected = {(r["message_id"], r["label"]): round(r["similarity"], 9) for r in retrieval.best_similarities(messages, examples).collect()}
     for r in retrieval.with_similarities(messages, examples).collect():
         assert (round(r["spam_similarity"], 9), round(r["ham_similarity"], 9)) == (expected[r["message_id"], "spam"], expected[r["message_id"], "not_spam"])
+
+
+def test_merging_keeps_ids(spark):
+    """Ids over 2**53 beside rows without one."""
+    big = (1 << 60) + 1
+    rows = [(1, 5, "request", "open", None, big, "a", "Dark season 1", None, None, None), (2, 5, "request", "open", big + 2, None, "b", "Dark", None, big + 4, None), (3, 5, "request", "open", 7, 8, "c", "Silo", None, None, None)]
+    df = spark.createDataFrame(rows, "seq long, group_id long, kind string, status string, message_id long, sender_id long, text string, title_query string, matched_title string, matched_id long, category string")
+    got = {r["item_id"]: r for r in merging.merged(df).collect()}
+    assert (got[1]["first_message"], got[1]["first_sender"], got[1]["matched_id"], got[1]["occurrence_count"]) == (big + 2, big, big + 4, 2)
+    assert (got[3]["first_message"], got[3]["first_sender"], got[3]["matched_id"]) == (7, 8, None)
