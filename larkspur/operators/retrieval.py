@@ -40,11 +40,11 @@ def nearest(messages: DataFrame, examples: DataFrame, kept: int = fixed.EXAMPLES
     messages(message_id, group_id, text), examples(scope_group, label, example_id, example_text, age).  A message meets at
     most the 100 newest of each label, so candidates grow with messages only.
     """
-    own = F.array_distinct(F.filter(words(F.col("text")), lambda w: F.length(w) > 3))
-    seen = F.array_distinct(words(F.col("example_text")))
+    # short words are left out on both sides; sets are built of a message's few words, not of an example's many
+    own, seen = F.array_distinct(numbered(F.col("text"), 3)), F.array_distinct(numbered(F.col("example_text"), 3))
     left = messages.select("message_id", F.col("group_id").alias("scope_group"), own.alias("own"))
     right = examples.select("scope_group", "label", "example_id", "age", seen.alias("seen"))
-    both = left.join(right, "scope_group").select("message_id", "label", "example_id", "age", F.size(F.array_intersect("own", "seen")).alias("overlap"))
+    both = left.join(right, "scope_group").select("message_id", "label", "example_id", "age", F.size(F.array_intersect("seen", "own")).alias("overlap"))
     order = Window.partitionBy("message_id", "label").orderBy(F.desc("overlap"), "age")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
 
@@ -60,9 +60,14 @@ def best_similarities(messages: DataFrame, examples: DataFrame) -> DataFrame:
     return near.join(scored, ["l", "r"]).groupBy(F.col("l").alias("message_id"), "label").agg(F.max("similarity").alias("similarity"))
 
 
+def numbered(text: Column, over: int) -> Column:
+    """Words of more than so many characters, as 64-bit numbers: arrays of them compare without strings."""
+    return F.transform(F.filter(words(text), lambda w: F.length(w) > over), lambda w: F.xxhash64(w))
+
+
 def counted_words(text: Column) -> Column:
     """[(term, n)] of words of more than two characters."""
-    long = F.filter(words(text), lambda w: F.length(w) > 2)
+    long = numbered(text, 2)
     return F.transform(F.array_distinct(long), lambda t: F.struct(t.alias("t"), F.size(F.filter(long, lambda w: w == t)).cast("double").alias("n")))
 
 
@@ -73,15 +78,15 @@ def with_similarities(messages: DataFrame, examples: DataFrame, text: str = "tex
     messages meet in a join by group; all else is done in the message's row, so messages are neither exploded nor sorted.
     """
     length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c["n"] * c["n"]))
-    seen = examples.select("scope_group", "label", "age", F.array_distinct(words(F.col("example_text"))).alias("seen"), counted_words(F.col("example_text")).alias("terms"))
+    seen = examples.select("scope_group", "label", "age", F.array_distinct(numbered(F.col("example_text"), 3)).alias("seen"), counted_words(F.col("example_text")).alias("terms"))
     seen = seen.withColumn("length", length(F.col("terms"))).select("scope_group", "label", F.struct("age", "seen", "terms", "length").alias("x"))
     of = lambda label: F.array_sort(F.collect_list(F.when(F.col("label") == label, F.col("x")))).alias(f"{label}_")
     rows = seen.groupBy("scope_group").agg(of("spam"), of("not_spam")).withColumnRenamed("scope_group", "group_id")
-    df = messages.join(rows, "group_id", "left").withColumns({"own_": F.array_distinct(F.filter(words(F.col(text)), lambda w: F.length(w) > 3)), "terms_": counted_words(F.col(text))})
+    df = messages.join(rows, "group_id", "left").withColumns({"own_": F.array_distinct(numbered(F.col(text), 3)), "terms_": counted_words(F.col(text))})
     df = df.withColumn("length_", length(F.col("terms_")))
 
     def best(label: str) -> Column:
-        ranked = F.array_sort(F.transform(F.coalesce(F.col(f"{label}_"), F.array()), lambda x: F.struct((-F.size(F.array_intersect("own_", x["seen"]))).alias("o"), x["age"].alias("age"), x["terms"].alias("terms"), x["length"].alias("length"))))
+        ranked = F.array_sort(F.transform(F.coalesce(F.col(f"{label}_"), F.array()), lambda x: F.struct((-F.size(F.array_intersect(x["seen"], "own_"))).alias("o"), x["age"].alias("age"), x["terms"].alias("terms"), x["length"].alias("length"))))
         times = lambda terms, t: F.aggregate(terms, F.lit(0.0), lambda a, c: a + F.when(c["t"] == t, c["n"]).otherwise(0.0))
         dot = lambda x: F.aggregate("terms_", F.lit(0.0), lambda a, c: a + c["n"] * times(x["terms"], c["t"]))
         cosines = F.transform(F.slice(ranked, 1, kept), lambda x: F.when((F.col("length_") > 0) & (x["length"] > 0), dot(x) / (F.col("length_") * x["length"])).otherwise(0.0))
