@@ -8,6 +8,7 @@ answers.  A very frequent key is one entry per group, which keeps buckets even.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -114,6 +115,16 @@ def spans_of(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
     return np.searchsorted(bucket, np.arange(n_buckets + 1))
 
 
+def then_released(f, *args):
+    """f(*args).  What it no longer needs goes back to the system: a worker lives on between groups, tasks and stages."""
+    out = f(*args)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+    return out
+
+
 class Memo(dict):
     """Results by key (a string), emptied when it holds `most` keys or `most_bytes` of them; make(key) fills a gap."""
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, GROUP_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, word_memo
+from .common import BUCKET_BYTES, GROUP_BYTES, ask, grouped, groups_for, in_bytes, mixed, spans_of, stored, then_released, word_memo
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 LAST = np.iinfo(np.int64).max
@@ -166,7 +166,7 @@ def deduplicated(docs: DataFrame, window: int = 13, first: int = 7, with_text: b
             rows = [(b, g, keys[i:j].tobytes(), checks[i:j].tobytes(), low[i:j].tobytes() if level == last else b"", np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
             return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(ASKED), ASKED, strict=True)], schema=ASKED)
 
-        return (lambda texts: send(texts)) if level == 0 else (lambda texts, answers: send(texts, answers))
+        return (lambda texts: then_released(send, texts)) if level == 0 else (lambda texts, answers: then_released(send, texts, answers))
 
     def answering(level: int):
         def answer(sent: pa.Table) -> pa.Table:
@@ -191,7 +191,7 @@ def deduplicated(docs: DataFrame, window: int = 13, first: int = 7, with_text: b
             left = pa.array([int(p.sum()) for p in np.split(many, ends)], pa.int64())
             return pa.Table.from_arrays([pa.array(np.full(len(keys), level, np.int32)), sent.column("bucket"), sent.column("g"), bits(many), bits(earlier), left], schema=ANSWERED)
 
-        return answer
+        return lambda sent: then_released(answer, sent)
 
     answers = None
     for level in range(len(lengths)):
@@ -223,4 +223,4 @@ def deduplicated(docs: DataFrame, window: int = 13, first: int = 7, with_text: b
 
     carried = docs.select(*carry).schema
     out = ", ".join([ddl(pa.schema(list(zip(names, kinds, strict=True)))), *(f"`{f.name}` {f.dataType.simpleString()}" for f in carried)])
-    return grouped(docs, n_groups, *carry).groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(finish, out)
+    return grouped(docs, n_groups, *carry).groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(lambda texts, answers: then_released(finish, texts, answers), out)
