@@ -95,3 +95,18 @@ def verified(secret: str, now: int):
         return pd.DataFrame({n: pd.array([r.get(n) for r in rows], dtype="Int64") for n in ("event_id", "admin_user_id", "exp")})
 
     return run
+
+
+def quoted(value: Column) -> Column:
+    """Percent-encoded; slashes stay."""
+    out = F.url_encode(value)
+    for had, wants in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        out = F.replace(out, F.lit(had), F.lit(wants))
+    return out
+
+
+def request_key(base: str, path: Column, params: Column) -> Column:
+    """What names a request in a cache: its address with its parameters by name, without those that are null or empty."""
+    given = F.map_filter(params, lambda _, value: F.coalesce(value != "", F.lit(False)))
+    parts = F.transform(F.array_sort(F.map_entries(given)), lambda e: F.concat(quoted(e["key"]), F.lit("="), quoted(e["value"])))
+    return F.concat(F.lit(base.rstrip("/")), path, F.lit("?"), F.array_join(parts, "&"))

@@ -107,13 +107,15 @@ def without(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return table.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def erased(tables: dict[str, DataFrame], groups: DataFrame, events: str = "moderation_events", reviews: str = "pending_reviews") -> dict[str, DataFrame]:
-    """All group-scoped tables without the rows of these groups; reviews go by their event's group."""
+def erased(tables: dict[str, DataFrame], groups: DataFrame, events: str = "moderation_events", reviews: str = "pending_reviews", sent: str = "bot_sent_messages") -> dict[str, DataFrame]:
+    """All group-scoped tables without the rows of groups(group_id[, chat_id]); reviews go by their event's group, sent messages by its chat."""
     keys = groups.select("group_id").distinct()
     out = {name: without(df, keys, ["group_id"]) for name, df in tables.items() if "group_id" in df.columns}
     if reviews in tables:
         gone = tables[events].join(keys, "group_id", "left_semi").select("event_id")
         out[reviews] = without(tables[reviews], gone, ["event_id"])
+    if sent in tables:
+        out[sent] = without(tables[sent], groups, ["chat_id"])
     return out
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import access, parsing, scoring, text, titles
-from ..operators import lookups
+from ..functions import access, parsing, scoring, settings, text, titles
+from ..operators import lookups, merging
 from ..sources.tables import read
+from ..streaming import stateful
 from . import fixtures
 from .fixtures import values_sql
 from .registry import query
@@ -107,3 +108,53 @@ def availability_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = lookups.with_availability(asked, known, ["title", "season"]).withColumns({"episode": none("int"), "episode_exists": none("boolean"), "episode_air_date": none("date"), "release_date": none("date"), "first_air_date": none("date")})
     state = titles.availability_state(F.lit("2026-01-01").cast("date"))
     return df.withColumn("state", state).select("request_id", "state", titles.blocks_logging(F.lit("request"), none("string"), F.nullif("state", F.lit("not_found"))).alias("waits"))
+
+
+FLAGS = [" TRUE ", "0", "Yes", "", None, "on", "n", "Y"]
+ADDRESSES = ["postgres://ann:pw1@db.example:5432/bot", "postgresql://db.example/bot", "postgresql+psycopg://ann@db.example/bot", "sqlite:///x.db"]
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, event_type, f, u FROM events JOIN {values_sql(list(enumerate(FLAGS)))} v(i, f) ON event_id % {len(FLAGS)} = i JOIN {values_sql(list(enumerate(ADDRESSES)))} w(j, u) ON event_id % {len(ADDRESSES)} = j)
+SELECT event_id, CASE WHEN f IS NULL THEN true ELSE lower(trim(f)) IN ('1', 'true', 'yes', 'y', 'on') END AS flag, CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id END AS number, event_type || '|' || event_id % 2 AS words,
+  array_to_string(list_sort(list_distinct([user_id, event_id % 4, user_id % 3])), '|') AS ids, CASE WHEN u[:8] = 'postgres' THEN 'jdbc:postgresql://' || regexp_extract(u, '(db[.].*)$', 1) ELSE u END AS url, CASE WHEN contains(u, 'ann') THEN 'ann' END AS db_user, CASE WHEN contains(u, 'pw1') THEN 'pw1' END AS db_password FROM e""")
+def settings_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of each event's service, given as text."""
+    one_of = lambda texts: F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts)).cast("int") + 1)
+    user, event = F.col("user_id").cast("string"), lambda n: (F.col("event_id") % n).cast("string")
+    given = settings.number(F.when(F.col("event_id") % 3 == 0, "").otherwise(user), F.lit(7))
+    names = settings.words(F.concat(F.lit(" "), F.col("event_type"), F.lit(" ;, "), event(2), F.lit(",")))
+    ids = settings.ids(F.concat(user, F.lit(" ; "), event(4), F.lit(",,"), (F.col("user_id") % 3).cast("string")))
+    df = read(spark, sf_dir, "events").select("event_id", settings.flag(one_of(FLAGS), True).alias("flag"), given.alias("number"), F.array_join(names, "|").alias("words"), F.array_join(ids.cast("array<string>"), "|").alias("ids"), settings.database(one_of(ADDRESSES)).alias("d"))
+    return df.select("event_id", "flag", "number", "words", "ids", "d.url", F.col("d.user").alias("db_user"), F.col("d.password").alias("db_password"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_id, epoch_us(ts) AS t, 'https://api.example/3/search?' || CASE WHEN user_id % 2 = 0 THEN 'page=' || user_id % 5 || '&' ELSE '' END || 'query=' || replace(url_encode(event_type || '/a b&c~*' || user_id % 7), '%2F', '/') AS key FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS k FROM c),
+f AS (SELECT key, k, event_id, t AS since, true AS fetched FROM e WHERE k = 1 UNION ALL SELECT e.key, e.k, e.event_id, CASE WHEN e.t >= f.since + 21600000000 THEN e.t ELSE f.since END, e.t >= f.since + 21600000000 FROM f JOIN e ON e.key = f.key AND e.k = f.k + 1)
+SELECT event_id, key, since AS fetched_us, fetched FROM f""")
+def response_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to a metadata service, and which are answered by what was fetched up to six hours before."""
+    query_ = F.concat("event_type", F.lit("/a b&c~*"), (F.col("user_id") % 7).cast("string"))
+    params = F.create_map(F.lit("query"), query_, F.lit("year"), F.lit(None).cast("string"), F.lit("page"), F.when(F.col("user_id") % 2 == 0, (F.col("user_id") % 5).cast("string")), F.lit("lang"), F.lit(""))
+    calls = read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), parsing.request_key("https://api.example/3/", F.lit("/search"), params).alias("key"))
+    return stateful.cached(calls, "key", "ts", "event_id", 21_600).select("event_id", "key", F.unix_micros("fetched_at").alias("fetched_us"), "fetched")
+
+
+#: Tables that name groups: (name, input table, column whose remainder by 5 is the group).
+SCOPED = [("support_issues", "lineitem", "l_suppkey"), ("support_requests", "orders", "o_custkey"), ("moderation_events", "events", "user_id"), ("training_examples", "part", "p_partkey"), ("trusted_users", "customer", "c_custkey"), ("domains", "pages", "page_id"), ("admin_bindings", "supplier", "s_suppkey")]
+
+
+@query(" UNION ALL ".join([f"SELECT '{name}' AS name, count(*) AS n FROM {source} WHERE {'p_size > 25 OR ' if source == 'part' else ''}{column} % 5 <> 2" for name, source, column in SCOPED])
+       + """ UNION ALL SELECT 'pending_reviews', count(*) FROM events WHERE event_type = 'view' AND user_id % 5 <> 2 UNION ALL SELECT 'bot_sent_messages', count(*) FROM events WHERE event_type = 'click' AND user_id % 5 <> 2
+UNION ALL SELECT 'user_violations', count(DISTINCT user_id) FROM events WHERE event_type = 'error' AND value >= 100 AND user_id % 5 <> 2 UNION ALL SELECT 'group_settings', 4 UNION ALL SELECT 'groups', 4""")
+def erase_group_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that stay in each of the twelve tables after group 2 is erased; examples without a group stay."""
+    tables = {name: read(spark, sf_dir, source).withColumn("group_id", F.col(column) % 5) for name, source, column in SCOPED}
+    tables["training_examples"] = tables["training_examples"].withColumn("group_id", F.when(F.col("p_size") <= 25, F.col("group_id")))
+    events, groups = read(spark, sf_dir, "events"), fixtures.groups(spark).withColumn("chat_id", -1000 - F.col("group_id"))
+    tables |= {"pending_reviews": events.where("event_type = 'view'").select("event_id"), "bot_sent_messages": events.where("event_type = 'click'").select("event_id", (-1000 - F.col("user_id") % 5).alias("chat_id")), "user_violations": fixtures.violations(spark, sf_dir), "group_settings": groups.select("group_id", "mode"), "groups": groups}
+    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, df in merging.erased(tables, groups.where("group_id = 2")).items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out

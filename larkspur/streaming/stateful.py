@@ -42,6 +42,29 @@ def rate_limited(events: DataFrame, key: str, ts: str, tie: str, limit: int, win
     return ordered.mapInPandas(fold, schema)
 
 
+def cached(calls: DataFrame, key: str, ts: str, tie: str, ttl_s: int) -> DataFrame:
+    """Adds `fetched_at`, when the answer to each call was fetched, and `fetched`, whether for this call.
+
+    An answer serves its key for ttl_s seconds, the last excluded; 0 keeps none.  The next fetch depends on the one before,
+    so this is a fold in time order; sorted partitions are read once, with one time in memory.
+    """
+    schema = T.StructType([*calls.schema.fields, T.StructField("fetched_at", T.LongType()), T.StructField("fetched", T.BooleanType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), 0
+        for batch in batches:
+            since, made = [], []
+            for k, t in zip(batch[key], batch["at_"], strict=True):
+                made.append(k != now or t >= last + ttl_s * 1_000_000)
+                if made[-1]:
+                    now, last = k, t
+                since.append(last)
+            yield batch.drop(columns="at_").assign(fetched_at=pd.Series(since, dtype="int64", index=batch.index), fetched=pd.Series(made, dtype=bool, index=batch.index))
+
+    ordered = calls.withColumn("at_", F.unix_micros(F.col(ts).cast("timestamp"))).repartition(key).sortWithinPartitions(key, "at_", tie)
+    return ordered.mapInPandas(fold, schema).withColumn("fetched_at", F.timestamp_micros("fetched_at"))
+
+
 def sender_frequency(events: DataFrame, key: str = "user_id", ts: str = "ts", window_s: int = 3600, many: int = 6) -> DataFrame:
     """Adds recent_count, the sender's messages in the window up to each, itself included, and `frequent`."""
     recent = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-window_s, 0)

@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import features, fixed, parsing, scoring, text, titles
+from larkspur.functions import features, fixed, parsing, scoring, settings, text, titles
 from larkspur.operators import lookups, merging, retrieval
 from larkspur.plans import fixtures, moderation, support
 from larkspur.plans.queries import QUERIES
@@ -284,3 +284,32 @@ def test_merging_keeps_ids(spark):
     got = {r["item_id"]: r for r in merging.merged(df).collect()}
     assert (got[1]["first_message"], got[1]["first_sender"], got[1]["matched_id"], got[1]["occurrence_count"]) == (big + 2, big, big + 4, 2)
     assert (got[3]["first_message"], got[3]["first_sender"], got[3]["matched_id"]) == (7, 8, None)
+
+
+def test_commit_is_whole(spark, tmp_path):
+    """All tables of a commit or none; a repeated epoch changes nothing; tables not named stay."""
+    root, rows = str(tmp_path / "store"), lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    read = lambda name: sorted(r[0] for r in tables.committed(spark, root, name).collect())
+    assert tables.commit(spark, {"a": rows(1), "b": rows(2)}, root, epoch=0)
+    assert not tables.commit(spark, {"a": rows(9)}, root, epoch=0)
+    assert (read("a"), read("b")) == ([1], [2])
+    with pytest.raises(Exception, match="broken"):
+        tables.commit(spark, {"a": rows(5), "b": rows(1).select(F.raise_error(F.lit("broken")).cast("int").alias("v"))}, root, epoch=1)
+    assert (read("a"), read("b")) == ([1], [2]) and len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
+    assert tables.commit(spark, {"a": rows(3, 4)}, root, epoch=1)
+    assert (read("a"), read("b"), tables.manifest(spark, root)["epoch"]) == ([3, 4], [2], 1)
+
+
+def test_cache_by_time(spark):
+    """A fetch serves its key until its time is over; without a time to live nothing is kept."""
+    calls = spark.createDataFrame([(1, "x", 0), (2, "x", 0), (3, "x", 9), (4, "x", 10), (5, "y", 11), (6, None, 1), (7, None, 2), (8, "x", 19), (9, "x", 30)], "id int, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    tell = lambda ttl: {r["id"] for r in stateful.cached(calls, "key", "ts", "id", ttl).where("fetched").collect()}
+    assert tell(10) == {1, 4, 5, 6, 9}
+    assert tell(0) == set(range(1, 10))
+    assert stateful.cached(calls.where("false"), "key", "ts", "id", 10).collect() == []
+
+
+def test_settings(spark):
+    assert one(spark, None, lambda c: settings.flag(c, True)) and not one(spark, "", lambda c: settings.flag(c, True)) and one(spark, "\tOn\n", settings.flag)
+    assert one(spark, " 3;1,,3 ", settings.ids) == [1, 3] and one(spark, None, settings.words) == [] and one(spark, "", lambda c: settings.number(c, F.lit(5))) == 5
+    assert tuple(one(spark, "postgres://a:b@h:1/d?x=1", settings.database)) == ("jdbc:postgresql://h:1/d?x=1", "a", "b")
