@@ -92,13 +92,14 @@ def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def grouped(docs: DataFrame, n_groups: int, *extra) -> DataFrame:
-    """(g, doc_id, raw, ...): whole texts as UTF-8 bytes (null: empty), dealt into n_groups by a hash of doc_id.
+    """(g, doc_id, raw, ...): whole texts as UTF-8 bytes (null: empty), dealt into n_groups by a hash of doc_id and text.
 
-    doc_id is taken to be unique; two rows with one id land in one group and are treated as two documents.  A text isn't
-    split: a group holds at least its longest text whole, and the task that reads it about fifteen times its bytes.
+    Two rows with one doc_id are two documents; rows without doc_id, or with one that many have, are dealt by their texts,
+    so only rows that are alike in both meet in one group.  A text isn't split: a group holds at least its longest text
+    whole, and the task that reads it about fifteen times its bytes.
     """
     return docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int").alias("g"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int").alias("g"),
         "doc_id",
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"),
         *extra,

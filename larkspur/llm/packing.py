@@ -138,7 +138,7 @@ def packed(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, fan: i
         return pa.table({"child": child, "bin": first[bins], "shift": shift, "held": now[bins], "goes": going(now)[bins]})
 
     schema = PIECES + (", ids binary" if with_ids else "") + ", offset long, bin long, held long, goes boolean"
-    dealt = pieces(docs, path, size, end_id, with_ids).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
+    dealt = pieces(docs, path, size, end_id, with_ids).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_parts)))
     placed = stored(dealt.groupBy("part").applyInArrow(local, schema), "packing")
     now, together, moves = placed.where("offset = 0 and goes").select("bin", "held"), 1, None
     while together < n_parts:

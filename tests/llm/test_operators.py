@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import bpe, common, components, language, ngram_lm, packing, quality, search, simhash, substring, suffixes, toxicity
@@ -837,3 +838,10 @@ def test_memo_bytes():
     memo = common.Memo(lambda k: made.append(k) or len(k), most=3, most_bytes=10)
     assert [memo[k] for k in ("a", "b", "a", "c", "d", "a", "x" * 9, "yy")] == [1, 1, 1, 1, 1, 1, 9, 2]
     assert len(memo) <= 3 and made == ["a", "b", "c", "d", "a", "x" * 9, "yy"]
+
+
+def test_groups_without_ids(spark):
+    """Rows without doc_id, or with one and the same, are dealt by their texts."""
+    docs = spark.range(100_000).selectExpr("if(id % 2 = 0, null, 7) as doc_id", "concat('text ', id) as text")
+    sizes = [r["n"] for r in common.grouped(docs, 64).groupBy("g").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * 100_000 / 64
