@@ -74,19 +74,47 @@ def first_result(*results: tuple[Column, Column]) -> Column:
     return F.struct(F.coalesce(*labels).alias("label"), F.nullif(errors, F.lit("")).alias("error"))
 
 
+def floors() -> list[tuple[str, Column]]:
+    """The least final score of a message for which a condition holds."""
+    return [("domain_blocked", F.lit(0.94)), ("high_risk and label = 'spam'", F.least(F.lit(1.0), F.col("confidence") + 0.04)), ("adult_story and adult_call and label = 'spam'", F.lit(0.90)), ("adult_story and porn_bait", F.lit(0.91))]
+
+
+#: The largest final score.
+CAPS = [("trusted and not high_risk", 0.42), ("admin", 0.45)]
+
+
 def with_final_score(df: DataFrame, spam: str = "spam_similarity", ham: str = "ham_similarity", violation: str = "violation_score") -> DataFrame:
     """Adds final_score and reasons; similarities and the violation score count as 0 where absent."""
     own = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
     ai = F.when(F.col("label") == "not_spam", 1.0 - F.col("confidence")).when(F.col("label") == "suspicious", F.col("confidence") * 0.78).otherwise(F.col("confidence"))
     score = F.col("rule_score") * 0.42 + ai * 0.40 + own(spam) * 0.12 + own(violation) * 0.06 - own(ham) * 0.22
-    floors = [("domain_blocked", F.lit(0.94)), ("high_risk and label = 'spam'", F.least(F.lit(1.0), F.col("confidence") + 0.04)), ("adult_story and adult_call and label = 'spam'", F.lit(0.90)), ("adult_story and porn_bait", F.lit(0.91))]
-    for when, floor in floors:
+    for when, floor in floors():
         score = F.greatest(score, F.when(F.expr(when), floor))  # greatest skips nulls
-    for when, cap in (("trusted and not high_risk", 0.42), ("admin", 0.45)):
+    for when, cap in CAPS:
         score = F.least(score, F.when(F.expr(when), F.lit(cap)))
     return df.withColumns({"final_score": clamped(score), "reasons": F.array_distinct(F.concat("rule_reasons", "label_reasons"))})
 
 
+def with_score_terms(df: DataFrame, spam: str = "spam_similarity", ham: str = "ham_similarity") -> DataFrame:
+    """Adds before, less, floor, cap: the final score is before + 0.06 * violation score - less, at least floor, at most cap (null: none), within 0 and 1."""
+    own = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    ai = F.when(F.col("label") == "not_spam", 1.0 - F.col("confidence")).when(F.col("label") == "suspicious", F.col("confidence") * 0.78).otherwise(F.col("confidence"))
+    least, most = [F.when(F.expr(when), floor) for when, floor in floors()], [F.when(F.expr(when), F.lit(cap)) for when, cap in CAPS]
+    return df.withColumns({"before": F.col("rule_score") * 0.42 + ai * 0.40 + own(spam) * 0.12, "less": own(ham) * 0.22, "floor": F.greatest(*least), "cap": F.least(*most)})
+
+
+def with_deletes_from(df: DataFrame) -> DataFrame:
+    """Adds deletes_from: the final score from which with_decision() deletes a message, null if it never does."""
+    have = set(df.columns)
+    own = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in have else F.lit(default)
+    high, delete, ban = (own(f"{k}_threshold", fixed.THRESHOLDS[k]) for k in ("high", "delete", "ban"))
+    mode, explicit = own("mode", "monitor_only"), F.expr("adult_story and porn_bait")
+    bans = F.when(F.col("high_risk") & own("ban_enabled", False) & (F.col("label") == "spam"), ban)
+    deletes = F.when(F.col("label").isin("spam", "suspicious") | explicit, delete)
+    least = F.least(bans, deletes, F.when(mode == "aggressive", high))
+    return df.withColumn("deletes_from", F.when(own("setup_completed", True) & (mode != "monitor_only"), least))
+
+
 def with_decision(df: DataFrame, demo: bool = False) -> DataFrame:
     """Adds action, notify, deletes, bans, pending.  Takes mode, setup_completed, ban_enabled, silent_enabled and thresholds (group columns; defaults where absent)."""
     have = set(df.columns)

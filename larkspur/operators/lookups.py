@@ -18,10 +18,11 @@ def with_group(messages: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in GROUP_DEFAULTS.items()})
 
 
-def with_trust(messages: DataFrame, trusted: DataFrame) -> DataFrame:
-    """is_trusted: whether (group_id, user_id) is in trusted."""
-    keys = trusted.select("group_id", "user_id", F.lit(True).alias("is_trusted")).distinct()
-    return messages.join(keys, ["group_id", "user_id"], "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(False)))
+def with_trust(messages: DataFrame, trusted: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """is_trusted: whether (group_id, user_id) is in trusted; by: ["user_id"] for users whom all groups trust."""
+    by = by or ["group_id", "user_id"]
+    keys = trusted.select(*by, F.lit(True).alias("is_trusted")).distinct()
+    return messages.join(keys, by, "left").withColumn("is_trusted", F.coalesce("is_trusted", F.lit(False)))
 
 
 def with_violations(messages: DataFrame, violations: DataFrame) -> DataFrame:
@@ -30,6 +31,11 @@ def with_violations(messages: DataFrame, violations: DataFrame) -> DataFrame:
     return messages.join(score, ["group_id", "user_id"], "left").withColumn("violation_score", F.coalesce("violation_score", F.lit(0.0)))
 
 
+def with_stored_violations(messages: DataFrame, violations: DataFrame) -> DataFrame:
+    """violation_count and risk_score of the sender as stored, null where there are none."""
+    return messages.join(violations.select("group_id", "user_id", "violation_count", "risk_score"), ["group_id", "user_id"], "left")
+
+
 def with_availability(requests: DataFrame, availability: DataFrame, keys: list[str]) -> DataFrame:
     """What is known of each request's title and part; `found` is false where nothing is."""
     return requests.join(availability, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, fixed, scoring, text
-from ..operators import lookups, retrieval
+from ..operators import feedback, lookups, retrieval
 from ..sources.tables import read
 from ..streaming import stateful
 from . import fixtures
@@ -21,16 +21,23 @@ def decided(df: DataFrame, demo: bool = False) -> DataFrame:
     return scoring.with_decision(scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(features.with_features(df)))), demo)
 
 
-def known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixture messages with text columns, group, sender and host rules, and what came before: violations, rate, repeats."""
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture messages with text columns, group, trust and host rules."""
     df = features.with_text(fixtures.messages(spark, sf_dir))
-    users = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    trusted = users.where(F.col("user_id") % TRUSTED == 0).crossJoin(fixtures.groups(spark).select("group_id"))
-    df = lookups.with_trust(lookups.with_group(df, fixtures.groups(spark)), trusted)
-    df = lookups.with_violations(df.withColumn("is_admin", F.col("user_id") % ADMIN == 0), fixtures.violations(spark, sf_dir))
+    trusted = read(spark, sf_dir, "customer").where(F.col("c_custkey") % TRUSTED == 0).select(F.col("c_custkey").alias("user_id"))
+    df = lookups.with_trust(lookups.with_group(df, fixtures.groups(spark)), trusted, ["user_id"])
+    return lookups.with_host_rules(df.withColumn("is_admin", F.col("user_id") % ADMIN == 0), fixtures.rules(spark))
+
+
+def followed(df: DataFrame) -> DataFrame:
+    """With what came before each message: its sender's rate, the same text in its group."""
     df = stateful.sender_frequency(df, window_s=86_400)
-    df = stateful.repeats(df.withColumn("hash_", text.text_hash(F.col("norm"))), "group_id", "hash_", "message_id").drop("hash_", "frequent")
-    return lookups.with_host_rules(df, fixtures.rules(spark))
+    return stateful.repeats(df.withColumn("hash_", text.text_hash(F.col("norm"))), "group_id", "hash_", "message_id").drop("hash_", "frequent")
+
+
+def known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with all that is known: placed(), followed() and violations from a finished table."""
+    return followed(lookups.with_violations(placed(spark, sf_dir), fixtures.violations(spark, sf_dir)))
 
 
 def compared(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -143,19 +150,56 @@ def action_sql(mode: str = "mode", setup: str = "setup_completed", ban: str = "b
   WHEN final_score >= 0.55::DOUBLE THEN 'ask_admin' ELSE 'allow' END"""
 
 
-@query(f"""WITH {SCORE_SQL}, d AS (SELECT *, {action_sql()} AS action, {SKIP} AS skip FROM b3)
+def swapped(sql: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+#: The same with each message twice, for a sender without violations and with some; the fold takes one of the two.
+BOTH_SQL = swapped(SCORE_SQL, ("coalesce(viol.score, 0.0::DOUBLE) AS violation_score", "z.prior, viol.n AS stored_n, viol.risk AS stored_risk"), ("FROM m5 JOIN past", "FROM m5 CROSS JOIN (VALUES (false), (true)) z(prior) JOIN past"),
+    ("least(0.20::DOUBLE, count(*) * 0.04::DOUBLE + least(1.0::DOUBLE, count(*) * 0.25::DOUBLE) * 0.12::DOUBLE) AS score", "count(*) AS n, least(1.0::DOUBLE, count(*) * 0.25::DOUBLE) AS risk"),
+    ("violation_score > 0 AS violations", "prior AS violations"), (" + violation_score * 0.06::DOUBLE - ham_similarity * 0.22::DOUBLE AS x0", " AS before, ham_similarity * 0.22::DOUBLE AS less"),
+    ("greatest(x0, CASE", "greatest(CASE"), ("END) AS x1 FROM b1", "END) AS floor_ FROM b1"), ("greatest(0.0::DOUBLE, least(1.0::DOUBLE, x1, CASE WHEN trusted AND NOT high_risk THEN 0.42::DOUBLE END, CASE WHEN admin THEN 0.45::DOUBLE END)) AS final_score", "least(CASE WHEN trusted AND NOT high_risk THEN 0.42::DOUBLE END, CASE WHEN admin THEN 0.45::DOUBLE END) AS cap FROM b2), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, prior ORDER BY message_id) AS k"))
+NEXT = "least(0.20::DOUBLE, n * 0.04::DOUBLE + risk * 0.12::DOUBLE)"
+FOLD_SQL = f"""{BOTH_SQL.rpartition(" FROM b2)")[0]} FROM b3),
+s0 AS (SELECT DISTINCT user_id, coalesce(stored_n, 0) AS n, coalesce(stored_risk, 0.0::DOUBLE) AS risk FROM o),
+fold AS (SELECT user_id, 0::BIGINT AS k, n, risk, CASE WHEN n > 0 THEN {NEXT} ELSE 0.0::DOUBLE END AS v, 0.0::DOUBLE AS seen FROM s0
+  UNION ALL SELECT user_id, k, n_, risk_, CASE WHEN n_ > 0 THEN least(0.20::DOUBLE, n_ * 0.04::DOUBLE + risk_ * 0.12::DOUBLE) ELSE 0.0::DOUBLE END, v FROM (
+    SELECT user_id, k, v, n + hit::INT AS n_, CASE WHEN hit THEN greatest(risk, final_score) ELSE risk END AS risk_ FROM (
+      SELECT *, NOT skip AND {action_sql()} IN ('delete', 'delete_and_ban', 'delete_pending_review') AS hit FROM (
+        SELECT o.*, {SKIP} AS skip, n, risk, v, greatest(0.0::DOUBLE, least(1.0::DOUBLE, cap, greatest(before + v * 0.06::DOUBLE - less, floor_))) AS final_score FROM fold JOIN o ON o.user_id = fold.user_id AND o.k = fold.k + 1 AND o.prior = (v > 0))))),
+b4 AS (SELECT o.*, seen AS violation_score, greatest(0.0::DOUBLE, least(1.0::DOUBLE, cap, greatest(before + seen * 0.06::DOUBLE - less, floor_))) AS final_score FROM fold JOIN o ON o.user_id = fold.user_id AND o.k = fold.k AND o.prior = (seen > 0))"""
+
+
+@query(f"""WITH RECURSIVE {FOLD_SQL}, d AS (SELECT *, {action_sql()} AS action, {SKIP} AS skip FROM b4)
 SELECT message_id, user_id, group_id, CASE WHEN skip THEN 'skipped' ELSE 'scored' END AS status, CASE WHEN NOT skip THEN round(rule_score, 6) END AS rule_score, CASE WHEN NOT skip THEN label END AS label, CASE WHEN NOT skip THEN round(confidence, 6) END AS confidence, CASE WHEN NOT skip THEN lure END AS lure,
   CASE WHEN NOT skip THEN round(spam_similarity, 6) END AS spam_similarity, CASE WHEN NOT skip THEN round(ham_similarity, 6) END AS ham_similarity, CASE WHEN NOT skip THEN round(violation_score, 6) END AS violation_score, CASE WHEN NOT skip THEN round(final_score, 6) END AS final_score, CASE WHEN NOT skip THEN action END AS action,
   CASE WHEN NOT skip THEN mode <> 'silent' AND action <> 'allow' AND (action <> 'monitor' OR final_score >= 0.55::DOUBLE) END AS notify, CASE WHEN NOT skip THEN array_to_string(rule_reasons, '; ') END AS reasons FROM d""")
 def moderation_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: every message assembled, joined with what is known, skipped or scored, compared with examples, labelled and decided under its group's settings."""
-    df = features.with_features(known(spark, sf_dir)).withColumn("skip", features.skipped(F.col("scan_admins")))
-    out = scoring.with_decision(scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(compared(spark, df)))))
+    """Flagship: every message assembled, joined with what is known, skipped or scored, compared with examples, labelled and
+    decided under its group's settings, in order: a deleted message raises its sender's next scores."""
+    out = in_order(spark, sf_dir)
     r = lambda c: F.when(~F.col("skip"), F.round(c, 6)).alias(c)
     own = lambda c, value=None: F.when(~F.col("skip"), F.col(c) if value is None else value).alias(c)
     return out.select("message_id", "user_id", "group_id", F.when(F.col("skip"), "skipped").otherwise("scored").alias("status"), r("rule_score"), own("label"), r("confidence"), own("lure"), r("spam_similarity"), r("ham_similarity"), r("violation_score"), r("final_score"), own("action"), own("notify"), own("reasons", F.concat_ws("; ", "rule_reasons")))
 
 
+#: What the fold and the decision need of a message.
+CARRIED = ["message_id", "user_id", "group_id", "skip", "mode", "setup_completed", "ban_enabled", "high_risk", "adult_story", "porn_bait", "spam_similarity", "ham_similarity", "violation_count", "risk_score", "first", "again"]
+
+
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages with their outcome, final score and decision, each after those of its sender before it."""
+    df = lookups.with_stored_violations(placed(spark, sf_dir), fixtures.violations(spark, sf_dir))
+    df = features.with_features(followed(df)).withColumn("skip", features.skipped(F.col("scan_admins")))
+    df = feedback.with_outcomes(compared(spark, df)).select(CARRIED)
+    df = feedback.with_violations_so_far(df.withColumn("judged", ~F.col("skip")), ["group_id", "user_id"], ["message_id"], "judged")
+    return scoring.with_decision(feedback.with_final_outcome(df))
+
+
 @query(f"WITH {FEATURES_SQL} " + " UNION ALL ".join(f"SELECT {s(x)} AS feature, count(*) FILTER ({x}) AS n FROM f5" for x in fixed.SIGNALS))
 def rule_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.with_features(known(spark, sf_dir))
@@ -200,7 +244,7 @@ def message_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What joins give each message: group, trust, rules on its hosts."""
     none = F.array().cast("array<string>")
     names = lambda c: F.concat_ws(",", F.array_sort(F.coalesce(F.col(c), none)))
-    return known(spark, sf_dir).select("message_id", "user_id", "group_id", "is_trusted", "mode", F.size("hosts").cast("long").alias("n_hosts"), names("blocked_hosts").alias("blocked"), names("allowed_hosts").alias("allowed"))
+    return placed(spark, sf_dir).select("message_id", "user_id", "group_id", "is_trusted", "mode", F.size("hosts").cast("long").alias("n_hosts"), names("blocked_hosts").alias("blocked"), names("allowed_hosts").alias("allowed"))
 
 
 @query("""WITH h AS (SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS text_hash, doc_id FROM documents)

@@ -72,8 +72,12 @@ def sender_frequency(events: DataFrame, key: str = "user_id", ts: str = "ts", wi
 
 
 def repeats(messages: DataFrame, group: str, key_hash: str, order: str) -> DataFrame:
-    """Adds `repeated`: whether the same text came earlier in the same group."""
-    return messages.withColumn("repeated", F.row_number().over(Window.partitionBy(group, key_hash).orderBy(order)) > 1)
+    """Adds `repeated`: whether the same text came earlier in the same group.
+
+    The first of each text is an aggregate, made before the shuffle, so a text that most messages have isn't sorted.
+    """
+    first = messages.groupBy(group, key_hash).agg(F.min(order).alias("first_"))
+    return messages.join(first, [group, key_hash], "left").withColumn("repeated", F.coalesce(F.col(order) > F.col("first_"), F.lit(False))).drop("first_")
 
 
 def due(messages: DataFrame, now: Column, at: str = "delete_after", purposes: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import features, fixed, parsing, scoring, settings, text, titles
-from larkspur.operators import lookups, merging, retrieval
+from larkspur.operators import feedback, lookups, merging, retrieval
 from larkspur.plans import fixtures, moderation, support
 from larkspur.plans.queries import QUERIES
 from larkspur.sources import tables
@@ -172,6 +172,31 @@ def test_merge_fold(spark, sf):
     assert sorted(expected, key=repr) == sorted(got, key=repr)
 
 
+def test_decisions_in_order(spark):
+    """Deleted messages raise their sender's next scores: against taking messages one by one through the columns."""
+    said = ["hello", "claim now https://bad.example", "verify your account: https://telegram.me/helpbot?startapp=go", "follow my channel for updates", "claim now https://bad.example/2", "connect w4llet", "hello", "login to continue https://t.me/scambot?start=x"]
+    rows = [(k, k % 3, 1, said[(k * 5 + k // 3) % len(said)], ["bad.example"] if k % 2 else [], k % 7 != 6) for k in range(36)]
+    df = spark.createDataFrame(rows, "message_id long, user_id long, group_id long, text string, blocked_hosts array<string>, judged boolean").withColumns({"mode": F.lit("aggressive"), "setup_completed": F.lit(True), "ban_enabled": F.lit(True)})
+    df = df.withColumns({"violation_count": F.when(F.col("user_id") == 2, 2), "risk_score": F.when(F.col("user_id") == 2, 0.9)})
+    df = features.with_features(features.with_text(df))
+    out = scoring.with_decision(feedback.with_final_outcome(feedback.with_violations_so_far(feedback.with_outcomes(df), ["group_id", "user_id"], ["message_id"], "judged")))
+    got = {r["message_id"]: (r["violation_score"], r["final_score"], r["label"], r["action"]) for r in out.collect()}
+    state = {0: (0, 0.0), 1: (0, 0.0), 2: (2, 0.9)}
+    seen = {}
+    for k, user, *_, judged in rows:
+        count, risk = state[user]
+        v = min(0.2, count * 0.04 + risk * 0.12) if count else 0.0
+        key = (rows[k][3], tuple(rows[k][4]), v)
+        if key not in seen:
+            one_ = features.with_features(df.where(F.col("message_id") == k).select("message_id", "text", "blocked_hosts", "mode", "setup_completed", "ban_enabled", *[c for c in ("norm", "odd", "zero_widths", "urls", "deob", "hosts", "links", "compact")]).withColumn("violation_score", F.lit(v)))
+            seen[key] = scoring.with_decision(scoring.with_final_score(scoring.with_rules_label(scoring.with_rule_score(one_)))).first()
+        r = seen[key]
+        assert got[k] == (v, r["final_score"], r["label"], r["action"])
+        if judged and r["deletes"]:
+            state[user] = (count + 1, max(risk, r["final_score"]))
+    assert any(c > 2 for c, _ in state.values())
+
+
 def test_violation_feedback(spark, sf):
     state, expected = defaultdict(lambda: (0, 0.0)), {}
     for r in tables.read(spark, sf, "events").orderBy("event_id").collect():
@@ -208,9 +233,11 @@ def test_host_rules_both_ways(spark, sf):
     assert tell(lookups.with_host_rules) == tell(lookups.with_many_host_rules)
 
 
-def test_no_python_in_the_flagship(spark, sf):
-    plan = QUERIES["moderation_decisions"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan
+def test_python_only_in_the_fold(spark, sf):
+    plan = QUERIES["moderation_decisions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEval" not in plan and "BatchEval" not in plan and plan.count("MapInArrow") == 1  # the fold alone
+    plan = QUERIES["action_mix_by_mode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
     assert "ReadSchema: struct<event_id:bigint,ts:" in plan or "ReadSchema: struct<event_id:bigint,user_id:bigint" in plan
 
 
