@@ -36,49 +36,80 @@ def agree(a: tuple, b: tuple) -> bool:
     return bool(shared) and all(x == y for x, y in shared)
 
 
-def merged(items: DataFrame, window: int = 50) -> DataFrame:
-    """Items folded in order of arrival: one with the id matched before, else the first open one whose title agrees.
-
-    Agreement isn't an equivalence (a title without season agrees with every season), so the fold is sequential within
-    what can meet: a group, kind, status and either a matched id or a base title.  Rows with one matched id and one base
-    meet there; the fold keeps one open record per distinct (season, episode, category, matched id), whatever the number of
-    rows, and rows come sorted, so a hot title needs the memory of its records only.
-    items(seq, group_id, kind, status, message_id, sender_id, text, title_query, matched_title, matched_id, category).
-    """
-    rows = keyed(items).where("key <> ''")
-
-    names, by = [c.split()[0] for c in MERGED.split(", ")], ["group_id", "kind", "status", "base"]
-
-    def take(records: list[dict], row: dict) -> None:
-        part = (row["season"], row["episode"])
-        hit = next((r for r in records if row["matched_id"] is not None and r["matched_id"] == row["matched_id"]), None)
-        hit = hit or next((r for r in records[:window] if not (row["category"] and r["category"] and row["category"] != r["category"]) and agree(part, r["part"])), None)
-        if hit is None:
-            own = {k: row[k] for k in (*by, "category", "matched_id")}
-            records.append(own | {"item_id": row["seq"], "title": row["title_query"], "occurrence_count": 1, "first_message": row["message_id"], "first_sender": row["sender_id"], "last_text": row["text"], "part": part})
-            return
-        hit["occurrence_count"] += 1
-        hit["first_message"] = hit["first_message"] or row["message_id"]
-        hit["first_sender"] = hit["first_sender"] or row["sender_id"]
-        hit["last_text"], hit["matched_id"] = row["text"], row["matched_id"] or hit["matched_id"]
+BY = ["group_id", "kind", "status", "base"]
+#: An open item as it is stored: MERGED and the part of its title that it was made with.
+STORED = MERGED + ", season int, episode int"
+#: What the fold reads of an incoming item.
+INCOMING = ["seq", "title_query", "category", "season", "episode", "message_id", "sender_id", "text", "matched_id"]
+
+
+def taken(records: list[dict], row: dict, window: int) -> dict:
+    """The record of records that row is merged into: one with the id matched before, else the first of `window` whose part and category agree, else a new one."""
+    part = (row["season"], row["episode"])
+    hit = next((r for r in records if row["matched_id"] is not None and r["matched_id"] == row["matched_id"]), None)
+    hit = hit or next((r for r in records[:window] if not (row["category"] and r["category"] and row["category"] != r["category"]) and agree(part, (r["season"], r["episode"]))), None)
+    if hit is None:
+        hit = {k: row[k] for k in (*BY, "category", "matched_id", "season", "episode")}
+        hit |= {"item_id": row["seq"], "title": row["title_query"], "occurrence_count": 0, "first_message": None, "first_sender": None}
+        records.append(hit)
+    hit["occurrence_count"] += 1
+    hit["first_message"] = hit["first_message"] or row["message_id"]
+    hit["first_sender"] = hit["first_sender"] or row["sender_id"]
+    hit["last_text"], hit["matched_id"] = row["text"], row["matched_id"] or hit["matched_id"]
+    return hit
+
+
+def in_order(items: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Open items first, then incoming ones by arrival, sorted within what can meet."""
+    rows = keyed(items).where("key <> ''").select(*BY, *INCOMING)
+    if stored is not None:
+        kept = [c.split()[0] for c in STORED.split(", ") if c.split()[0] not in (*BY, *rows.columns)]
+        rows = rows.unionByName(stored.select(*BY, "category", "season", "episode", "matched_id", *kept), allowMissingColumns=True)
+    return rows.repartition(*BY).sortWithinPartitions(*BY, F.col("seq").isNotNull(), *(["item_id"] if stored is not None else []), "seq")
+
+
+def folded(items: DataFrame, stored: DataFrame | None, window: int, schema_: str, told) -> DataFrame:
+    """The fold over in_order(): told(row, record) after each incoming row, told(None, record) of each record at its end; None is left out."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema_.split(", "))])
+    by, names = BY, schema.names
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, records = None, []
-        table = lambda done: pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in done], schema)
+        table = lambda out: pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in out if r is not None], schema)
         for batch in batches:
-            done: list[dict] = []
+            out: list[dict | None] = []
             for row in batch.to_pylist():  # Arrow's integers stay integers beside nulls
                 key = tuple(row[c] for c in by)
                 if key != now:
-                    done += records
+                    out += [told(None, r) for r in records]
                     now, records = key, []
-                take(records, row)
-            yield table(done)
-        yield table(records)
+                if row["seq"] is None:
+                    records.append(row)
+                else:
+                    out.append(told(row, taken(records, row, window)))
+            yield table(out)
+        yield table([told(None, r) for r in records])
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in MERGED.split(", "))])
-    return rows.repartition(*by).sortWithinPartitions(*by, "seq").mapInArrow(fold, MERGED)
+    return in_order(items, stored).mapInArrow(fold, schema_)
+
+
+def merged(items: DataFrame, window: int = 50, stored: DataFrame | None = None) -> DataFrame:
+    """Open items (STORED) after items were folded into them in order of arrival.
+
+    Agreement isn't an equivalence (a title without season agrees with every season), so the fold is sequential within
+    what can meet: a group, kind, status and either a matched id or a base title.  Rows with one matched id and one base
+    meet there; the fold keeps one open record per distinct (season, episode, category, matched id), whatever the number of
+    rows, and rows come sorted, so a hot title needs the memory of its records only.
+    items(seq, group_id, kind, status, message_id, sender_id, text, title_query, matched_title, matched_id, category); seq
+    isn't null.  stored: the open items of an earlier run; merging a log in two runs gives what one run gives.
+    """
+    return folded(items, stored, window, STORED, lambda row, record: record if row is None else None)
+
+
+def merge_log(items: DataFrame, window: int = 50, stored: DataFrame | None = None) -> DataFrame:
+    """(seq, item_id, occurrence_count): the open item that each incoming item went into, and its count at that time."""
+    return folded(items, stored, window, "seq long, item_id long, occurrence_count long", lambda row, record: row and {"seq": row["seq"], "item_id": record["item_id"], "occurrence_count": record["occurrence_count"]})
 
 
 def first_compatible(incoming: DataFrame, open_items: DataFrame) -> DataFrame:

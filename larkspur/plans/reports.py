@@ -9,7 +9,7 @@ from ..functions import fixed, scoring
 from ..operators import merging, reports
 from ..sources import tables
 from ..sources.tables import read
-from ..streaming import stateful
+from ..streaming import stateful, states
 from .fixtures import quoted as s
 from .moderation import found
 from .registry import query
@@ -245,3 +245,16 @@ def violation_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations that raise a sender's later scores, folded in order."""
     df = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_id").alias("seq"), (F.least(F.col("value"), F.lit(100.0)) / 100.0).alias("base"))
     return stateful.violations_fold(df).select("event_id", "user_id", F.round("prior", 6).alias("prior"), "hit")
+
+
+@query("""WITH c AS (SELECT click_id, min(client_id) AS client_id, min(ts) AS ts, min(kind) AS kind FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND kind IN ('view', 'click', 'buy', 'purchase', 'cart') GROUP BY click_id),
+n AS (SELECT *, lead(click_id) OVER w AS next_id, lead(ts) OVER w AS next_at, lead(kind) OVER w AS next_kind FROM c WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)),
+o AS (SELECT *, CASE WHEN next_id IS NULL THEN 'waiting' WHEN next_kind = 'view' THEN 'replaced' WHEN next_at <= ts + INTERVAL 15 MINUTE THEN 'answered' ELSE 'expired' END AS outcome FROM n WHERE kind = 'view')
+SELECT client_id, click_id AS asked_id, CASE WHEN outcome = 'answered' THEN next_id END AS answer_id, outcome FROM o""")
+def pending_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as submissions, the client's next event of another kind as their answer: consumed once, within 15 minutes."""
+    kinds = ["view", "click", "buy", "purchase", "cart"]
+    rows = read(spark, sf_dir, "clicks").where(F.col("client_id").isNotNull() & F.col("ts").isNotNull() & F.col("kind").isin(kinds))
+    once = rows.groupBy("click_id").agg(F.min("client_id").alias("client_id"), F.min("ts").alias("ts"), F.min("kind").alias("kind"))
+    out = states.consumed(once, "client_id", "ts", "click_id", F.col("kind") == "view", F.col("kind") != "view")
+    return out.select("client_id", "asked_id", "answer_id", "outcome")

@@ -189,10 +189,42 @@ def support_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.counts_by_key(merging.keyed(requests(spark, sf_dir)), "group_id", "status", "key")
 
 
-@query()
+#: Requests merged in order of arrival: a step a request, with the open items of its key as a list.
+AGREES = "(x.season IS NOT DISTINCT FROM r.season AND x.episode IS NOT DISTINCT FROM r.episode) OR (x.season IS NULL AND x.episode IS NULL) OR (r.season IS NULL AND r.episode IS NULL) OR ((x.season = r.season OR x.episode = r.episode) AND coalesce(x.season = r.season, true) AND coalesce(x.episode = r.episode, true))"
+MERGE_SQL = f"""r0 AS (SELECT o_orderkey AS seq, o_custkey % 3 AS group_id, 'request' AS kind, o_orderstatus AS status, o_orderkey % 6 AS message_id, o_custkey % 5 AS sender_id, 'please ' || p_name AS text, p_name || CASE WHEN o_orderkey % 4 <> 0 THEN ' season ' || o_orderkey % 4 ELSE '' END AS title,
+  CASE WHEN o_orderkey % 10 = 0 THEN p_partkey END AS matched_id, {KEY_SQL.format("title")} AS key FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey),
+r AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS season, {PART_SQL('key', 'episode')} AS episode FROM r0 WHERE key <> ''),
+q AS (SELECT *, row_number() OVER (PARTITION BY group_id, status, base ORDER BY seq) AS k FROM r),
+steps AS (SELECT group_id, status, base, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS item_id, 0::BIGINT AS n, []::STRUCT(item_id BIGINT, title VARCHAR, n BIGINT, message BIGINT, sender BIGINT, txt VARCHAR, matched BIGINT, season INT, episode INT)[] AS items FROM (SELECT DISTINCT group_id, status, base FROM q)
+  UNION ALL SELECT group_id, status, base, k, seq, new_items[hit].item_id, new_items[hit].n, new_items FROM (SELECT *, CASE WHEN hit > len(items) THEN list_append(items, {{'item_id': seq, 'title': title, 'n': 1::BIGINT, 'message': message_id, 'sender': sender_id, 'txt': text, 'matched': matched_id, 'season': season, 'episode': episode}})
+      ELSE list_transform(items, lambda x, i: CASE WHEN i = hit THEN {{'item_id': x.item_id, 'title': x.title, 'n': x.n + 1, 'message': CASE WHEN x.message <> 0 THEN x.message ELSE message_id END, 'sender': CASE WHEN x.sender <> 0 THEN x.sender ELSE sender_id END, 'txt': text, 'matched': CASE WHEN matched_id <> 0 THEN matched_id ELSE x.matched END, 'season': x.season, 'episode': x.episode}} ELSE x END) END AS new_items
+    FROM (SELECT r.*, s.items, coalesce(list_filter(list_transform(s.items, lambda x, i: CASE WHEN x.matched = r.matched_id THEN i END), lambda i: i IS NOT NULL)[1], list_filter(list_transform(s.items, lambda x, i: CASE WHEN {AGREES} THEN i END), lambda i: i IS NOT NULL)[1], len(s.items) + 1) AS hit
+      FROM steps s JOIN q r ON r.group_id = s.group_id AND r.status = s.status AND r.base = s.base AND r.k = s.k + 1)))"""
+FOLDED_SQL = f"""WITH RECURSIVE {MERGE_SQL}, last AS (SELECT group_id, status, base, unnest(items) AS x FROM (SELECT group_id, status, base, arg_max(items, k) AS items FROM steps GROUP BY group_id, status, base))
+SELECT group_id, 'request' AS kind, status, base, x.item_id AS item_id, x.title AS title, NULL::VARCHAR AS category, x.n AS occurrence_count, x.message AS first_message, x.sender AS first_sender, x.txt AS last_text, x.matched AS matched_id FROM last"""
+MERGED_NAMES = [c.split()[0] for c in merging.MERGED.split(", ")]
+
+
+@query(FOLDED_SQL)
 def support_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests merged in order of arrival; tested against a plain loop."""
-    return merging.merged(requests(spark, sf_dir))
+    """Requests merged in order of arrival."""
+    return merging.merged(requests(spark, sf_dir)).select(MERGED_NAMES)
+
+
+@query(FOLDED_SQL)
+def support_merge_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later half of the requests merged into the open items that the earlier half left."""
+    rows = requests(spark, sf_dir)
+    half = rows.agg(F.max("seq").alias("top")).select((F.col("top") / 2).alias("half"))
+    rows = rows.join(F.broadcast(half))  # one row
+    stored = merging.merged(rows.where("seq <= half").drop("half"))
+    return merging.merged(rows.where("seq > half").drop("half"), stored=stored).select(MERGED_NAMES)
+
+
+@query(f"WITH RECURSIVE {MERGE_SQL} SELECT seq, item_id, n AS occurrence_count FROM steps WHERE k > 0")
+def support_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each request went, and how often it had been asked by then."""
+    return merging.merge_log(requests(spark, sf_dir))
 
 
 @query(f"""WITH k AS (SELECT id, {KEY_SQL.format('t')} AS key FROM {values_sql(list(enumerate(TITLES)))} v(id, t)), p AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS s, {PART_SQL('key', 'episode')} AS e FROM k WHERE key <> '')
