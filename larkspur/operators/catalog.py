@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import titles
+from . import fuzzy
+
+#: How similar titles are at least, and where both are to be one word.
+LEAST, LEAST_OF_ONE_WORD = 0.78, 0.82
 
 
 def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -52,18 +56,16 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def similar(queries: DataFrame, catalog: DataFrame, limit: int, gap: float = 0.03) -> DataFrame:
     """Titles like a query of five or more characters, by first character and similarity; none if the best two are closer than `gap`.
 
-    Similarity is taken of distinct (query, title) pairs whose first characters agree, and whose lengths allow the threshold.
+    Distinct queries and titles meet by fuzzy.candidates(), which misses none that reaches the threshold; similarity is taken
+    of what its bounds leave.
     """
     single = F.size(F.split("q", " ")) == 1
-    least = F.when(single, 0.82).otherwise(0.78)
-    asked = queries.where(F.length("q") >= 5).select("query_id", "q", F.substring("q", 1, 1).alias("c"), least.alias("least"), single.alias("single"))
-    names = catalog.select("title_key", F.substring("title_key", 1, 1).alias("c")).distinct()
-    # 2 * matches / (lengths) can't reach the threshold if the shorter is too short
-    bound = 2.0 * F.least(F.length("q"), F.length("title_key")) / (F.length("q") + F.length("title_key"))
-    both = asked.join(names, "c").where(bound >= F.col("least"))
-    both = both.where(~(F.col("single") & (F.size(F.split("title_key", " ")) == 1) & (F.abs(F.length("q") - F.length("title_key")) > 2)))
+    asked = queries.where(F.length("q") >= 5)
+    least = asked.select("q", F.when(single, LEAST_OF_ONE_WORD).otherwise(LEAST).alias("least")).distinct()
+    both = fuzzy.candidates(least, catalog.select("title_key"), "q", "title_key", "least", LEAST)
+    both = both.where(~(single & (F.size(F.split("title_key", " ")) == 1) & (F.abs(F.length("q") - F.length("title_key")) > 2)))
     scored = both.withColumn("score", ratio("q", "title_key")).where(F.col("score") >= F.col("least"))
-    rows = scored.select("query_id", "q", "title_key", "score").join(catalog, "title_key")
+    rows = scored.select("q", "title_key", "score").join(asked.select("query_id", "q"), "q").join(catalog, "title_key")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     rows = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
     unclear = rows.where((F.col("rank") == 1) & (F.col("score") - F.col("next") < gap)).select("query_id")

@@ -13,14 +13,6 @@ from .fixtures import values_sql
 from .registry import query
 
 ASKED = [(1, "blue"), (2, "a"), (3, "blue anvil"), (4, "anvil"), (5, "gizmo"), (6, "old bolt"), (7, "cold bolt"), (8, "no such thing"), (9, "vil")]
-#: A small catalog in which searches by short keys, typos and parts have something to find.
-SHOWS = [
-    (1, "Avatar", None, "movie", 2009), (2, "E.R.", None, "tv", None), (3, "Grey's Anatomy", None, "tv", None), (4, "Preacher", None, "tv", None),
-    (5, "Silo", "Season 3 Episode 1-7", "tv", None), (6, "Silo", "Season 2 Episode 4", "tv", None), (7, "Lioness", "S02E05", "tv", None), (8, "M A S H", None, "tv", None),
-    (9, "The Orchard Keepers", "Season 1", "tv", None), (10, "Night Harbour", None, "movie", 2020), (11, "Night Harbor", None, "movie", 2021),
-]
-TYPED = [(1, "avatar"), (2, "er"), (3, "greys anatomy"), (4, "reacher"), (5, "silo"), (6, "mash"), (7, "the orchard keeper"), (8, "night harbours"), (9, "orchard keepers"), (10, "x")]
-PARTS = [(1, 5, 3, 5), (2, 5, 3, 8), (3, 6, 2, 4), (4, 6, 2, 5), (5, 7, 2, 5), (6, 7, 2, None), (7, 9, 1, None), (8, 9, 2, None), (9, 5, None, 7), (10, 1, None, None)]
 STATES = [
     (1, True, "movie", "2030-01-01", None, None, None, None, None, None, None), (2, True, "movie", "2020-01-01", None, None, None, None, None, None, None), (3, True, "movie", None, None, None, None, None, None, None, None),
     (4, True, "tv", None, "2019-05-05", 2, 3, False, None, None, None), (5, True, "tv", None, "2019-05-05", 2, 3, True, False, None, None), (6, True, "tv", None, "2019-05-05", 2, 3, True, True, None, "2030-02-02"),
@@ -40,52 +32,88 @@ def catalog_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("episode_title"), titles.catalog_key(F.col("p_name")).alias("title_key"), F.col("p_retailprice").alias("updated"))
 
 
-def shows(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(SHOWS, "item_id long, title string, episode_title string, category string, year int")
-    return df.withColumns({"title_key": titles.catalog_key(F.col("title")), "updated": F.col("item_id")})
+def shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients that are their own master, as a catalog: a name, their city as episode, their segment as category."""
+    own = read(spark, sf_dir, "clients").where("client_id = master_id and name is not null")
+    df = own.groupBy(F.col("client_id").alias("item_id")).agg(F.min("name").alias("title"), F.min("city").alias("episode_title"), F.min("segment").alias("category"))
+    return df.withColumns({"year": (F.col("item_id") % 30 + 1990).cast("int"), "title_key": titles.catalog_key(F.col("title")), "updated": F.col("item_id")})
+
+
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all other clients, misspelt and shortened ones among them, as searches; the first four letters of every fifth."""
+    other = read(spark, sf_dir, "clients").where("client_id <> master_id and name is not null").groupBy(F.col("client_id").alias("query_id")).agg(F.min("name").alias("raw"))
+    return other.select("query_id", F.lower(titles.title_query(F.when(F.col("query_id") % 5 == 0, F.substring("raw", 1, 4)).otherwise(F.col("raw")))).alias("q"))
 
 
 def asked(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id long, raw string").select("query_id", F.lower(titles.title_query(F.col("raw"))).alias("q"))
 
 
+CLEAN_NAME = lambda v: f"trim(regexp_replace(regexp_replace({v}, '[^\\p{{L}}\\p{{N}}_\\s''&.-]+', ' ', 'g'), '\\s+', ' ', 'g'), ' .-')"
+COMPACT = lambda v: f"regexp_replace({v}, '[^a-z0-9]+', '', 'g')"
+SHELF_SQL = f"""c AS (SELECT client_id AS item_id, min(name) AS title, min(city) AS episode_title, min(segment) AS category, (client_id % 30 + 1990)::INT AS year, lower({CLEAN_NAME('min(name)')}) AS title_key FROM clients WHERE client_id = master_id AND name IS NOT NULL GROUP BY client_id),
+q AS (SELECT query_id, lower({CLEAN_NAME('CASE WHEN query_id % 5 = 0 THEN substr(raw, 1, 4) ELSE raw END')}) AS q FROM (SELECT client_id AS query_id, min(name) AS raw FROM clients WHERE client_id <> master_id AND name IS NOT NULL GROUP BY client_id))"""
+#: Ratcliff-Obershelp by its definition: the longest block, first in a, then in b; then what is left and right of it.
+RATIO_SQL = """p0 AS (SELECT DISTINCT q AS a, title_key AS b, CASE WHEN contains(q, ' ') THEN 0.78 ELSE 0.82 END AS least FROM q JOIN c ON substr(q, 1, 1) = substr(title_key, 1, 1) WHERE length(q) >= 5 AND NOT (NOT contains(q, ' ') AND NOT contains(title_key, ' ') AND abs(length(q) - length(title_key)) > 2)),
+p AS (SELECT * FROM p0 WHERE 2.0 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda x: least(len(list_filter(string_split(a, ''), lambda y: y = x)), len(list_filter(string_split(b, ''), lambda y: y = x))))) / (length(a) + length(b)) >= least - 1e-9),
+blocks AS (SELECT a, b, 1 AS i, length(a) + 1 AS j, 1 AS k, length(b) + 1 AS n, 0 AS m FROM p
+  UNION ALL SELECT a, b, unnest([i, x + m]) AS i, unnest([x, j]) AS j, unnest([k, y + m]) AS k, unnest([y, n]) AS n, unnest([m, 0]) AS m FROM (
+    SELECT a, b, i, j, k, n, arg_max(x, (m, -x, -y)) AS x, arg_max(y, (m, -x, -y)) AS y, max(m) AS m FROM (
+      SELECT *, len(list_filter(range(1, least(j - x, n - y) + 1), lambda z: substr(a, x, z) = substr(b, y, z))) AS m FROM (
+        SELECT a, b, i, j, k, n, x, unnest(range(k, n)) AS y FROM (SELECT a, b, i, j, k, n, unnest(range(i, j)) AS x FROM blocks WHERE i < j AND k < n)))
+    GROUP BY a, b, i, j, k, n HAVING max(m) > 0)),
+scored AS (SELECT a, b, 2.0 * sum(m) / (length(a) + length(b)) AS score FROM blocks JOIN p USING (a, b) GROUP BY a, b, least HAVING score >= least),
+ranked AS (SELECT query_id, item_id, score, row_number() OVER w AS rank, lead(score) OVER w AS following FROM q JOIN scored ON a = q JOIN c ON title_key = b WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, item_id)),
+alike AS (SELECT query_id, item_id, score, rank FROM ranked WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM ranked WHERE rank = 1 AND score - following < 0.03))"""
+
+
 @query(f"""WITH q AS (SELECT * FROM {values_sql(ASKED)} v(query_id, q)), m AS (SELECT query_id, p_partkey AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY (lower(p_name) = q) DESC, starts_with(lower(p_name), q) DESC, p_retailprice DESC NULLS LAST, p_partkey) AS rank
 FROM q JOIN part ON regexp_matches(lower(p_name), '(^|[^a-z0-9_])' || q || '($|[^a-z0-9_])') WHERE length(q) >= 2) SELECT * FROM m WHERE rank <= 25""")
 def catalog_like_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.ranked(catalog.matches(asked(spark, ASKED), catalog_of_parts(spark, sf_dir)), 25).select("query_id", "item_id", "rank")
 
 
-@query(f"""WITH q AS (SELECT * FROM {values_sql(TYPED)} v(query_id, q)), c AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') AS compact FROM {values_sql(SHOWS)} v(item_id, title, episode_title, category, year_))
-SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM q JOIN c ON c.compact = regexp_replace(q.q, '[^a-z0-9]+', '', 'g') WHERE length(c.compact) BETWEEN 2 AND 4 AND length(q.q) < 5""")
+@query(f"""WITH {SHELF_SQL} SELECT query_id, item_id, rank FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM q JOIN c ON {COMPACT('substr(title_key, 1, 4)')} = {COMPACT('q')} WHERE length({COMPACT('q')}) BETWEEN 2 AND 4 AND length(q) < 5) WHERE rank <= 3""")
 def catalog_compact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.compact_matches(asked(spark, TYPED), shows(spark), 3).select("query_id", "item_id", "rank")
+    short = shows(spark, sf_dir).withColumn("title_key", F.substring("title_key", 1, 4))
+    return catalog.compact_matches(typed(spark, sf_dir), short, 3).select("query_id", "item_id", "rank")
 
 
-@query()
+@query(f"WITH RECURSIVE {SHELF_SQL}, {RATIO_SQL} SELECT query_id, item_id, rank, round(score, 6) AS score FROM alike")
 def catalog_fuzzy_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar titles, with none where the best two are too close; tested against a plain loop."""
-    return catalog.similar(asked(spark, TYPED), shows(spark), 3).select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
+    """Similar names, with none where the best two are too close."""
+    return catalog.similar(typed(spark, sf_dir), shows(spark, sf_dir), 3).select("query_id", "item_id", "rank", F.round("score", 6).alias("score"))
+
+
+WHOLE = lambda v: f"CASE WHEN contains({v}, q) THEN regexp_matches({v}, '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(q) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END"
+WORDS_SQL = f"""w AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY title_key = q DESC, starts_with(title_key, q) DESC, item_id DESC) AS rank FROM q JOIN c ON {WHOLE('title_key')} OR {WHOLE("lower(coalesce(episode_title, ''))")} WHERE length(q) >= 2)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {SHELF_SQL}, {RATIO_SQL}, {WORDS_SQL}, s AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY item_id) AS rank FROM q JOIN c ON {COMPACT('title_key')} = {COMPACT('q')} WHERE length({COMPACT('q')}) BETWEEN 2 AND 4 AND length(q) < 5)
+SELECT query_id, item_id, rank, 'words' AS stage FROM w WHERE rank <= 3 UNION ALL SELECT query_id, item_id, rank, 'compact' FROM s WHERE rank <= 3 AND query_id NOT IN (SELECT query_id FROM w) UNION ALL SELECT query_id, item_id, rank, 'similar' FROM alike WHERE query_id NOT IN (SELECT query_id FROM w)""")
 def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three stages of a search, each for what those before didn't find."""
-    return catalog.search(asked(spark, TYPED), shows(spark))
+    return catalog.search(typed(spark, sf_dir), shows(spark, sf_dir))
 
 
-@query(f"""SELECT item_id, CASE WHEN category <> 'movie' AND coalesce(episode_title, '') <> '' THEN title || ' - ' || episode_title WHEN coalesce(year_, 0) <> 0 THEN title || ' (' || year_ || ')' ELSE title END AS display_title,
-CASE WHEN length(title) <= 8 THEN title ELSE substr(title, 1, 7) || '...' END AS short FROM {values_sql(SHOWS)} v(item_id, title, episode_title, category, year_)""")
+@query(f"""WITH {SHELF_SQL} SELECT item_id, CASE WHEN category <> 'movie' AND coalesce(episode_title, '') <> '' THEN title || ' - ' || episode_title WHEN year <> 0 THEN title || ' (' || year || ')' ELSE title END AS display_title,
+CASE WHEN length(title) <= 18 THEN title ELSE substr(title, 1, 17) || '...' END AS short FROM c""")
 def display_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = shows(spark)
-    return df.select("item_id", text.display_title(F.col("title"), F.col("episode_title"), F.col("category"), F.col("year")).alias("display_title"), text.shortened(F.col("title"), 8).alias("short"))
+    df = shows(spark, sf_dir)
+    return df.select("item_id", text.display_title(F.col("title"), F.col("episode_title"), F.col("category"), F.col("year")).alias("display_title"), text.shortened(F.col("title"), 18).alias("short"))
 
 
-@query(f"""WITH c AS (SELECT *, lower(title || coalesce(' ' || episode_title, '')) AS v FROM {values_sql(SHOWS)} v(item_id, title, episode_title, category, year_)), p AS (SELECT * FROM {values_sql(PARTS)} v(query_id, item_id, season, episode)),
-j AS (SELECT *, regexp_extract_all(v, 'e(?:pisode|p)?\\s*0*([0-9]{{1,4}})(?:\\s*-\\s*0*([0-9]{{1,4}}))?', 1) AS a, regexp_extract_all(v, 'e(?:pisode|p)?\\s*0*([0-9]{{1,4}})(?:\\s*-\\s*0*([0-9]{{1,4}}))?', 2) AS b FROM p JOIN c USING (item_id))
-SELECT query_id, item_id FROM j WHERE (season IS NULL OR regexp_matches(v, '(\\b(season|series)\\s*0?' || season || '\\b|\\bs\\s*0?' || season || '(\\b|e[0-9]{{1,4}}\\b))')) AND (episode IS NULL OR len(list_filter(list_zip(a, b), lambda x: x[1]::INT <= episode AND episode <= coalesce(TRY_CAST(x[2] AS INT), x[1]::INT))) > 0)""")
+@query("""WITH v AS (SELECT p_partkey AS item_id, p_partkey % 4 + 1 AS season, CASE WHEN p_partkey % 6 <> 0 THEN p_size % 9 END AS episode, lower(p_name) || CASE p_partkey % 4 WHEN 0 THEN ' season ' || p_size % 5 || ' episode ' || p_size % 7 || '-' || p_size % 7 + 3 WHEN 1 THEN ' s0' || p_size % 5 || 'e0' || p_size % 7 WHEN 2 THEN ' series ' || p_size % 5 ELSE '' END AS v FROM part),
+j AS (SELECT *, regexp_extract_all(v, 'e(?:pisode|p)?\\s*0*([0-9]{1,4})(?:\\s*-\\s*0*([0-9]{1,4}))?', 1) AS a, regexp_extract_all(v, 'e(?:pisode|p)?\\s*0*([0-9]{1,4})(?:\\s*-\\s*0*([0-9]{1,4}))?', 2) AS b FROM v)
+SELECT item_id FROM j WHERE regexp_matches(v, '(\\b(season|series)\\s*0?' || season || '\\b|\\bs\\s*0?' || season || '(\\b|e[0-9]{1,4}\\b))') AND (episode IS NULL OR len(list_filter(list_zip(a, b), lambda x: x[1]::INT <= episode AND episode <= coalesce(TRY_CAST(x[2] AS INT), x[1]::INT))) > 0)""")
 def episode_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = spark.createDataFrame(PARTS, "query_id long, item_id long, season int, episode int")
-    return catalog.with_requested_part(parts.join(shows(spark), "item_id")).select("query_id", "item_id")
+    """Parts of the table whose episode title names the season and episode asked for."""
+    size = lambda n: (F.col("p_size") % n).cast("string")
+    named = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("Season "), size(5), F.lit(" Episode "), size(7), F.lit("-"), (F.col("p_size") % 7 + 3).cast("string")))
+    named = named.when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("S0"), size(5), F.lit("E0"), size(7))).when(F.col("p_partkey") % 4 == 2, F.concat(F.lit("Series "), size(5)))
+    asked_ = {"season": (F.col("p_partkey") % 4 + 1).cast("int"), "episode": F.when(F.col("p_partkey") % 6 != 0, F.col("p_size") % 9)}
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), named.alias("episode_title"), *(v.alias(k) for k, v in asked_.items()))
+    return catalog.with_requested_part(df).select("item_id")
 
 
 DATED = lambda d, f, p, u: f"CASE WHEN {d}::DATE > DATE '2026-01-01' THEN '{f}' WHEN {d} IS NOT NULL THEN '{p}' ELSE '{u}' END"
