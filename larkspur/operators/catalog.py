@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,11 @@ from . import fuzzy
 LEAST, LEAST_OF_ONE_WORD = 0.78, 0.82
 
 
+def fits(queries: DataFrame) -> Column:
+    """Whether an item is of the category asked for, where queries have one (`wanted`, null: any)."""
+    return F.col("wanted").isNull() | (F.col("category") == F.col("wanted")) if "wanted" in queries.columns else F.lit(True)
+
+
 def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of catalog(item_id, title, episode_title, title_key, updated) in whose title or episode a query's words are.
 
@@ -29,7 +34,7 @@ def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = catalog.withColumn("episode_key", episode)
     rows = rows.withColumn("word", F.explode(F.array_distinct(F.concat(parts(F.col("title_key")), parts(F.col("episode_key"))))))
     pattern = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("q"), F.lit("\\E(?!\\w)"))
-    found = asked.join(rows, "word").where(F.regexp_like("title_key", pattern) | F.regexp_like("episode_key", pattern))
+    found = asked.join(rows, "word").where(F.regexp_like("title_key", pattern) | F.regexp_like("episode_key", pattern)).where(fits(queries))
     return found.drop("word", "episode_key")
 
 
@@ -44,7 +49,7 @@ def compact_matches(queries: DataFrame, catalog: DataFrame, limit: int) -> DataF
     asked = queries.withColumn("compact", titles.compact_key(F.col("q"))).where((F.length("compact") >= 2) & (F.length("compact") <= 4) & (F.length("q") < 5))
     rows = catalog.withColumn("compact", titles.compact_key(F.col("title_key")))
     order = Window.partitionBy("query_id").orderBy("item_id")
-    return asked.join(rows, "compact").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(rows, "compact").where(fits(queries)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -65,7 +70,7 @@ def similar(queries: DataFrame, catalog: DataFrame, limit: int, gap: float = 0.0
     both = fuzzy.candidates(least, catalog.select("title_key"), "q", "title_key", "least", LEAST)
     both = both.where(~(single & (F.size(F.split("title_key", " ")) == 1) & (F.abs(F.length("q") - F.length("title_key")) > 2)))
     scored = both.withColumn("score", ratio("q", "title_key")).where(F.col("score") >= F.col("least"))
-    rows = scored.select("q", "title_key", "score").join(asked.select("query_id", "q"), "q").join(catalog, "title_key")
+    rows = scored.select("q", "title_key", "score").join(asked, "q").join(catalog, "title_key").where(fits(queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     rows = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
     unclear = rows.where((F.col("rank") == 1) & (F.col("score") - F.col("next") < gap)).select("query_id")
@@ -73,7 +78,10 @@ def similar(queries: DataFrame, catalog: DataFrame, limit: int, gap: float = 0.0
 
 
 def search(queries: DataFrame, catalog: DataFrame, limit: int = 3) -> DataFrame:
-    """(query_id, item_id, rank, stage): each stage takes the queries that those before found nothing for."""
+    """(query_id, item_id, rank, stage): each stage takes the queries that those before found nothing for.
+
+    queries(query_id, q[, wanted]): with `wanted`, a query finds items of that category only, null: of any.
+    """
     words = ranked(matches(queries, catalog), limit).select("query_id", "item_id", "rank", F.lit("words").alias("stage"))
     rest = queries.join(words.select("query_id").distinct(), "query_id", "left_anti")
     short = compact_matches(rest, catalog, limit).select("query_id", "item_id", "rank", F.lit("compact").alias("stage"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing, scoring, text, titles
-from ..operators import catalog, merging
+from ..operators import catalog, merging, support
 from ..sources.tables import read
 from .fixtures import quoted as s
 from .fixtures import values_sql
@@ -165,16 +165,19 @@ INTENT_RULES = [
 ]
 
 
-@query(f"""WITH m AS (SELECT * FROM {values_sql(list(enumerate(SPOKEN)))} v(id, text) UNION ALL SELECT 1000 + p_partkey, replace(replace(replace(t, '{{t}}', p_name), '{{s}}', (p_size % 9 + 1)::VARCHAR), '{{e}}', (p_partkey % 12 + 1)::VARCHAR)
-  FROM part JOIN {values_sql(list(enumerate(ASKS)))} a(i, t) ON p_partkey % {len(ASKS)} = i),
-a AS (SELECT id, text, coalesce({INT(fixed.SEASON_EPISODE)}, {INT(fixed.SEASON)}) AS season, coalesce({INT(fixed.SEASON_EPISODE, 2)}, {INT(fixed.EPISODE)}, {INT(fixed.SHORT_EPISODE)}) AS episode, {HINT('text')} AS hint, {CLEANED(f'trim(text, {SHELL})')} AS shelled, {NAMED('text')} AS named, {TIDIED(f'trim(text, {SHELL})')} AS alone FROM m),
+#: From m(id, text) to r(..., rule) and x, what the first rule that applies says.
+INTENTS_SQL = f"""a AS (SELECT id, text, coalesce({INT(fixed.SEASON_EPISODE)}, {INT(fixed.SEASON)}) AS season, coalesce({INT(fixed.SEASON_EPISODE, 2)}, {INT(fixed.EPISODE)}, {INT(fixed.SHORT_EPISODE)}) AS episode, {HINT('text')} AS hint, {CLEANED(f'trim(text, {SHELL})')} AS shelled, {NAMED('text')} AS named, {TIDIED(f'trim(text, {SHELL})')} AS alone FROM m),
 b AS (SELECT *, {PART('shelled')} AS part, CASE WHEN {HINT('alone')} IS NOT NULL THEN {NAMED('alone')} END AS inside, season IS NOT NULL OR episode IS NOT NULL AS of_part,
   NOT regexp_matches(text, {s('(?i)' + titles.NO_BARE_TITLE)}) AND lower(alone) NOT IN ({', '.join(map(s, fixed.NOT_BARE_TITLES))}) AND {PART(CLEANED(f'trim(alone, {SHELL})'))} IS NULL AS may FROM a),
 c AS (SELECT *, CASE WHEN may THEN coalesce(CASE WHEN {PLAUSIBLE('inside', 2)} THEN inside END, CASE WHEN {PLAUSIBLE('alone', 3)} THEN alone END) END AS own, coalesce(hint, CASE WHEN season > 0 THEN 'tv' END) AS bare_category FROM b),
 d AS (SELECT *, CASE WHEN own IS NOT NULL THEN coalesce(CASE WHEN of_part THEN named END, own) END AS bare FROM c),
-r AS (SELECT *, CASE {' '.join(f'WHEN {when} THEN {i}' for i, (when, *_) in enumerate(INTENT_RULES))} END AS rule FROM d)
-SELECT id, CASE rule {' '.join(f'WHEN {i} THEN {s(k)}' for i, (_, k, *_) in enumerate(INTENT_RULES))} END AS kind, CASE rule {' '.join(f'WHEN {i} THEN {t}' for i, (_, _, t, _, _) in enumerate(INTENT_RULES))} END AS title, CASE rule {' '.join(f'WHEN {i} THEN {c}' for i, (_, _, _, c, _) in enumerate(INTENT_RULES))} END AS category,
-  CASE rule {' '.join(f'WHEN {i} THEN {s(x)}' for i, (*_, x) in enumerate(INTENT_RULES))} END AS issue_type, CASE WHEN rule IS NOT NULL THEN season END AS season, CASE WHEN rule IS NOT NULL THEN episode END AS episode FROM r""")
+r AS (SELECT *, CASE {' '.join(f'WHEN {when} THEN {i}' for i, (when, *_) in enumerate(INTENT_RULES))} END AS rule FROM d),
+x AS (SELECT id, CASE rule {' '.join(f'WHEN {i} THEN {s(k)}' for i, (_, k, *_) in enumerate(INTENT_RULES))} END AS kind, CASE rule {' '.join(f'WHEN {i} THEN {t}' for i, (_, _, t, _, _) in enumerate(INTENT_RULES))} END AS title, CASE rule {' '.join(f'WHEN {i} THEN {c}' for i, (_, _, _, c, _) in enumerate(INTENT_RULES))} END AS category,
+  CASE rule {' '.join(f'WHEN {i} THEN {s(x)}' for i, (*_, x) in enumerate(INTENT_RULES))} END AS issue_type, CASE WHEN rule IS NOT NULL THEN season END AS season, CASE WHEN rule IS NOT NULL THEN episode END AS episode, coalesce(rule >= {len(INTENT_RULES) - 2}, false) AS by_bare_title FROM r)"""
+
+
+@query(f"""WITH m AS (SELECT * FROM {values_sql(list(enumerate(SPOKEN)))} v(id, text) UNION ALL SELECT 1000 + p_partkey, replace(replace(replace(t, '{{t}}', p_name), '{{s}}', (p_size % 9 + 1)::VARCHAR), '{{e}}', (p_partkey % 12 + 1)::VARCHAR)
+  FROM part JOIN {values_sql(list(enumerate(ASKS)))} a(i, t) ON p_partkey % {len(ASKS)} = i), {INTENTS_SQL} SELECT * EXCLUDE (by_bare_title) FROM x""")
 def intent_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, title and part of support messages: spoken ones, and one about each part of the table."""
     part = read(spark, sf_dir, "part")
@@ -217,19 +220,19 @@ def support_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.counts_by_key(merging.keyed(requests(spark, sf_dir)), "group_id", "status", "key")
 
 
-#: Requests merged in order of arrival: a step a request, with the open items of its key as a list.
-AGREES = "(x.season IS NOT DISTINCT FROM r.season AND x.episode IS NOT DISTINCT FROM r.episode) OR (x.season IS NULL AND x.episode IS NULL) OR (r.season IS NULL AND r.episode IS NULL) OR ((x.season = r.season OR x.episode = r.episode) AND coalesce(x.season = r.season, true) AND coalesce(x.episode = r.episode, true))"
-MERGE_SQL = f"""r0 AS (SELECT o_orderkey AS seq, o_custkey % 3 AS group_id, 'request' AS kind, o_orderstatus AS status, o_orderkey % 6 AS message_id, o_custkey % 5 AS sender_id, 'please ' || p_name AS text, p_name || CASE WHEN o_orderkey % 4 <> 0 THEN ' season ' || o_orderkey % 4 ELSE '' END AS title,
-  CASE WHEN o_orderkey % 10 = 0 THEN p_partkey END AS matched_id, {KEY_SQL.format("title")} AS key FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey),
-r AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS season, {PART_SQL('key', 'episode')} AS episode FROM r0 WHERE key <> ''),
-q AS (SELECT *, row_number() OVER (PARTITION BY group_id, status, base ORDER BY seq) AS k FROM r),
-steps AS (SELECT group_id, status, base, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS item_id, 0::BIGINT AS n, []::STRUCT(item_id BIGINT, title VARCHAR, n BIGINT, message BIGINT, sender BIGINT, txt VARCHAR, matched BIGINT, season INT, episode INT)[] AS items FROM (SELECT DISTINCT group_id, status, base FROM q)
-  UNION ALL SELECT group_id, status, base, k, seq, new_items[hit].item_id, new_items[hit].n, new_items FROM (SELECT *, CASE WHEN hit > len(items) THEN list_append(items, {{'item_id': seq, 'title': title, 'n': 1::BIGINT, 'message': message_id, 'sender': sender_id, 'txt': text, 'matched': matched_id, 'season': season, 'episode': episode}})
-      ELSE list_transform(items, lambda x, i: CASE WHEN i = hit THEN {{'item_id': x.item_id, 'title': x.title, 'n': x.n + 1, 'message': CASE WHEN x.message <> 0 THEN x.message ELSE message_id END, 'sender': CASE WHEN x.sender <> 0 THEN x.sender ELSE sender_id END, 'txt': text, 'matched': CASE WHEN matched_id <> 0 THEN matched_id ELSE x.matched END, 'season': x.season, 'episode': x.episode}} ELSE x END) END AS new_items
+#: Items merged in order of arrival: a step an item, with the open items of its key as a list.
+AGREES = "((x.season IS NOT DISTINCT FROM r.season AND x.episode IS NOT DISTINCT FROM r.episode) OR (x.season IS NULL AND x.episode IS NULL) OR (r.season IS NULL AND r.episode IS NULL) OR ((x.season = r.season OR x.episode = r.episode) AND coalesce(x.season = r.season, true) AND coalesce(x.episode = r.episode, true))) AND coalesce(x.category = r.category, true)"
+STEPS_SQL = f"""keyed AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS season, {PART_SQL('key', 'episode')} AS episode FROM r0 WHERE key <> ''),
+in_turn AS (SELECT *, row_number() OVER (PARTITION BY group_id, kind, status, base ORDER BY seq) AS k FROM keyed),
+steps AS (SELECT group_id, kind, status, base, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS item_id, 0::BIGINT AS n, []::STRUCT(item_id BIGINT, title VARCHAR, category VARCHAR, n BIGINT, message BIGINT, sender BIGINT, txt VARCHAR, matched BIGINT, season INT, episode INT)[] AS items FROM (SELECT DISTINCT group_id, kind, status, base FROM in_turn)
+  UNION ALL SELECT group_id, kind, status, base, k, seq, new_items[hit].item_id, new_items[hit].n, new_items FROM (SELECT *, CASE WHEN hit > len(items) THEN list_append(items, {{'item_id': seq, 'title': title, 'category': category, 'n': 1::BIGINT, 'message': message_id, 'sender': sender_id, 'txt': text, 'matched': matched_id, 'season': season, 'episode': episode}})
+      ELSE list_transform(items, lambda x, i: CASE WHEN i = hit THEN {{'item_id': x.item_id, 'title': x.title, 'category': x.category, 'n': x.n + 1, 'message': CASE WHEN x.message <> 0 THEN x.message ELSE message_id END, 'sender': CASE WHEN x.sender <> 0 THEN x.sender ELSE sender_id END, 'txt': text, 'matched': CASE WHEN matched_id <> 0 THEN matched_id ELSE x.matched END, 'season': x.season, 'episode': x.episode}} ELSE x END) END AS new_items
     FROM (SELECT r.*, s.items, coalesce(list_filter(list_transform(s.items, lambda x, i: CASE WHEN x.matched = r.matched_id THEN i END), lambda i: i IS NOT NULL)[1], list_filter(list_transform(s.items, lambda x, i: CASE WHEN {AGREES} THEN i END), lambda i: i IS NOT NULL)[1], len(s.items) + 1) AS hit
-      FROM steps s JOIN q r ON r.group_id = s.group_id AND r.status = s.status AND r.base = s.base AND r.k = s.k + 1)))"""
-FOLDED_SQL = f"""WITH RECURSIVE {MERGE_SQL}, last AS (SELECT group_id, status, base, unnest(items) AS x FROM (SELECT group_id, status, base, arg_max(items, k) AS items FROM steps GROUP BY group_id, status, base))
-SELECT group_id, 'request' AS kind, status, base, x.item_id AS item_id, x.title AS title, NULL::VARCHAR AS category, x.n AS occurrence_count, x.message AS first_message, x.sender AS first_sender, x.txt AS last_text, x.matched AS matched_id FROM last"""
+      FROM steps s JOIN in_turn r ON r.group_id = s.group_id AND r.kind = s.kind AND r.status = s.status AND r.base = s.base AND r.k = s.k + 1)))"""
+MERGE_SQL = f"""r0 AS (SELECT o_orderkey AS seq, o_custkey % 3 AS group_id, 'request' AS kind, o_orderstatus AS status, o_orderkey % 6 AS message_id, o_custkey % 5 AS sender_id, 'please ' || p_name AS text, p_name || CASE WHEN o_orderkey % 4 <> 0 THEN ' season ' || o_orderkey % 4 ELSE '' END AS title,
+  CASE WHEN o_orderkey % 10 = 0 THEN p_partkey END AS matched_id, NULL::VARCHAR AS category, {KEY_SQL.format("title")} AS key FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey), {STEPS_SQL}"""
+FOLDED_SQL = f"""WITH RECURSIVE {MERGE_SQL}, last AS (SELECT group_id, kind, status, base, unnest(items) AS x FROM (SELECT group_id, kind, status, base, arg_max(items, k) AS items FROM steps GROUP BY group_id, kind, status, base))
+SELECT group_id, kind, status, base, x.item_id AS item_id, x.title AS title, x.category AS category, x.n AS occurrence_count, x.message AS first_message, x.sender AS first_sender, x.txt AS last_text, x.matched AS matched_id FROM last"""
 MERGED_NAMES = [c.split()[0] for c in merging.MERGED.split(", ")]
 
 
@@ -255,6 +258,68 @@ def support_merge_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.merge_log(requests(spark, sf_dir))
 
 
+KINDS_OF_SHOWS = ["movie", "tv", "anime"]
+
+
+def asks_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as support messages about their first part: ASKS by the order's key, in lower case; every seventh with a model's answer."""
+    lines = read(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("message_id")).agg(F.min("l_partkey").alias("p_partkey"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), (F.col("o_custkey") % 3).alias("group_id"), F.col("o_custkey").alias("sender_id"))
+    df = orders.join(lines, "message_id").join(read(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    said = F.element_at(F.array(*map(F.lit, ASKS)), (F.col("message_id") % len(ASKS)).cast("int") + 1)
+    for mark, value in (("{t}", F.col("p_name")), ("{s}", (F.col("message_id") % 4 + 1).cast("string")), ("{e}", (F.col("message_id") % 12 + 1).cast("string"))):
+        said = F.replace(said, F.lit(mark), value)
+    answer = F.concat(F.lit('{"kind": "request", "confidence": 0.9, "title_query": "'), F.col("p_name"), F.lit('", "category_hint": "movie", "season_number": null}'))
+    return df.select("message_id", "group_id", "sender_id", said.alias("text"), F.when(F.col("message_id") % 7 == 0, answer).alias("answer"))
+
+
+def shelf_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every eleventh name as a show with seasons and episodes of its own."""
+    p = read(spark, sf_dir, "part").where("p_partkey % 11 < 4")
+    season = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Season "), (F.col("p_size") % 4 + 1).cast("string"), F.lit(" Episode 1-"), (F.col("p_size") % 9 + 1).cast("string")))
+    kind = F.element_at(F.array(*map(F.lit, KINDS_OF_SHOWS)), (F.col("p_partkey") % 3).cast("int") + 1)
+    return p.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), season.alias("episode_title"), titles.catalog_key(F.col("p_name")).alias("title_key"), kind.alias("category"), (F.col("p_size") + 1980).alias("year"), F.col("p_partkey").alias("updated"))
+
+
+def known_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of names and their first seasons: one row each, listed or not, out or not."""
+    names = read(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("title")).agg(F.max("p_partkey").alias("p"))
+    df = names.withColumn("season", F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(2))))
+    day = F.date_add(F.lit("2025-07-01").cast("date"), (F.col("p") * 7 % 400 + F.coalesce("season", F.lit(0)) * 60).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    listed = F.when(F.col("season").isNotNull(), (F.col("p") + F.col("season")) % 5 > 0)
+    return df.where("p % 3 > 0").select("title", "season", none("int").alias("episode"), F.lit(True).alias("found"), F.lit("tv").alias("media_type"), none("date").alias("release_date"), F.when(F.col("season").isNull(), day).alias("first_air_date"), listed.alias("season_exists"), none("boolean").alias("episode_exists"), F.when(F.col("season").isNotNull(), day).alias("season_air_date"), none("date").alias("episode_air_date"))
+
+
+FLOW_SQL = f"""o AS (SELECT o_orderkey AS id, o_custkey % 3 AS group_id, o_custkey AS sender_id, p_name, replace(replace(replace(t, '{{t}}', p_name), '{{s}}', (o_orderkey % 4 + 1)::VARCHAR), '{{e}}', (o_orderkey % 12 + 1)::VARCHAR) AS text
+  FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN {values_sql(list(enumerate(ASKS)))} a(i, t) ON o_orderkey % {len(ASKS)} = i),
+m AS (SELECT id, text FROM o), {INTENTS_SQL},
+u AS (SELECT o.id, group_id, sender_id, o.text, by_model, CASE WHEN by_model THEN 'request' ELSE kind END AS kind, CASE WHEN by_model THEN p_name ELSE title END AS title, CASE WHEN by_model THEN 'movie' ELSE category END AS category, CASE WHEN by_model THEN NULL ELSE issue_type END AS issue_type, CASE WHEN by_model THEN NULL ELSE season END AS season, CASE WHEN by_model THEN NULL ELSE episode END AS episode
+  FROM (SELECT o.*, x.* EXCLUDE (id), o.id % 7 = 0 AND (kind IS NULL OR by_bare_title) AS by_model FROM o JOIN x USING (id)) o),
+shelf AS (SELECT p_partkey AS item_id, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'Season ' || p_size % 4 + 1 || ' Episode 1-' || p_size % 9 + 1 END AS episode_title, lower(p_name) AS title_key, (['movie', 'tv', 'anime'])[p_partkey % 3 + 1] AS category, p_size + 1980 AS year, p_size % 4 + 1 AS own_season, p_size % 9 + 1 AS last_episode FROM part WHERE p_partkey % 11 < 4),
+sought AS (SELECT DISTINCT lower(title) AS q, category AS wanted FROM u WHERE length(title) >= 2),
+hits AS (SELECT q, wanted, shelf.*, row_number() OVER (PARTITION BY q, wanted ORDER BY title_key = q DESC, starts_with(title_key, q) DESC, item_id DESC) AS rank FROM sought JOIN shelf ON (wanted IS NULL OR category = wanted) AND CASE WHEN contains(title_key, q) THEN regexp_matches(title_key, '(^|[^a-z0-9_])' || regexp_escape(q) || '($|[^a-z0-9_])') ELSE false END),
+near AS (SELECT q, title_key AS b FROM (SELECT DISTINCT q FROM sought WHERE length(q) >= 5) JOIN (SELECT DISTINCT title_key FROM shelf) ON substr(q, 1, 1) = substr(title_key, 1, 1) WHERE NOT (NOT contains(q, ' ') AND NOT contains(title_key, ' ') AND abs(length(q) - length(title_key)) > 2)),
+p AS (SELECT q AS a, b, CASE WHEN contains(q, ' ') THEN 0.78 ELSE 0.82 END AS least FROM near), {RATIO_SQL[RATIO_SQL.index("blocks AS"):RATIO_SQL.index("ranked AS")].rstrip().rstrip(",")},
+ranked AS (SELECT sought.q, sought.wanted, shelf.*, score, row_number() OVER w AS rank, lead(score) OVER w AS following FROM sought JOIN scored ON a = sought.q JOIN shelf ON title_key = b WHERE (wanted IS NULL OR category = wanted) AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.q = sought.q AND h.wanted IS NOT DISTINCT FROM sought.wanted) WINDOW w AS (PARTITION BY sought.q, sought.wanted ORDER BY score DESC, item_id)),
+unclear AS (SELECT q, wanted FROM ranked WHERE rank = 1 AND score - following < 0.03),
+best AS (SELECT q, wanted, item_id, title, episode_title, category, year, own_season, last_episode, rank FROM hits WHERE rank <= 3 UNION ALL SELECT q, wanted, item_id, title, episode_title, category, year, own_season, last_episode, rank FROM ranked r WHERE rank <= 3 AND NOT EXISTS (SELECT 1 FROM unclear n WHERE n.q = r.q AND n.wanted IS NOT DISTINCT FROM r.wanted)),
+f AS (SELECT u.id, count(*) AS n_matches, arg_min(item_id, rank) AS matched_id, arg_min(CASE WHEN best.category <> 'movie' AND episode_title IS NOT NULL THEN best.title || ' - ' || episode_title ELSE best.title || ' (' || year || ')' END, rank) AS matched_title FROM u JOIN best ON lower(u.title) = best.q AND u.category IS NOT DISTINCT FROM best.wanted
+  WHERE (u.season IS NULL OR coalesce(episode_title IS NOT NULL AND own_season = u.season, false)) AND (u.episode IS NULL OR coalesce(episode_title IS NOT NULL AND u.episode BETWEEN 1 AND last_episode, false)) GROUP BY u.id),
+n AS (SELECT *, DATE '2025-07-01' + (p * 7 % 400 + coalesce(season, 0) * 60)::INT AS day, (p + season) % 5 > 0 AS listed FROM (SELECT lower(p_name) AS t, max(p_partkey) AS p FROM part GROUP BY 1), (VALUES (NULL), (1), (2)) v(season) WHERE p % 3 > 0),
+states AS (SELECT u.id, CASE WHEN n.season IS NULL THEN CASE WHEN day > DATE '2026-01-01' THEN 'future_tv' ELSE 'released_tv' END WHEN NOT listed THEN 'season_unconfirmed' WHEN day > DATE '2026-01-01' THEN 'future_season' ELSE 'aired_season' END AS state FROM u JOIN n ON lower(u.title) = t AND u.season IS NOT DISTINCT FROM n.season WHERE u.episode IS NULL AND kind IN ('release', 'request', 'issue')),
+g AS (SELECT u.*, coalesce(n_matches, 0) AS n_matches, matched_id, matched_title, state, CASE WHEN kind IS NULL OR (kind = 'bare_title' AND n_matches IS NULL) THEN 'ignored' WHEN state IS NOT NULL AND (kind = 'release' OR ((kind = 'request' OR issue_type = 'missing_episode') AND state IN ('future_tv', 'season_unconfirmed', 'future_season'))) THEN 'availability' WHEN kind IN ('request', 'issue') THEN kind ELSE 'reply' END AS outcome FROM u LEFT JOIN f USING (id) LEFT JOIN states USING (id)),
+r0 AS (SELECT *, {KEY_SQL.format("coalesce(matched_title, title, '')")} AS key FROM (SELECT id AS seq, group_id, CASE WHEN outcome = 'request' THEN 'request' ELSE coalesce(issue_type, 'general') END AS kind, CASE WHEN outcome = 'request' AND n_matches > 0 THEN 'found' ELSE 'open' END AS status, id AS message_id, sender_id, text, title || coalesce(' Season ' || season, '') || coalesce(' Episode ' || episode, '') AS title, matched_title, matched_id, category FROM g WHERE outcome IN ('request', 'issue'))), {STEPS_SQL}"""
+
+
+@query(f"""WITH RECURSIVE {FLOW_SQL} SELECT id AS message_id, g.group_id, g.kind, g.title, g.issue_type, g.season, g.episode, g.n_matches, g.matched_id, state, outcome, r0.status, CASE WHEN r0.seq IS NOT NULL THEN coalesce(steps.item_id, id) END AS item_id, CASE WHEN r0.seq IS NOT NULL THEN coalesce(steps.n, 1) END AS occurrence_count
+FROM g LEFT JOIN r0 ON r0.seq = id LEFT JOIN steps ON steps.seq = id AND steps.k > 0""")
+def support_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages from intent over search, parts and availability to the open item they are merged into."""
+    out = support.handled(asks_of_orders(spark, sf_dir), shelf_of_parts(spark, sf_dir), known_of_parts(spark, sf_dir), F.lit("2026-01-01").cast("date"))
+    return out.select("message_id", "group_id", "kind", "title", "issue_type", "season", "episode", "n_matches", "matched_id", "state", "outcome", "status", "item_id", "occurrence_count")
+
+
 @query(f"""WITH k AS (SELECT id, {KEY_SQL.format('t')} AS key FROM {values_sql(list(enumerate(TITLES)))} v(id, t)), p AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS s, {PART_SQL('key', 'episode')} AS e FROM k WHERE key <> '')
 SELECT a.id AS seq, min(b.id) AS item_id FROM p a JOIN p b ON a.base = b.base WHERE a.key = b.key OR (a.s IS NULL AND a.e IS NULL) OR (b.s IS NULL AND b.e IS NULL) OR ((a.s = b.s OR a.e = b.e) AND coalesce(a.s = b.s, true) AND coalesce(a.e = b.e, true)) GROUP BY 1""")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-import json
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and read from the checkpoint folder from then on, which survives lost executors and shortens plans.
+
+    The folder is that of spark.checkpoint.dir; where it is unset, a temporary one for a local master, else an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
+    return df.checkpoint()
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,46 +63,3 @@ def replace(df: DataFrame, path: str, label: str, now) -> DataFrame:
     """Full replacement of a snapshot; returns its one row of metadata."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path).agg(F.lit(label).alias("label"), F.lit(now).alias("last_refresh_at"), F.count("*").alias("item_count"))
-
-
-def manifest(spark: SparkSession, root: str) -> dict:
-    """What the last commit under root left: {"epoch": its number, "tables": {name: folder}}."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return json.loads(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0]) if there else {"epoch": None, "tables": {}}
-
-
-def commit(spark: SparkSession, tables: dict[str, DataFrame], root: str, epoch: int | None = None) -> bool:
-    """New contents of several tables under root, all of them or none; False if epoch was committed before.
-
-    Every table is written to a folder of its own, then one rename of a small file makes them the present ones, so a reader
-    never sees a part of a commit and a failure leaves what was there.  Tables not named keep their contents.  With the
-    number of a micro-batch as epoch, foreachBatch may repeat it.  One writer at a time; the file system must rename
-    atomically.  Folders of earlier commits stay for readers that still use them.
-    """
-    last = manifest(spark, root)
-    if epoch is not None and last["epoch"] is not None and epoch <= last["epoch"]:
-        return False
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
-    staged = f"{root}/{uuid.uuid4().hex}"
-    fs = hadoop.Path(staged).getFileSystem(conf)
-    try:
-        for name, df in tables.items():
-            df.write.parquet(f"{staged}/{name}")
-        new = {"epoch": last["epoch"] if epoch is None else epoch, "tables": last["tables"] | {name: f"{staged}/{name}" for name in tables}}
-        out = fs.create(hadoop.Path(f"{staged}/CURRENT"))
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        rename = getattr(hadoop, "Options$Rename")
-        how = spark.sparkContext._gateway.new_array(rename, 1)
-        how[0] = rename.OVERWRITE
-        home = fs.makeQualified(hadoop.Path(root)).toUri()
-        hadoop.FileContext.getFileContext(home, conf).rename(hadoop.Path(f"{staged}/CURRENT"), hadoop.Path(f"{root}/CURRENT"), how)
-    except Exception:
-        fs.delete(hadoop.Path(staged), True)
-        raise
-    return True
-
-
-def committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(manifest(spark, root)["tables"][name])

@@ -354,20 +354,6 @@ def test_merging_keeps_ids(spark):
     assert (got[3]["first_message"], got[3]["first_sender"], got[3]["matched_id"]) == (7, 8, None)
 
 
-def test_commit_is_whole(spark, tmp_path):
-    """All tables of a commit or none; a repeated epoch changes nothing; tables not named stay."""
-    root, rows = str(tmp_path / "store"), lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
-    read = lambda name: sorted(r[0] for r in tables.committed(spark, root, name).collect())
-    assert tables.commit(spark, {"a": rows(1), "b": rows(2)}, root, epoch=0)
-    assert not tables.commit(spark, {"a": rows(9)}, root, epoch=0)
-    assert (read("a"), read("b")) == ([1], [2])
-    with pytest.raises(Exception, match="broken"):
-        tables.commit(spark, {"a": rows(5), "b": rows(1).select(F.raise_error(F.lit("broken")).cast("int").alias("v"))}, root, epoch=1)
-    assert (read("a"), read("b")) == ([1], [2]) and len([p for p in (tmp_path / "store").iterdir() if p.is_dir()]) == 1
-    assert tables.commit(spark, {"a": rows(3, 4)}, root, epoch=1)
-    assert (read("a"), read("b"), tables.manifest(spark, root)["epoch"]) == ([3, 4], [2], 1)
-
-
 def test_cache_by_time(spark):
     """A fetch serves its key until its time is over; without a time to live nothing is kept."""
     calls = spark.createDataFrame([(1, "x", 0), (2, "x", 0), (3, "x", 9), (4, "x", 10), (5, "y", 11), (6, None, 1), (7, None, 2), (8, "x", 19), (9, "x", 30)], "id int, key string, s long").withColumn("ts", F.timestamp_seconds("s"))
