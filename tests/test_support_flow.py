@@ -10,13 +10,13 @@ from larkspur.functions import titles
 from larkspur.operators import merging, support
 
 SHOWS = [(1, "Avatar", None, "movie", 2009), (5, "Silo", "Season 3 Episode 1-7", "tv", None), (7, "Lioness", "S02E05", "tv", None), (9, "The Orchard Keepers", "Season 1", "tv", None)]
-KNOWN = [("silo", 4, None, True, "tv", None, True, dt.date(2030, 1, 1)), ("dark", 9, None, True, "tv", None, False, None), ("dune", None, None, True, "movie", dt.date(2031, 5, 5), None, None), ("avatar", None, None, True, "movie", dt.date(2009, 12, 10), None, None)]
+KNOWN = [("silo", 4, None, True, "tv", None, True, dt.date(2030, 1, 1)), ("dark", 9, None, True, "tv", None, False, None), ("next of lioness", None, None, True, "movie", dt.date(2031, 5, 5), None, None), ("avatar", None, None, True, "movie", dt.date(2009, 12, 10), None, None)]
 SURE = '```json\n{"kind": "request", "confidence": 0.9, "title_query": "Avatar", "category_hint": "movie"}\n```'
 SAID = [
     (1, "requesting Avatar", None, "request", 1, "found", 1, 1), (2, "please add the movie Avatar", None, "request", 1, "found", 1, 2), (3, "hello", None, "ignored", None, None, None, None), (4, "how do I download?", None, "reply", None, None, None, None),
     (5, "Silo season 4 please", None, "availability", None, None, None, None), (6, "Silo season 3 episode 5 please", None, "request", 5, "found", 6, 1), (7, "Silo season 3 episode 9 please", None, "request", None, "open", 7, 1), (8, "requesting Silo season 3", None, "request", 5, "found", 6, 2),
     (9, "Lioness link expired", None, "issue", None, "open", 9, 1), (10, "my Lioness link is expired again", None, "issue", None, "open", None, None), (11, "subtitles are off", None, "issue", None, "open", 11, 1), (12, "subtitles are off", None, "issue", None, "open", None, None),
-    (13, "the blue people film", SURE, "request", 1, "found", 1, 3), (14, "is Dune out, released when?", '{"kind": "request", "confidence": 0.1}', None, None, None, None, None), (15, "Dune release date", None, "availability", None, None, None, None), (16, "S2 E3", None, "reply", None, None, None, None),
+    (13, "the blue people film", SURE, "request", 1, "found", 1, 3), (14, "is Dune out, released when?", '{"kind": "request", "confidence": 0.1}', None, None, None, None, None), (15, "next episode of Lioness", None, "availability", None, None, None, None), (16, "S2 E3", None, "reply", None, None, None, None),
     (17, "Orchard Keepers", None, "reply", 9, None, None, None), (18, "Breaking Tide", None, "ignored", None, None, None, None), (19, "Dark season 9 please", None, "availability", None, None, None, None), (20, "requesting Orchard Keepers", None, "request", 9, "found", 20, 1), (21, None, None, "ignored", None, None, None, None),
 ]
 
