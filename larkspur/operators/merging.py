@@ -113,11 +113,19 @@ def merge_log(items: DataFrame, window: int = 50, stored: DataFrame | None = Non
 
 
 def first_compatible(incoming: DataFrame, open_items: DataFrame) -> DataFrame:
-    """The open item with the smallest id that each incoming item can be merged into; found by base title, then tested."""
-    a, b = keyed(incoming).where("key <> ''").alias("a"), keyed(open_items).where("key <> ''").alias("b")
+    """The open item with the smallest id that each incoming item can be merged into; found by base title, then tested.
+
+    Only distinct keys meet, an open one with its smallest id, so a title that many items have costs no pairs of items.
+    """
+    by = ["group_id", "status", "base", "key", "category"]
+    rows = keyed(incoming).where("key <> ''")
+    a = rows.select(*by).distinct().alias("a")
+    b = keyed(open_items).where("key <> ''").groupBy(*by).agg(F.min("item_id").alias("item_id")).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("group_id", "status", "base")]
     ok = titles.keys_compatible(F.col("a.key"), F.col("b.key")) & ~F.coalesce(F.col("a.category") != F.col("b.category"), F.lit(False))
-    return a.join(b, same).where(ok).groupBy(F.col("a.seq").alias("seq")).agg(F.min("b.item_id").alias("item_id"))
+    met = a.join(b, same).where(ok).groupBy(*(F.col(f"a.{c}").alias(f"{c}_") for c in by)).agg(F.min("item_id").alias("item_id"))
+    own = [rows[c].eqNullSafe(met[f"{c}_"]) if c == "category" else rows[c] == met[f"{c}_"] for c in by]
+    return rows.join(met, own).select("seq", met["item_id"])
 
 
 def latest(log: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, scoring
@@ -170,15 +170,16 @@ def repeat_message_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.repeats(df, "source", "h", "doc_id").select("doc_id", "repeated")
 
 
-REFRESH = [("empty", "2026-01-01 10:00:00", "2026-01-01 09:59:00", 0, 3600, "23:00", None), ("fresh", "2026-01-01 10:00:00", "2026-01-01 09:30:00", 5, 3600, "23:00", None), ("old", "2026-01-01 10:00:00", "2026-01-01 08:30:00", 5, 3600, "23:00", None), ("slot", "2026-01-01 23:00:30", "2026-01-01 22:30:00", 5, 3600, "23:00", None), ("done", "2026-01-01 23:00:45", "2026-01-01 22:30:00", 5, 3600, "23:00", "2026-01-01T23:00"), ("off", "2026-01-02 10:00:00", "2026-01-01 08:30:00", 5, 0, "23:00", None)]
-
-
-@query(f"""SELECT name, items = 0 OR (every_s > 0 AND epoch(now_::TIMESTAMP) - epoch(last_::TIMESTAMP) >= every_s) OR (strftime(now_::TIMESTAMP, '%H:%M') = slot AND coalesce(done, '') <> strftime(now_::TIMESTAMP, '%Y-%m-%dT') || slot) AS due
-FROM (VALUES {', '.join('(' + ', '.join(map(s, r)) + ')' for r in REFRESH)}) v(name, now_, last_, items, every_s, slot, done)""")
+@query("""WITH r AS (SELECT event_id, ts AS now_, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_, event_id % 4 AS items, user_id % 3 * 20000 AS every_s, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%H:%M') ELSE '23:00' END AS slot FROM events),
+d AS (SELECT *, CASE WHEN event_id % 6 = 0 THEN strftime(now_, '%Y-%m-%dT') || slot END AS done FROM r)
+SELECT event_id, items = 0 OR coalesce(every_s > 0 AND epoch(date_trunc('second', now_)) - epoch(date_trunc('second', last_)) >= every_s, false) OR (strftime(now_, '%H:%M') = slot AND coalesce(done, '') <> strftime(now_, '%Y-%m-%dT') || slot) AS due FROM d""")
 def refresh_due(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(REFRESH, "name string, now_ string, last_ string, items int, every_s int, slot string, done string")
-    at = lambda c: F.col(c).cast("timestamp")
-    return df.select("name", stateful.refresh_due(at("now_"), at("last_"), F.col("items"), F.col("every_s"), F.col("slot"), F.col("done")).alias("due"))
+    """Whether a user's catalog is due at each of their events, if the event before was its last refresh."""
+    df = read(spark, sf_dir, "events").withColumn("now_", F.col("ts").cast("timestamp"))
+    df = df.withColumn("last_", F.lag("now_").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    slot = F.when(F.col("event_id") % 3 == 0, F.date_format("now_", "HH:mm")).otherwise("23:00")
+    df = df.withColumn("slot", slot).withColumn("done", F.when(F.col("event_id") % 6 == 0, F.concat(F.date_format("now_", "yyyy-MM-dd"), F.lit("T"), F.col("slot"))))
+    return df.select("event_id", stateful.refresh_due(F.col("now_"), F.col("last_"), F.col("event_id") % 4, F.col("user_id") % 3 * 20_000, F.col("slot"), F.col("done")).alias("due"))
 
 
 @query("""SELECT 'events' AS name, count(*) AS n FROM events WHERE user_id % 5 <> 2 UNION ALL SELECT 'reviews', count(*) FROM events WHERE event_type = 'view' AND user_id % 5 <> 2 UNION ALL SELECT 'requests', count(*) FROM orders WHERE o_custkey % 5 <> 2""")
@@ -220,13 +221,16 @@ def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "group_id", "left").withColumn("senders", F.coalesce("senders", F.lit(0)))
 
 
-MODE_ROWS = ", ".join(f"({s(m)})" for m in fixed.MODES)
+PICKED = f"([{', '.join(map(s, fixed.MODES))}])[(event_id % {len(fixed.MODES)} + 1)::BIGINT]"
 
 
-@query(f"""SELECT mode, mode IN ('auto_delete', 'silent', 'aggressive') AS auto_delete_enabled, mode = 'silent' AS silent_enabled FROM (VALUES {MODE_ROWS}) v(mode)""")
+@query(f"""WITH l AS (SELECT user_id, max_by({PICKED}, (ts, event_id)) AS mode FROM events GROUP BY user_id)
+SELECT user_id, mode, mode IN ('auto_delete', 'silent', 'aggressive') AS auto_delete_enabled, mode = 'silent' AS silent_enabled FROM l""")
 def mode_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame([(m,) for m in fixed.MODES], "mode string")
-    return df.select(scoring.mode_flags(F.col("mode")).alias("f")).select("f.*")
+    """What follows from the mode that each user set last."""
+    picked = F.element_at(F.array(*map(F.lit, fixed.MODES)), (F.col("event_id") % len(fixed.MODES)).cast("int") + 1)
+    log = read(spark, sf_dir, "events").select("user_id", picked.alias("mode"), F.struct("ts", "event_id").alias("seq"))
+    return merging.latest(log, ["user_id"], "seq").select("user_id", scoring.mode_flags(F.col("mode")).alias("f")).select("user_id", "f.*")
 
 
 @query("""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM e)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, parsing, scoring, text, titles
@@ -13,13 +13,6 @@ from .fixtures import values_sql
 from .registry import query
 
 ASKED = [(1, "blue"), (2, "a"), (3, "blue anvil"), (4, "anvil"), (5, "gizmo"), (6, "old bolt"), (7, "cold bolt"), (8, "no such thing"), (9, "vil")]
-STATES = [
-    (1, True, "movie", "2030-01-01", None, None, None, None, None, None, None), (2, True, "movie", "2020-01-01", None, None, None, None, None, None, None), (3, True, "movie", None, None, None, None, None, None, None, None),
-    (4, True, "tv", None, "2019-05-05", 2, 3, False, None, None, None), (5, True, "tv", None, "2019-05-05", 2, 3, True, False, None, None), (6, True, "tv", None, "2019-05-05", 2, 3, True, True, None, "2030-02-02"),
-    (7, True, "tv", None, "2019-05-05", 2, 3, True, True, None, "2021-02-02"), (8, True, "tv", None, "2019-05-05", 2, 3, None, None, None, None), (9, True, "tv", None, "2019-05-05", 2, None, True, None, "2031-01-01", None),
-    (10, True, "tv", None, "2019-05-05", 2, None, True, None, "2021-01-01", None), (11, True, "tv", None, "2019-05-05", 2, None, None, None, None, None), (12, True, "tv", None, "2032-05-05", None, None, None, None, None, None),
-    (13, True, "tv", None, "2012-05-05", None, None, None, None, None, None), (14, True, "tv", None, None, None, None, None, None, None, None), (15, False, None, None, None, None, None, None, None, None, None), (16, True, "tv", None, None, 2, None, False, None, None, None),
-]
 TITLES = ["Lioness season 2 ep 5 please fix", "LIONESS S2", "request: Silo - Season 3 Episode 1-7!", "the Show about tv", "e 5 of s 01", "Grey's Anatomy link broken", "series 4 Orchard", "episode 12"]
 SPOKEN = [
     "requesting Avatar", "Lioness link expired", "how do I download?", "Severance season 2 please", "S2 E3", "Dark s01e05 missing episode 5", "when will Silo season 3 be released", "Breaking Tide", "please add the movie Dune 2021", "hello",
@@ -119,15 +112,22 @@ def episode_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATED = lambda d, f, p, u: f"CASE WHEN {d}::DATE > DATE '2026-01-01' THEN '{f}' WHEN {d} IS NOT NULL THEN '{p}' ELSE '{u}' END"
 
 
-@query(f"""WITH v AS (SELECT * FROM {values_sql(STATES)} v(id, found, media_type, release_date, first_air_date, season, episode, season_exists, episode_exists, season_air_date, episode_air_date)),
+THREE = lambda k, n: f"CASE WHEN {k} % {n} = 0 THEN NULL ELSE {k} % {n} > 1 END"
+
+
+@query(f"""WITH v AS (SELECT p_partkey AS id, p_partkey % 7 > 0 AS found, CASE WHEN p_size % 3 = 0 THEN 'movie' ELSE 'tv' END AS media_type, CASE WHEN p_partkey % 5 > 0 THEN DATE '2025-07-01' + (p_partkey * 7 % 400)::INT END AS release_date, CASE WHEN p_partkey % 11 > 1 THEN DATE '2025-06-01' + (p_partkey * 3 % 400)::INT END AS first_air_date,
+  nullif(p_size % 4, 0) AS season, nullif(p_size % 5, 0) AS episode, {THREE('p_partkey', 6)} AS season_exists, {THREE('p_partkey', 9)} AS episode_exists, CASE WHEN p_partkey % 4 > 0 THEN DATE '2025-05-01' + (p_partkey * 11 % 500)::INT END AS season_air_date, CASE WHEN p_partkey % 8 > 1 THEN DATE '2025-05-01' + (p_partkey * 13 % 500)::INT END AS episode_air_date FROM part),
 x AS (SELECT id, CASE WHEN NOT found THEN 'not_found' WHEN media_type = 'movie' THEN {DATED('release_date', 'future_movie', 'released_movie', 'unknown_movie_date')}
  WHEN episode IS NOT NULL AND season_exists IS FALSE THEN 'season_unconfirmed' WHEN episode IS NOT NULL AND episode_exists IS FALSE THEN 'episode_unlisted' WHEN episode IS NOT NULL THEN {DATED('episode_air_date', 'future_episode', 'aired_episode', 'unknown_episode_date')}
  WHEN season IS NOT NULL AND season_exists IS FALSE THEN 'season_unconfirmed' WHEN season IS NOT NULL THEN {DATED('season_air_date', 'future_season', 'aired_season', 'unknown_season_date')} ELSE {DATED('first_air_date', 'future_tv', 'released_tv', 'unknown_tv_date')} END AS state FROM v)
 SELECT id, state, state IN ({', '.join(map(s, fixed.NOT_READY))}) AS request_waits FROM x""")
 def availability_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = "id long, found boolean, media_type string, release_date string, first_air_date string, season int, episode int, season_exists boolean, episode_exists boolean, season_air_date string, episode_air_date string"
-    df = spark.createDataFrame(STATES, names)
-    df = df.withColumns({c: F.try_to_date(c) for c in ("release_date", "first_air_date", "season_air_date", "episode_air_date")})
+    """States of titles, seasons and episodes: each part of the table as one that is known, listed and out, or not."""
+    p, size = F.col("p_partkey"), F.col("p_size")
+    day = lambda start, k, n, on: F.when(on, F.date_add(F.lit(start).cast("date"), (p * k % n).cast("int")))
+    three = lambda n: F.when(p % n != 0, p % n > 1)
+    df = read(spark, sf_dir, "part").select(p.alias("id"), (p % 7 > 0).alias("found"), F.when(size % 3 == 0, "movie").otherwise("tv").alias("media_type"), day("2025-07-01", 7, 400, p % 5 > 0).alias("release_date"), day("2025-06-01", 3, 400, p % 11 > 1).alias("first_air_date"),
+        F.nullif(size % 4, F.lit(0)).alias("season"), F.nullif(size % 5, F.lit(0)).alias("episode"), three(6).alias("season_exists"), three(9).alias("episode_exists"), day("2025-05-01", 11, 500, p % 4 > 0).alias("season_air_date"), day("2025-05-01", 13, 500, p % 8 > 1).alias("episode_air_date"))
     df = df.withColumn("state", titles.availability_state(F.lit("2026-01-01").cast("date")))
     return df.select("id", "state", titles.blocks_logging(F.lit("request"), F.lit(None).cast("string"), F.col("state")).alias("request_waits"))
 
@@ -320,47 +320,69 @@ def support_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("message_id", "group_id", "kind", "title", "issue_type", "season", "episode", "n_matches", "matched_id", "state", "outcome", "status", "item_id", "occurrence_count")
 
 
-@query(f"""WITH k AS (SELECT id, {KEY_SQL.format('t')} AS key FROM {values_sql(list(enumerate(TITLES)))} v(id, t)), p AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS s, {PART_SQL('key', 'episode')} AS e FROM k WHERE key <> '')
-SELECT a.id AS seq, min(b.id) AS item_id FROM p a JOIN p b ON a.base = b.base WHERE a.key = b.key OR (a.s IS NULL AND a.e IS NULL) OR (b.s IS NULL AND b.e IS NULL) OR ((a.s = b.s OR a.e = b.e) AND coalesce(a.s = b.s, true) AND coalesce(a.e = b.e, true)) GROUP BY 1""")
+@query(f"""WITH r0 AS (SELECT o_orderkey AS id, o_custkey % 3 AS g, o_orderstatus AS st, {KEY_SQL.format("p_name || CASE WHEN o_orderkey % 4 <> 0 THEN ' season ' || o_orderkey % 4 ELSE '' END")} AS key FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN part ON p_partkey = l_partkey),
+p AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS s, {PART_SQL('key', 'episode')} AS e FROM r0 WHERE key <> ''), o AS (SELECT g, st, key, base, s, e, min(id) AS id FROM p GROUP BY ALL)
+SELECT a.id AS seq, min(b.id) AS item_id FROM (SELECT row_number() OVER () AS rid, * FROM p) a JOIN o b ON a.g = b.g AND a.st = b.st AND a.base = b.base WHERE a.key = b.key OR (a.s IS NULL AND a.e IS NULL) OR (b.s IS NULL AND b.e IS NULL) OR ((a.s = b.s OR a.e = b.e) AND coalesce(a.s = b.s, true) AND coalesce(a.e = b.e, true)) GROUP BY a.rid, a.id""")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first open item that each item could be merged into."""
-    null = F.lit(None).cast("string")
-    df = spark.createDataFrame(list(enumerate(TITLES)), "seq long, title_query string").select("seq", F.col("seq").alias("item_id"), "title_query", null.alias("matched_title"), null.alias("category"), F.lit(1).alias("group_id"), F.lit("open").alias("status"))
-    return merging.first_compatible(df, df)
+    """The first request that each request could be merged into."""
+    df = requests(spark, sf_dir)
+    return merging.first_compatible(df, df.withColumn("item_id", F.col("seq")))
 
 
+#: Answers of a classifier about an event: a digit of its id for {d}, its type for {t}.
 ANSWERS = [
-    (1, '{"label": "spam", "confidence": 0.93, "recommended_action": "delete", "needs_training_review": false}'), (2, 'Sure:\n```json\n{"label": "not_spam", "confidence": 0.8, "recommended_action": "allow", "needs_training_review": false}\n```'),
-    (3, '{"label": "other", "confidence": 0.5, "recommended_action": "allow", "needs_training_review": true}'), (4, '{"label": "spam", "confidence": 1.5, "recommended_action": "delete", "needs_training_review": true}'), (5, "no json here"), (6, '{"label": "spam", "conf'), (7, 'text {"label": "suspicious", "confidence": 0.6, "recommended_action": "ask_admin", "needs_training_review": true} more'), (8, None), (9, '{"label": "spam", "confidence": 0.5, "recommended_action": "explode", "needs_training_review": true}'),
+    '{"label": "spam", "confidence": 0.{d}, "recommended_action": "delete", "needs_training_review": false}', 'Sure, {t}:\n```json\n{"label": "not_spam", "confidence": 0.{d}, "recommended_action": "allow", "needs_training_review": false}\n```',
+    '{"label": "{t}", "confidence": 0.{d}, "recommended_action": "allow", "needs_training_review": true}', '{"label": "spam", "confidence": 1.{d}, "recommended_action": "delete", "needs_training_review": true}', "no json about {t}", '{"label": "spam", "conf{d}',
+    'text {"label": "suspicious", "confidence": 0.{d}, "recommended_action": "ask_admin", "needs_training_review": true} more', '{"label": "spam", "confidence": 0.{d}, "recommended_action": "{t}", "needs_training_review": true}', '{"label": "spam", "confidence": 0.{d}, "recommended_action": "delete"}',
 ]
 
 
-@query(f"""WITH v AS (SELECT id, regexp_extract(a, '(\\{{.*\\}})', 1, 's') AS j FROM {values_sql(ANSWERS)} v(id, a)), p AS (SELECT id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS j FROM v),
+def filled(templates: list[str], key: str, **marks) -> Column:
+    """The template that a key picks, its marks replaced by columns."""
+    out = F.element_at(F.array(*map(F.lit, templates)), (F.col(key) % len(templates)).cast("int") + 1)
+    for mark, value in marks.items():
+        out = F.replace(out, F.lit("{" + mark + "}"), value.cast("string"))
+    return out
+
+
+def filled_sql(templates: list[str], key: str, **marks: str) -> str:
+    out = f"([{', '.join(map(s, templates))}])[({key} % {len(templates)} + 1)::BIGINT]"
+    for mark, value in marks.items():
+        out = f"replace({out}, '{{{mark}}}', ({value})::VARCHAR)"
+    return out
+
+
+@query(f"""WITH v AS (SELECT event_id AS id, regexp_extract({filled_sql(ANSWERS, 'event_id', d='event_id // 9 % 10', t='event_type')}, '(\\{{.*\\}})', 1, 's') AS j FROM events), p AS (SELECT id, CASE WHEN j <> '' AND json_valid(j) THEN j END AS j FROM v),
 f AS (SELECT id, j ->> 'label' AS label, TRY_CAST(j ->> 'confidence' AS DOUBLE) AS confidence, coalesce(label IN ('spam', 'not_spam', 'suspicious') AND confidence BETWEEN 0 AND 1 AND (j ->> 'recommended_action') IN ('delete', 'delete_and_ban', 'ask_admin', 'allow') AND (j ->> 'needs_training_review') IS NOT NULL, false) AS valid FROM p)
 SELECT id, valid, CASE WHEN valid THEN label END AS label, CASE WHEN valid THEN confidence END AS confidence FROM f""")
 def llm_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(ANSWERS, "id long, a string")
+    """Answers about events, valid or not: fenced, within other text, cut off, out of range."""
+    df = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), filled(ANSWERS, "event_id", d=F.expr("event_id div 9 % 10"), t=F.col("event_type")).alias("a"))
     df = df.select("id", parsing.classification(F.col("a")).alias("c"))
     return df.select("id", F.col("c").isNotNull().alias("valid"), "c.label", "c.confidence")
 
 
-INTENTS = [(1, '{"kind": "request", "confidence": 0.9, "title_query": "Avatar!", "category_hint": "Movie", "season_number": "2"}'), (2, '{"kind": "issue", "confidence": 0.8, "issue_type": "weird"}'), (3, '{"kind": "request", "confidence": 0.2, "title_query": "Avatar"}'), (4, '{"kind": "request", "confidence": 0.9}'), (5, '{"kind": "howto", "confidence": 0.95, "episode_number": "x"}'), (6, "oops")]
+INTENTS = ['{"kind": "request", "confidence": 0.9, "title_query": "{t}!", "category_hint": "Movie", "season_number": "{s}"}', '{"kind": "issue", "confidence": 0.8, "issue_type": "{t}"}', '{"kind": "request", "confidence": 0.{s}, "title_query": "{t}"}', '{"kind": "Request", "confidence": 0.9}', '{"kind": "howto", "confidence": 0.95, "episode_number": "x"}', "oops {t}", '{"kind": "issue", "confidence": 0.7, "title_query": "{t}", "issue_type": "playback", "season_number": 3}']
 
 
-@query(f"""WITH f AS (SELECT id, lower(j ->> 'kind') AS kind, trim(regexp_replace(j ->> 'title_query', '[^\\w\\s''&.-]+', ' ', 'g'), ' .-') AS title, lower(j ->> 'category_hint') AS category, j ->> 'issue_type' AS issue, TRY_CAST(j ->> 'season_number' AS INT) AS season, TRY_CAST(j ->> 'confidence' AS DOUBLE) AS c FROM (SELECT id, CASE WHEN json_valid(j) THEN j END AS j FROM {values_sql(INTENTS)} v(id, j)))
-SELECT id, kind, title, CASE WHEN category IN ('movie', 'tv', 'anime') THEN category END AS category, CASE WHEN kind = 'issue' THEN CASE WHEN issue IN ('broken_link', 'missing_episode', 'banned', 'playback', 'general') THEN issue ELSE 'general' END END AS issue_type, season
+@query(f"""WITH f AS (SELECT id, lower(j ->> 'kind') AS kind, trim(regexp_replace(j ->> 'title_query', '[^\\w\\s''&.-]+', ' ', 'g'), ' .-') AS title, lower(j ->> 'category_hint') AS category, j ->> 'issue_type' AS issue, TRY_CAST(j ->> 'season_number' AS INT) AS season, TRY_CAST(j ->> 'confidence' AS DOUBLE) AS c FROM (SELECT id, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT p_partkey AS id, {filled_sql(INTENTS, 'p_partkey', t='p_name', s='p_size % 10')} AS j FROM part)))
+SELECT id, kind, CASE WHEN length(title) >= 2 THEN title END AS title, CASE WHEN category IN ('movie', 'tv', 'anime') THEN category END AS category, CASE WHEN kind = 'issue' THEN CASE WHEN issue IN ('broken_link', 'missing_episode', 'banned', 'playback', 'general') THEN issue ELSE 'general' END END AS issue_type, season
 FROM f WHERE c >= 0.68 AND (kind IN ('howto', 'issue') OR (kind IN ('request', 'release') AND length(title) >= 2))""")
 def llm_intent_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(INTENTS, "id long, a string").select("id", parsing.intent(F.col("a")).alias("i")).where("i is not null")
+    """Answers about parts of the table that are sure enough and name a kind."""
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), filled(INTENTS, "p_partkey", t=F.col("p_name"), s=F.col("p_size") % 10).alias("a"))
+    df = df.select("id", parsing.intent(F.col("a")).alias("i")).where("i is not null")
     return df.select("id", "i.kind", "i.title", "i.category", "i.issue_type", "i.season")
 
 
-SEASONS = [(1, '{"seasons": [{"season_number": 1, "air_date": "2020-01-02"}, {"season_number": 2, "air_date": "bad"}]}', 1), (2, '{"seasons": [{"season_number": 1, "air_date": "2020-01-02"}, {"season_number": 2, "air_date": "bad"}]}', 2), (3, '{"seasons": []}', 1), (4, None, 1)]
+SEASONS = ['{"seasons": [{"season_number": {s}, "air_date": "2020-01-0{d}"}, {"season_number": 2, "air_date": "bad"}]}', '{"seasons": []}', '{"seasons": [{"season_number": 1, "air_date": null, "episode_count": 3}, {"season_number": {d}, "air_date": "2021-12-1{s}"}]}', '{"name": "{s}{d}"}']
 
 
-@query(f"""WITH v AS (SELECT id, n, list_filter(from_json(j, '{{"seasons": [{{"season_number": "INTEGER", "air_date": "VARCHAR"}}]}}').seasons, lambda x: x.season_number = n) AS l FROM {values_sql(SEASONS)} v(id, j, n)) SELECT id, coalesce(len(l) > 0, false) AS listed, TRY_CAST(l[1].air_date AS DATE) AS air_date FROM v""")
+@query(f"""WITH v AS (SELECT p_partkey AS id, (p_partkey % 3 + 1)::INT AS n, {filled_sql(SEASONS, 'p_partkey', s='p_size % 4', d='p_size % 9 + 1')} AS j FROM part),
+l AS (SELECT id, list_filter(from_json(j, '{{"seasons": [{{"season_number": "INTEGER", "air_date": "VARCHAR"}}]}}').seasons, lambda x: x.season_number = n) AS l FROM v) SELECT id, coalesce(len(l) > 0, false) AS listed, TRY_CAST(l[1].air_date AS DATE) AS air_date FROM l""")
 def season_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(SEASONS, "id long, j string, n int").withColumn("s", parsing.season(F.col("j"), F.col("n")))
+    """Whether a title's details list a season, and since when it is out."""
+    df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3 + 1).cast("int").alias("n"), filled(SEASONS, "p_partkey", s=F.col("p_size") % 4, d=F.col("p_size") % 9 + 1).alias("j")).withColumn("s", parsing.season(F.col("j"), F.col("n")))
     return df.select("id", F.col("s").isNotNull().alias("listed"), F.try_to_date(F.col("s.air_date")).alias("air_date"))
 
 
