@@ -65,7 +65,7 @@ def in_order(items: DataFrame, stored: DataFrame | None) -> DataFrame:
     if stored is not None:
         kept = [c.split()[0] for c in STORED.split(", ") if c.split()[0] not in (*BY, *rows.columns)]
         rows = rows.unionByName(stored.select(*BY, "category", "season", "episode", "matched_id", *kept), allowMissingColumns=True)
-    return rows.repartition(*BY).sortWithinPartitions(*BY, F.col("seq").isNotNull(), *(["item_id"] if stored is not None else []), "seq")
+    return rows.repartition(*BY).sortWithinPartitions(*BY, F.col("seq").isNotNull(), *(["item_id"] if stored is not None else []), "seq", "matched_id")
 
 
 def folded(items: DataFrame, stored: DataFrame | None, window: int, schema_: str, told) -> DataFrame:
@@ -102,7 +102,7 @@ def merged(items: DataFrame, window: int = 50, stored: DataFrame | None = None)
     meet there; the fold keeps one open record per distinct (season, episode, category, matched id), whatever the number of
     rows, and rows come sorted, so a hot title needs the memory of its records only.
     items(seq, group_id, kind, status, message_id, sender_id, text, title_query, matched_title, matched_id, category); seq
-    isn't null.  stored: the open items of an earlier run; merging a log in two runs gives what one run gives.
+    isn't null; rows with one seq are in order of matched_id.  stored: the open items of an earlier run; merging a log in two runs gives what one run gives.
     """
     return folded(items, stored, window, STORED, lambda row, record: record if row is None else None)
 

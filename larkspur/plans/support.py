@@ -223,7 +223,7 @@ def support_merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Items merged in order of arrival: a step an item, with the open items of its key as a list.
 AGREES = "((x.season IS NOT DISTINCT FROM r.season AND x.episode IS NOT DISTINCT FROM r.episode) OR (x.season IS NULL AND x.episode IS NULL) OR (r.season IS NULL AND r.episode IS NULL) OR ((x.season = r.season OR x.episode = r.episode) AND coalesce(x.season = r.season, true) AND coalesce(x.episode = r.episode, true))) AND coalesce(x.category = r.category, true)"
 STEPS_SQL = f"""keyed AS (SELECT *, {BASE_SQL.format('key')} AS base, {PART_SQL('key', 'season')} AS season, {PART_SQL('key', 'episode')} AS episode FROM r0 WHERE key <> ''),
-in_turn AS (SELECT *, row_number() OVER (PARTITION BY group_id, kind, status, base ORDER BY seq) AS k FROM keyed),
+in_turn AS (SELECT *, row_number() OVER (PARTITION BY group_id, kind, status, base ORDER BY seq, matched_id NULLS FIRST) AS k FROM keyed),
 steps AS (SELECT group_id, kind, status, base, 0::BIGINT AS k, 0::BIGINT AS seq, 0::BIGINT AS item_id, 0::BIGINT AS n, []::STRUCT(item_id BIGINT, title VARCHAR, category VARCHAR, n BIGINT, message BIGINT, sender BIGINT, txt VARCHAR, matched BIGINT, season INT, episode INT)[] AS items FROM (SELECT DISTINCT group_id, kind, status, base FROM in_turn)
   UNION ALL SELECT group_id, kind, status, base, k, seq, new_items[hit].item_id, new_items[hit].n, new_items FROM (SELECT *, CASE WHEN hit > len(items) THEN list_append(items, {{'item_id': seq, 'title': title, 'category': category, 'n': 1::BIGINT, 'message': message_id, 'sender': sender_id, 'txt': text, 'matched': matched_id, 'season': season, 'episode': episode}})
       ELSE list_transform(items, lambda x, i: CASE WHEN i = hit THEN {{'item_id': x.item_id, 'title': x.title, 'category': x.category, 'n': x.n + 1, 'message': CASE WHEN x.message <> 0 THEN x.message ELSE message_id END, 'sender': CASE WHEN x.sender <> 0 THEN x.sender ELSE sender_id END, 'txt': text, 'matched': CASE WHEN matched_id <> 0 THEN matched_id ELSE x.matched END, 'season': x.season, 'episode': x.episode}} ELSE x END) END AS new_items

@@ -30,7 +30,7 @@ class Merger(StatefulProcessor):
         own = dict(zip(merging.BY, key, strict=True))
         records = sorted(({**own, "item_id": k[0], **dict(zip(NAMES, v, strict=True))} for k, v in self.items.iterator()), key=lambda r: r["item_id"]) if self.items.exists() else []
         changed = {}
-        for row in sorted((r.asDict() for r in rows), key=lambda r: r["seq"]):
+        for row in sorted((r.asDict() for r in rows), key=lambda r: (r["seq"], r["matched_id"] is not None, r["matched_id"])):
             hit = merging.taken(records, row | own, self.window)
             changed[hit["item_id"]] = hit
         for item, record in changed.items():
