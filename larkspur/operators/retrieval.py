@@ -65,10 +65,15 @@ def numbered(text: Column, over: int) -> Column:
     return F.transform(F.filter(words(text), lambda w: F.length(w) > over), lambda w: F.xxhash64(w))
 
 
-def counted_words(text: Column) -> Column:
-    """[(term, n)] of words of more than two characters."""
-    long = numbered(text, 2)
-    return F.transform(F.array_distinct(long), lambda t: F.struct(t.alias("t"), F.size(F.filter(long, lambda w: w == t)).cast("double").alias("n")))
+def with_counted_words(df: DataFrame, text: str, own: str, terms: str) -> DataFrame:
+    """Adds own, distinct words of more than three characters, and terms, [(term, n)] of those of more than two, as numbers.
+
+    Words and numbers are columns of their own: within the function that counts a term they would be made again for each term.
+    """
+    long = lambda over: F.transform(F.filter("words_", lambda w: F.length(w) > over), lambda w: F.xxhash64(w))
+    df = df.withColumn("words_", words(F.col(text))).withColumns({own: F.array_distinct(long(3)), "long_": long(2)})
+    times = lambda t: F.size(F.filter("long_", lambda w: w == t)).cast("double")
+    return df.withColumn(terms, F.transform(F.array_distinct("long_"), lambda t: F.struct(t.alias("t"), times(t).alias("n")))).drop("words_", "long_")
 
 
 def with_similarities(messages: DataFrame, examples: DataFrame, text: str = "text", kept: int = fixed.EXAMPLES_KEPT) -> DataFrame:
@@ -78,19 +83,25 @@ def with_similarities(messages: DataFrame, examples: DataFrame, text: str = "tex
     messages meet in a join by group; all else is done in the message's row, so messages are neither exploded nor sorted.
     """
     length = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c["n"] * c["n"]))
-    seen = examples.select("scope_group", "label", "age", F.array_distinct(numbered(F.col("example_text"), 3)).alias("seen"), counted_words(F.col("example_text")).alias("terms"))
+    seen = with_counted_words(examples.select("scope_group", "label", "age", "example_text"), "example_text", "seen", "terms")
     seen = seen.withColumn("length", length(F.col("terms"))).select("scope_group", "label", F.struct("age", "seen", "terms", "length").alias("x"))
     of = lambda label: F.array_sort(F.collect_list(F.when(F.col("label") == label, F.col("x")))).alias(f"{label}_")
     rows = seen.groupBy("scope_group").agg(of("spam"), of("not_spam")).withColumnRenamed("scope_group", "group_id")
-    df = messages.join(rows, "group_id", "left").withColumns({"own_": F.array_distinct(numbered(F.col(text), 3)), "terms_": counted_words(F.col(text))})
+    looked = lambda x: F.struct(x["seen"].alias("seen"), F.map_from_entries(x["terms"]).alias("counts"), x["length"].alias("length"))
+    rows = rows.withColumns({c: F.transform(c, looked) for c in ("spam_", "not_spam_")})  # once an example, not once a message
+    df = with_counted_words(messages.join(rows, "group_id", "left"), text, "own_", "terms_")
     df = df.withColumn("length_", length(F.col("terms_")))
 
     def best(label: str) -> Column:
-        ranked = F.array_sort(F.transform(F.coalesce(F.col(f"{label}_"), F.array()), lambda x: F.struct((-F.size(F.array_intersect(x["seen"], "own_"))).alias("o"), x["age"].alias("age"), x["terms"].alias("terms"), x["length"].alias("length"))))
-        times = lambda terms, t: F.aggregate(terms, F.lit(0.0), lambda a, c: a + F.when(c["t"] == t, c["n"]).otherwise(0.0))
-        dot = lambda x: F.aggregate("terms_", F.lit(0.0), lambda a, c: a + c["n"] * times(x["terms"], c["t"]))
-        cosines = F.transform(F.slice(ranked, 1, kept), lambda x: F.when((F.col("length_") > 0) & (x["length"] > 0), dot(x) / (F.col("length_") * x["length"])).otherwise(0.0))
-        return F.coalesce(F.array_max(cosines), F.lit(0.0))
+        examples_ = F.col(f"{label}_")
+        ranked = F.array_sort(F.transform(examples_, lambda x, i: F.struct((-F.size(F.array_intersect(x["seen"], "own_"))).alias("o"), i.alias("i"))))  # by age where overlaps are equal
+
+        def cosine_(y: Column) -> Column:
+            x = F.get(examples_, y["i"])
+            dot = F.aggregate("terms_", F.lit(0.0), lambda a, c: a + c["n"] * F.coalesce(F.try_element_at(x["counts"], c["t"]), F.lit(0.0)))
+            return F.when((F.col("length_") > 0) & (x["length"] > 0), dot / (F.col("length_") * x["length"])).otherwise(0.0)
+
+        return F.coalesce(F.array_max(F.transform(F.slice(ranked, 1, kept), cosine_)), F.lit(0.0))
 
     return df.withColumns({"spam_similarity": best("spam"), "ham_similarity": best("not_spam")}).drop("spam_", "not_spam_", "own_", "terms_", "length_")
 
