@@ -11,11 +11,15 @@ from . import fixed, text
 
 
 def with_text(df: DataFrame, raw: str = "text", full: bool = False) -> DataFrame:
-    """Adds norm, urls, hosts, links, deob, compact, odd, zero_widths; `full` also resolves entities and NFKC (a pandas UDF)."""
+    """Adds norm, urls, hosts, links, deob, compact, odd, zero_widths; `full` also resolves entities and NFKC (a pandas UDF).
+
+    URLs that an `entities` column marks come after those found in the text; their places count in the text as it is shown, norm.
+    """
     norm = text.normalized(F.col(raw)) if full else text.squeezed(F.col(raw))
     odd, zero = text.odd_characters(F.coalesce(F.col(raw), F.lit(""))), text.zero_width_marks(F.coalesce(F.col(raw), F.lit("")))
     df = df.withColumns({"norm": norm, "odd": odd, "zero_widths": zero})
-    df = df.withColumns({"urls": text.urls(F.col("norm")), "deob": text.deobfuscated(F.col("norm"))})
+    marked = text.entity_urls(F.col("norm"), F.col("entities")) if "entities" in df.columns else None
+    df = df.withColumns({"urls": text.urls(F.col("norm"), marked), "deob": text.deobfuscated(F.col("norm"))})
     return df.withColumns({"hosts": text.hosts(F.col("urls")), "links": text.chat_links(F.col("norm"), F.col("urls")), "compact": text.compacted(F.col("deob"))})
 
 

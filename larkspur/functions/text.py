@@ -13,10 +13,6 @@ from pyspark.sql import types as T
 from . import fixed
 
 
-def lit_regex(value: str) -> str:
-    return "\\Q" + value + "\\E"
-
-
 def any_of(text: Column, phrases: list[str]) -> Column:
     """Whether text contains one of the phrases."""
     found = text.contains(phrases[0])
@@ -97,9 +93,28 @@ def first_of_each(values: Column) -> Column:
     return F.aggregate(values, start, kept)
 
 
-def urls(text: Column) -> Column:
+def sliced(text: Column, offset: Column, length: Column, unit: str = "character") -> Column:
+    """length units of text from offset on, counted from 0.
+
+    unit: "character", whatever its plane, or "utf16", for which a character beyond the basic plane counts twice, as
+    messaging services count.
+    """
+    if unit == "character":
+        return F.substring(text, offset + 1, length)
+    return F.decode(F.substring(F.encode(text, "UTF-16BE"), 2 * offset + 1, 2 * length), "UTF-16BE")
+
+
+def entity_urls(text: Column, entities: Column, unit: str = "character") -> Column:
+    """URLs that entities, array<struct<type, offset, length, url>>, mark in a text or hide behind it; in their order."""
+    of = lambda e: F.when(e["type"] == "url", sliced(text, F.coalesce(e["offset"], F.lit(0)), F.coalesce(e["length"], F.lit(0)), unit)).when(e["type"] == "text_link", e["url"])
+    return F.array_compact(F.transform(F.coalesce(entities, F.array().cast("array<struct<type:string,offset:int,length:int,url:string>>")), of))
+
+
+def urls(text: Column, marked: Column | None = None) -> Column:
+    """URLs in text, then those that are marked (entity_urls), each once."""
     found = F.regexp_extract_all(text, F.lit("(?iU)" + fixed.URL), F.lit(1))
-    return first_of_each(F.transform(found, lambda u: F.trim(F.regexp_replace(u, fixed.AFTER_LINK, ""))))
+    found = F.transform(found, lambda u: F.regexp_replace(u, fixed.AFTER_LINK, ""))
+    return first_of_each(F.transform(found if marked is None else F.concat(found, marked), lambda u: F.trim(u)))
 
 
 def host(url: Column) -> Column:

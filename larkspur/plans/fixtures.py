@@ -34,9 +34,15 @@ TEMPLATES = [
     "double your crypto with WWW.Coins.Example/now (promo) code",
     "subscribe to the group for private tips",
     "was a good day | thanks all",
+    "Ｃｌａｉｍ　ｒｅｗａｒｄ &amp; login at ｗａｌｌｅｔ．ｅｘａｍｐｌｅ today",
+    "&lt;b&gt;Tom &amp; Jerry&lt;/b&gt; at ｎｏｏｎ, ask",
 ]
+#: What the texts that aren't in normal form come to.
+NORMAL = {24: "Claim reward & login at wallet.example today", 25: "<b>Tom & Jerry</b> at noon, ask"}
 #: Whose message is a forwarded story, has a caption, or is a picture without text: those with an id divisible by these.
 STORY, CAPTION, MEDIA = 31, 37, 41
+#: Whose message has its first characters marked as a URL, or a URL behind its text.
+MARKED, HIDDEN = 29, 43
 #: Labelled examples that all groups share: templates by their place above, the later the newer.
 SPAM_EXAMPLES, GOOD_EXAMPLES = [2, 3, 4, 5, 6, 10, 20, 21], [0, 1, 7, 8, 9, 15, 16, 23]
 GROUPS = [(0, True, True, "normal", True, False), (1, True, True, "auto_delete", False, True), (2, True, True, "silent", True, False), (3, True, True, "aggressive", False, False), (4, True, False, "monitor_only", False, False)]
@@ -58,19 +64,23 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """message_id, user_id, group_id, ts, text, story, joined, has_media: an event's template with the user's id, its caption and story line."""
+    """message_id, user_id, group_id, ts, text, entities, story, joined, has_media: an event's template with the user's id, its caption and story line."""
     events = read(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     marked = lambda n: F.col("event_id") % n == 0
     pick = F.element_at(F.array(*map(F.lit, TEMPLATES)), (F.col("event_id") % len(TEMPLATES)).cast("int") + 1)
     own = F.when(~marked(MEDIA), F.concat(pick, F.lit(" "), F.col("user_id").cast("string")))
     source = text.chat_label(F.when(marked(2), "Night Stories"), F.lit(""), F.lit(None).cast("string"), F.lit(None).cast("string"))
     parts = text.joined_parts(own, F.when(marked(CAPTION), "more in the caption"), text.story_line(marked(STORY), source))
-    return events.select(F.col("event_id").alias("message_id"), "user_id", (F.col("user_id") % 5).alias("group_id"), "ts", parts.alias("text"), marked(STORY).alias("story"), (F.col("event_type") == "signup").alias("joined"), marked(MEDIA).alias("has_media"))
+    null = lambda kind: F.lit(None).cast(kind)
+    entity = lambda kind, offset, length, url: F.struct(F.lit(kind).alias("type"), offset.cast("int").alias("offset"), length.cast("int").alias("length"), url.alias("url"))
+    hidden = entity("text_link", null("int"), null("int"), F.concat(F.lit("https://hidden.example/"), (F.col("user_id") % 3).cast("string")))
+    entities = F.array_compact(F.array(F.when(marked(MARKED), entity("url", F.lit(0), F.lit(9), null("string"))), F.when(marked(HIDDEN), hidden)))
+    return events.select(F.col("event_id").alias("message_id"), "user_id", (F.col("user_id") % 5).alias("group_id"), "ts", parts.alias("text"), entities.alias("entities"), marked(STORY).alias("story"), (F.col("event_type") == "signup").alias("joined"), marked(MEDIA).alias("has_media"))
 
 
 MESSAGES_SQL = f"""SELECT e.event_id AS message_id, e.user_id, e.user_id % 5 AS group_id, e.ts, e.event_id % {STORY} = 0 AS story, e.event_type = 'signup' AS joined, e.event_id % {MEDIA} = 0 AS has_media,
-  concat_ws(chr(10), CASE WHEN e.event_id % {MEDIA} <> 0 THEN t.template || ' ' || e.user_id END, CASE WHEN e.event_id % {CAPTION} = 0 THEN 'more in the caption' END,
-    CASE WHEN e.event_id % {STORY} = 0 THEN 'Forwarded Telegram story' || CASE WHEN e.event_id % 2 = 0 THEN ' from Night Stories' ELSE '' END END) AS text"""
+  {', '.join("concat_ws(chr(10), CASE WHEN e.event_id % " + str(MEDIA) + " <> 0 THEN t." + own + " || ' ' || e.user_id END, CASE WHEN e.event_id % " + str(CAPTION) + " = 0 THEN 'more in the caption' END, CASE WHEN e.event_id % " + str(STORY) + " = 0 THEN 'Forwarded Telegram story' || CASE WHEN e.event_id % 2 = 0 THEN ' from Night Stories' ELSE '' END END) AS " + name for own, name in (("template", "text"), ("normal", "normal")))},
+  CASE WHEN e.event_id % {HIDDEN} = 0 THEN ['https://hidden.example/' || e.user_id % 3] ELSE [] END AS behind, e.event_id % {MARKED} = 0 AS marked"""
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:

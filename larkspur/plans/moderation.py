@@ -23,7 +23,7 @@ def decided(df: DataFrame, demo: bool = False) -> DataFrame:
 
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixture messages with text columns, group, trust and host rules."""
-    df = features.with_text(fixtures.messages(spark, sf_dir))
+    df = features.with_text(fixtures.messages(spark, sf_dir), full=True)
     trusted = read(spark, sf_dir, "customer").where(F.col("c_custkey") % TRUSTED == 0).select(F.col("c_custkey").alias("user_id"))
     df = lookups.with_trust(lookups.with_group(df, fixtures.groups(spark)), trusted, ["user_id"])
     return lookups.with_host_rules(df.withColumn("is_admin", F.col("user_id") % ADMIN == 0), fixtures.rules(spark))
@@ -69,10 +69,10 @@ def unique(values: str) -> str:
 
 CHAT = "(contains(lower(u), 't.me/') OR contains(lower(u), 'telegram.me/'))"
 TEXT_SQL = f"""
-m AS ({fixtures.MESSAGES_SQL} FROM events e JOIN {values_sql(list(enumerate(fixtures.TEMPLATES)))} t(id, template) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id),
-m1 AS (SELECT *, trim(regexp_replace(regexp_replace(text, '{ZW}', '', 'g'), '\\s+', ' ', 'g')) AS norm, {count('text', ZW)} AS zero_widths,
+m AS ({fixtures.MESSAGES_SQL} FROM events e JOIN {values_sql([(i, t, fixtures.NORMAL.get(i, t)) for i, t in enumerate(fixtures.TEMPLATES)])} t(id, template, normal) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id),
+m1 AS (SELECT *, trim(regexp_replace(regexp_replace(normal, '{ZW}', '', 'g'), '\\s+', ' ', 'g')) AS norm, {count('text', ZW)} AS zero_widths,
        {count('text', '[' + chr(92) + 'p{M}' + chr(92) + 'p{S}]')} - {count('text', '[$+<=>^`|~]')} + {count('text', '[' + chr(92) + 'p{Cf}' + chr(92) + 'p{Co}]')} AS odd FROM m),
-m2 AS (SELECT *, list_transform(regexp_extract_all(norm, {s('(?i)' + fixed.URL)}, 1), lambda u: regexp_replace(u, {s(fixed.AFTER_LINK)}, '')) AS urls0,
+m2 AS (SELECT *, list_concat(list_transform(regexp_extract_all(norm, {s('(?i)' + fixed.URL)}, 1), lambda u: regexp_replace(u, {s(fixed.AFTER_LINK)}, '')), CASE WHEN marked THEN [trim(substr(norm, 1, 9))] ELSE [] END, behind) AS urls0,
        list_transform(regexp_extract_all(norm, {s('(?i)' + fixed.CHAT_LINK)}, 1), lambda u: regexp_replace(u, {s(fixed.AFTER_LINK)}, '')) AS links0,
        regexp_replace(translate(lower(norm), {s(fixed.LEET_FROM)}, {s(fixed.LEET_TO)}), '[^a-z0-9+]+', ' ', 'g') AS deob FROM m1),
 m3 AS (SELECT *, {unique('urls0')} AS urls, replace(deob, ' ', '') AS compact FROM m2),

