@@ -32,7 +32,7 @@ def access_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", F.col("ok").alias("authorized"), access.setup_allowed(F.col("ok"), F.col("user_id"), OWNERS).alias("may_set_up"), decide.alias("may_decide"), "is_admin", warning.alias("warning"))
 
 
-@query(f"""WITH m AS ({fixtures.MESSAGES_SQL} FROM events e JOIN {values_sql(list(enumerate(fixtures.TEMPLATES)))} t(id, template) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id) SELECT message_id, text, substr(text, 1, 60) AS excerpt, story FROM m""")
+@query(f"""WITH m AS ({fixtures.MESSAGES_SQL} FROM events e JOIN {values_sql([(i, t, fixtures.NORMAL.get(i, t)) for i, t in enumerate(fixtures.TEMPLATES)])} t(id, template, normal) ON e.event_id % {len(fixtures.TEMPLATES)} = t.id) SELECT message_id, text, substr(text, 1, 60) AS excerpt, story FROM m""")
 def message_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text, caption and story line of each message, one a line, and an excerpt."""
     return fixtures.messages(spark, sf_dir).select("message_id", "text", text.excerpt(F.col("text"), 60).alias("excerpt"), "story")
