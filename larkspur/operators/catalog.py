@@ -34,7 +34,9 @@ def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = catalog.withColumn("episode_key", episode)
     rows = rows.withColumn("word", F.explode(F.array_distinct(F.concat(parts(F.col("title_key")), parts(F.col("episode_key"))))))
     pattern = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("q"), F.lit("\\E(?!\\w)"))
-    found = asked.join(rows, "word").where(F.regexp_like("title_key", pattern) | F.regexp_like("episode_key", pattern)).where(fits(queries))
+    # a pattern of a column is compiled for each row, so only where the phrase is there at all
+    whole = lambda c: F.when(F.contains(F.col(c), F.col("q")), F.regexp_like(c, pattern)).otherwise(False)
+    found = asked.join(rows, "word").where(whole("title_key") | whole("episode_key")).where(fits(queries))
     return found.drop("word", "episode_key")
 
 
