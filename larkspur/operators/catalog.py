@@ -21,6 +21,24 @@ def fits(queries: DataFrame) -> Column:
     return F.col("wanted").isNull() | (F.col("category") == F.col("wanted")) if "wanted" in queries.columns else F.lit(True)
 
 
+def shelved(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """catalog once for queries of any category (shelf: null) and, where queries have a category, once for those of its own."""
+    shelf = F.lit(None).cast("string")
+    return catalog.withColumn("shelf", F.explode(F.array_distinct(F.array(shelf, F.col("category")))) if "wanted" in queries.columns else shelf)
+
+
+def distinct_queries(queries: DataFrame) -> DataFrame:
+    """(q, wanted): what many queries ask for is searched once."""
+    return queries.select("q", (F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string")).alias("wanted")).distinct()
+
+
+def for_each(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """found(q, wanted, item_id, ...) for each query that asks for it."""
+    wanted = F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string")
+    found = found.withColumnsRenamed({"q": "q_", "wanted": "wanted_"})
+    return queries.join(found, (queries["q"] == found["q_"]) & wanted.eqNullSafe(found["wanted_"])).drop("q_", "wanted_")
+
+
 def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rows of catalog(item_id, title, episode_title, title_key, updated) in whose title or episode a query's words are.
 
@@ -61,22 +79,26 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar(queries: DataFrame, catalog: DataFrame, limit: int, gap: float = 0.03) -> DataFrame:
-    """Titles like a query of five or more characters, by first character and similarity; none if the best two are closer than `gap`.
+    """(query_id, item_id, rank, score): titles like a query of five or more characters, by first character and similarity; none if the best two are closer than `gap`.
 
     Distinct queries and titles meet by fuzzy.candidates(), which misses none that reaches the threshold; similarity is taken
-    of what its bounds leave.
+    of what its bounds leave.  Of items with one title only the first `limit` (two at least) are ranked.
     """
     single = F.size(F.split("q", " ")) == 1
     asked = queries.where(F.length("q") >= 5)
     least = asked.select("q", F.when(single, LEAST_OF_ONE_WORD).otherwise(LEAST).alias("least")).distinct()
-    both = fuzzy.candidates(least, catalog.select("title_key"), "q", "title_key", "least", LEAST)
+    both = fuzzy.candidates(least, catalog.select("title_key"), "q", "title_key", "least")
     both = both.where(~(single & (F.size(F.split("title_key", " ")) == 1) & (F.abs(F.length("q") - F.length("title_key")) > 2)))
-    scored = both.withColumn("score", ratio("q", "title_key")).where(F.col("score") >= F.col("least"))
-    rows = scored.select("q", "title_key", "score").join(asked, "q").join(catalog, "title_key").where(fits(queries))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    rows = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("score").over(order)})
-    unclear = rows.where((F.col("rank") == 1) & (F.col("score") - F.col("next") < gap)).select("query_id")
-    return rows.join(unclear, "query_id", "left_anti").where(F.col("rank") <= limit).drop("next")
+    scored = both.withColumn("score", ratio("q", "title_key")).where(F.col("score") >= F.col("least")).select("q", "title_key", "score")
+    first = Window.partitionBy("title_key", "shelf").orderBy("item_id")
+    items = shelved(queries, catalog.select("item_id", "title_key", *(["category"] if "wanted" in queries.columns else [])))
+    items = items.withColumn("n_", F.row_number().over(first)).where(F.col("n_") <= max(limit, 2))
+    rows = scored.join(distinct_queries(asked), "q").join(items, "title_key").where(F.col("wanted").eqNullSafe(F.col("shelf")))
+    order = Window.partitionBy("q", "wanted").orderBy(F.desc("score"), "item_id")
+    rows = rows.withColumns({"rank": F.row_number().over(order), "top": F.max("score").over(Window.partitionBy("q", "wanted"))}).where(F.col("rank") <= max(limit, 2))
+    whole = F.max(F.when(F.col("rank") == 2, F.col("score"))).over(Window.partitionBy("q", "wanted"))
+    clear = rows.withColumn("second", whole).where(F.col("second").isNull() | (F.col("top") - F.col("second") >= gap)).where(F.col("rank") <= limit)
+    return for_each(asked, clear.select("q", "wanted", "item_id", "rank", "score")).select("query_id", "item_id", "rank", "score")
 
 
 def search(queries: DataFrame, catalog: DataFrame, limit: int = 3) -> DataFrame:

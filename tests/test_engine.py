@@ -196,6 +196,21 @@ def test_fuzzy_candidates(spark):
     assert expected <= got and len(expected) > 400 and len(got) < len(pairs) / 4
 
 
+def test_fuzzy_candidates_are_few(spark):
+    """Names of the same few syllables share most pairs of neighbours; few of them may be alike.  Blocks and long strings miss none."""
+    random.seed(5)
+    parts = ["ber", "ley", "ren", "son", "kor", "ni", "gu", "vic", "ma", "sa"]
+    names = sorted({"el" + "".join(random.choices(parts, k=2)) + " " + "".join(random.choices(parts, k=3)) for _ in range(1300)})
+    long = "".join(random.choice("abcdefgh") for _ in range(110))
+    names += ["e" + long, "e" + long[:90] + "xy", "e" + "".join(map(chr, range(20_000, 20_080)))]
+    left = spark.createDataFrame([(s, 0.78) for s in names[::5] + names[-3:]], "a string, t double")
+    got = {(r["a"], r["b"]) for r in fuzzy.candidates(left, spark.createDataFrame([(s,) for s in names], "b string"), "a", "b", "t").collect()}
+    asked = set(names[::5] + names[-3:])
+    pairs = [(a, b) for a in sorted(asked)[:40] + names[-3:] for b in names]
+    assert {(a, b) for a, b in pairs if difflib.SequenceMatcher(None, a, b).ratio() >= 0.78} <= got
+    assert len(got) < len(asked) * len(names) / 10
+
+
 def test_search_stages(spark):
     got = defaultdict(list)
     for r in catalog.search(support.asked(spark, TYPED), shelf(spark)).orderBy("query_id", "rank").collect():
