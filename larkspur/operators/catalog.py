@@ -39,22 +39,25 @@ def for_each(queries: DataFrame, found: DataFrame) -> DataFrame:
     return queries.join(found, (queries["q"] == found["q_"]) & wanted.eqNullSafe(found["wanted_"])).drop("q_", "wanted_")
 
 
-def matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+def matches(queries: DataFrame, catalog: DataFrame, ok: Column | None = None) -> DataFrame:
     """Rows of catalog(item_id, title, episode_title, title_key, updated) in whose title or episode a query's words are.
 
-    queries(query_id, q): q is a lower-case title query.  Found by the query's first word, an equi-join on the words of the
+    queries(query_id, q): q is a lower-case title query.  Found by the query's rarest word, an equi-join on the words of the
     titles, then tested for the whole phrase; so no pair is made that shares no word.
+    ok: which pairs count; those of fits() if not given.
     """
-    first = F.split("q", " ")
-    parts = lambda c: F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != "")
-    asked = queries.withColumn("word", F.element_at(parts(F.col("q")), 1)).where(first.isNotNull() & (F.length("q") >= 2))
+    parts = lambda c: F.array_distinct(F.filter(F.split(c, r"(?U)[^\w]+"), lambda w: w != ""))
     episode = F.lower(titles.title_query(F.coalesce("episode_title", F.lit(""))))
     rows = catalog.withColumn("episode_key", episode)
     rows = rows.withColumn("word", F.explode(F.array_distinct(F.concat(parts(F.col("title_key")), parts(F.col("episode_key"))))))
+    # what is found has all words of a phrase, so it is looked up by that of them that fewest rows have
+    often = rows.groupBy("word").agg(F.count("*").alias("n"))
+    phrases = queries.where(F.length("q") >= 2).select("q").distinct().withColumn("word", F.explode(parts(F.col("q")))).join(often, "word", "left")
+    rarest = phrases.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).select("q", "x.word")
     pattern = F.concat(F.lit("(?U)(?<!\\w)\\Q"), F.col("q"), F.lit("\\E(?!\\w)"))
     # a pattern of a column is compiled for each row, so only where the phrase is there at all
     whole = lambda c: F.when(F.contains(F.col(c), F.col("q")), F.regexp_like(c, pattern)).otherwise(False)
-    found = asked.join(rows, "word").where(whole("title_key") | whole("episode_key")).where(fits(queries))
+    found = queries.join(rarest, "q").join(rows, "word").where(whole("title_key") | whole("episode_key")).where(fits(queries) if ok is None else ok)
     return found.drop("word", "episode_key")
 
 
@@ -64,6 +67,17 @@ def ranked(found: DataFrame, limit: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def best_matches(queries: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
+    """(query_id, item_id, rank) of ranked(matches()), by distinct queries and the newest `limit` of equal items only."""
+    newest = Window.partitionBy("title_key", "episode_title", "shelf").orderBy(F.desc_nulls_last("updated"), "item_id")
+    items = shelved(queries, catalog.select("item_id", "title_key", "episode_title", "updated", *(["category"] if "wanted" in queries.columns else [])))
+    items = items.withColumn("n_", F.row_number().over(newest)).where(F.col("n_") <= limit).drop("n_")
+    asked = distinct_queries(queries)
+    order = Window.partitionBy("q", "wanted").orderBy(F.desc(F.col("title_key") == F.col("q")), F.desc(F.startswith("title_key", F.col("q"))), F.desc_nulls_last("updated"), "item_id")
+    found = matches(asked, items, F.col("wanted").eqNullSafe(F.col("shelf"))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return for_each(queries, found.select("q", "wanted", "item_id", "rank")).select("query_id", "item_id", "rank")
+
+
 def compact_matches(queries: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
     """For queries of two to four letters and digits: titles that are the same without separators."""
     asked = queries.withColumn("compact", titles.compact_key(F.col("q"))).where((F.length("compact") >= 2) & (F.length("compact") <= 4) & (F.length("q") < 5))
@@ -106,7 +120,7 @@ def search(queries: DataFrame, catalog: DataFrame, limit: int = 3) -> DataFrame:
 
     queries(query_id, q[, wanted]): with `wanted`, a query finds items of that category only, null: of any.
     """
-    words = ranked(matches(queries, catalog), limit).select("query_id", "item_id", "rank", F.lit("words").alias("stage"))
+    words = best_matches(queries, catalog, limit).withColumn("stage", F.lit("words"))
     rest = queries.join(words.select("query_id").distinct(), "query_id", "left_anti")
     short = compact_matches(rest, catalog, limit).select("query_id", "item_id", "rank", F.lit("compact").alias("stage"))
     like = similar(rest, catalog, limit).select("query_id", "item_id", "rank", F.lit("similar").alias("stage"))

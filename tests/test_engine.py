@@ -211,6 +211,22 @@ def test_fuzzy_candidates_are_few(spark):
     assert len(got) < len(asked) * len(names) / 10
 
 
+def test_copies_meet_once(spark):
+    """Many items of one title and many queries for it: each query has its first items, and pairs don't grow with their product."""
+    items = spark.range(600).select(F.col("id").alias("item_id"), F.lit("abcd").alias("title"), F.lit(None).cast("string").alias("episode_title"), F.lit("abcd").alias("title_key"), F.when(F.col("id") % 2 == 0, "tv").otherwise("movie").alias("category"), (-F.col("id")).alias("updated"))
+    asked = spark.range(900).select(F.col("id").alias("query_id"), F.lit("ab cd").alias("q"), F.when(F.col("id") % 3 == 0, "movie").when(F.col("id") % 3 == 1, "anime").alias("wanted"))
+    firsts = {0: [1, 3, 5], 1: [], 2: [0, 1, 2]}
+    for found, q in ((catalog.best_matches, "abcd"),):
+        df = found(asked.withColumn("q", F.lit(q)), items, 3)
+        got = defaultdict(list)
+        for r in df.orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append(r["item_id"])
+        assert all(got[k] == firsts[k % 3] for k in range(900))
+    assert catalog.similar(asked, items, 3).count() == 0  # the best two are always alike
+    alone = items.where("item_id = 0")
+    assert {(r["query_id"], r["item_id"]) for r in catalog.similar(asked, alone, 3).collect()} == {(k, 0) for k in range(900) if k % 3 == 2}
+
+
 def test_search_stages(spark):
     got = defaultdict(list)
     for r in catalog.search(support.asked(spark, TYPED), shelf(spark)).orderBy("query_id", "rank").collect():
