@@ -79,11 +79,16 @@ def best_matches(queries: DataFrame, catalog: DataFrame, limit: int) -> DataFram
 
 
 def compact_matches(queries: DataFrame, catalog: DataFrame, limit: int) -> DataFrame:
-    """For queries of two to four letters and digits: titles that are the same without separators."""
+    """For queries of two to four letters and digits: titles that are the same without separators.
+
+    Only the first `limit` items of a key meet queries, so what many items and queries share costs no pairs.
+    """
+    wanted = F.col("wanted") if "wanted" in queries.columns else F.lit(None).cast("string")
     asked = queries.withColumn("compact", titles.compact_key(F.col("q"))).where((F.length("compact") >= 2) & (F.length("compact") <= 4) & (F.length("q") < 5))
-    rows = catalog.withColumn("compact", titles.compact_key(F.col("title_key")))
-    order = Window.partitionBy("query_id").orderBy("item_id")
-    return asked.join(rows, "compact").where(fits(queries)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    rows = catalog.withColumn("compact", titles.compact_key(F.col("title_key"))).where((F.length("compact") >= 2) & (F.length("compact") <= 4))
+    order = Window.partitionBy("compact", "shelf").orderBy("item_id")
+    rows = shelved(queries, rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return asked.join(rows, (asked["compact"] == rows["compact"]) & wanted.eqNullSafe(F.col("shelf"))).drop(rows["compact"]).drop("shelf")
 
 
 @F.pandas_udf(T.DoubleType())

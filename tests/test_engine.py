@@ -216,7 +216,7 @@ def test_copies_meet_once(spark):
     items = spark.range(600).select(F.col("id").alias("item_id"), F.lit("abcd").alias("title"), F.lit(None).cast("string").alias("episode_title"), F.lit("abcd").alias("title_key"), F.when(F.col("id") % 2 == 0, "tv").otherwise("movie").alias("category"), (-F.col("id")).alias("updated"))
     asked = spark.range(900).select(F.col("id").alias("query_id"), F.lit("ab cd").alias("q"), F.when(F.col("id") % 3 == 0, "movie").when(F.col("id") % 3 == 1, "anime").alias("wanted"))
     firsts = {0: [1, 3, 5], 1: [], 2: [0, 1, 2]}
-    for found, q in ((catalog.best_matches, "abcd"),):
+    for found, q in ((catalog.compact_matches, "abcd"), (catalog.best_matches, "abcd")):
         df = found(asked.withColumn("q", F.lit(q)), items, 3)
         got = defaultdict(list)
         for r in df.orderBy("query_id", "rank").collect():
