@@ -21,11 +21,15 @@ def keyed(items: DataFrame) -> DataFrame:
 
 
 def counts_by_key(items: DataFrame, *by: str) -> DataFrame:
-    """Occurrences of equal keys: first sender and message that are given, last text, last match that is known."""
+    """Occurrences of equal keys: first sender and message that are given, last text, last match that is known.
+
+    By seq; items with one seq are in order of `place`, where items have it.
+    """
+    at = F.struct("seq", "place") if "place" in items.columns else F.col("seq")
     given = lambda c: F.nullif(c, F.lit(0))
-    first = lambda c: F.min_by(given(c), F.when(given(c).isNotNull(), F.col("seq")))
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    return items.groupBy(*by).agg(F.count("*").alias("occurrence_count"), first("message_id").alias("first_message"), first("sender_id").alias("first_sender"), F.max_by("text", "seq").alias("last_text"), last("matched_id").alias("matched_id"))
+    first = lambda c: F.min_by(given(c), F.when(given(c).isNotNull(), at))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
+    return items.groupBy(*by).agg(F.count("*").alias("occurrence_count"), first("message_id").alias("first_message"), first("sender_id").alias("first_sender"), F.max_by("text", at).alias("last_text"), last("matched_id").alias("matched_id"))
 
 
 def agree(a: tuple, b: tuple) -> bool:

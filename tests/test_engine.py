@@ -227,6 +227,14 @@ def test_copies_meet_once(spark):
     assert {(r["query_id"], r["item_id"]) for r in catalog.similar(asked, alone, 3).collect()} == {(k, 0) for k in range(900) if k % 3 == 2}
 
 
+def test_last_of_equal_seq_is_by_place(spark):
+    rows = [(7, p, 1, 2, f"text {p}", 100 + p if p % 2 else None) for p in range(40)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "seq long, place int, message_id long, sender_id long, text string, matched_id long").withColumn("key", F.lit("k"))
+    r = merging.counts_by_key(df.repartition(5, "text"), "key").first()
+    assert (r["occurrence_count"], r["last_text"], r["matched_id"]) == (40, "text 39", 139)
+
+
 def test_search_stages(spark):
     got = defaultdict(list)
     for r in catalog.search(support.asked(spark, TYPED), shelf(spark)).orderBy("query_id", "rank").collect():
