@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,16 +118,59 @@ def hash_embedding(df: DataFrame, key: str, text: str, size: int = 64) -> DataFr
     return sums.select(key, "place", (F.col("value") / norm).alias("value"))
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length 1; those that are null or have no length as NaN."""
+    values = column.combine_chunks()
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    flat = values.drop_null()
+    width = len(flat[0]) if len(flat) else 1
+    if len(flat.flatten()) != width * len(flat):
+        raise ValueError("vectors must be of one length")
+    out = np.full((len(values), width), np.nan)
+    out[known] = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(length > 0, length, np.nan)
+
+
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int, rows: int = 128) -> Iterator[tuple]:
+    """(query ids, vector ids, similarity in millionths): the k best of a block for each query, smaller ids first where equal; NaN comes last."""
+    by_id = np.argsort(v_ids, kind="stable")
+    v_ids, v, n = v_ids[by_id], v[by_id], len(v_ids)
+    none, own = -2_000_001, -2_000_002  # no cosine; the query itself
+    for at in range(0, len(q_ids), rows):
+        ids = q_ids[at : at + rows]
+        s = np.rint(q[at : at + rows] @ v.T * 1e6)
+        s = np.where(np.isnan(s), none, s).astype(np.int64)
+        s[ids[:, None] == v_ids[None, :]] = own
+        order = np.arange(n) - s * n  # one number for similarity, then id
+        best = np.argpartition(order, min(k, n) - 1, axis=1)[:, :k]
+        found = np.take_along_axis(s, best, axis=1)
+        i, j = np.nonzero(found != own)
+        yield ids[i], v_ids[best[i, j]], np.where(found[i, j] == none, np.nan, found[i, j])
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 20_000) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest by cosine of a stated set of queries.  Vectors aren't shuffled; only k per query and task are."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    asked = queries.select(F.col(key).alias("query_id"), unit(F.col(vector)).alias("q"))
-    rows = vectors.select(key, unit(F.col(vector)).alias("v"))
-    # blocks of queries of bounded size: each is broadcast, so every vector is read once a block and stays where it is
-    n_blocks = -(-asked.count() // block)
-    parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else asked for b in range(max(1, n_blocks))]
-    met = reduce(DataFrame.unionByName, (rows.join(F.broadcast(part), F.col("query_id") != F.col(key)) for part in parts))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = met.select("query_id", key, F.round(dot, 6).alias("similarity"))
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine, to six decimals, of a stated set of queries; without a cosine (null, length 0) last.
+
+    Exact, so queries times vectors; each block of queries meets each block of vectors in a group of its own, as a product of
+    matrices that gives k rows a query.  Blocks bound a task's memory.
+    """
+    n_q, n_v = max(1, -(-queries.count() * 4 // block)), max(1, -(-vectors.count() // block))
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as small rows are long work
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    known = F.col(key).isNotNull()
+    asked = queries.where(known).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), own(n_q).alias("q_"), each(n_v).alias("v_")).repartition(partitions, "q_", "v_")
+    rows = vectors.where(known).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), own(n_v).alias("v_"), each(n_q).alias("q_")).repartition(partitions, "q_", "v_")
+    schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("similarity", pa.float64())])
+
+    def met(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not (x.num_rows and y.num_rows):
+            return schema.empty_table()
+        found = best_of_block(x["id"].to_numpy(), matrix(x["v"]), y["id"].to_numpy(), matrix(y["v"]), k)
+        q, v, s = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table([pa.array(q), pa.array(v), pa.array(s / 1e6, mask=np.isnan(s))], schema)
+
+    best = asked.groupBy("q_", "v_").cogroup(rows.groupBy("q_", "v_")).applyInArrow(met, f"query_id long, `{key}` long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -227,6 +227,24 @@ def test_copies_meet_once(spark):
     assert {(r["query_id"], r["item_id"]) for r in catalog.similar(asked, alone, 3).collect()} == {(k, 0) for k in range(900) if k % 3 == 2}
 
 
+def test_nearest_vectors_in_blocks(spark):
+    """Against all pairs, over many small blocks: equal vectors by id, vectors that are null or have no length last, a query itself never."""
+    random.seed(6)
+    vectors = {i: [random.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for i in range(120)} | {200 + i: [3.0, 1.0, 0.0, 2.0] for i in range(40)} | {300: None, 301: [0.0] * 4}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in retrieval.vector_top_k(df.where("vec_id % 5 = 0"), df, 4, block=30).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["similarity"]))
+
+    def cosine(a, b):
+        size = lambda v: sum(x * x for x in v or []) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size(a) / size(b), 6) if size(a) and size(b) else None
+
+    for q in (i for i in vectors if i % 5 == 0):
+        pairs = sorted((-s if (s := cosine(vectors[q], v)) is not None else 9, i, s) for i, v in vectors.items() if i != q)
+        assert got[q] == [(i, s) for _, i, s in pairs[:4]]
+
+
 def test_last_of_equal_seq_is_by_place(spark):
     rows = [(7, p, 1, 2, f"text {p}", 100 + p if p % 2 else None) for p in range(40)]
     random.Random(1).shuffle(rows)
