@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 
+#: Messages that a task compares with the examples of their groups.
+IN_A_TASK = 5_000
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
 
@@ -44,7 +48,9 @@ def nearest(messages: DataFrame, examples: DataFrame, kept: int = fixed.EXAMPLES
     """
     # short words are left out on both sides; sets are built of a message's few words, not of an example's many
     own, seen = F.array_distinct(numbered(F.col("text"), 3)), F.array_distinct(numbered(F.col("example_text"), 3))
-    left = messages.select("message_id", F.col("group_id").alias("scope_group"), own.alias("own"))
+    # pairs are sorted by the tasks that make them, so tasks get few messages each, however many there are
+    partitions = max(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-messages.count() // IN_A_TASK))
+    left = messages.repartition(partitions, "message_id").select("message_id", F.col("group_id").alias("scope_group"), own.alias("own"))
     right = examples.select("scope_group", "label", "example_id", "age", seen.alias("seen"))
     both = left.join(right, "scope_group").select("message_id", "label", "example_id", "age", F.size(F.array_intersect("seen", "own")).alias("overlap"))
     order = Window.partitionBy("message_id", "label").orderBy(F.desc("overlap"), "age")

@@ -253,6 +253,14 @@ def test_last_of_equal_seq_is_by_place(spark):
     assert (r["occurrence_count"], r["last_text"], r["matched_id"]) == (40, "text 39", 139)
 
 
+def test_nearest_examples_without_words(spark):
+    """An example without a text comes after those that share nothing; a message without a text takes the newest."""
+    examples = spark.createDataFrame([(1, "spam", k, text, k) for k, text in ((1, None), (2, "other"), (3, "free money"), (4, "money"))], "scope_group long, label string, example_id long, example_text string, age int")
+    said = spark.createDataFrame([(1, 1, "free money here"), (2, 1, None)], "message_id long, group_id long, text string")
+    got = [(r["message_id"], r["rank"], r["example_id"], r["overlap"]) for r in retrieval.nearest(said, examples).orderBy("message_id", "rank").collect()]
+    assert got[:4] == [(1, 1, 3, 2), (1, 2, 4, 1), (1, 3, 2, 0), (1, 4, 1, None)] and [g[2] for g in got[4:]] == [1, 2, 3, 4]
+
+
 def test_search_stages(spark):
     got = defaultdict(list)
     for r in catalog.search(support.asked(spark, TYPED), shelf(spark)).orderBy("query_id", "rank").collect():
