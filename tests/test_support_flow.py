@@ -57,3 +57,14 @@ def test_two_runs_are_one(spark):
     two = {r["message_id"]: (r["item_id"], r["occurrence_count"]) for r in support.handled(first, items, known, today()).collect()}
     two |= {r["message_id"]: (r["item_id"], r["occurrence_count"]) for r in support.handled(messages.where("message_id > 8"), items, known, today(), stored).collect()}
     assert one == two
+
+
+def test_a_text_is_understood_once(spark):
+    """Messages that repeat texts, null among them, have the intents that each would have alone; texts are dealt into parts."""
+    messages = spark.createDataFrame([(k, SAID[k % len(SAID)][1]) for k in range(300)], "id long, text string")
+    order = lambda df: sorted(map(str, df.collect()))
+    alone = titles.with_intent(messages, tell=True)
+    got = support.with_intents(messages, tell=True)
+    assert got.columns == alone.columns and order(got) == order(alone)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_extract") and plan.index("regexp_extract") < plan.index("Aggregate [text")
