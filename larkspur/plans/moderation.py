@@ -210,7 +210,7 @@ def rule_feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SCORE_SQL} SELECT reason, count(*) AS n FROM (SELECT unnest(rule_reasons) AS reason FROM b3) GROUP BY reason")
 def rule_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scoring.with_rule_score(features.with_features(known(spark, sf_dir)))
-    return df.select(F.explode("rule_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return df.select(F.explode_outer("rule_reasons").alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SCORE_SQL}, modes AS (SELECT unnest([{', '.join(map(s, fixed.MODES))}]) AS mode_), d AS (SELECT mode_, {action_sql('mode_', 'true', 'true')} AS action FROM b3 CROSS JOIN modes)

@@ -261,6 +261,12 @@ def test_nearest_examples_without_words(spark):
     assert got[:4] == [(1, 1, 3, 2), (1, 2, 4, 1), (1, 3, 2, 0), (1, 4, 1, None)] and [g[2] for g in got[4:]] == [1, 2, 3, 4]
 
 
+def test_rules_are_matched_once(spark, sf):
+    """No filter that Spark infers repeats the patterns of the features."""
+    plan = QUERIES["rule_reason_histogram"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") < 20
+
+
 def test_search_stages(spark):
     got = defaultdict(list)
     for r in catalog.search(support.asked(spark, TYPED), shelf(spark)).orderBy("query_id", "rank").collect():
