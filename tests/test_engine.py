@@ -262,9 +262,10 @@ def test_nearest_examples_without_words(spark):
 
 
 def test_rules_are_matched_once(spark, sf):
-    """No filter that Spark infers repeats the patterns of the features."""
+    """No filter that Spark infers repeats the patterns of the features, and messages are dealt into as many parts as a shuffle has."""
     plan = QUERIES["rule_reason_histogram"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") < 20
+    assert fixtures.messages(spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def test_search_stages(spark):
