@@ -8,11 +8,14 @@ import itertools
 import math
 import os
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -183,6 +186,40 @@ def test_toxicity_odd(odd, none, labels):
     assert {r["predicted"] for r in toxicity.scored(odd, empty).collect()} == {0}
 
 
+def test_toxicity_is_fit_in_a_task(spark, monkeypatch):
+    """The driver neither gets the terms of the sample nor fits; the model is that of fit(), whatever order the rows come in."""
+    rows = [(i, f"w{i % 7} w{i % 5} some other words " + ("loser idiot" if i % 4 == 0 else "nice people")) for i in range(60)] + [(3, "a second text idiot"), (3, "w1 a third one")]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    learning = [(i, t) for i, t in sorted(rows) if zlib.crc32(str(i).encode()) % 4 != 2]
+    order = sorted(learning, key=lambda r: (r[0], xxhash.xxh64_intdigest(toxicity.terms_of(r[1].encode()).tobytes())))
+    expected = toxicity.fit([toxicity.terms_of(t.encode()) for _, t in order], np.array([float(i % 4 == 0) for i, _ in order]))
+    here, fitted_to = os.getpid(), toxicity.fitted_to
+
+    def elsewhere(*args, **how):
+        assert os.getpid() != here
+        return fitted_to(*args, **how)
+
+    monkeypatch.setattr(toxicity, "fitted_to", elsewhere)
+    for docs in (rows, rows[::-1]):
+        model = toxicity.learnt(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), labels)
+        assert model.w0 == expected.w0 and len(model.terms)
+        assert all((getattr(model, k) == getattr(expected, k)).all() for k in ("terms", "w", "v"))
+
+
+def test_stored_leaves_no_shuffles(spark):
+    def left():
+        dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in Path(d).rglob("shuffle_*.data")}
+
+    before = left()
+    there = common.stored(spark.range(20_000).repartition(3, "id").groupBy("id").count(), "unshuffled")
+    until = time.time() + 20
+    while left() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not left() - before and there.count() == 20_000
+    assert spark.conf.get(common.SHUFFLES_GO, "false") == "false"
+
+
 def brute_repeats(all_texts, least):
     seen = collections.Counter(b[i : i + least] for _, b in all_texts for i in range(len(b) - least + 1))
     out = []
