@@ -19,6 +19,8 @@ stretch of bytes.
 An anchor with more than `hot` different stretches, or more than `crowd` in one group of documents, doesn't meet in one
 bucket: its windows are dealt by a 128-bit name of their bytes instead, once per group of documents, which needs no more
 than a count.  A group counts an anchor with more than `crowd` stretches as one entry.
+Texts are hashed once: a group's anchors are stored (some 0.3 bytes a byte of text) and read again with its texts, which are put in
+one order each time.
 
 Null and empty texts have no bytes.  Texts shorter than `least` lose nothing.  Repeated rows are different documents.  A
 text isn't split between groups: the task that reads a very long one needs about 25 times its bytes.
@@ -37,9 +39,11 @@ from .common import BUCKET_BYTES, ask, grouped, groups_for, in_bytes, mixed, spa
 from .substring import ddl, shifted
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Bytes of text that are hashed at once.
-SLICE = 2 << 20
+#: Bytes of text that are hashed at once: arrays of eight bytes for each stay in a core's cache.
+SLICE = 256 << 10
 ONCE, REPEATED, MIXED, MIXED_REPEATED, HOT, HOT_REPEATED = range(6)
+#: Kind of the row that holds a group's own anchors; rows of kinds 0 to 2 go to buckets.
+OWN = 3
 ASKED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("more", pa.binary()), ("crowded", pa.binary())])
 ANSWERED = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("kind", pa.int32()), ("told", pa.binary())])
 
@@ -190,20 +194,11 @@ def window_names(data: np.ndarray, lengths: tuple[int, ...], seed: int = 0) -> l
 class Anchors:
     """Anchors of one group's texts: where they are, their windows' range, and hashes of anchor and stretch."""
 
-    def __init__(self, raws: list[bytes], least: int, gram: int, crowd: int = 256):
+    def __init__(self, raws: list[bytes], least: int, gram: int, crowd: int = 256, found: bytes | None = None):
         self.raws, self.least = raws, least
         self.sizes = np.array([len(r) for r in raws], np.int64)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        parts: list[tuple[np.ndarray, ...]] = []
-        at = 0
-        while at < len(raws):
-            to, n = at, 0
-            while to < len(raws) and (to == at or n + len(raws[to]) <= SLICE):
-                n += len(raws[to])
-                to += 1
-            parts.append(self.of_slice(at, to, gram))
-            at = to
-        cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        cols = self.of_texts(gram) if found is None else self.unpacked(found)
         #: places count through all texts of the group
         self.place, self.first, self.last, self.anchor, self.stretch = cols
         pair = np.empty(len(self.anchor), np.dtype([("a", "<u8"), ("s", "<u8")]))
@@ -225,6 +220,30 @@ class Anchors:
         self.entry_keys, self.entry_stretches = self.keys[entry], np.where(crowded, 0, self.stretches)[entry].astype(np.uint64)
         self.entry_twice, self.entry_crowded = (self.twice & ~crowded)[entry], crowded[entry]
 
+    def of_texts(self, gram: int) -> list[np.ndarray]:
+        raws, parts = self.raws, []
+        at = 0
+        while at < len(raws):
+            to, n = at, 0
+            while to < len(raws) and (to == at or n + len(raws[to]) <= SLICE):
+                n += len(raws[to])
+                to += 1
+            parts.append(self.of_slice(at, to, gram))
+            at = to
+        return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+
+    def packed(self) -> bytes:
+        """What hashing the texts has found, for unpacked(): 26 bytes an anchor."""
+        near = [(self.place - self.first).astype(np.uint8), (self.last - self.first).astype(np.uint8)]
+        return b"".join(x.tobytes() for x in (self.anchor, self.stretch, self.first, *near))
+
+    @staticmethod
+    def unpacked(found: bytes) -> list[np.ndarray]:
+        n = len(found) // 26
+        anchor, stretch, first = (np.frombuffer(found, t, n, 8 * n * i) for i, t in enumerate((np.uint64, np.uint64, np.int64)))
+        place, last = (first + np.frombuffer(found, np.uint8, n, 24 * n + i * n) for i in range(2))
+        return [place, first, last, anchor, stretch]
+
     def of_slice(self, at: int, to: int, gram: int) -> tuple[np.ndarray, ...]:
         least = self.least
         data = np.frombuffer(b"".join(self.raws[at:to]), np.uint8)
@@ -278,7 +297,7 @@ class Anchors:
         counts = np.array([len(f) - self.least + 1 for f in found], np.int64)
         first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         at = 0
-        while at < len(found):  # some MB at a time
+        while at < len(found):  # a slice at a time
             to, n = at, 0
             while to < len(found) and (to == at or n < SLICE):
                 n += len(found[to])
@@ -309,10 +328,21 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
     n_groups, n_buckets = groups_for(docs, n_bytes), max(16, -(-n_bytes // BUCKET_BYTES))
     base = grouped(docs, n_groups)
 
+    def in_order(texts: pa.Table) -> pa.Table:
+        """Rows of a group in one order at every read of it; those alike in both columns are alike."""
+        raws = texts.column("raw").to_pylist()
+        ids = [(d is not None, d or 0) for d in texts.column("doc_id").to_pylist()]
+        return texts.take(sorted(range(len(raws)), key=lambda i: (ids[i], raws[i])))
+
+    def read(texts: pa.Table, told: list[dict]) -> Anchors:
+        own = next(row["told"] for row in told if row["kind"] == OWN)
+        return Anchors(texts.column("raw").to_pylist(), least, gram, crowd, own)
+
     def count(texts: pa.Table) -> pa.Table:
-        found, g = Anchors(texts.column("raw").to_pylist(), least, gram, crowd), texts.column("g")[0].as_py()
+        found, g = Anchors(in_order(texts).column("raw").to_pylist(), least, gram, crowd), texts.column("g")[0].as_py()
         at = spans_of(ask(found.entry_keys, n_buckets), n_buckets).tolist()
-        return rows_of([(b, g, 0, found.entry_keys[i:j].tobytes() + found.entry_stretches[i:j].tobytes(), np.packbits(found.entry_twice[i:j]).tobytes(), np.packbits(found.entry_crowded[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+        own = [(0, g, OWN, found.packed(), b"", b"")]
+        return rows_of(own + [(b, g, 0, found.entry_keys[i:j].tobytes() + found.entry_stretches[i:j].tobytes(), np.packbits(found.entry_twice[i:j]).tobytes(), np.packbits(found.entry_crowded[i:j]).tobytes()) for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
 
     def counted(sent: pa.Table) -> pa.Table:
         data = sent.column("keys").to_pylist()
@@ -334,8 +364,9 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
         return pa.Table.from_arrays([sent.column("bucket"), sent.column("g"), sent.column("kind"), pa.array([p.tobytes() for p in np.split(out, np.cumsum(sizes)[:-1])], pa.binary())], schema=ANSWERED)
 
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        found, g = Anchors(texts.column("raw").to_pylist(), least, gram, crowd), texts.column("g")[0].as_py()
-        code = found.codes(answers.to_pylist(), n_buckets)
+        told, g = answers.to_pylist(), texts.column("g")[0].as_py()
+        found = read(in_order(texts), told)
+        code = found.codes(told, n_buckets)
         rows = []
         at = spans_of(ask(found.keys, n_buckets), n_buckets).tolist()
         for b, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -403,9 +434,9 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        raws = texts.column("raw").to_pylist()
-        found, told = Anchors(raws, least, gram, crowd), answers.to_pylist()
-        code = found.codes(told, n_buckets)
+        texts, told = in_order(texts), answers.to_pylist()
+        found = read(texts, told)
+        raws, code = found.raws, found.codes(told, n_buckets)
         of = code[found.which]
         edge = np.zeros(int(found.sizes.sum()) + 1, np.int64)
         whole = np.flatnonzero((of == REPEATED) | (of == MIXED_REPEATED) | (of == HOT_REPEATED))
@@ -444,7 +475,9 @@ def cleaned(docs: DataFrame, least: int = 200, gram: int = 32, hot: int = 20_000
             rows.append((doc, n, n_gone, spans, hashlib.sha256(kept).hexdigest(), *[kept] * with_text))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
-    first = stored(base.groupBy("g").applyInArrow(count, ddl(ASKED)).groupBy("bucket").applyInArrow(counted, ddl(ANSWERED)), "anchors")
+    asked = stored(base.groupBy("g").applyInArrow(count, ddl(ASKED)), "anchors")
+    own = asked.where(F.col("kind") == OWN).select("bucket", "g", "kind", F.col("keys").alias("told"))
+    first = stored(asked.where(F.col("kind") == 0).groupBy("bucket").applyInArrow(counted, ddl(ANSWERED)), "anchor-codes").unionByName(own)
     sent = base.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(send, ddl(ASKED))
     second = stored(sent.groupBy("kind", "bucket").applyInArrow(matched, ddl(ANSWERED)), "stretches")
     return base.groupBy("g").cogroup(first.unionByName(second).groupBy("g")).applyInArrow(finish, ddl(pa.schema(list(zip(names, kinds, strict=True)))))
