@@ -15,6 +15,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,47 +54,60 @@ class BpeCodec:
             self.strings[i] = token.encode()
         byte_id = {b: vocab[c] for c, b in letter.items()}
         self.first = [byte_id[b] for b in range(256)]
-        #: (left id << 20 | right id) -> rank, and by rank the id of what they merge to
-        self.rank: dict[int, int] = {}
+        #: by left id: right id -> rank, and by rank the id of what they merge to
+        self.ranks: list[dict[int, int]] = [{} for _ in self.strings]
         self.merges_to: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[left] << 20 | vocab[right]] = rank
+            self.ranks[vocab[left]][vocab[right]] = rank
             self.merges_to.append(vocab[left + right])
+        #: ranks of two bytes, at 256 times the first plus the second; -1: none
+        self.byte_ranks = [self.ranks[a].get(b, -1) for a in self.first for b in self.first]
+        self.high = [256 * b for b in range(256)]
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pretokens = regex.compile(PATTERN).findall
         self.of_token = Memo(self.merged, memo)
         self.of_first = Memo(lambda piece: None if not piece or piece[-1].isspace() else self.piece(piece), memo)
         self.of_inner = Memo(self.inner, memo)
         self.spaced = any(" " in t for t in self.added)
+        self.plain_letters = not any(t.isascii() and t.isalpha() for t in self.added)
 
     def merged(self, token: str) -> bytes:
         """Ids of one pre-token, as little-endian 32-bit integers."""
-        symbol = list(map(self.first.__getitem__, token.encode("utf-8", "replace")))
+        data = token.encode("utf-8", "replace")
+        symbol = list(map(self.first.__getitem__, data))
         n = len(symbol)
         if n == 1:
             return array("I", symbol).tobytes()
-        rank_of, merges_to, push, pop = self.rank.get, self.merges_to, heapq.heappush, heapq.heappop
-        heap = []  # rank << 40 | place: a text has fewer than 2**31 bytes
-        for i in range(n - 1):
-            if (rank := rank_of(symbol[i] << 20 | symbol[i + 1])) is not None:
-                heap.append(rank << 40 | i)
+        ranks_of, merges_to, push, pop = self.ranks, self.merges_to, heapq.heappush, heapq.heappop
+        bits = n.bit_length()
+        place = (1 << bits) - 1
+        #: the rank of the pair that begins at each place, -1 where there is none (any more): older entries are stale
+        now = list(map(self.byte_ranks.__getitem__, map(int.__add__, map(self.high.__getitem__, data), data[1:])))
+        heap = [rank << bits | i for i, rank in enumerate(now) if rank >= 0]
         heapq.heapify(heap)
+        now.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             entry = pop(heap)
-            i, rank = entry & 0xFFFFFFFFFF, entry >> 40
-            if (left := symbol[i]) < 0 or (j := after[i]) == n or rank_of(left << 20 | symbol[j]) != rank:
+            i, rank = entry & place, entry >> bits
+            if now[i] != rank:
                 continue  # stale: one of the two has merged with another
+            j = after[i]
             symbol[i] = new = merges_to[rank]
-            symbol[j] = -1
+            symbol[j] = now[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (rank := rank_of(new << 20 | symbol[k])) is not None:
-                    push(heap, rank << 40 | i)
-            if (h := before[i]) >= 0 and (rank := rank_of(symbol[h] << 20 | new)) is not None:
-                push(heap, rank << 40 | h)
+                now[i] = rank = ranks_of[new].get(symbol[k], -1)
+                if rank >= 0:
+                    push(heap, rank << bits | i)
+            else:
+                now[i] = -1
+            if (h := before[i]) >= 0:
+                now[h] = rank = ranks_of[symbol[h]].get(new, -1)
+                if rank >= 0:
+                    push(heap, rank << bits | h)
         return array("I", [s for s in symbol if s >= 0]).tobytes()
 
     def piece(self, piece: str) -> bytes:
@@ -107,6 +121,8 @@ class BpeCodec:
 
     def inner(self, piece: str) -> bytes | None:
         """Ids of a space and piece; None where that space may not start a pre-token."""
+        if self.plain_letters and piece.isascii() and piece.isalpha():
+            return self.of_token[" " + piece]  # one pre-token
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
         return self.piece(" " + piece)
@@ -129,6 +145,12 @@ class BpeCodec:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def codec_for(path: str) -> BpeCodec:
+    """The codec of a worker, with what it remembers; a worker lives on between tasks."""
+    return BpeCodec(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Per row of docs(doc_id, text): n_tokens, sha256 of the ids and of the decoded text.
 
@@ -136,7 +158,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(path)
+        codec = codec_for(path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
             out = []

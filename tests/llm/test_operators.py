@@ -256,6 +256,16 @@ def test_suffix_dedup_of_crowds(spark, crowd):
     assert rows(suffixes.cleaned(df, crowd=crowd)) == expected
 
 
+def test_anchors_are_found_once(odd):
+    """What a group stores of its anchors, read again without hashing, is what hashing gives."""
+    raws = [t.encode() for _, t in texts(odd)]
+    for some in (raws, [], [b"", b"x"]):
+        found = suffixes.Anchors(some, 200, 32)
+        again = suffixes.Anchors(some, 200, 0, found=found.packed())  # hashing with this gram would fail
+        assert all((getattr(found, k) == getattr(again, k)).all() for k in ("place", "first", "last", "anchor", "stretch", "which", "example", "entry_keys", "entry_twice"))
+    assert suffixes.SLICE <= 1 << 20
+
+
 def test_lpf():
     random.seed(2)
     for _ in range(60):
@@ -484,6 +494,16 @@ def test_bpe(odd, none):
     assert bpe.encoded(none, PATH).count() == 0
 
 
+def test_bpe_remembers():
+    """A worker keeps one codec; words of plain letters are one pre-token, long and short ones, as the library has them."""
+    assert bpe.codec_for(PATH) is bpe.codec_for(PATH)
+    t, codec = tokenizer(), bpe.BpeCodec(PATH)
+    assert codec.plain_letters
+    for text in ("a plain wordlike thing", "it 's don't ll", " lead", "x " + "ab" * 3000 + " y", "ab cd  ef", "Straße naïve ok", "a endoftext <|endoftext|>b c"):
+        for _ in range(2):
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_random():
     t, codec, fast = tokenizer(), bpe.BpeCodec(PATH, memo=50), packing.FastEncoder(PATH)
     random.seed(4)
