@@ -9,6 +9,7 @@ import math
 import os
 import random
 import time
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -206,6 +207,32 @@ def test_toxicity_is_fit_in_a_task(spark, monkeypatch):
         assert all((getattr(model, k) == getattr(expected, k)).all() for k in ("terms", "w", "v"))
 
 
+def test_toxicity_fit_in_little_memory():
+    """The terms are held once, then places of 32 bits; steps read a stretch of them (24 and 28 bytes a pair before)."""
+    rng = np.random.default_rng(6)
+    rows = [np.unique(rng.integers(0, 4000, 800)) << 20 for _ in range(1500)]
+    y, pairs = (rng.random(1500) < 0.2).astype(float), sum(map(len, rows))
+    tracemalloc.start()
+    try:
+        made = toxicity.as_terms(rows, 5)
+        first = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        toxicity.fitted_to(*made, y, rounds=2, pair_rows=200)
+        assert first < 21 * pairs and tracemalloc.get_traced_memory()[1] < 21 * pairs
+    finally:
+        tracemalloc.stop()
+
+
+def test_toxicity_carries_a_text_once(spark, odd):
+    """A carried text isn't sent to Python a second time, and scores are those without it."""
+    model = toxicity.Model(-1.0, np.unique(np.concatenate([toxicity.terms_of(b"word changed"), toxicity.terms_of(b"line")])), np.ones(0), np.zeros((0, 1)))
+    model.w, model.v = np.ones(len(model.terms)), np.zeros((len(model.terms), 1))
+    plain, with_text = toxicity.scored(odd, model), toxicity.scored(odd, model, carry=("text", "lang"))
+    assert "raw_" not in with_text._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted((tuple(r)[:4] for r in with_text.collect()), key=repr)
+    assert sorted(with_text.select("doc_id", "text").collect(), key=repr) == sorted(odd.select("doc_id", "text").collect(), key=repr)
+
+
 def test_stored_leaves_no_shuffles(spark):
     def left():
         dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
