@@ -10,6 +10,9 @@ must be equal, and for an exchange the place, too.
 Words of one remainder and place differ in that letter only, so all are near each other; each gets its count and its
 most frequent other from the group in order, without pairs.  Near words are found once: an exchange has one place, and of
 equal remainders of one word that with the first place counts.
+
+All joins are by sorted keys: their sides grow with the distinct words, and Spark would broadcast one through the driver
+by the compressed bytes of its files.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import looked_up, stored
+from .common import stored
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Distinct words that a task counts before it passes them on.
@@ -95,7 +98,7 @@ def near(words: DataFrame) -> DataFrame:
     """(word, n_near, best struct<less long, form string>) of the words that have near words; less is minus form's n."""
     under = stored(keyed(words), "anagrams")
     several = under.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    meet = under.join(several, "key", "left_semi")
+    meet = under.join(several.hint("merge"), "key", "left_semi")
     places = meet.where("letter is not null").select("*", F.explode(F.expr("sequence(1, length(word))")).alias("place")).where("ascii(substring(word, place, 1)) = letter")
     rest = F.expr("concat(substring(word, 1, place - 1), substring(word, place + 1))")
     less = places.select("key", "word", "n", "place", rest.alias("rest"), F.expr("place = 1 or ascii(substring(word, place - 1, 1)) <> letter").alias("first"))
@@ -104,7 +107,7 @@ def near(words: DataFrame) -> DataFrame:
     top, following = F.first(self_).over(ranked), F.lead(self_).over(ranked)
     exchanged = less.select("word", (F.count("*").over(same) - 1).alias("n_near"), F.when(F.row_number().over(ranked) > 1, top).otherwise(following).alias("best")).where("n_near > 0")
     whole = meet.where("letter is null").select("key", F.col("word").alias("rest"), F.col("n").alias("short_n"))
-    longer = less.where("first").join(whole, ["key", "rest"])
+    longer = less.where("first").join(whole.hint("merge"), ["key", "rest"])
     one, short = F.lit(1).cast("long").alias("n_near"), F.struct((-F.col("short_n")).alias("less"), F.col("rest").alias("form")).alias("best")
     removed = longer.select("word", one, short)
     added = longer.select(F.col("rest").alias("word"), one, self_.alias("best"))
@@ -122,7 +125,7 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     words = stored(words.where("word is not null").select("word", "n"), "words")
     found = near(words).select("word", "n_near", F.col("best.form").alias("near_form"), (-F.col("best.less")).alias("near_n"))
     good = F.col("near_n") >= ratio * F.col("n")
-    every = words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("near_form")).alias("form"), F.when(good, F.col("near_n")).alias("form_n"))
+    every = words.join(found.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(good, F.col("near_form")).alias("form"), F.when(good, F.col("near_n")).alias("form_n"))
     every = stored(every, "forms")
     steps = every.where("form is not null").select("word", F.col("form").alias("root"))
     top = words.agg(F.max("n")).first()[0] or 1
@@ -132,6 +135,6 @@ def variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     reach = 1
     while reach < longest:  # each round doubles how far a word's root is followed
         on = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        steps = stored(looked_up(steps, on, "root", how="left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        steps = stored(steps.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
         reach *= 2
-    return every.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return every.join(steps.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -7,7 +7,7 @@ import random
 import re
 import zlib
 
-from larkspur.llm import spelling
+from larkspur.llm import common, spelling
 
 
 def is_near(a: str, b: str) -> bool:
@@ -64,3 +64,21 @@ def test_word_counts(odd, none):
                     expected[run] += 1
         assert {r["word"]: r["n"] for r in spelling.word_counts(odd, misspelt=misspelt).collect()} == expected
     assert spelling.word_counts(none).count() == 0
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Small files of many words: Spark would broadcast them through the driver."""
+    words = [(w, n) for i in range(300) for w, n in ((f"word{i:05d}", 30), (f"word{i:05d}x", 5), (f"word{i:05d}xy", 1))]
+    plans, write = [], spelling.stored
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(spelling, "stored", lambda df, name: write(plan(df), name))
+    out = plan(spelling.variants(spark.createDataFrame(words, "word string, n long")))
+    assert out.where("root like 'word_____'").count() == len(words)
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_salted_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("id as k", "id as v").write.parquet(str(tmp_path / "few"))
+    few = spark.read.parquet(str(tmp_path / "few"))
+    found = common.looked_up(spark.range(2000).selectExpr("id as k", "id as x"), few, "k", n_few=common.SMALL_ROWS + 1)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1000
