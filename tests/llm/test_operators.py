@@ -562,6 +562,24 @@ def test_search(spark, odd, none, monkeypatch, dense_bytes, segment_bytes):
     assert search.top_k(none).count() == 0
 
 
+def test_search_answers_blocks_in_turn(odd, monkeypatch):
+    """Each block of queries is ranked and written before the next, so the disk has the shuffles of one."""
+    docs = odd.select("doc_id", "text")
+    whole = rows(search.top_k(docs, every=2, k=3))
+    blocks, write = [], search.stored
+
+    def kept(df, name):
+        out = write(df, name)
+        if name == "ranked":
+            blocks.append({r[0] for r in out.select("query_id").collect()})
+        return out
+
+    monkeypatch.setattr(search, "QUERY_BYTES", 3000)
+    monkeypatch.setattr(search, "stored", kept)
+    assert rows(search.top_k(docs, every=2, k=3)) == whole
+    assert len(blocks) > 2 and sum(map(len, blocks)) == len(set().union(*blocks)) == len({r[0] for r in whole})
+
+
 def test_substring(odd, none, spark, sf):
     for df, window, first in ((odd, 13, 7), (odd, 13, 2), (odd, 13, 13), (odd, 50, 7), (odd, 3, 2), (odd, 4, 1), (odd, 200, 4), (spark.read.parquet(f"{sf}/documents.parquet"), 13, 7)):
         words = [(d, t.encode().split()) for d, t in texts(df)]
